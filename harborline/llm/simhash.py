@@ -101,7 +101,8 @@ def links(distinct: DataFrame, distance: int, scratch: Scratch, block: int = BLO
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long")).cast("int")
     dealt = (
-        posted.join(lists.where("n > 2").select("mask", "shared", blocks.alias("blocks")), ["mask", "shared"])
+        # the lists grow with the corpus, so they are never broadcast; hashing them spares sorting the postings
+        posted.join(lists.where("n > 2").select("mask", "shared", blocks.alias("blocks")).hint("shuffle_hash"), ["mask", "shared"])
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("mask", "shared", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "fp")
