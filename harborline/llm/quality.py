@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from harborline.llm.labelled import SAMPLE, held_out, sample
 from harborline.llm.rules import STRESS, SYMBOLS, UPPER, repeated_lines, repeated_words
 from harborline.llm.scratch import Scratch
-from harborline.llm.text import chunks, mix, per_text, words
+from harborline.llm.text import bounded_batches, chunks, mix, per_text, words
 
 N_FEATURES, WIDTH, PARTS = 12, 192, 8
 
@@ -174,6 +174,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus:
     with its largest label; labels without a document and null labels are ignored. Without any
     labelled row every score is 0. Extra columns are ignored, repeated rows each get a row.
     """
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "quality")
     model = fit(docs, labels, scratch, modulus, remainder, bound)
     found = scored(docs.select("doc_id", "text"), model)
@@ -182,6 +183,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents that the classifier does not reject, with their own columns."""
+    bounded_batches(docs.sparkSession)
     model = fit(docs, labels, Scratch(docs.sparkSession, "quality"))
     bare = docs.withColumnsRenamed({"score": "_score"}) if "score" in docs.columns else docs
     return scored(bare, model).where(F.col("score") >= threshold).drop("score").withColumnsRenamed({"_score": "score"})

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from harborline.llm.scratch import Scratch
-from harborline.llm.text import chunks, mix, per_text, span_hash, words
+from harborline.llm.text import bounded_batches, chunks, mix, per_text, span_hash, words
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -122,6 +122,7 @@ def quality_rules(docs: DataFrame, spread: float = 7.0, least: int = 200) -> Dat
     rows give way to those of the language, then of the whole table. Null lang or source is a group
     like any other; null and empty texts have zero counts and fail. Repeated rows each count.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     scratch = Scratch(spark, "rules")
     stats = scratch.save(measured(docs), "stats")

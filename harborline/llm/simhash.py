@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from harborline.llm.graph import components
 from harborline.llm.scratch import Scratch
-from harborline.llm.text import LOWER, chunks, words
+from harborline.llm.text import LOWER, bounded_batches, chunks, words
 
 #: Fingerprints of one block of a posting list.
 BLOCK = 1024
@@ -147,6 +147,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFr
     ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(spark, "simhash")
     marked = scratch.save(fingerprint_table(docs, size), "fingerprints")
     classes = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")

@@ -13,9 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text handled at a time; a longer single text is handled whole.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
@@ -28,6 +29,13 @@ PUNCTUATED[:128] = [not chr(i).isalnum() for i in range(128)]
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, so that a Python worker's memory does not grow with the texts' lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+
+
 _powers: dict[int, np.ndarray] = {}
 
 

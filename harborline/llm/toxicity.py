@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segments.
 
-Fitting counts, over the labelled sample, the documents of either class that hold a token, and takes
-log-odds under a Dirichlet prior proportional to the token's share of the sample. Tokens whose log-odds
+Fitting counts, over the labelled sample, the documents of either class that hold a token, but no more
+than the distinct words it follows there, lest copies of one passage count as many, and takes log-odds under a Dirichlet prior proportional to the token's share of the sample. Tokens whose log-odds
 differ from zero by more than chance keep a score of their own; all others share one. Both classes are
 distributions over that alphabet and a score is the log of their ratio, so its expectation over clean
 text is negative and the scale of its extremes is 1 (lambda of extreme-value theory).
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from harborline.llm.labelled import SAMPLE, held_out, sample
 from harborline.llm.scratch import Scratch
-from harborline.llm.text import PUNCTUATED, chunks, words
+from harborline.llm.text import PUNCTUATED, Words, bounded_batches, chunks, words
 
 #: Tokens with a score of their own at most: those furthest from chance.
 VOCABULARY, SIGNIFICANT, PRIOR = 1 << 16, 4.0, 50.0
@@ -39,11 +39,20 @@ class Lexicon:
     a: float = 0.0
     b: float = 0.0
 
-    def tokens(self, data: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, object]:
+    def tokens(self, data: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, Words]:
         w = words(data, texts, PUNCTUATED)
         at = np.minimum(np.searchsorted(self.keys, h := w.hashes(lower=True)), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == h if len(self.keys) else np.zeros(len(h), bool)
-        return np.where(known, self.scores[at], self.other) if len(self.keys) else np.full(len(h), self.other), known, w
+        if not len(self.keys):
+            return np.full(len(h), self.other), w
+        scores = np.where(self.keys[at] == h, self.scores[at], self.other)
+        # words repeat within a text far more than independent draws would: each return halves a token's score
+        hot = np.flatnonzero(scores > 0)
+        order = hot[np.lexsort((hot, h[hot], w.owner[hot]))]
+        new = np.ones(len(order), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (w.owner[order][1:] != w.owner[order][:-1])
+        since = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        scores[order] *= 0.5 ** np.minimum(since, 60)
+        return scores, w
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -79,7 +88,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 def evidence(lexicon: Lexicon, data: np.ndarray, texts: np.ndarray, expect: float = 0.5) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, float]]]]:
     """Per text: the combined excess of its significant segments, its tokens, and those segments."""
-    scores, known, w = lexicon.tokens(data, texts)
+    scores, w = lexicon.tokens(data, texts)
     out, found = np.zeros(len(texts) - 1), [[] for _ in range(len(texts) - 1)]
     hot = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(scores > 0)])[w.first]))
     for i in hot.tolist():
@@ -100,17 +109,23 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int = 3,
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0), 0.0, a=-50.0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per token and left neighbour: the documents of either class that first hold the token there, and whether a class has the pair."""
         for batch in batches:
             for part, data, texts in chunks(batch):
                 w = words(data, texts, PUNCTUATED)
-                label = np.array(batch.column("label")[part.start : part.stop])
-                pair = np.rec.fromarrays([w.hashes(lower=True), w.owner])
-                pair = np.unique(pair)
-                key, at = np.unique(pair.f0, return_inverse=True)
-                ones = np.bincount(at, label[pair.f1] == 1, len(key)).astype(np.int64)
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ones), pa.array(np.bincount(at, minlength=len(key)) - ones)], ["token", "toxic", "clean"])
-
-    counts = rows.select("text", "label").mapInArrow(count, "token long, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+                h, owner = w.hashes(lower=True), w.owner
+                left = np.zeros_like(h)
+                left[1:] = np.where(owner[1:] == owner[:-1], h[:-1], 0)
+                one = np.array(batch.column("label")[part.start : part.stop])[owner] == 1
+                new = np.zeros(len(h), bool)
+                new[np.unique(np.rec.fromarrays([owner, h]), return_index=True)[1]] = True
+                key, at = np.unique(np.rec.fromarrays([h, left]), return_inverse=True)
+                sums = [np.bincount(at, x, len(key)).astype(np.int64) for x in (new & one, new & ~one, one, ~one)]
+                yield pa.record_batch([*[pa.array(x.copy().view(np.int64)) for x in (key.f0, key.f1)], *[pa.array(x) for x in sums[:2]], *[pa.array(np.minimum(x, 1)) for x in sums[2:]]], ["token", "left", "t", "c", "tp", "cp"])
+
+    pairs = rows.select("text", "label").mapInArrow(count, "token long, left long, t long, c long, tp long, cp long").groupBy("token", "left")
+    tokens = pairs.agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.max("tp").alias("tp"), F.max("cp").alias("cp")).groupBy("token")
+    counts = tokens.agg(F.least(F.sum("t"), F.sum("tp")).alias("t"), F.least(F.sum("c"), F.sum("cp")).alias("c"))
     share = (F.col("t") + F.col("c")) / (toxic + clean)
     t, c = F.col("t") + PRIOR * share, F.col("c") + PRIOR * share
     odds = F.log(t / (toxic + PRIOR - t)) - F.log(c / (clean + PRIOR - c))
@@ -175,6 +190,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, modulus
     Tokens are runs of letters and digits, lower-cased in ASCII. Null and empty texts have no passage
     and the score of a text without evidence. Labels are treated as in the quality classifier.
     """
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "toxicity")
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, scratch, modulus, remainder, bound))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
