@@ -47,7 +47,8 @@ def powers(base: int, n: int) -> np.ndarray:
         step = _U(base)
         while len(have) < n:
             have = np.concatenate([have, have * step])
-            step = step * step
+            with np.errstate(over="ignore"):
+                step = step * step
         _powers[base] = have
     return have[:n]
 

@@ -1,6 +1,7 @@
 """Toxic passages by maximum-scoring segments.
 
-Fitting counts, over the labelled sample, the documents of either class that hold a token, but no more
+Fitting counts, over the labelled sample, the documents of either class that hold a token (or the
+stem it begins with), but no more
 than the distinct words it follows there, lest copies of one passage count as many, and takes log-odds under a Dirichlet prior proportional to the token's share of the sample. Tokens whose log-odds
 differ from zero by more than chance keep a score of their own; all others share one. Both classes are
 distributions over that alphabet and a score is the log of their ratio, so its expectation over clean
@@ -24,12 +25,23 @@ from pyspark.sql import functions as F
 
 from harborline.llm.labelled import SAMPLE, held_out, sample
 from harborline.llm.scratch import Scratch
-from harborline.llm.text import PUNCTUATED, Words, bounded_batches, chunks, words
+from harborline.llm.text import LOWER, PUNCTUATED, Words, bounded_batches, chunks, mix, span_hash, words
 
 #: Tokens with a score of their own at most: those furthest from chance.
 VOCABULARY, SIGNIFICANT, PRIOR = 1 << 16, 4.0, 50.0
 
 
+#: A token is known by itself or by its first bytes, so inflected forms of one stem count together.
+STEMS = (4, 5)
+
+
+def forms(w: Words) -> list[np.ndarray]:
+    """Hashes of the lower-cased tokens, then of their stems; a token no longer than a stem has none (0)."""
+    values = LOWER[w.data].astype(np.uint64) + np.uint64(1)
+    stems = [np.where(w.ends - w.starts > n, span_hash(values, w.starts, np.minimum(w.starts + n, w.ends)) ^ np.uint64(n), 0) for n in STEMS]
+    return [span_hash(values, w.starts, w.ends), *stems]
+
+
 @dataclass
 class Lexicon:
     keys: np.ndarray
@@ -41,15 +53,18 @@ class Lexicon:
 
     def tokens(self, data: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, Words]:
         w = words(data, texts, PUNCTUATED)
-        at = np.minimum(np.searchsorted(self.keys, h := w.hashes(lower=True)), max(len(self.keys) - 1, 0))
-        if not len(self.keys):
-            return np.full(len(h), self.other), w
-        scores = np.where(self.keys[at] == h, self.scores[at], self.other)
+        scores, key = np.full(len(w.starts), self.other), np.zeros(len(w.starts), np.uint64)
+        best = np.zeros(len(w.starts))
+        for h in forms(w) if len(self.keys) else ():
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            better = (self.keys[at] == h) & (np.abs(self.scores[at]) > best)
+            scores[better], key[better] = self.scores[at[better]], h[better]
+            best[better] = np.abs(scores[better])
         # words repeat within a text far more than independent draws would: each return halves a token's score
         hot = np.flatnonzero(scores > 0)
-        order = hot[np.lexsort((hot, h[hot], w.owner[hot]))]
+        order = hot[np.lexsort((hot, key[hot], w.owner[hot]))]
         new = np.ones(len(order), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (w.owner[order][1:] != w.owner[order][:-1])
+        new[1:] = (key[order][1:] != key[order][:-1]) | (w.owner[order][1:] != w.owner[order][:-1])
         since = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
         scores[order] *= 0.5 ** np.minimum(since, 60)
         return scores, w
@@ -109,38 +124,56 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int = 3,
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0), 0.0, a=-50.0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per token and left neighbour: the documents of either class that first hold the token there, and whether a class has the pair."""
+        """Per form: the documents of either class that hold it."""
+        for batch in batches:
+            for part, data, texts in chunks(batch):
+                w = words(data, texts, PUNCTUATED)
+                h, owner = np.concatenate(forms(w)), np.tile(w.owner, len(STEMS) + 1)
+                first = np.unique(h ^ mix(owner.astype(np.uint64)), return_index=True)[1]
+                key, at = np.unique(h[first], return_inverse=True)
+                one = np.array(batch.column("label")[part.start : part.stop])[owner[first]] == 1
+                t = np.bincount(at, one, len(key)).astype(np.int64)
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(t), pa.array(np.bincount(at, minlength=len(key)) - t)], ["token", "t", "c"])
+
+    def ranked(counts: DataFrame) -> pa.Table:
+        """The forms furthest from chance, by hash."""
+        share = (F.col("t") + F.col("c")) / (toxic + clean)
+        t, c = F.col("t") + PRIOR * share, F.col("c") + PRIOR * share
+        odds = F.log(t / (toxic + PRIOR - t)) - F.log(c / (clean + PRIOR - c))
+        z = F.abs(odds / F.sqrt(1 / t + 1 / c))
+        kept = counts.where(f"t + c >= 5 and t < {toxic} and c < {clean}").select("token", "t", "c", z.alias("z")).where(F.col("z") > SIGNIFICANT)
+        found = kept.orderBy(F.col("z").desc(), "token").limit(VOCABULARY).toArrow()
+        return found.take(np.argsort(np.array(found.column("token"), np.int64).view(np.uint64)))
+
+    first = ranked(rows.select("text", "label").mapInArrow(count, "token long, t long, c long").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
+    known = docs.sparkSession.sparkContext.broadcast(np.array(first.column("token"), np.int64).view(np.uint64))
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per known form and word before it: whether a class has the pair."""
         for batch in batches:
             for part, data, texts in chunks(batch):
                 w = words(data, texts, PUNCTUATED)
-                h, owner = w.hashes(lower=True), w.owner
-                left = np.zeros_like(h)
-                left[1:] = np.where(owner[1:] == owner[:-1], h[:-1], 0)
-                one = np.array(batch.column("label")[part.start : part.stop])[owner] == 1
-                new = np.zeros(len(h), bool)
-                new[np.unique(np.rec.fromarrays([owner, h]), return_index=True)[1]] = True
-                key, at = np.unique(np.rec.fromarrays([h, left]), return_inverse=True)
-                sums = [np.bincount(at, x, len(key)).astype(np.int64) for x in (new & one, new & ~one, one, ~one)]
-                yield pa.record_batch([*[pa.array(x.copy().view(np.int64)) for x in (key.f0, key.f1)], *[pa.array(x) for x in sums[:2]], *[pa.array(np.minimum(x, 1)) for x in sums[2:]]], ["token", "left", "t", "c", "tp", "cp"])
-
-    pairs = rows.select("text", "label").mapInArrow(count, "token long, left long, t long, c long, tp long, cp long").groupBy("token", "left")
-    tokens = pairs.agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.max("tp").alias("tp"), F.max("cp").alias("cp")).groupBy("token")
-    counts = tokens.agg(F.least(F.sum("t"), F.sum("tp")).alias("t"), F.least(F.sum("c"), F.sum("cp")).alias("c"))
-    share = (F.col("t") + F.col("c")) / (toxic + clean)
-    t, c = F.col("t") + PRIOR * share, F.col("c") + PRIOR * share
-    odds = F.log(t / (toxic + PRIOR - t)) - F.log(c / (clean + PRIOR - c))
-    z = odds / F.sqrt(1 / t + 1 / c)
-    table = counts.where("t + c >= 5 and t < %d and c < %d" % (toxic, clean)).select("token", "t", "c", z.alias("z")).where(F.abs("z") > SIGNIFICANT)
-    top = table.orderBy(F.abs("z").desc(), "token").limit(VOCABULARY).toArrow()
+                h, owner = forms(w), w.owner
+                left = np.zeros_like(h[0])
+                left[1:] = np.where(owner[1:] == owner[:-1], h[0][:-1], 0)
+                h, left, owner = np.concatenate(h), np.tile(left, len(h)), np.tile(owner, len(h))
+                at = np.flatnonzero(known.value[np.minimum(np.searchsorted(known.value, h), len(known.value) - 1)] == h) if len(known.value) else np.zeros(0, int)
+                one = (np.array(batch.column("label")[part.start : part.stop])[owner[at]] == 1).astype(np.int64)
+                pair = np.unique(np.rec.fromarrays([h[at].view(np.int64), left[at].view(np.int64), one]))
+                yield pa.record_batch([pa.array(np.ascontiguousarray(pair[x])) for x in pair.dtype.names], ["token", "left", "one"])
+
+    pairs = rows.select("text", "label").mapInArrow(neighbours, "token long, left long, one long").distinct()
+    contexts = pairs.groupBy("token").agg(F.sum("one").alias("tp"), F.sum(1 - F.col("one")).alias("cp"))
+    table = docs.sparkSession.createDataFrame(first.select(["token", "t", "c"]))
+    top = ranked(table.join(contexts, "token").select("token", F.least("t", "tp").alias("t"), F.least("c", "cp").alias("c")))
     keys = np.array(top.column("token"), np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    t, c = np.array(top.column("t"), float)[order], np.array(top.column("c"), float)[order]
+    t, c = np.array(top.column("t"), float), np.array(top.column("c"), float)
     # a token of a document is one of about n; the class-wise chance of a token is its documents over all tokens
     lengths = scratch.save(rows.select("label", "text").mapInArrow(_lengths, "label int, n long"), "lengths").groupBy("label").agg(F.sum("n").alias("n")).collect()
     n = {r.label: max(1, r.n) for r in lengths}
     prior = PRIOR * (t + c) / (n[0] + n[1])
     p, q = (t + prior) / (n[1] + PRIOR), (c + prior) / (n[0] + PRIOR)
-    lexicon = Lexicon(keys[order], np.log(p / q), float(np.log(max(1 - p.sum(), 1e-6) / max(1 - q.sum(), 1e-6))))
+    lexicon = Lexicon(keys, np.log(p / q), float(np.log(max(1 - p.sum(), 1e-6) / max(1 - q.sum(), 1e-6))))
     lexicon.other = min(lexicon.other, -1e-3)
     found = _evidence(rows, lexicon, 1e30).toArrow()  # every segment, before K is known
     y = np.array(found.column("label"), float)
