@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from harborline.llm.quality import quality
 from harborline.llm.rules import quality_rules
 from harborline.llm.simhash import near_duplicates
+from harborline.llm.substrings import substring_dedup
 from harborline.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +47,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_quality_classifier")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
