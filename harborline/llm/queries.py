@@ -11,6 +11,7 @@ from harborline.llm.rules import quality_rules
 from harborline.llm.simhash import near_duplicates
 from harborline.llm.substrings import substring_dedup
 from harborline.llm.toxicity import toxicity
+from harborline.llm.urls import url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: No query of this module is plain SQL; tests/llm holds each against a brute-force version.
@@ -52,3 +53,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_substring_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op9_url_filter")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
