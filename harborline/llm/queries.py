@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from harborline.llm.decontaminate import contaminated
+from harborline.llm.pii import pii
 from harborline.llm.quality import quality
 from harborline.llm.rules import quality_rules
 from harborline.llm.simhash import near_duplicates
@@ -62,6 +63,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op8_pii_pseudonyms")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii(table(spark, sf_dir, "documents"))
+
+
 @query("op9_url_filter")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
