@@ -91,7 +91,8 @@ def substring_dedup(docs: DataFrame, width: int = 35, anchor: int = 12) -> DataF
     found = scratch.save(rows.mapInArrow(find_paths, "doc_id long, h long, start int, anchor long, span long"), "paths")
     spans = found.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h")).alias("chosen"))
     spans = scratch.save(spans, "spans")
-    anchors = spans.groupBy("anchor").agg(F.sum("n").alias("all")).where("all > 1")
+    # written first, so that both sides of each join are plain exchanges, of which a skewed one can be split
+    anchors = scratch.save(spans.groupBy("anchor").agg(F.sum("n").alias("all")).where("all > 1"), "anchors")
     kept = scratch.save(spans.join(anchors.hint("shuffle_hash"), "anchor"), "repeated")
     scratch.drop("spans")
     chosen = (F.col("chosen.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("chosen.h") == F.col("h"))
@@ -126,7 +127,7 @@ def substring_dedup(docs: DataFrame, width: int = 35, anchor: int = 12) -> DataF
 
     compared = rows.join(of(marks.where("open").select("doc_id", "h", "marks")), same).select("doc_id", "h", "text", "marks")
     windows = scratch.save(compared.mapInArrow(edges, "doc_id long, h long, start int, one long, two long, weight int"), "windows")
-    twice = windows.groupBy("one", "two").agg(F.sum("weight").alias("n")).where("n > 1").select("one", "two")
+    twice = scratch.save(windows.groupBy("one", "two").agg(F.sum("weight").alias("n")).where("n > 1").select("one", "two"), "twice")
     hits = windows.join(twice.hint("shuffle_hash"), ["one", "two"]).groupBy("doc_id", "h").agg(F.collect_set("start").alias("hits"))
     hits = scratch.save(hits, "hits")
     scratch.drop("windows")
