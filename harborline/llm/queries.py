@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from harborline.llm.decontaminate import contaminated
 from harborline.llm.katz import lm_scores
+from harborline.llm.pieces import sampled
 from harborline.llm.pii import pii
 from harborline.llm.quality import quality
 from harborline.llm.rules import quality_rules
@@ -77,3 +78,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_url_filter")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
+
+
+@query("op10_sentencepiece_sampling")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled(table(spark, sf_dir, "documents"), with_ids=False)
