@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from harborline.llm.labelled import held_out
 from harborline.llm.scratch import Scratch
-from harborline.llm.text import Words, bounded_batches, chunks, mix, words
+from harborline.llm.text import Lookup, Words, bounded_batches, chunks, mix, words
 
 #: Bigrams seen less often are left to backoff; counts up to GOOD_TURING are discounted.
 CUTOFF, GOOD_TURING, HOT = 2, 5, 1 << 18
@@ -97,50 +97,6 @@ def discounted(c: Column, d: list[float]) -> Column:
     return out
 
 
-@dataclass
-class Lookup:
-    """Values by 64-bit key in an open table."""
-
-    slots: np.ndarray
-    values: np.ndarray
-    probes: int
-
-    @staticmethod
-    def of(keys: np.ndarray, values: np.ndarray) -> Lookup:
-        size = 1 << max(4, int(4 * len(keys)).bit_length())
-        slots, at = np.zeros(size, np.int64) - 1, (keys & np.uint64(size - 1)).astype(np.int64)
-        left, probes = np.arange(len(keys)), 0
-        while len(left):
-            place = (at[left] + probes) & (size - 1)
-            free = slots[place] < 0
-            first = np.unique(place[free], return_index=True)[1]
-            taken = left[free][first]
-            slots[place[free][first]] = taken
-            left = np.setdiff1d(left, taken, assume_unique=True)
-            probes += 1
-        table = np.zeros((size, values.shape[1]))
-        hashes = np.zeros(size, np.uint64)
-        full = slots >= 0
-        table[full], hashes[full] = values[slots[full]], keys[slots[full]]
-        table = np.column_stack([table, full])
-        return Lookup(hashes, table, probes)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The slot of each key, and whether it is there."""
-        size = len(self.slots)
-        at = (keys & np.uint64(size - 1)).astype(np.int64)
-        out, found, left = at.copy(), np.zeros(len(keys), bool), np.arange(len(keys))
-        for j in range(self.probes):
-            place = (at[left] + j) & (size - 1)
-            full = self.values[place, -1] > 0
-            hit = full & (self.slots[place] == keys[left])
-            out[left[hit]], found[left[hit]] = place[hit], True
-            left = left[full & ~hit]
-            if not len(left):
-                break
-        return out, found
-
-
 @dataclass
 class Model:
     """The term table, how to tell its broadcast rows, and what unknown tokens cost."""
