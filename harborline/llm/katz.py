@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from harborline.llm.labelled import held_out
@@ -31,6 +31,8 @@ from harborline.llm.text import Lookup, Words, bounded_batches, chunks, mix, wor
 
 #: Bigrams seen less often are left to backoff; counts up to GOOD_TURING are discounted.
 CUTOFF, GOOD_TURING, HOT = 2, 5, 1 << 18
+#: Tokens counted together before they leave a Python worker.
+TOGETHER = 1 << 20
 END, START = np.uint64(0xE5D1E5D1E5D1E5D1), np.uint64(0x57A2757A2757A275)
 
 
@@ -53,19 +55,43 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pair_key(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) + mix(token))
+    """xxhash64(before, token), as Spark computes it for two longs (seed 42)."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
+    h = np.full(len(token), 42, np.uint64)
+    for x in (before, token):
+        h += p5 + np.uint64(8)
+        h ^= turned(x * p2, 31) * p1
+        h = turned(h, 27) * p1 + p4
+        h ^= h >> np.uint64(33)
+        h *= p2
+        h ^= h >> np.uint64(29)
+        h *= p3
+        h ^= h >> np.uint64(32)
+    return h
 
 
 def counted(docs: DataFrame, order: int) -> DataFrame:
     """Tokens (w, c), or bigrams (h, w, c), of all texts."""
 
+    def distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        before, token = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, at, n = np.unique(token if order == 1 else pair_key(before, token), return_index=True, return_counts=True)
+        keys = [token[at]] if order == 1 else [before[at], token[at]]
+        return pa.record_batch([*[pa.array(k.view(np.int64)) for k in keys], pa.array(n)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
             for _, data, texts in chunks(batch):
                 before, token, _ = tokens(words(data, texts))
-                _, at, n = np.unique(token if order == 1 else pair_key(before, token), return_index=True, return_counts=True)
-                keys = [token[at]] if order == 1 else [before[at], token[at]]
-                yield pa.record_batch([*[pa.array(k.view(np.int64)) for k in keys], pa.array(n)], names)
+                parts.append((before, token))
+                held += len(token)
+                if held >= TOGETHER:
+                    yield distinct(parts)
+                    parts, held = [], 0
+        if parts:
+            yield distinct(parts)
 
     names = ["w", "c"] if order == 1 else ["h", "w", "c"]
     found = docs.select("text").mapInArrow(run, ", ".join(f"{x} long" for x in names))
@@ -122,10 +148,11 @@ def fit(docs: DataFrame, scratch: Scratch, cutoff: int = CUTOFF, hot: int = HOT)
     n_texts = uni.where(F.col("w") == F.lit(signed(END))).select("c").first()
     n_texts = n_texts.c if n_texts else 0
 
-    bi = scratch.save(counted(docs, 2).where(F.col("c") > 0), "bigrams")
-    of_bigrams = {x.r: x.n for x in bi.groupBy(r.alias("r")).agg(F.count("*").alias("n")).collect() if x.r}
-    d2 = discounts(of_bigrams)
-    kept = bi.where(F.col("c") >= cutoff)
+    # counts of counts are taken while the bigrams worth keeping are written
+    seen_at = Observation()
+    levels = [F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, GOOD_TURING + 2)]
+    kept = scratch.save(counted(docs, 2).observe(seen_at, *levels).where(F.col("c") >= cutoff), "bigrams")
+    d2 = discounts({i: seen_at.get[f"n{i}"] for i in range(1, GOOD_TURING + 2)})
     probable = uni.select("w", p1.alias("p"))
     rated = scratch.save(kept.join(probable.hint("shuffle_hash"), "w").select("h", "w", "c", "p", discounted(F.col("c"), d2).alias("d")), "rated")
     scratch.drop("bigrams")
@@ -136,9 +163,9 @@ def fit(docs: DataFrame, scratch: Scratch, cutoff: int = CUTOFF, hot: int = HOT)
     alpha = (1 - share) / F.greatest(1 - F.col("q"), F.lit(1e-12))
     histories = scratch.save(histories.select("h", (share / F.col("d")).alias("scale"), F.log10(alpha).alias("a")), "histories")
     first = histories.where(F.col("h") == F.lit(signed(START))).select("a").first()
-    words_ = uni.join(histories.select(F.col("h").alias("w"), "a").hint("shuffle_hash"), "w", "left").select(F.lit(1).cast("byte").alias("order"), F.col("w").alias("key"), F.lit(0).cast("bigint").alias("w"), (F.log10(p1) + F.coalesce("a", F.lit(0.0))).cast("float").alias("term"), "c")
-    pairs = rated.join(histories.hint("shuffle_hash"), "h").select(F.lit(2).cast("byte").alias("order"), F.col("h").alias("key"), "w", (F.log10(F.col("d") * F.col("scale")) - F.log10("p") - F.col("a")).cast("float").alias("term"), "c")
-    terms = scratch.save(keyed(words_.unionByName(pairs)), "terms")
+    words_ = uni.join(histories.select(F.col("h").alias("w"), "a").hint("shuffle_hash"), "w", "left").select(F.lit(1).cast("byte").alias("order"), F.col("w").alias("key"), (F.log10(p1) + F.coalesce("a", F.lit(0.0))).cast("float").alias("term"), "c")
+    pairs = rated.join(histories.hint("shuffle_hash"), "h").select(F.lit(2).cast("byte").alias("order"), F.xxhash64("h", "w").alias("key"), (F.log10(F.col("d") * F.col("scale")) - F.log10("p") - F.col("a")).cast("float").alias("term"), "c")
+    terms = scratch.save(words_.unionByName(pairs), "terms")
     scratch.drop("unigrams", "rated", "sums", "histories")
     step = F.floor(F.log2("c") * 16).cast("int")
     sizes = terms.groupBy("order", step.alias("step")).agg(F.count("*").alias("n")).collect()
@@ -153,18 +180,6 @@ def fit(docs: DataFrame, scratch: Scratch, cutoff: int = CUTOFF, hot: int = HOT)
     return Model(terms, n, v, math.log10(unknown), first.a if first else 0.0, cuts)
 
 
-def keyed(rows: DataFrame) -> DataFrame:
-    """(order, key, term, c): a bigram's two hashes become its key, as in ``pair_key``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            order, h, w = np.array(batch.column("order")), np.array(batch.column("key")).view(np.uint64), np.array(batch.column("w")).view(np.uint64)
-            key = np.where(order == 2, pair_key(h, w), h)
-            yield pa.record_batch([batch.column("order"), pa.array(key.view(np.int64)), batch.column("term"), batch.column("c")], ["order", "key", "term", "c"])
-
-    return rows.mapInArrow(run, "order byte, key long, term float, c long")
-
-
 def score(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
     """(row, doc_id, n_tokens, n_known, base_score, score); row is a hash of doc_id and text."""
     step = F.floor(F.log2("c") * 16)
@@ -212,11 +227,10 @@ def score(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
 
     totals = scratch.save(rows.mapInArrow(total, "doc_id long, row long, n_tokens long, cold long, x double, b double"), "totals")
     cold = rows.select("row", "text").mapInArrow(rest, "row long, key long, n int")
-    terms = model.terms.where(~is_hot).select("key", "term", F.when(F.col("order") == 1, F.col("c").cast("int")).otherwise(0).alias("c"))
+    terms = model.terms.where(~is_hot).select("key", "term", F.when(F.col("order") == 1, F.log10((F.col("c") + 0.1) / F.lit(model.n + 0.1 * (model.v + 1)))).alias("base"))
     found = cold.join(terms.hint("shuffle_hash"), "key")
-    logged = F.log10((F.col("c") + 0.1) / F.lit(model.n + 0.1 * (model.v + 1)))
-    word = F.col("c") > 0
-    sums = found.groupBy("row").agg(F.sum(F.col("n") * F.col("term").cast("double")).alias("sx"), F.sum(F.when(word, F.col("n") * logged).otherwise(0.0)).alias("sb"), F.sum(F.when(word, F.col("n")).otherwise(0)).alias("sk"))
+    word = F.col("base").isNotNull()
+    sums = found.groupBy("row").agg(F.sum(F.col("n") * F.col("term").cast("double")).alias("sx"), F.sum(F.col("n") * F.col("base")).alias("sb"), F.sum(F.when(word, F.col("n"))).alias("sk"))
     sums = scratch.save(sums, "sums-of-rest")
     # rows that repeat have sent their rest once each
     times = totals.groupBy("row").agg(F.count("*").alias("times"))
