@@ -1,9 +1,62 @@
-"""Stages over a corpus of documents; each writes its result and the next one reads it."""
+"""From raw documents to encoded ones: five stages, each written as Parquet and read again by the next."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from harborline.llm.decontaminate import decontaminate
+from harborline.llm.pieces import sampled
+from harborline.llm.pii import pseudonymised
+from harborline.llm.quality import keep_good
+from harborline.llm.scratch import Scratch
+from harborline.llm.simhash import one_of_each
+
+#: SQL cannot express the stages; tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return one_of_each(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced."""
+    return pseudonymised(docs).drop("_n_pii")
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every document, with ids that decode to its text."""
+    return sampled(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("simhash near-dedup", near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("pii pseudonyms", pii_pseudonyms),
+    ("sentencepiece", sentencepiece),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of a folder."""
-    raise NotImplementedError("stages follow")
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.save(docs, f"stage-{i}")
+            if i:
+                scratch.drop(f"stage-{i - 1}")
+    return docs

@@ -154,8 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int = 5,
     return model
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) for every text."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with the score of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +163,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             for rows, data, texts in chunks(batch):
                 yield pa.record_batch([*[batch.column(i)[rows.start : rows.stop] for i in range(batch.num_columns)], pa.array(shared.value.score(statistics(data, texts)))], names)
 
-    names = [*docs.columns, "score"]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    names = [*docs.columns, name]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus: int = 5, remainder: int = 0, bound: int = SAMPLE) -> DataFrame:
@@ -185,5 +185,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
     """The documents that the classifier does not reject, with their own columns."""
     bounded_batches(docs.sparkSession)
     model = fit(docs, labels, Scratch(docs.sparkSession, "quality"))
-    bare = docs.withColumnsRenamed({"score": "_score"}) if "score" in docs.columns else docs
-    return scored(bare, model).where(F.col("score") >= threshold).drop("score").withColumnsRenamed({"_score": "score"})
+    return scored(docs, model, "_score").where(F.col("_score") >= threshold).drop("_score")

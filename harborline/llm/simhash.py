@@ -62,15 +62,15 @@ def fingerprints(data: np.ndarray, texts: np.ndarray, size: int = 4) -> np.ndarr
 
 
 def fingerprint_table(docs: DataFrame, size: int = 4) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long; a null text counts as empty."""
+    """(doc_id, h, fp): a hash of the text and its fingerprint as a signed long; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, texts in chunks(batch):
-                ids = batch.column("doc_id")[rows.start : rows.stop]
-                yield pa.record_batch([ids, pa.array(fingerprints(data, texts, size).view(np.int64))], ["doc_id", "fp"])
+                kept = [batch.column(c)[rows.start : rows.stop] for c in ("doc_id", "h")]
+                yield pa.record_batch([*kept, pa.array(fingerprints(data, texts, size).view(np.int64))], ["doc_id", "h", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -138,6 +138,18 @@ def links(distinct: DataFrame, distance: int, scratch: Scratch, block: int = BLO
     return twos.unionByName(many)
 
 
+def grouped(docs: DataFrame, size: int, distance: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, h, fp, component_id) of every row."""
+    bounded_batches(docs.sparkSession)
+    marked = scratch.save(fingerprint_table(docs, size), "fingerprints")
+    classes = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    roots = components(links(classes.select("fp"), distance, scratch), scratch).withColumnRenamed("node", "fp")
+    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = scratch.save(rooted.join(named, "root").select("fp", "root", "component_id"), "components")
+    return marked.join(found, "fp")
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document.
 
@@ -146,13 +158,19 @@ def near_duplicates(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFr
     takes part but never names a component; repeated rows give repeated results. Extra columns are
     ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    bounded_batches(docs.sparkSession)
-    scratch = Scratch(spark, "simhash")
-    marked = scratch.save(fingerprint_table(docs, size), "fingerprints")
-    classes = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes.select("fp"), distance, scratch), scratch).withColumnRenamed("node", "fp")
-    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = scratch.save(rooted.join(named, "root").select("fp", "component_id"), "components")
-    return marked.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = grouped(docs, size, distance, Scratch(docs.sparkSession, "simhash"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:
+    """The first document of each component, by doc_id (null first), with its own columns.
+
+    Rows that share doc_id and text are one document, of which one row stays.
+    """
+    scratch = Scratch(docs.sparkSession, "dedup")
+    found = scratch.save(grouped(docs, size, distance, scratch), "groups")
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("_doc"), F.col("k.h").alias("_h"))
+    kept = scratch.save(kept, "kept")
+    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_h"))
+    left = docs.withColumn("_key", F.xxhash64("text")).join(kept.hint("shuffle_hash"), same, "left_semi")
+    return left.dropDuplicates(["doc_id", "_key"]).drop("_key")
