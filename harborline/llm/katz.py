@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.llm.labelled import held_out
@@ -30,9 +30,9 @@ from harborline.llm.scratch import Scratch
 from harborline.llm.text import Lookup, Words, bounded_batches, chunks, mix, words
 
 #: Bigrams seen less often are left to backoff; counts up to GOOD_TURING are discounted.
-CUTOFF, GOOD_TURING, HOT = 2, 5, 1 << 18
-#: Tokens counted together before they leave a Python worker.
-TOGETHER = 1 << 20
+CUTOFF, GOOD_TURING, HOT = 2, 5, 1 << 19
+#: Rows of one Arrow batch that leaves a Python worker.
+PIECE = 1 << 16
 END, START = np.uint64(0xE5D1E5D1E5D1E5D1), np.uint64(0x57A2757A2757A275)
 
 
@@ -71,31 +71,76 @@ def pair_key(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     return h
 
 
-def counted(docs: DataFrame, order: int) -> DataFrame:
-    """Tokens (w, c), or bigrams (h, w, c), of all texts."""
-
-    def distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        before, token = (np.concatenate(x) for x in zip(*parts, strict=True))
-        _, at, n = np.unique(token if order == 1 else pair_key(before, token), return_index=True, return_counts=True)
-        keys = [token[at]] if order == 1 else [before[at], token[at]]
-        return pa.record_batch([*[pa.array(k.view(np.int64)) for k in keys], pa.array(n)], names)
+def counted(docs: DataFrame) -> DataFrame:
+    """(w, c): how often each token stands in the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
         for batch in batches:
             for _, data, texts in chunks(batch):
-                before, token, _ = tokens(words(data, texts))
-                parts.append((before, token))
-                held += len(token)
-                if held >= TOGETHER:
-                    yield distinct(parts)
-                    parts, held = [], 0
-        if parts:
-            yield distinct(parts)
+                w, n = np.unique(tokens(words(data, texts))[1], return_counts=True)
+                yield pa.record_batch([pa.array(w.view(np.int64)), pa.array(n)], ["w", "c"])
+
+    return docs.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+
+
+def summed(key: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """One row per key: its first values of the columns, and the sum of n."""
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(key), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    first = order[new]
+    return key[first], [c[first] for c in columns], np.add.reduceat(n[order], np.flatnonzero(new)) if len(key) else n
+
+
+def counted_pairs(docs: DataFrame, cutoff: int) -> DataFrame:
+    """(h, w, c) of bigrams seen ``cutoff`` times or more, and rows without h that hold counts of counts.
+
+    A task adds up what it reads before anything leaves it, so the shuffle takes a frequent bigram
+    once per task; the tasks behind the shuffle add up again and keep what reaches the cutoff. The
+    rows without h have the count in w and the number of bigrams with it in c.
+    """
 
-    names = ["w", "c"] if order == 1 else ["h", "w", "c"]
-    found = docs.select("text").mapInArrow(run, ", ".join(f"{x} long" for x in names))
-    return found.groupBy(*names[:-1]).agg(F.sum("c").alias("c"))
+    def add(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Sums of all batches; rows that wait are summed whenever they outnumber the sums."""
+        none = np.zeros(0, np.uint64)
+        have, waiting, size = (none, [none, none], np.zeros(0, np.int64)), [], 0
+
+        def merge() -> None:
+            nonlocal have, waiting, size
+            h, w, n = (np.concatenate(x) for x in zip((have[1][0], have[1][1], have[2]), *waiting, strict=True))
+            have, waiting, size = summed(pair_key(h, w), [h, w], n), [], 0
+
+        for h, w, n in batches:
+            waiting.append((h, w, n))
+            size += len(h)
+            if size > max(1 << 18, len(have[0])):
+                merge()
+        if waiting:
+            merge()
+        return have
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for batch in batches:
+                for _, data, texts in chunks(batch):
+                    before, token, _ = tokens(words(data, texts))
+                    _, (h, w), n = summed(pair_key(before, token), [before, token], np.ones(len(token), np.int64))
+                    yield h, w, n
+
+        _, (h, w), n = add(parts())
+        for i in range(0, len(h), PIECE):
+            yield pa.record_batch([pa.array(x[i : i + PIECE].view(np.int64)) for x in (h, w, n)], ["h", "w", "c"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, (h, w), n = add(tuple(np.array(b.column(c), np.int64).view(t) for c, t in (("h", np.uint64), ("w", np.uint64), ("c", np.int64))) for b in batches)
+        kept = n >= cutoff
+        yield pa.record_batch([pa.array(x[kept].view(np.int64)) for x in (h, w, n)], ["h", "w", "c"])
+        levels = np.arange(1, GOOD_TURING + 2)
+        sizes = np.bincount(np.minimum(n, GOOD_TURING + 2), minlength=GOOD_TURING + 3)[1:-1]
+        yield pa.record_batch([pa.nulls(len(levels), pa.int64()), pa.array(levels), pa.array(sizes)], ["h", "w", "c"])
+
+    kind = "h long, w long, c long"
+    return docs.select("text").mapInArrow(read, kind).repartition("h", "w").mapInArrow(gather, kind)
 
 
 def discounts(n: dict[int, int], k: int = GOOD_TURING) -> list[float]:
@@ -137,7 +182,7 @@ class Model:
 
 def fit(docs: DataFrame, scratch: Scratch, cutoff: int = CUTOFF, hot: int = HOT) -> Model:
     """The model of all rows of ``docs``."""
-    uni = scratch.save(counted(docs, 1), "unigrams")
+    uni = scratch.save(counted(docs), "unigrams")
     r = F.when(F.col("c") <= GOOD_TURING + 1, F.col("c")).otherwise(0)
     of_counts = {x.r: (x.n, x.s) for x in uni.groupBy(r.alias("r")).agg(F.count("*").alias("n"), F.sum("c").alias("s")).collect()}
     n, v = sum(s for _, s in of_counts.values()), sum(k for k, _ in of_counts.values())
@@ -148,11 +193,9 @@ def fit(docs: DataFrame, scratch: Scratch, cutoff: int = CUTOFF, hot: int = HOT)
     n_texts = uni.where(F.col("w") == F.lit(signed(END))).select("c").first()
     n_texts = n_texts.c if n_texts else 0
 
-    # counts of counts are taken while the bigrams worth keeping are written
-    seen_at = Observation()
-    levels = [F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, GOOD_TURING + 2)]
-    kept = scratch.save(counted(docs, 2).observe(seen_at, *levels).where(F.col("c") >= cutoff), "bigrams")
-    d2 = discounts({i: seen_at.get[f"n{i}"] for i in range(1, GOOD_TURING + 2)})
+    pairs = scratch.save(counted_pairs(docs, cutoff), "bigrams")
+    d2 = discounts({r.w: r.n for r in pairs.where("h is null").groupBy("w").agg(F.sum("c").alias("n")).collect()})
+    kept = pairs.where("h is not null")
     probable = uni.select("w", p1.alias("p"))
     rated = scratch.save(kept.join(probable.hint("shuffle_hash"), "w").select("h", "w", "c", "p", discounted(F.col("c"), d2).alias("d")), "rated")
     scratch.drop("bigrams")
@@ -196,47 +239,41 @@ def score(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
     start = model.start
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What the broadcast terms give each text, and its tokens that they do not cover."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words and bigrams of each text that are not broadcast, with their counts, and one row with
+        what the broadcast terms give: tokens, tokens left, log-probability, base."""
         one, two = shared.value
         for batch in batches:
             for part, data, texts in chunks(batch):
                 before, token, owner = tokens(words(data, texts))
-                n = len(texts) - 1
-                at, known = one.find(token)
-                pair_at, pair = two.find(pair_key(before, token))
-                sums = [np.bincount(owner[known], one.values[at[known], j], n) for j in (0, 1)]
-                x = sums[0] + np.bincount(owner[pair], two.values[pair_at[pair], 0], n) + start
+                pair, n = pair_key(before, token), len(texts) - 1
+                (at, known), (pair_at, paired) = one.find(token), two.find(pair)
+                sums = [np.bincount(owner[known], one.values[at[known], j], n).astype(float) for j in (0, 1)]
+                x = sums[0] + np.bincount(owner[paired], two.values[pair_at[paired], 0], n) + start
                 count = np.bincount(owner, minlength=n)
                 cold = count - np.bincount(owner[known], minlength=n)
-                yield pa.record_batch([*[batch.column(c)[part.start : part.stop] for c in ("doc_id", "row")], pa.array(count), pa.array(cold), pa.array(x.astype(float)), pa.array(sums[1].astype(float))], ["doc_id", "row", "n_tokens", "cold", "x", "b"])
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The words and bigrams of each text that are not broadcast, with their counts."""
-        one, two = shared.value
-        for batch in batches:
-            for part, data, texts in chunks(batch):
-                before, token, owner = tokens(words(data, texts))
-                pair = pair_key(before, token)
-                a, b = ~one.find(token)[1], ~two.find(pair)[1]
-                key, of = np.concatenate([token[a], pair[b]]), np.concatenate([owner[a], owner[b]])
-                _, at, n = np.unique(key ^ mix(of.astype(np.uint64)), return_index=True, return_counts=True)
-                row = np.array(batch.column("row")[part.start : part.stop])[of[at]]
-                order = np.argsort(of[at], kind="stable")  # rows of a text together: they compress
-                yield pa.record_batch([pa.array(row[order]), pa.array(key[at][order].view(np.int64)), pa.array(n[order].astype(np.int32))], ["row", "key", "n"])
-
-    totals = scratch.save(rows.mapInArrow(total, "doc_id long, row long, n_tokens long, cold long, x double, b double"), "totals")
-    cold = rows.select("row", "text").mapInArrow(rest, "row long, key long, n int")
+                key, of = np.concatenate([token[~known], pair[~paired]]), np.concatenate([owner[~known], owner[~paired]])
+                _, (key, of), times = summed(key ^ mix(of.astype(np.uint64)), [key, of], np.ones(len(of), np.int64))
+                order = np.argsort(of, kind="stable")  # rows of a text together: they compress
+                ids = np.array(batch.column("row")[part.start : part.stop])
+                row, key = np.concatenate([ids[of[order]], ids]), np.concatenate([key[order].view(np.int64), ids])
+                extra = pa.ListArray.from_arrays(np.concatenate([np.zeros(len(of), np.int32), np.arange(0, 4 * n + 1, 4, dtype=np.int32)]), pa.array(np.column_stack([count, cold, x, sums[1]]).ravel()), mask=pa.array(np.arange(len(row)) < len(of)))
+                yield pa.record_batch([pa.array(row), pa.array(key), pa.array(np.concatenate([times[order], np.zeros(n, np.int64)]).astype(np.int32)), extra], ["row", "key", "n", "extra"])
+
+    cold = rows.select("row", "text").mapInArrow(run, "row long, key long, n int, extra array<double>")
     terms = model.terms.where(~is_hot).select("key", "term", F.when(F.col("order") == 1, F.log10((F.col("c") + 0.1) / F.lit(model.n + 0.1 * (model.v + 1)))).alias("base"))
-    found = cold.join(terms.hint("shuffle_hash"), "key")
-    word = F.col("base").isNotNull()
-    sums = found.groupBy("row").agg(F.sum(F.col("n") * F.col("term").cast("double")).alias("sx"), F.sum(F.col("n") * F.col("base")).alias("sb"), F.sum(F.when(word, F.col("n"))).alias("sk"))
-    sums = scratch.save(sums, "sums-of-rest")
-    # rows that repeat have sent their rest once each
-    times = totals.groupBy("row").agg(F.count("*").alias("times"))
-    joined = totals.join(times.join(sums.hint("shuffle_hash"), "row", "left").select("row", *[F.coalesce(F.col(c) / F.col("times"), F.lit(0.0)).alias(c) for c in ("sx", "sb", "sk")]), "row")
-    unknown = F.col("cold") - F.round("sk").cast("bigint")
-    return joined.select("row", "doc_id", "n_tokens", (F.col("n_tokens") - unknown).alias("n_known"), (F.col("b") + F.col("sb") + unknown * F.lit(float(base(0.0)))).alias("base_score"), (F.col("x") + F.col("sx") + unknown * F.lit(model.unknown)).alias("score"))
+    found = cold.join(terms.hint("shuffle_hash"), "key", "left")
+    more = {name: F.sum(F.get("extra", F.lit(i))).alias(name) for i, name in enumerate(("tokens", "left", "x", "b"))}
+    sums = found.groupBy("row").agg(
+        F.sum(F.col("n") * F.col("term").cast("double")).alias("sx"), F.sum(F.col("n") * F.col("base")).alias("sb"), F.sum(F.when(F.col("base").isNotNull(), F.col("n"))).alias("sk"), F.count("extra").alias("times"), *more.values()
+    )
+    # rows that repeat have sent everything once each
+    share = lambda c: F.coalesce(F.col(c) / F.col("times"), F.lit(0.0))
+    whole = lambda c: F.round(share(c)).cast("bigint")
+    sums = scratch.save(sums.select("row", *[share(c).alias(c) for c in ("sx", "sb", "x", "b")], *[whole(c).alias(c) for c in ("sk", "tokens", "left")]), "sums-of-rest")
+    joined = rows.select("doc_id", "row").join(sums.hint("shuffle_hash"), "row")
+    unknown = F.col("left") - F.col("sk")
+    return joined.select("row", "doc_id", F.col("tokens").alias("n_tokens"), (F.col("tokens") - unknown).alias("n_known"), (F.col("b") + F.col("sb") + unknown * F.lit(float(base(0.0)))).alias("base_score"), (F.col("x") + F.col("sx") + unknown * F.lit(model.unknown)).alias("score"))
 
 
 def lm_scores(docs: DataFrame, modulus: int = 10, remainder: int = 0, cutoff: int = CUTOFF, hot: int = HOT) -> DataFrame:

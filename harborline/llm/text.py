@@ -154,7 +154,7 @@ class Lookup:
 
     @staticmethod
     def of(keys: np.ndarray, values: np.ndarray) -> Lookup:
-        size = 1 << max(4, int(4 * len(keys)).bit_length())
+        size = 1 << max(4, int(2 * len(keys)).bit_length())
         slots, at = np.zeros(size, np.int64) - 1, (keys & np.uint64(size - 1)).astype(np.int64)
         left, probes = np.arange(len(keys)), 0
         while len(left):
