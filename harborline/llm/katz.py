@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from harborline.llm.labelled import held_out
 from harborline.llm.scratch import Scratch
-from harborline.llm.text import Lookup, Words, bounded_batches, chunks, mix, words
+from harborline.llm.text import Lookup, Words, bounded_batches, chunks, frugal, mix, words
 
 #: Bigrams seen less often are left to backoff; counts up to GOOD_TURING are discounted.
 CUTOFF, GOOD_TURING, HOT = 2, 5, 1 << 19
@@ -80,7 +80,7 @@ def counted(docs: DataFrame) -> DataFrame:
                 w, n = np.unique(tokens(words(data, texts))[1], return_counts=True)
                 yield pa.record_batch([pa.array(w.view(np.int64)), pa.array(n)], ["w", "c"])
 
-    return docs.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(frugal(run), "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
 def summed(key: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -140,7 +140,7 @@ def counted_pairs(docs: DataFrame, cutoff: int) -> DataFrame:
         yield pa.record_batch([pa.nulls(len(levels), pa.int64()), pa.array(levels), pa.array(sizes)], ["h", "w", "c"])
 
     kind = "h long, w long, c long"
-    return docs.select("text").mapInArrow(read, kind).repartition("h", "w").mapInArrow(gather, kind)
+    return docs.select("text").mapInArrow(frugal(read), kind).repartition("h", "w").mapInArrow(frugal(gather), kind)
 
 
 def discounts(n: dict[int, int], k: int = GOOD_TURING) -> list[float]:
@@ -260,7 +260,7 @@ def score(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
                 extra = pa.ListArray.from_arrays(np.concatenate([np.zeros(len(of), np.int32), np.arange(0, 4 * n + 1, 4, dtype=np.int32)]), pa.array(np.column_stack([count, cold, x, sums[1]]).ravel()), mask=pa.array(np.arange(len(row)) < len(of)))
                 yield pa.record_batch([pa.array(row), pa.array(key), pa.array(np.concatenate([times[order], np.zeros(n, np.int64)]).astype(np.int32)), extra], ["row", "key", "n", "extra"])
 
-    cold = rows.select("row", "text").mapInArrow(run, "row long, key long, n int, extra array<double>")
+    cold = rows.select("row", "text").mapInArrow(frugal(run), "row long, key long, n int, extra array<double>")
     terms = model.terms.where(~is_hot).select("key", "term", F.when(F.col("order") == 1, F.log10((F.col("c") + 0.1) / F.lit(model.n + 0.1 * (model.v + 1)))).alias("base"))
     found = cold.join(terms.hint("shuffle_hash"), "key", "left")
     more = {name: F.sum(F.get("extra", F.lit(i))).alias(name) for i, name in enumerate(("tokens", "left", "x", "b"))}

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from harborline.llm.labelled import SAMPLE, held_out, sample
 from harborline.llm.rules import STRESS, SYMBOLS, UPPER, repeated_lines, repeated_words
 from harborline.llm.scratch import Scratch
-from harborline.llm.text import bounded_batches, chunks, mix, per_text, words
+from harborline.llm.text import bounded_batches, chunks, frugal, mix, per_text, words
 
 N_FEATURES, WIDTH, PARTS = 12, 192, 8
 
@@ -115,7 +115,7 @@ def featured(docs: DataFrame) -> DataFrame:
                 flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, N_FEATURES, dtype=np.int32), pa.array(x.ravel()))
                 yield pa.record_batch([batch.column("doc_id")[rows.start : rows.stop], batch.column("label")[rows.start : rows.stop], flat], ["doc_id", "label", "x"])
 
-    return docs.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(run, "doc_id long, label int, x array<double>")
+    return docs.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(frugal(run), "doc_id long, label int, x array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int = 5, remainder: int = 0, bound: int = SAMPLE, width: int = WIDTH, gamma: float = 0.08, ridge: float = 1e-2, seed: int = 7) -> Model:
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int = 5,
         yield pa.record_batch([pa.array([xx.tobytes()]), pa.array([xy.tobytes()])], ["xx", "xy"])
 
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0
-    parts = rows.where(half).select("x", "label").repartition(PARTS).mapInArrow(sums, "xx binary, xy binary").collect()
+    parts = rows.where(half).select("x", "label").repartition(PARTS).mapInArrow(frugal(sums), "xx binary, xy binary").collect()
     xx = sum(np.frombuffer(p.xx).reshape(k, k) for p in parts)
     xy = sum(np.frombuffer(p.xy) for p in parts)
     weights = np.linalg.solve(xx + ridge * np.eye(k), xy)
@@ -164,7 +164,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
                 yield pa.record_batch([*[batch.column(i)[rows.start : rows.stop] for i in range(batch.num_columns)], pa.array(shared.value.score(statistics(data, texts)))], names)
 
     names = [*docs.columns, name]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus: int = 5, remainder: int = 0, bound: int = SAMPLE) -> DataFrame:

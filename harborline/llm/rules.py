@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from harborline.llm.scratch import Scratch
-from harborline.llm.text import bounded_batches, chunks, mix, per_text, span_hash, words
+from harborline.llm.text import bounded_batches, chunks, frugal, mix, per_text, span_hash, words
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -93,7 +93,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 kept = [batch.column(c)[rows.start : rows.stop] for c in ("doc_id", "lang", "source")]
                 yield pa.record_batch([*kept, *[pa.array(found[c].astype(np.int64)) for c in COUNTS]], ["doc_id", "lang", "source", *COUNTS])
 
-    return docs.select("doc_id", "text", F.col("lang").cast("string"), F.col("source").cast("string")).mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select("doc_id", "text", F.col("lang").cast("string"), F.col("source").cast("string")).mapInArrow(frugal(run), "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def sketches(values: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from harborline.llm.graph import components
 from harborline.llm.scratch import Scratch
-from harborline.llm.text import LOWER, bounded_batches, chunks, words
+from harborline.llm.text import LOWER, bounded_batches, chunks, frugal, words
 
 #: Fingerprints of one block of a posting list.
 BLOCK = 1024
@@ -70,7 +70,7 @@ def fingerprint_table(docs: DataFrame, size: int = 4) -> DataFrame:
                 kept = [batch.column(c)[rows.start : rows.stop] for c in ("doc_id", "h")]
                 yield pa.record_batch([*kept, pa.array(fingerprints(data, texts, size).view(np.int64))], ["doc_id", "h", "fp"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(frugal(run), "doc_id long, h long, fp long")
 
 
 def forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -134,7 +134,7 @@ def links(distinct: DataFrame, distance: int, scratch: Scratch, block: int = BLO
         if kept is not None:
             yield found(groups(kept)[0])
 
-    many = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+    many = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(frugal(compare), "a long, b long")
     return twos.unionByName(many)
 
 

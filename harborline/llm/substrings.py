@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborline.llm.scratch import Scratch
-from harborline.llm.text import Words, bounded_batches, chunks, mix, span_hash, words
+from harborline.llm.text import Words, bounded_batches, chunks, frugal, mix, span_hash, words
 
 _SECOND = 0xC2B2AE3D27D4EB4F
 _SECOND_INVERSE = pow(_SECOND, -1, 1 << 64)
@@ -88,7 +88,7 @@ def substring_dedup(docs: DataFrame, width: int = 35, anchor: int = 12) -> DataF
                 ids = [batch.column(c)[part.start : part.stop].take(pa.array(owner)) for c in ("doc_id", "h")]
                 yield pa.record_batch([*ids, pa.array((start - w.first[owner]).astype(np.int32)), _signed(least), _signed(span)], ["doc_id", "h", "start", "anchor", "span"])
 
-    found = scratch.save(rows.mapInArrow(find_paths, "doc_id long, h long, start int, anchor long, span long"), "paths")
+    found = scratch.save(rows.mapInArrow(frugal(find_paths), "doc_id long, h long, start int, anchor long, span long"), "paths")
     spans = found.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h")).alias("chosen"))
     spans = scratch.save(spans, "spans")
     # written first, so that both sides of each join are plain exchanges, of which a skewed one can be split
@@ -126,7 +126,7 @@ def substring_dedup(docs: DataFrame, width: int = 35, anchor: int = 12) -> DataF
                 yield pa.record_batch([*ids, pa.array((at - w.first[owner]).astype(np.int32)), _signed(one), _signed(two), pa.array(weight)], ["doc_id", "h", "start", "one", "two", "weight"])
 
     compared = rows.join(of(marks.where("open").select("doc_id", "h", "marks")), same).select("doc_id", "h", "text", "marks")
-    windows = scratch.save(compared.mapInArrow(edges, "doc_id long, h long, start int, one long, two long, weight int"), "windows")
+    windows = scratch.save(compared.mapInArrow(frugal(edges), "doc_id long, h long, start int, one long, two long, weight int"), "windows")
     twice = scratch.save(windows.groupBy("one", "two").agg(F.sum("weight").alias("n")).where("n > 1").select("one", "two"), "twice")
     hits = windows.join(twice.hint("shuffle_hash"), ["one", "two"]).groupBy("doc_id", "h").agg(F.collect_set("start").alias("hits"))
     hits = scratch.save(hits, "hits")
@@ -163,7 +163,7 @@ def substring_dedup(docs: DataFrame, width: int = 35, anchor: int = 12) -> DataF
     known = marks.select("doc_id", "h", "marks").join(hits.hint("shuffle_hash").withColumnsRenamed({"doc_id": "_doc", "h": "_h"}), same, "left").select("doc_id", "h", "marks", "hits")
     known = scratch.save(known, "known")
     final = rows.join(of(known), same, "left").select("doc_id", "text", "marks", "hits")
-    return final.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>")
+    return final.mapInArrow(frugal(cut), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>")
 
 
 def _codes(w: Words, start: np.ndarray, marks: pa.Array) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from harborline.llm.labelled import SAMPLE, held_out, sample
 from harborline.llm.scratch import Scratch
-from harborline.llm.text import LOWER, PUNCTUATED, Words, bounded_batches, chunks, mix, span_hash, words
+from harborline.llm.text import LOWER, PUNCTUATED, Words, bounded_batches, chunks, frugal, mix, span_hash, words
 
 #: Tokens with a score of their own at most: those furthest from chance.
 VOCABULARY, SIGNIFICANT, PRIOR = 1 << 16, 4.0, 50.0
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int = 3,
         found = kept.orderBy(F.col("z").desc(), "token").limit(VOCABULARY).toArrow()
         return found.take(np.argsort(np.array(found.column("token"), np.int64).view(np.uint64)))
 
-    first = ranked(rows.select("text", "label").mapInArrow(count, "token long, t long, c long").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
+    first = ranked(rows.select("text", "label").mapInArrow(frugal(count), "token long, t long, c long").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
     known = docs.sparkSession.sparkContext.broadcast(np.array(first.column("token"), np.int64).view(np.uint64))
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,14 +162,14 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int = 3,
                 pair = np.unique(np.rec.fromarrays([h[at].view(np.int64), left[at].view(np.int64), one]))
                 yield pa.record_batch([pa.array(np.ascontiguousarray(pair[x])) for x in pair.dtype.names], ["token", "left", "one"])
 
-    pairs = rows.select("text", "label").mapInArrow(neighbours, "token long, left long, one long").distinct()
+    pairs = rows.select("text", "label").mapInArrow(frugal(neighbours), "token long, left long, one long").distinct()
     contexts = pairs.groupBy("token").agg(F.sum("one").alias("tp"), F.sum(1 - F.col("one")).alias("cp"))
     table = docs.sparkSession.createDataFrame(first.select(["token", "t", "c"]))
     top = ranked(table.join(contexts, "token").select("token", F.least("t", "tp").alias("t"), F.least("c", "cp").alias("c")))
     keys = np.array(top.column("token"), np.int64).view(np.uint64)
     t, c = np.array(top.column("t"), float), np.array(top.column("c"), float)
     # a token of a document is one of about n; the class-wise chance of a token is its documents over all tokens
-    lengths = scratch.save(rows.select("label", "text").mapInArrow(_lengths, "label int, n long"), "lengths").groupBy("label").agg(F.sum("n").alias("n")).collect()
+    lengths = scratch.save(rows.select("label", "text").mapInArrow(frugal(_lengths), "label int, n long"), "lengths").groupBy("label").agg(F.sum("n").alias("n")).collect()
     n = {r.label: max(1, r.n) for r in lengths}
     prior = PRIOR * (t + c) / (n[0] + n[1])
     p, q = (t + prior) / (n[1] + PRIOR), (c + prior) / (n[0] + PRIOR)
@@ -201,7 +201,7 @@ def _evidence(rows: DataFrame, lexicon: Lexicon, expect: float) -> DataFrame:
                 best = np.array([max((s for _, _, s in f), default=0.0) for f in found], float)
                 yield pa.record_batch([*[batch.column(c)[part.start : part.stop] for c in ("doc_id", "label")], pa.array(x), pa.array(n), pa.array(best)], ["doc_id", "label", "x", "n", "best"])
 
-    return rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x double, n long, best double")
+    return rows.select("doc_id", "text", "label").mapInArrow(frugal(run), "doc_id long, label int, x double, n long, best double")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -237,5 +237,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, modulus
                 passages = pa.array([[{"start": s, "end": e, "score": v} for s, e, v in f] for f in found], kind)
                 yield pa.record_batch([batch.column("doc_id")[part.start : part.stop], pa.array(score), passages], ["doc_id", "score", "passages"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, passages array<struct<start:int,end:int,score:double>>")
+    found = docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, score double, passages array<struct<start:int,end:int,score:double>>")
     return found.select("doc_id", held_out(modulus, remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")
