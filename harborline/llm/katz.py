@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from harborline.llm.text import Lookup, Words, bounded_batches, chunks, frugal,
 
 #: Bigrams seen less often are left to backoff; counts up to GOOD_TURING are discounted.
 CUTOFF, GOOD_TURING, HOT = 2, 5, 1 << 19
+#: Bigrams that a task adds up before they leave it; blocks of texts that are scored one after the other.
+TOGETHER, BLOCKS = 2_000_000, 2
 #: Rows of one Arrow batch that leaves a Python worker.
 PIECE = 1 << 16
 END, START = np.uint64(0xE5D1E5D1E5D1E5D1), np.uint64(0x57A2757A2757A275)
@@ -95,49 +98,56 @@ def summed(key: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> tuple[n
 def counted_pairs(docs: DataFrame, cutoff: int) -> DataFrame:
     """(h, w, c) of bigrams seen ``cutoff`` times or more, and rows without h that hold counts of counts.
 
-    A task adds up what it reads before anything leaves it, so the shuffle takes a frequent bigram
-    once per task; the tasks behind the shuffle add up again and keep what reaches the cutoff. The
+    A task adds up what it reads, TOGETHER bigrams at most, before anything leaves it, so the shuffle
+    takes a frequent bigram once per task or so; the tasks behind the shuffle add up again and keep what reaches the cutoff. The
     rows without h have the count in w and the number of bigrams with it in c.
     """
 
-    def add(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """Sums of all batches; rows that wait are summed whenever they outnumber the sums."""
-        none = np.zeros(0, np.uint64)
-        have, waiting, size = (none, [none, none], np.zeros(0, np.int64)), [], 0
-
-        def merge() -> None:
-            nonlocal have, waiting, size
-            h, w, n = (np.concatenate(x) for x in zip((have[1][0], have[1][1], have[2]), *waiting, strict=True))
-            have, waiting, size = summed(pair_key(h, w), [h, w], n), [], 0
-
-        for h, w, n in batches:
-            waiting.append((h, w, n))
-            size += len(h)
-            if size > max(1 << 18, len(have[0])):
-                merge()
-        if waiting:
-            merge()
-        return have
+    def added(parts: Iterator[list[np.ndarray]], most: float) -> Iterator[list[np.ndarray]]:
+        """Sums (key, h, w, n) of parts, given out whenever they hold more than ``most`` bigrams."""
+        have, waiting, size = [np.zeros(0, np.uint64)] * 3 + [np.zeros(0, np.int64)], [], 0
+
+        def merged() -> list[np.ndarray]:
+            key, h, w, n = (np.concatenate(x) for x in zip(have, *waiting, strict=True))
+            key, (h, w), n = summed(key, [h, w], n)
+            return [key, h, w, n]
+
+        for part in parts:
+            waiting.append(part)
+            size += len(part[0])
+            if size > max(1 << 18, len(have[0]) // 2):
+                have = merged()
+                waiting, size = [], 0
+                if len(have[0]) > most:
+                    yield have
+                    have = [x[:0] for x in have]
+        yield merged() if waiting else have
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        def parts() -> Iterator[list[np.ndarray]]:
             for batch in batches:
                 for _, data, texts in chunks(batch):
                     before, token, _ = tokens(words(data, texts))
-                    _, (h, w), n = summed(pair_key(before, token), [before, token], np.ones(len(token), np.int64))
-                    yield h, w, n
+                    key, (h, w), n = summed(pair_key(before, token), [before, token], np.ones(len(token), np.int64))
+                    yield [key, h, w, n]
 
-        _, (h, w), n = add(parts())
-        for i in range(0, len(h), PIECE):
-            yield pa.record_batch([pa.array(x[i : i + PIECE].view(np.int64)) for x in (h, w, n)], ["h", "w", "c"])
+        for _, h, w, n in added(parts(), TOGETHER):
+            for i in range(0, len(h), PIECE):
+                yield pa.record_batch([pa.array(x[i : i + PIECE].view(np.int64)) for x in (h, w, n)], ["h", "w", "c"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, (h, w), n = add(tuple(np.array(b.column(c), np.int64).view(t) for c, t in (("h", np.uint64), ("w", np.uint64), ("c", np.int64))) for b in batches)
-        kept = n >= cutoff
-        yield pa.record_batch([pa.array(x[kept].view(np.int64)) for x in (h, w, n)], ["h", "w", "c"])
-        levels = np.arange(1, GOOD_TURING + 2)
-        sizes = np.bincount(np.minimum(n, GOOD_TURING + 2), minlength=GOOD_TURING + 3)[1:-1]
-        yield pa.record_batch([pa.nulls(len(levels), pa.int64()), pa.array(levels), pa.array(sizes)], ["h", "w", "c"])
+        def parts() -> Iterator[list[np.ndarray]]:
+            for b in batches:
+                h, w, n = (np.array(b.column(c), np.int64) for c in ("h", "w", "c"))
+                h, w = h.view(np.uint64), w.view(np.uint64)
+                yield [pair_key(h, w), h, w, n]
+
+        for _, h, w, n in added(parts(), math.inf):
+            kept = n >= cutoff
+            yield pa.record_batch([pa.array(x[kept].view(np.int64)) for x in (h, w, n)], ["h", "w", "c"])
+            levels = np.arange(1, GOOD_TURING + 2)
+            sizes = np.bincount(np.minimum(n, GOOD_TURING + 2), minlength=GOOD_TURING + 3)[1:-1]
+            yield pa.record_batch([pa.nulls(len(levels), pa.int64()), pa.array(levels), pa.array(sizes)], ["h", "w", "c"])
 
     kind = "h long, w long, c long"
     return docs.select("text").mapInArrow(frugal(read), kind).repartition("h", "w").mapInArrow(frugal(gather), kind)
@@ -260,17 +270,20 @@ def score(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
                 extra = pa.ListArray.from_arrays(np.concatenate([np.zeros(len(of), np.int32), np.arange(0, 4 * n + 1, 4, dtype=np.int32)]), pa.array(np.column_stack([count, cold, x, sums[1]]).ravel()), mask=pa.array(np.arange(len(row)) < len(of)))
                 yield pa.record_batch([pa.array(row), pa.array(key), pa.array(np.concatenate([times[order], np.zeros(n, np.int64)]).astype(np.int32)), extra], ["row", "key", "n", "extra"])
 
-    cold = rows.select("row", "text").mapInArrow(frugal(run), "row long, key long, n int, extra array<double>")
     terms = model.terms.where(~is_hot).select("key", "term", F.when(F.col("order") == 1, F.log10((F.col("c") + 0.1) / F.lit(model.n + 0.1 * (model.v + 1)))).alias("base"))
-    found = cold.join(terms.hint("shuffle_hash"), "key", "left")
     more = {name: F.sum(F.get("extra", F.lit(i))).alias(name) for i, name in enumerate(("tokens", "left", "x", "b"))}
-    sums = found.groupBy("row").agg(
-        F.sum(F.col("n") * F.col("term").cast("double")).alias("sx"), F.sum(F.col("n") * F.col("base")).alias("sb"), F.sum(F.when(F.col("base").isNotNull(), F.col("n"))).alias("sk"), F.count("extra").alias("times"), *more.values()
-    )
     # rows that repeat have sent everything once each
     share = lambda c: F.coalesce(F.col(c) / F.col("times"), F.lit(0.0))
     whole = lambda c: F.round(share(c)).cast("bigint")
-    sums = scratch.save(sums.select("row", *[share(c).alias(c) for c in ("sx", "sb", "x", "b")], *[whole(c).alias(c) for c in ("sk", "tokens", "left")]), "sums-of-rest")
+    blocks = []
+    for i in range(BLOCKS):  # each block's shuffle is gone before the next one's
+        block = rows.where(F.pmod("row", F.lit(BLOCKS)) == i).select("row", "text")
+        cold = block.mapInArrow(frugal(run), "row long, key long, n int, extra array<double>")
+        sums = cold.join(terms.hint("shuffle_hash"), "key", "left").groupBy("row").agg(
+            F.sum(F.col("n") * F.col("term").cast("double")).alias("sx"), F.sum(F.col("n") * F.col("base")).alias("sb"), F.sum(F.when(F.col("base").isNotNull(), F.col("n"))).alias("sk"), F.count("extra").alias("times"), *more.values()
+        )
+        blocks.append(scratch.save(sums.select("row", *[share(c).alias(c) for c in ("sx", "sb", "x", "b")], *[whole(c).alias(c) for c in ("sk", "tokens", "left")]), f"scores-{i}"))
+    sums = reduce(DataFrame.unionByName, blocks)
     joined = rows.select("doc_id", "row").join(sums.hint("shuffle_hash"), "row")
     unknown = F.col("left") - F.col("sk")
     return joined.select("row", "doc_id", F.col("tokens").alias("n_tokens"), (F.col("tokens") - unknown).alias("n_known"), (F.col("b") + F.col("sb") + unknown * F.lit(float(base(0.0)))).alias("base_score"), (F.col("x") + F.col("sx") + unknown * F.lit(model.unknown)).alias("score"))
