@@ -11,28 +11,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SAMPLE, BINS = 10_000, 64
+#: Rows sampled for boundaries, bins, and rows that one task may rank alone.
+SAMPLE, BINS, SMALL = 10_000, 64, 50_000
 
 
-def globally_ranked(df: DataFrame, key: Column, tie: str, name: str = "rn", running: dict[str, str] | None = None, bins: int = BINS) -> DataFrame:
+def globally_ranked(df: DataFrame, key: Column, tie: str, name: str = "rn", running: dict[str, str] | None = None, base: DataFrame | None = None, bins: int = BINS, small: int = SMALL) -> DataFrame:
     """``df`` with ``name``, the row number by (key, tie) ascending, and running sums of columns.
 
-    ``key`` is numeric and ``tie`` unique. ``running`` maps new columns to the columns summed.
+    ``key`` is numeric and ``tie`` unique. ``running`` maps new columns to the columns summed. ``base``
+    has the same rows before other ranks were added; boundaries and bin sizes are read from it, so it is
+    worth caching where several ranks are taken. Up to ``small`` rows, one task ranks them all.
     """
-    keyed = df.withColumn("_k", F.struct(key.alias("k"), F.col(tie).alias("t")))
-    n = df.count()
-    rate = min(1.0, SAMPLE / max(n, 1))
-    drawn = sorted(keyed.where(F.pmod(F.xxhash64(tie), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("_k.*").limit(4 * SAMPLE).collect(), key=lambda r: (r.k is not None, r.k, r.t))
+    base = df if base is None else base
+    n = base.count()
+    if n <= small:
+        by = Window.orderBy(key, tie)
+        sums = {a: F.sum(b).over(by.rowsBetween(Window.unboundedPreceding, 0)) for a, b in (running or {}).items()}
+        return df.withColumn(name, F.row_number().over(by)).withColumns(sums)
+    keyed = lambda x: x.withColumn("_k", F.struct(key.alias("k"), F.col(tie).alias("t")))
+    rate = min(1.0, SAMPLE / n)
+    rows = keyed(base).where(F.pmod(F.xxhash64(tie), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("_k.*").limit(4 * SAMPLE).collect()
+    drawn = sorted(rows, key=lambda r: (r.k is not None, r.k, r.t))
     step = max(1, len(drawn) // bins)
-    kinds = dict(keyed.select("_k.*").dtypes)
+    kinds = dict(keyed(base).select("_k.*").dtypes)
     edges = [F.struct(F.lit(r.k).cast(kinds["k"]).alias("k"), F.lit(r.t).cast(kinds["t"]).alias("t")) for r in drawn[step::step]]
     place = F.size(F.filter(F.array(*edges), lambda e: e < F.col("_k"))) if edges else F.lit(0)
-    binned = keyed.withColumn("_bin", place)
     sums = {f"_s_{a}": F.sum(b).alias(f"_s_{a}") for a, b in (running or {}).items()}
-    sizes = binned.groupBy("_bin").agg(F.count("*").alias("_n"), *sums.values())
+    sizes = keyed(base).withColumn("_bin", place).groupBy("_bin").agg(F.count("*").alias("_n"), *sums.values())
     before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_bin", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_n", *sums)])
     within = Window.partitionBy("_bin").orderBy("_k")
+    binned = keyed(df).withColumn("_bin", place)
     out = binned.join(F.broadcast(offsets), "_bin").withColumn(name, F.row_number().over(within) + F.col("_n_before"))
     for a, b in (running or {}).items():
         out = out.withColumn(a, F.sum(b).over(within.rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"_s_{a}_before"))

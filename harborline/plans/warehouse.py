@@ -88,9 +88,10 @@ def q02(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Star(spark, sf_dir)
     seen = s.fact_transaction.where("direction = 'debit'").groupBy("customer_key").agg(F.max("txn_date").alias("last_txn_date"), F.count("*").cast("int").alias("frequency"), F.sum("amount_c").alias("c"))
     seen = seen.withColumn("recency_days", F.datediff(s.as_of, "last_txn_date"))
-    n = seen.agg(F.count("*")).scalar()
+    base = seen.cache()
+    n = base.agg(F.count("*")).scalar()
     for name, key in (("r_score", -F.col("recency_days")), ("f_score", F.col("frequency")), ("m_score", F.col("c"))):
-        seen = globally_ranked(seen, key, "customer_key", "rn").withColumn(name, ntile(F.col("rn"), n, 5)).drop("rn")
+        seen = globally_ranked(seen, key, "customer_key", "rn", base=base).withColumn(name, ntile(F.col("rn"), n, 5)).drop("rn")
     segment = F.lit("Needs Attention")
     for name, rule in reversed(RFM_SEGMENTS):
         fits = F.lit(True)
@@ -249,9 +250,10 @@ def q09(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = s.dim_customer.join(paid, "customer_key").join(snap, "customer_key").withColumn("avg", F.col("r") / F.col("n") / 100.0).withColumn("i", known / 100 / 12)
     annuity = to(F.col("avg") * (1 - F.pow(1 + F.col("i"), -F.col("months"))) / F.col("i"))
     rows = rows.withColumn("efv", F.when(F.col("months") > 0, annuity).otherwise(0.0)).withColumn("total_c", F.floor(F.col("r") + F.col("efv") * 100 + 0.5).cast("bigint"))
-    sums = rows.agg(F.struct(F.count("*").alias("n"), F.count_if(F.col("churned") == 0).alias("active"), F.sum("total_c").alias("total"))).scalar()
-    rows = globally_ranked(rows, -F.col("total_c"), "customer_key", "rn", {"run": "total_c"})
-    rows = globally_ranked(rows, F.col("churned") * (1 << 60) - F.col("total_c"), "customer_key", "arn").withColumn("_all", sums)
+    base = rows.cache()
+    sums = base.agg(F.struct(F.count("*").alias("n"), F.count_if(F.col("churned") == 0).alias("active"), F.sum("total_c").alias("total"))).scalar()
+    rows = globally_ranked(rows, -F.col("total_c"), "customer_key", "rn", {"run": "total_c"}, base)
+    rows = globally_ranked(rows, F.col("churned") * (1 << 60) - F.col("total_c"), "customer_key", "arn", base=base).withColumn("_all", sums)
     # rows of equal value share the best rank from above, so cume_dist counts from the worst
     ties = rows.groupBy("total_c").agg(F.min("rn").alias("best"))
     rows = rows.join(ties, "total_c")
