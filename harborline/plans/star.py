@@ -153,6 +153,16 @@ def fiscal(day: Column) -> list[Column]:
     ]
 
 
+def star(spark: SparkSession, folder: str) -> Star:
+    """The schema over a folder: a built warehouse where there is one, else views over order tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/dim_customer")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        from harborline.plans.build import Warehouse
+
+        return Warehouse(spark, folder)
+    return Star(spark, folder)
+
+
 STAR_SQL = """
 as_of AS (SELECT max(o_orderdate::DATE) AS d FROM orders),
 txn AS (

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from harborline.operators.ranking import globally_ranked, ntile
 from harborline.plans.registry import query
-from harborline.plans.star import DAYS_PER_MONTH, DEFAULT_RATE, STAR_SQL, Star, fiscal, money, to, truncated_months
+from harborline.plans.star import DAYS_PER_MONTH, DEFAULT_RATE, STAR_SQL, Star, fiscal, star, money, to, truncated_months
 
 # The named segments in order of precedence, as conditions on the three scores.
 RFM_SEGMENTS = [
@@ -57,7 +57,7 @@ LEFT JOIN (SELECT customer_key, count(*) AS n, sum(amount_c)::BIGINT AS v, max(t
 LEFT JOIN (SELECT customer_key, count(*) AS n, sum(converted)::BIGINT AS w FROM contact GROUP BY 1) k USING (customer_key), as_of
 """ % (r2("c.digital_engagement", 4), r2("coalesce(t.v / t.n::DOUBLE, 0) / 100.0::DOUBLE"))))
 def q01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Star(spark, sf_dir)
+    s = star(spark, sf_dir)
     txns = s.fact_transaction.groupBy("customer_key").agg(F.count("*").alias("n_txn"), F.sum("amount_c").alias("value_c"), F.max("txn_date").alias("last_txn_date"))
     contacts = s.fact_campaign_contact.groupBy("customer_key").agg(F.count("*").alias("n_contacts"), F.sum("converted").alias("n_won"))
     all_ = s.dim_customer.join(s.fact_customer_snapshot.drop("acquired_date", "n_transactions"), "customer_key", "left")
@@ -85,7 +85,7 @@ SELECT customer_id, segment, city, acquisition_channel, last_txn_date, recency_d
        concat(r_score, f_score, m_score) AS rfm_cell, (r_score + f_score + m_score)::INT AS rfm_total, {_segment_sql()} AS rfm_segment, churned
 FROM scored JOIN cust USING (customer_key) LEFT JOIN snapshot USING (customer_key)"""))
 def q02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Star(spark, sf_dir)
+    s = star(spark, sf_dir)
     seen = s.fact_transaction.where("direction = 'debit'").groupBy("customer_key").agg(F.max("txn_date").alias("last_txn_date"), F.count("*").cast("int").alias("frequency"), F.sum("amount_c").alias("c"))
     seen = seen.withColumn("recency_days", F.datediff(s.as_of, "last_txn_date"))
     base = seen.cache()
@@ -112,7 +112,7 @@ SELECT month, n AS n_customers, b / 100.0::DOUBLE AS balance_inr, i / 100.0::DOU
        (sum(r) OVER w)::BIGINT / 100.0::DOUBLE AS cumulative_revenue_inr, (year(month) - (month(month) < 4)::INT)::INT AS fiscal_year, ((month(month) + 8) % 12 // 3 + 1)::INT AS fiscal_quarter, (month(month) IN (10, 11))::INT AS is_festive_season
 FROM monthly WINDOW w AS (ORDER BY month), a AS (ORDER BY month ROWS 2 PRECEDING), b AS (ORDER BY month ROWS 11 PRECEDING) ORDER BY month"""))
 def q03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Star(spark, sf_dir)
+    s = star(spark, sf_dir)
     monthly = s.fact_monthly_account.groupBy("month").agg(F.count_distinct("customer_key").cast("int").alias("n_customers"), *[F.sum(f"{c}_c").alias(c) for c in ("balance", "interest", "fee", "revenue")])
     by = Window.orderBy("month")  # one row per calendar month
     r = F.col("revenue")
@@ -130,7 +130,7 @@ placed AS (SELECT *, (sum(r) OVER ())::BIGINT AS total, (sum(r) OVER (ORDER BY r
 SELECT rank::INT AS revenue_rank, product_code, product_name, category, n AS n_customers, b / 100.0::DOUBLE AS balance_inr, r / 100.0::DOUBLE AS revenue_inr, {p2("r", "total")} AS revenue_share_pct, run / 100.0::DOUBLE AS running_revenue_inr,
        {p2("run", "total")} AS cumulative_share_pct, (100.0::DOUBLE * run / total::DOUBLE <= 80)::INT AS in_top_80_pct FROM placed ORDER BY 1"""))
 def q04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Star(spark, sf_dir)
+    s = star(spark, sf_dir)
     sold = s.fact_monthly_account.groupBy("product_code").agg(F.count_distinct("customer_key").cast("int").alias("n_customers"), F.sum("balance_c").alias("b"), F.sum("revenue_c").alias("r"))
     sold = sold.join(F.broadcast(s.dim_product), "product_code")
     by = Window.orderBy(F.desc("r"), "product_code")  # one row per product of the catalogue
@@ -150,7 +150,7 @@ def _survived(h: int) -> str:
 life AS (SELECT strftime(acquired, '%Y-%m') AS cohort_month, observed_months, churned, if(churned = 1, trunc((churn_date - acquired) / 30.44::DOUBLE)::INT, observed_months) AS survived FROM snapshot)
 SELECT cohort_month, count(*)::INT AS cohort_size, {", ".join(map(_survived, HORIZONS))}, max(observed_months) AS max_months_observed, sum(churned)::INT AS n_churned FROM life GROUP BY 1 ORDER BY 1"""))
 def q05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Star(spark, sf_dir)
+    s = star(spark, sf_dir)
     lived = F.when(F.col("churned") == 1, truncated_months(F.datediff("churn_date", "acquired_date"))).otherwise(F.col("observed_months"))
     life = s.fact_customer_snapshot.select(F.date_format("acquired_date", "yyyy-MM").alias("cohort_month"), lived.alias("survived"), "observed_months", "churned")
 
@@ -170,7 +170,7 @@ flags AS (SELECT *, (months_inactive >= 3)::INT AS f1, (n_products <= 1)::INT AS
 SELECT customer_id, segment, tenure_months, n_products, b / 100.0::DOUBLE AS total_balance_inr, r / 100.0::DOUBLE AS monthly_revenue_inr, months_inactive, l AS txn_last_3m, p AS txn_prior_3m, f1 AS flag_inactive, f2 AS flag_single_product, f3 AS flag_new_customer, f4 AS flag_low_digital,
        f5 AS flag_low_balance, f6 AS flag_declining_activity, s::INT AS risk_score, if(s >= 4, 'High', if(s >= 2, 'Medium', 'Low')) AS risk_band, r * 12 / 100.0::DOUBLE AS annual_revenue_at_risk_inr FROM flags"""))
 def q06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Star(spark, sf_dir)
+    s = star(spark, sf_dir)
     day, three, six = F.col("txn_date"), F.add_months(s.as_of, -3), F.add_months(s.as_of, -6)
     acts = s.fact_transaction.groupBy("customer_key").agg(F.max(day).alias("last"), F.count_if(day >= three).alias("last3"), F.count_if((day >= six) & (day < three)).alias("prior3"))
     left = s.dim_customer.join(s.fact_customer_snapshot.where("churned = 0").select("customer_key"), "customer_key").join(acts, "customer_key", "left").join(latest_holdings(s), "customer_key", "left")
@@ -199,7 +199,7 @@ SELECT campaign_id, product_code, start_date, n::INT AS n_contacts, reach::INT A
        {p2("w1", "n1")} AS first_contact_conversion_pct, {p2("w2", "n2")} AS repeat_buyer_conversion_pct, cost / 100.0::DOUBLE AS total_cost_inr, {r2("cost / nullif(won, 0)::DOUBLE / 100.0::DOUBLE")} AS cost_per_acquisition_inr,
        coalesce(r, 0) * 12 / 100.0::DOUBLE AS attributed_annual_revenue_inr, {p2("coalesce(r, 0) * 12 - cost", "cost")} AS roi_pct FROM campaign JOIN stats USING (campaign_key) LEFT JOIN earned USING (campaign_key)"""))
 def q07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Star(spark, sf_dir)
+    s = star(spark, sf_dir)
     first, again, won = F.col("contact_sequence") == 1, F.col("prior_outcome") == "success", F.col("converted") == 1
     stats = s.fact_campaign_contact.groupBy("campaign_key").agg(
         F.count("*").cast("int").alias("n_contacts"), F.count_distinct("customer_key").cast("int").alias("n_customers_reached"), F.sum("converted").cast("int").alias("n_conversions"), F.sum("cost_c").alias("cost"), F.sum("contact_sequence").alias("seq"), F.count_if(first).alias("n1"), F.count_if(first & won).alias("w1"), F.count_if(again).alias("n2"), F.count_if(again & won).alias("w2")
@@ -220,7 +220,7 @@ SELECT CASE grouping_id(a, x) WHEN 0 THEN 'acquisition_x_txn' WHEN 1 THEN 'acqui
        {r2("count(*) / count(DISTINCT customer_key)::DOUBLE")} AS txns_per_customer, {r2("sum(amount_c)::BIGINT / count(DISTINCT customer_key)::DOUBLE / 100.0::DOUBLE")} AS value_per_customer_inr
 FROM (SELECT t.customer_key, amount_c, acquisition_channel AS a, h.channel_code AS x, is_digital FROM txn t JOIN cust USING (customer_key) LEFT JOIN channel h ON h.channel_code = t.channel_code) GROUP BY GROUPING SETS ((a, x), (a), (x), ())"""))
 def q08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Star(spark, sf_dir)
+    s = star(spark, sf_dir)
     channel = s.dim_channel.select("channel_code", F.col("channel_code").alias("txn_channel"), "is_digital")
     base = s.fact_transaction.join(s.dim_customer.select("customer_key", "acquisition_channel"), "customer_key").join(F.broadcast(channel), "channel_code", "left")
     a, x = F.col("acquisition_channel"), F.col("txn_channel")
@@ -242,7 +242,7 @@ placed AS (SELECT *, ntile(10) OVER (ORDER BY total_c DESC, customer_key) AS dec
 SELECT customer_id, segment, city, acquisition_channel, income_c / 100.0::DOUBLE AS annual_income_inr, tenure_months, churned, observed_months, r / 100.0::DOUBLE AS lifetime_revenue_to_date_inr, {r2("avg")} AS avg_monthly_revenue_inr, months::DOUBLE AS expected_remaining_months, efv::DOUBLE AS expected_future_value_inr,
        total_c / 100.0::DOUBLE AS total_clv_inr, dec::INT AS clv_decile, {r2("cd", 4)} AS clv_percentile, {r2("100.0::DOUBLE * total_c / total::DOUBLE", 4)} AS share_of_total_clv_pct, run / 100.0::DOUBLE AS running_clv_inr, {p2("run", "total")} AS cumulative_clv_share_pct, 1 - churned AS is_active, if(churned = 0, adec, NULL)::INT AS active_clv_decile FROM placed"""))
 def q09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Star(spark, sf_dir)
+    s = star(spark, sf_dir)
     known = s.ref_macro_indicator.where("indicator = 'FR.INR.LEND' and value is not null").agg(F.coalesce(F.max_by("value", "year"), F.lit(DEFAULT_RATE))).scalar()
     paid = s.fact_monthly_account.groupBy("customer_key").agg(F.sum("revenue_c").alias("r"), F.count_distinct("month").alias("n"))
     months = F.when(F.col("churned") == 1, F.lit(0.0)).otherwise(F.least(F.lit(120.0), 12 + F.col("observed_months") * 1.5))
@@ -296,7 +296,7 @@ ends AS (SELECT m AS m0, (SELECT max(month) FROM account, latest WHERE month < m
 sums AS (SELECT any_value(m0) AS m0, any_value(m1) AS m1, {", ".join(f"(sum(revenue_c) FILTER (month = m{i}))::BIGINT AS r{i}, (sum(balance_c) FILTER (month = m{i}))::BIGINT AS b{i}, count(*) FILTER (month = m{i}) AS k{i}, count(DISTINCT customer_key) FILTER (month = m{i}) AS n{i}" for i in (0, 1))} FROM account, ends)
 {_kpi_sql()}"""))
 def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Star(spark, sf_dir)
+    s = star(spark, sf_dir)
     accounts = s.fact_monthly_account.groupBy("month").agg(F.sum("revenue_c").alias("r"), F.sum("balance_c").alias("b"), F.count("*").alias("k"), F.count_distinct("customer_key").alias("n"))
     txns = s.fact_transaction.groupBy("month").agg((F.sum("amount_c") / F.count("*") / 100.0).alias("t"))
     both = accounts.join(txns, "month", "left").withColumn("place", F.row_number().over(Window.orderBy(F.desc("month"))))  # a row per month
