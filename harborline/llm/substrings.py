@@ -9,10 +9,11 @@ over paths then tell:
 - an anchor with a single path, found once: none of its windows repeats;
 - a path found at two source coordinates or more: all its windows repeat, and it needs one
   representative;
-- a path found once whose anchor also has other paths (a branch): its windows are compared as single
-  edges with those of the other paths, of which repeated ones take part by their representative.
+- a path found once whose anchor also has other paths (a branch), or stands in the path more than once
+  (a cycle, as in text that repeats a few words): its windows are compared as single edges, with those
+  of the other paths too, of which repeated ones take part by their representative.
 
-So only branches are expanded to edges, and what is removed is exact for 128-bit window hashes.
+So only branches and cycles are expanded to edges, and what is removed is exact for 128-bit window hashes.
 """
 
 from __future__ import annotations
@@ -44,12 +45,16 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def paths(w: Words, hashes: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows, anchor and hash of the words of each path, in order."""
+def paths(w: Words, hashes: np.ndarray, width: int, anchor: int, cycles: bool = False) -> tuple[np.ndarray, ...]:
+    """First window, number of windows, anchor and hash of the words of each path, in order.
+
+    With ``cycles``, also whether its anchor stands in the path more than once; in a path where it
+    stands once, no two windows can be equal.
+    """
     at = w.windows(width)
     if not len(at):
         none = np.zeros(0, np.uint64)
-        return at, at, none, none
+        return (at, at, none, none, np.zeros(0, bool))[: 4 + cycles]
     kmers = np.full(len(hashes), np.iinfo(np.uint64).max, np.uint64)
     whole = np.arange(len(hashes) - anchor + 1)
     kmers[whole] = span_hash(hashes, whole, whole + anchor)
@@ -59,7 +64,15 @@ def paths(w: Words, hashes: np.ndarray, width: int, anchor: int) -> tuple[np.nda
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(at)))
     start = at[first]
-    return start, n, least[first], span_hash(hashes, start, start + n - 1 + width)
+    found = start, n, least[first], span_hash(hashes, start, start + n - 1 + width)
+    if not cycles:
+        return found
+    # occurrences by (k-mer, place), and how many of the anchor's lie within the path
+    values, rank = np.unique(kmers, return_inverse=True)
+    places = np.sort(rank.astype(np.int64) << 32 | np.arange(len(kmers)))
+    mine = np.searchsorted(values, least[first]).astype(np.int64) << 32
+    last = start + n - 1 + width - anchor
+    return *found, np.searchsorted(places, mine | last, "right") - np.searchsorted(places, mine | start) > 1
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -83,21 +96,22 @@ def substring_dedup(docs: DataFrame, width: int = 35, anchor: int = 12) -> DataF
         for batch in batches:
             for part, data, texts in chunks(batch):
                 w = words(data, texts)
-                start, _, least, span = paths(w, w.hashes(), width, anchor)
+                start, _, least, span, again = paths(w, w.hashes(), width, anchor, cycles=True)
                 owner = np.searchsorted(w.first, start, "right") - 1
                 ids = [batch.column(c)[part.start : part.stop].take(pa.array(owner)) for c in ("doc_id", "h")]
-                yield pa.record_batch([*ids, pa.array((start - w.first[owner]).astype(np.int32)), _signed(least), _signed(span)], ["doc_id", "h", "start", "anchor", "span"])
+                yield pa.record_batch([*ids, pa.array((start - w.first[owner]).astype(np.int32)), _signed(least), _signed(span), pa.array(again)], ["doc_id", "h", "start", "anchor", "span", "again"])
 
-    found = scratch.save(rows.mapInArrow(frugal(find_paths), "doc_id long, h long, start int, anchor long, span long"), "paths")
-    spans = found.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h")).alias("chosen"))
+    found = scratch.save(rows.mapInArrow(frugal(find_paths), "doc_id long, h long, start int, anchor long, span long, again boolean"), "paths")
+    spans = found.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h")).alias("chosen"), F.max("again").alias("again"))
     spans = scratch.save(spans, "spans")
     # written first, so that both sides of each join are plain exchanges, of which a skewed one can be split
-    anchors = scratch.save(spans.groupBy("anchor").agg(F.sum("n").alias("all")).where("all > 1"), "anchors")
+    anchors = scratch.save(spans.groupBy("anchor").agg(F.sum("n").alias("all"), F.max("again").alias("cycle")).where("all > 1 or cycle").select("anchor", "all"), "anchors")
     kept = scratch.save(spans.join(anchors.hint("shuffle_hash"), "anchor"), "repeated")
     scratch.drop("spans")
     chosen = (F.col("chosen.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("chosen.h") == F.col("h"))
     code = F.when(F.col("n") == 1, EDGES).when(chosen & (F.col("all") > F.col("n")), WHOLE | EDGES).otherwise(WHOLE)
-    marked = found.join(kept.hint("shuffle_hash"), ["anchor", "span"]).select("doc_id", "h", F.struct("start", code.cast("int").alias("code")).alias("m"))
+    # of an anchor that stands alone, only paths with a cycle are kept above
+    marked = found.drop("again").join(kept.hint("shuffle_hash"), ["anchor", "span"]).select("doc_id", "h", F.struct("start", code.cast("int").alias("code")).alias("m"))
     marks = scratch.save(marked.groupBy("doc_id", "h").agg(F.collect_set("m").alias("marks")).select("doc_id", "h", "marks", F.exists("marks", lambda m: m["code"] >= EDGES).alias("open")), "marks")
     scratch.drop("paths", "repeated")
 

@@ -32,7 +32,7 @@ def test_matches_brute_force(spark):
                     a = rng.randrange(0, 4)
                     w += p[a : len(p) - rng.randrange(0, 4)]
             rows.append((i, rng.choice([" ", "\n", " \t "]).join(w)))
-        rows += [rows[3], (200, rows[4][1]), (None, rows[5][1]), (None, "solo " * 3), (201, None), (202, ""), (203, "of " * 500), (204, "of " * 40), (200, "other text"), (205, " ".join(word() for _ in range(20000)))]
+        rows += [rows[3], (200, rows[4][1]), (None, rows[5][1]), (None, "solo " * 3), (201, None), (202, ""), (203, "of " * 500), (204, "of " * 40), (206, "und " * 400), (207, "x1 x2 x3 " * 90), (208, " ".join(f"y{i % 20}" for i in range(90))), (209, " ".join(f"z{i}" for i in range(60)) + " tail " * 50), (200, "other text"), (205, " ".join(word() for _ in range(20000)))]
         docs = spark.createDataFrame([(i, t, 3, "x") for i, t in rows], "doc_id long, text string, n_words int, h string")
         got = substring_dedup(docs, width, anchor).collect()
         assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute(rows, width), width
