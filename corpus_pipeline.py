@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from harborline.llm.decontaminate import decontaminate
+from harborline.llm.minhash import one_of_each
 from harborline.llm.pieces import sampled
 from harborline.llm.pii import pseudonymised
 from harborline.llm.quality import keep_good
 from harborline.llm.scratch import Scratch
-from harborline.llm.simhash import one_of_each
 
 #: SQL cannot express the stages; tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
@@ -21,7 +21,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: five-word shingle sets of Jaccard similarity 0.8 or more."""
     return one_of_each(docs)
 
 

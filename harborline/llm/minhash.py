@@ -1,0 +1,131 @@
+"""Near duplicates by the Jaccard similarity of their shingle sets.
+
+A text's class is the hash of its set of word shingles; equal sets are one class throughout. Each class
+is posted under BANDS keys, each made of ROWS minima of keyed hashes, so that a pair of similarity s
+shares a key with probability 1 - (1 - s**ROWS)**BANDS: 0.9996 at 0.8, more above. Only pairs whose
+sets truly reach the similarity are linked. A class is first compared with the least one of each of its
+lists; then the pairs of a list that these links left in different components are compared too, so a
+list of copies costs as many comparisons as it has members, and yet no pair of a list is passed over.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from harborline.llm.graph import components
+from harborline.llm.scratch import Scratch
+from harborline.llm.simhash import first_of_each, shingle_hashes
+from harborline.llm.text import bounded_batches, chunks, frugal, mix
+
+BANDS, ROWS = 20, 5
+_FACTORS, _TERMS = np.random.default_rng(20).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_sets(data: np.ndarray, texts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text, ascending, and how many each has."""
+    hashes, counts = shingle_hashes(data, texts, size)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], np.bincount(owner[new], minlength=len(counts))
+
+
+def classes_and_keys(data: np.ndarray, texts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each text and its BANDS keys; texts without words are class 0 and share their keys."""
+    hashes, counts = shingle_sets(data, texts, size)
+    classes, keys = np.zeros(len(counts), np.uint64), np.zeros((len(counts), BANDS), np.uint64)
+    full = np.flatnonzero(counts)
+    if len(full):
+        first = (np.cumsum(counts) - counts)[full]
+        mixed = mix(hashes)
+        with np.errstate(over="ignore"):
+            classes[full] = mix(np.add.reduceat(mixed, first) + counts[full].astype(np.uint64))
+            for band in range(BANDS):
+                key = np.full(len(full), band, np.uint64)
+                for row in range(band * ROWS, (band + 1) * ROWS):
+                    key = mix(key + np.minimum.reduceat(mixed * _FACTORS[row] + _TERMS[row], first))
+                keys[full, band] = key
+    return classes, keys
+
+
+def marked_table(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, h, class, keys): a hash of the text, its class and the keys it is posted under; null counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, texts in chunks(batch):
+                kept = [batch.column(c)[rows.start : rows.stop] for c in ("doc_id", "h")]
+                found, keys = classes_and_keys(data, texts, size)
+                at = np.arange(len(found) + 1, dtype=np.int32) * BANDS
+                yield pa.record_batch([*kept, pa.array(found.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(keys.ravel().view(np.int64)))], ["doc_id", "h", "class", "keys"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(frugal(run), "doc_id long, h long, class long, keys array<long>")
+
+
+def set_table(rows: DataFrame, size: int) -> DataFrame:
+    """(class, shingles) of rows (class, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, texts in chunks(batch):
+                hashes, counts = shingle_sets(data, texts, size)
+                at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                yield pa.record_batch([batch.column("class")[part.start : part.stop], pa.ListArray.from_arrays(at, pa.array(hashes.view(np.int64)))], ["class", "shingles"])
+
+    return rows.select("class", "text").mapInArrow(frugal(run), "class long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes whose shingle sets reach the similarity."""
+    side = lambda n: sets.select(F.col("class").alias(n), F.col("shingles").alias(f"of_{n}"), F.size("shingles").alias(f"n_{n}"))
+    fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity
+    sizes = pairs.join(side("a").select("a", "n_a"), "a").join(side("b").select("b", "n_b"), "b").where(fits).select("a", "b")
+    both = sizes.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where(common >= (F.col("n_a") + F.col("n_b") - common) * similarity).select("a", "b")
+
+
+def grouped(docs: DataFrame, size: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """(doc_id, h, root) of every row: rows of one root are linked by pairs that reach the similarity."""
+    bounded_batches(docs.sparkSession)
+    marked = scratch.save(marked_table(docs, size), "marked")
+    posted = marked.where("class <> 0").select("class", F.explode("keys").alias("key")).distinct()
+    lists = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("least")).where("n > 1")
+    # the lists grow with the corpus, so they are never broadcast
+    posted = scratch.save(posted.join(lists.select("key", "least").hint("shuffle_hash"), "key"), "posted")
+    named = marked.join(posted.select("class").distinct(), "class").groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("k"))
+    named = named.select("class", F.col("k.doc_id").alias("_doc"), F.col("k.h").alias("_h"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(named.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h")))
+    # rows that share doc_id and text give a class twice, which repeats a link and does no harm
+    sets = scratch.save(set_table(texts, size), "sets")
+    stars = posted.where("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct()
+    near = scratch.save(verified(stars, sets, similarity), "near-least")
+    roots = components(near, Scratch(docs.sparkSession, "near-least"))
+    rooted = posted.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rooted = scratch.save(rooted, "rooted")
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    rest = rooted.where("class <> least").join(open_.hint("shuffle_hash"), "key")
+    one, two = (rest.select("key", F.col("class").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab")
+    others = one.join(two, "key").where("a < b and root_a <> root_b").select("a", "b").distinct()
+    links = near.unionByName(scratch.save(verified(others, sets, similarity), "near-others"))
+    roots = components(links, Scratch(docs.sparkSession, "near")).withColumnRenamed("node", "class")
+    return marked.join(roots, "class", "left").select("doc_id", "h", F.coalesce("root", "class").alias("root"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The first document of each component, by doc_id (null first), with its own columns.
+
+    Documents whose sets of ``size``-word shingles have the Jaccard similarity or more are linked; a
+    text of fewer words is one shingle, texts without words are alike. Rows that share doc_id and text
+    are one document, of which one row stays.
+    """
+    scratch = Scratch(docs.sparkSession, "dedup")
+    found = scratch.save(grouped(docs, size, similarity, scratch), "groups")
+    return first_of_each(docs, found, scratch)

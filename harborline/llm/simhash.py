@@ -162,6 +162,15 @@ def near_duplicates(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFr
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def first_of_each(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``docs`` that come first in their root of ``found`` (doc_id, h, root)."""
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("_doc"), F.col("k.h").alias("_h"))
+    kept = scratch.save(kept, "kept")
+    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_h"))
+    left = docs.withColumn("_key", F.xxhash64("text")).join(kept.hint("shuffle_hash"), same, "left_semi")
+    return left.dropDuplicates(["doc_id", "_key"]).drop("_key")
+
+
 def one_of_each(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:
     """The first document of each component, by doc_id (null first), with its own columns.
 
@@ -169,8 +178,4 @@ def one_of_each(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "dedup")
     found = scratch.save(grouped(docs, size, distance, scratch), "groups")
-    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("_doc"), F.col("k.h").alias("_h"))
-    kept = scratch.save(kept, "kept")
-    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_h"))
-    left = docs.withColumn("_key", F.xxhash64("text")).join(kept.hint("shuffle_hash"), same, "left_semi")
-    return left.dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return first_of_each(docs, found, scratch)

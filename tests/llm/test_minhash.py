@@ -1,0 +1,79 @@
+import random
+
+import corpus_pipeline
+from harborline.llm.minhash import BANDS, ROWS, one_of_each
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def similarity(x, y):
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def brute(rows, least=0.8):
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if similarity(x, sets[j]) >= least and root[i] != root[j]:
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    first = {}
+    for (d, _), r in zip(rows, root, strict=True):
+        first[r] = min(d, first.get(r, d))
+    return sorted(first.values())
+
+
+def corpus(rng):
+    vocab = [f"w{i}" for i in range(500)]
+    rows = [[rng.choice(vocab) for _ in range(rng.choice([1, 3, 5, 60, 150, 300]))] for _ in range(60)]
+    for _ in range(140):
+        near = list(rng.choice(rows))
+        for _ in range(rng.randrange(0, 9)):
+            near[rng.randrange(len(near))] = rng.choice(vocab)
+        rows.append(near)
+    return list(enumerate([" ".join(r) for r in rows] + ["", None, " \t", "a b c d e " * 3000]))
+
+
+def test_edited_copies_leave_the_pipeline(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(900)]
+    rows = []
+    for i in range(40):
+        base = [rng.choice(vocab) for _ in range(400)]
+        rows.append((2 * i, " ".join(base)))
+        for _ in range(5):
+            base[rng.randrange(400)] = "edit"
+        rows.append((2 * i + 1, " ".join(base)))
+    assert all(0.8 <= similarity(shingles(rows[i][1]), shingles(rows[i + 1][1])) < 0.95 for i in range(0, 80, 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == list(range(0, 80, 2))
+
+
+def test_matches_brute_force(spark):
+    rows = corpus(random.Random(6))
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, h int, key string")
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == brute(rows)
+    assert one_of_each(docs.limit(0)).count() == 0
+
+
+def test_recall_of_the_keys():
+    import numpy as np
+
+    from harborline.llm.minhash import classes_and_keys
+
+    rng, found = random.Random(7), 0
+    for _ in range(400):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(364)]  # 360 shingles; 8 apart edits change 40 of them
+        other = list(base)
+        for k in range(8):
+            other[20 + 40 * k] = "edit"
+        assert 0.799 < similarity(shingles(" ".join(base)), shingles(" ".join(other))) < 0.801
+        a, b = " ".join(base).encode(), " ".join(other).encode()
+        keys = classes_and_keys(np.frombuffer(a + b, np.uint8), np.array([0, len(a), len(a) + len(b)]), 5)[1]
+        found += bool((keys[0] == keys[1]).any())
+    assert found >= 398 and 1 - (1 - 0.8**ROWS) ** BANDS > 0.999
