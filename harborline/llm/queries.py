@@ -82,4 +82,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_sentencepiece_sampling")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampled(table(spark, sf_dir, "documents"), with_ids=False)
+    return sampled(table(spark, sf_dir, "documents"))

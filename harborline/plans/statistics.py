@@ -136,5 +136,5 @@ def logistic(spark: SparkSession, d: str) -> DataFrame:
 
 @query("kmeans_embeddings")
 def kmeans(spark: SparkSession, d: str) -> DataFrame:
-    points = read(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("x"))
-    return fit_kmeans(points, "x", 4, max_iter=20, n_init=1).predict(points, "x").select("vec_id", "cluster")
+    points = read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x"))
+    return fit_kmeans(points, "x", 4).predict(points, "x").select("vec_id", "cluster")
