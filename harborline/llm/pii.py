@@ -14,17 +14,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: What stands before a secret.
+SECRETS = r"password=|passwd=|token ?= ?\"|secret=|api_key="
+#: Country codes of E.164, by their ranges.
+COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-689][0-9]|3[578][0-9]|42[0-9]|5[09][0-9]|6[789][0-9]|8[0578][0-9]|9[679][0-9]"
+#: A number with +1; any country's with its code, 8 to 15 digits in all; pairs after a 0; North America's without code.
+PHONES = [
+    r"\+1 ?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}",
+    r"(?:\+|00)[ .-]?(?:" + COUNTRY + r")(?:[ .()/-]{0,3}[0-9]){6,12}(?![./-]?[0-9])",
+    r"0[1-9](?:\.[0-9]{2}){4}",
+    r"(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![./-]?[0-9])",
+]
 #: Patterns by kind, in order of precedence; a match belongs to the first kind whose pattern fits it whole.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "key": r"AKIA[A-Z0-9]{16}",
-    "secret": r"(?:password=|passwd=|token ?= ?\"|secret=|api_key=)[A-Za-z0-9]{8,128}",
-    "phone": r"\+1 ?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}",
+    "secret": f"(?:{SECRETS})[A-Za-z0-9]{{8,}}",
+    "phone": "|".join(PHONES),
     "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "card": r"[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}",
+    "trunk": r"(?:\(0[1-9][0-9]{0,3}\)[ /-]?|0[1-9][0-9]{0,3}[ /-])(?:[ -]?[0-9]){5,9}(?![./-]?[0-9])",
 }
+#: Texts without any of this hold no match: every kind but keys and secrets has a digit or @.
+HOT = f"[0-9@]|AKIA|{SECRETS}"
 #: No candidate begins or ends within a longer word or number.
 ANY = r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + r")(?![A-Za-z0-9])"
 KEY, ROUNDS = "harborline", 8
@@ -86,7 +100,7 @@ def refill(text: Column, digits: Column) -> Column:
 def digest(text: Column, length: Column, key: str, kind: str, upper: bool = False) -> Column:
     """Hex digits of keyed digests, as many as asked for."""
     hexes = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"{kind}{i}"), text), 256) for i in range(2)])
-    out = F.substring(hexes, F.lit(1), length)
+    out = F.substring(F.repeat(hexes, F.ceil(length / 128).cast("int")), F.lit(1), length)
     return F.upper(out) if upper else out
 
 
@@ -123,6 +137,14 @@ def permuted_ip(m: Column, key: str) -> Column:
     return F.get(parts, F.lit(0))
 
 
+def permuted_phone(m: Column, digits: Column, key: str) -> Column:
+    """A phone number with the digits after its country code or trunk 0 permuted; national ones of North America as with +1."""
+    n = F.length(digits)
+    abroad = F.length(F.regexp_extract(digits, f"^((?:00)?(?:{COUNTRY}))", 1))
+    lead = F.when(m.rlike(r"^(?:\+|00)"), abroad).when(m.rlike(r"^\(?0"), 1).otherwise(0)
+    return F.get(F.transform(F.array(lead), lambda k: refill(m, F.concat(F.substring(digits, F.lit(1), k), permuted_digits(F.substring(digits, k + 1, n - k), key, "phone")))), F.lit(0))
+
+
 def kind_of(m: Column) -> Column:
     """The kind of a valid match, else null."""
     digits = F.regexp_replace(m, "[^0-9]", "")
@@ -131,6 +153,9 @@ def kind_of(m: Column) -> Column:
         "ip": F.forall(F.split(m, r"\."), lambda o: o.try_cast("int") <= 255),
         "date": F.coalesce((days >= 0) & (days < DAYS[0] * DAYS[1]), F.lit(False)),
         "ssn": ~m.rlike("^(000|666|9)|-00-|-0000$"),
+        # short codes may leave a number too short
+        "phone": ~m.rlike(r"^(?:\+|00)") | F.length(F.regexp_replace(digits, "^00", "")).between(8, 15),
+        "trunk": F.length(digits).between(8, 12),
         "card": (luhn(digits) % 10 == 0) & ~digits.rlike("^0+$"),
     }
     out = F.lit(None).cast("string")
@@ -150,7 +175,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
         F.when(kind == "email", F.concat(digest(F.lower(m), F.greatest(F.length(local), F.lit(12)), key, "email"), F.lit("@"), F.substring_index(m, "@", -1)))
         .when(kind == "key", F.concat(F.lit("AKIA"), digest(m, F.lit(16), key, "key", upper=True)))
         .when(kind == "secret", F.concat(lead, digest(m, F.length(m) - F.length(lead), key, "secret")))
-        .when(kind == "phone", refill(m, F.concat(F.lit("1"), permuted_digits(F.substring(digits, 2, 10), key, "phone"))))
+        .when(kind.isin("phone", "trunk"), permuted_phone(m, digits, key))
         .when(kind == "ip", permuted_ip(m, key))
         .when(kind == "date", permuted_date(m, key))
         .when(kind == "ssn", refill(m, permuted_digits(digits, key, "ssn")))
@@ -162,10 +187,10 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with text replaced and a column ``_n_pii`` added, the number of values replaced.
 
-    Null and empty texts stay as they are. Texts without a digit or @ are not searched.
+    Null and empty texts stay as they are. Texts that hold nothing a match must hold are not searched.
     """
     changed = lambda m: F.transform(F.array(kind_of(m)), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("new")))[0]
-    hot = F.col("text").rlike("[0-9@]|AKIA|password|token|secret")
+    hot = F.col("text").rlike(HOT)
     found = F.when(hot, F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), changed))
     parts = F.split("text", ANY, -1)
     news = F.transform(F.col("_found"), lambda f: f["new"])
