@@ -16,6 +16,8 @@ from harborline.llm.scratch import Scratch
 
 #: Places of a window that each mask compares.
 MASKS = [(0, 1, 3, 4, 6, 8), (0, 2, 3, 6, 8, 9), (0, 1, 2, 6, 7, 9)]
+#: Runs of one to four words: the seeds of items no longer than a verified run.
+RUNS = [tuple(range(n)) for n in range(1, 5)]
 #: Words of a verified run, the share of them that must agree, and slots of the seed table.
 RUN, SHARE, SLOTS = 13, 0.8, 1 << 20
 #: A benchmark of at most so many seeds is broadcast; a larger one is joined by a shuffle.
@@ -30,21 +32,42 @@ def word_hashes(text: Column) -> Column:
 
 
 def seed_at(i: Column, mask: int) -> Column:
-    return F.xxhash64(F.lit(mask), *[F.get("words", i + o) for o in MASKS[mask]])
+    return F.xxhash64(F.lit(mask), *[F.get("words", i + o) for o in (MASKS + RUNS)[mask]])
 
 
 def starts(mask: int) -> Column:
-    span = max(MASKS[mask]) + 1
+    span = max((MASKS + RUNS)[mask]) + 1
     return F.when(F.size("words") >= span, F.sequence(F.lit(0), F.size("words") - span)).otherwise(F.array().cast("array<int>"))
 
 
-def seeds(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(*keys, pos, seed) for every mask and place of rows with ``words``."""
+def seeds(rows: DataFrame, keys: list[str], masks: list[int]) -> DataFrame:
+    """(*keys, pos, seed) for every one of the masks and place of rows with ``words``."""
 
     def of(mask: int) -> Column:
         return F.transform(starts(mask), lambda i: F.struct(i.alias("pos"), seed_at(i, mask).alias("seed")))
 
-    return rows.select(*keys, F.explode(F.concat(*[of(m) for m in range(len(MASKS))])).alias("s")).select(*keys, "s.pos", "s.seed")
+    return rows.select(*keys, F.explode(F.concat(*[of(m) for m in masks])).alias("s")).select(*keys, "s.pos", "s.seed")
+
+
+def item_seeds(items: DataFrame, run: int, share: float) -> tuple[DataFrame, list[int]]:
+    """(item, size, seed, at) of the items, and the masks they use.
+
+    An item of at most ``run`` words counts only if all of it is there with few words replaced, so of
+    one more run of its words than may be replaced, end to end, one is whole: these runs are its seeds.
+    """
+    missing = F.col("size") - F.ceil(F.col("size") * F.lit(share)).cast("int")
+    length = F.least(F.floor(F.col("size") / (missing + 1)).cast("int"), F.lit(len(RUNS)))
+    short = items.where(F.col("size").between(1, run)).withColumns({"missing": missing, "length": length})
+    used = sorted(r.length for r in short.select("length").distinct().collect())
+    long = seeds(items.where(F.col("size") > run), ["item", "size"], list(range(len(MASKS)))).groupBy("item", "size", "seed").agg(F.min("pos").alias("at"))
+    masks = list(range(len(MASKS))) if items.where(F.col("size") > run).limit(1).count() else []
+    found = long
+    for n in used:
+        mask = len(MASKS) + n - 1
+        of = seeds(short.where(F.col("length") == n), ["item", "size", "missing"], [mask])
+        found = found.unionByName(of.where((F.col("pos") % n == 0) & (F.col("pos") <= F.col("missing") * n)).select("item", "size", "seed", F.col("pos").alias("at")))
+        masks.append(mask)
+    return found, masks or [0]
 
 
 def slot_table(found: DataFrame, slots: int = SLOTS) -> Column:
@@ -60,21 +83,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = RUN, share: f
     """(doc_id, h, item_id, first_word, n_words, n_matched) for every document that holds an item's passage.
 
     A passage counts if ``run`` aligned words in a row (all, of a shorter item) agree in ``share`` of
-    the places. Items of fewer words than a mask spans hold no seed and match nothing; null texts are
-    empty. h is the hash of the text: a repeated doc_id with other text is another document. Repeated
+    the places. Items without words match nothing; null texts are empty. h is the hash of the text: a repeated doc_id with other text is another document. Repeated
     rows of either table count once; extra columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "contamination")
     items = benchmark.select("item_id", "text").distinct().select("item_id", F.xxhash64("item_id", "text").alias("item"), word_hashes(F.col("text")).alias("words"))
     items = scratch.save(items.withColumn("size", F.size("words")), "items")
-    known = scratch.save(seeds(items, ["item", "size"]).groupBy("item", "size", "seed").agg(F.min("pos").alias("at")), "seeds")
+    known, masks = item_seeds(items, run, share)
+    known = scratch.save(known, "seeds")
     small = known.count() <= BROADCAST_SEEDS
     near = F.broadcast if small else (lambda df: df)
     table = slot_table(known)
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     used = lambda seed: F.substring(table, F.pmod(seed, F.lit(SLOTS)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
-    mine = seeds(rows.select("doc_id", "h", word_hashes(F.col("text")).alias("words")), ["doc_id", "h"])
+    mine = seeds(rows.select("doc_id", "h", word_hashes(F.col("text")).alias("words")), ["doc_id", "h"], masks)
     hits = mine.where(used(F.col("seed"))).join(near(known), "seed").select("doc_id", "h", F.struct("item", "size", (F.col("pos") - F.col("at")).alias("shift")).alias("hit"))
     hits = scratch.save(hits.groupBy("doc_id", "h").agg(F.collect_set("hit").alias("hits")), "hits")
     back = hits.withColumnsRenamed({"doc_id": "_doc", "h": "_h"}).hint("shuffle_hash")
