@@ -8,10 +8,11 @@ from harborline.llm.pieces import sampled
 from harborline.llm.pii import pii, pseudonymised
 from harborline.llm.quality import keep_good, quality
 from harborline.llm.rules import quality_rules
-from harborline.llm.simhash import near_duplicates, one_of_each
+from harborline.llm.simhash import near_duplicates
 from harborline.llm.substrings import substring_dedup
 from harborline.llm.toxicity import toxicity
 from harborline.llm.urls import url_filter
+from harborline.llm.wide import one_of_each
 
 LONG = "many words and more " * 20000
 ROWS = [(None, None, None, None, None), (None, "a text without an id", "en", None, 1), (1, None, None, "s", None), (2, "", "en", "s", 0), (3, LONG, "en", "s", 5), (3, LONG, "en", "s", 5), (4, "Ümlaut \U0001f600 ▁ tab\tnew\nline", "de", "s", 9), (5, "x", "en", "s", 1)]

@@ -83,6 +83,19 @@ def test_long_lists_are_cut_into_blocks(spark):
     assert len(groups) + singles == comps
 
 
+def test_a_very_long_list_is_posted_once_more(spark):
+    rng = random.Random(3)
+    base = 0x1234ABCD << 32
+    values = [base | rng.getrandbits(32) for _ in range(30000)]
+    pairs = [(v, v ^ sum(1 << b for b in rng.sample(range(32), 1 + i % 4))) for i, v in enumerate(values[:300])]
+    distinct = sorted({*values, *(b for _, b in pairs)})
+    scratch = Scratch(spark, "test")
+    edges = links(spark.createDataFrame([(v,) for v in distinct], "fp long"), 4, scratch)
+    root = {r.node: r.root for r in components(edges, scratch).collect()}
+    assert all(root[a] == root[b] for a, b in pairs)
+    assert all((r.a ^ r.b).bit_count() <= 4 for r in edges.collect())
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()}
