@@ -3,7 +3,8 @@ import random
 import re
 from collections import Counter
 
-from harborline.llm.substrings import substring_dedup
+from harborline.llm.scratch import Scratch
+from harborline.llm.substrings import nonbranching, substring_dedup
 
 
 def brute(rows, width):
@@ -41,3 +42,12 @@ def test_matches_brute_force(spark):
 
 def test_empty(spark):
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_nonbranching_chains_compact(spark):
+    # 1 -> 2 -> 3 is a chain; 5 and 6 both leave the node where 4 ends; 7 -> 8 -> 7 is a cycle; 9 stands alone
+    edges = [(1, 10, 11), (2, 11, 12), (3, 12, 13), (4, 20, 21), (5, 21, 22), (6, 21, 23), (7, 30, 31), (8, 31, 30), (9, 40, 41)]
+    edges += [(100 + i, 1000 + i, 1001 + i) for i in range(300)]
+    df = spark.createDataFrame(edges, "path long, head long, tail long")
+    found = {r.path: r.unitig for r in nonbranching(df, Scratch(spark, "test")).collect()}
+    assert found == dict.fromkeys((1, 2, 3), 1) | dict.fromkeys((7, 8), 7) | dict.fromkeys(range(100, 400), 100)
