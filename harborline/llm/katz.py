@@ -1,17 +1,19 @@
 """Katz backoff language model: Good-Turing discounts, exactly normalised backoff weights.
 
 Tokens are lower-cased words and one end per text; words outside the training vocabulary are one
-unknown event. A bigram seen ``CUTOFF`` times or more has its discounted relative frequency; the mass
-that discounts leave at a history is spread over all other tokens in proportion to their unigram
-probability, so the probabilities after every history sum to 1. The recursion from bigram to unigram to
-unknown is evaluated per token as a sum of three looked-up terms:
+unknown event. Every bigram of the training texts, those seen once too, has its discounted relative
+frequency; the mass that discounts leave at a history is spread over all other tokens in proportion to
+their unigram probability, so the probabilities after every history sum to 1. The recursion from bigram
+to unigram to unknown is evaluated per token as a sum of looked-up terms:
 
     log p(w|h) = log p(w) + log a(h) + [log p(w|h) - log p(w) - log a(h) if (h, w) was seen]
 
-so a text's score is a sum over its distinct words and bigrams. The terms lie in one table split by
-key. The rows with the largest counts, at most ``HOT`` of either order, are broadcast and looked up in
-place; that bound holds for any corpus, and it also rids the join of its frequent keys. All other
-terms are joined by a shuffle.
+so a text's score is a sum over its distinct words, histories and bigrams.
+
+Bigrams are counted and scored in blocks of histories, one after the other: a block's table and shuffles
+are gone before the next one's. In every lookup the rows with the largest counts, at most ``HOT``, are
+broadcast and looked up in place; that bound holds for any corpus, and it also rids the joins of their
+frequent keys. All other rows are joined by a shuffle that sorts and spills.
 """
 
 from __future__ import annotations
@@ -30,13 +32,15 @@ from harborline.llm.labelled import held_out
 from harborline.llm.scratch import Scratch
 from harborline.llm.text import Lookup, Words, bounded_batches, chunks, frugal, mix, words
 
-#: Bigrams seen less often are left to backoff; counts up to GOOD_TURING are discounted.
-CUTOFF, GOOD_TURING, HOT = 2, 5, 1 << 19
-#: Bigrams that a task adds up before they leave it; blocks of texts that are scored one after the other.
-TOGETHER, BLOCKS = 2_000_000, 2
+#: Counts up to GOOD_TURING are discounted; rows of each order that are broadcast at most.
+GOOD_TURING, HOT = 5, 1 << 19
+#: Bigrams that a task adds up before they leave it; blocks of histories; blocks that are counted at a time.
+TOGETHER, BLOCKS, AT_ONCE = 2_000_000, 4, 2
 #: Rows of one Arrow batch that leaves a Python worker.
 PIECE = 1 << 16
 END, START = np.uint64(0xE5D1E5D1E5D1E5D1), np.uint64(0x57A2757A2757A275)
+#: Keep the keys of words and of histories apart from those of bigrams.
+WORD, HISTORY = np.uint64(0x1F0E1F0E1F0E1F0E), np.uint64(0x6A5B6A5B6A5B6A5B)
 
 
 def signed(x: int) -> int:
@@ -95,16 +99,15 @@ def summed(key: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> tuple[n
     return key[first], [c[first] for c in columns], np.add.reduceat(n[order], np.flatnonzero(new)) if len(key) else n
 
 
-def counted_pairs(docs: DataFrame, cutoff: int) -> DataFrame:
-    """(h, w, c) of bigrams seen ``cutoff`` times or more, and rows without h that hold counts of counts.
+def counted_pairs(docs: DataFrame, first: int, blocks: int) -> DataFrame:
+    """(h, w, c) of all bigrams whose history lies in the blocks from ``first`` on, AT_ONCE of them.
 
     A task adds up what it reads, TOGETHER bigrams at most, before anything leaves it, so the shuffle
-    takes a frequent bigram once per task or so; the tasks behind the shuffle add up again and keep what reaches the cutoff. The
-    rows without h have the count in w and the number of bigrams with it in c.
+    takes a frequent bigram once per task or so; the engine adds up behind the shuffle, and can spill.
     """
 
-    def added(parts: Iterator[list[np.ndarray]], most: float) -> Iterator[list[np.ndarray]]:
-        """Sums (key, h, w, n) of parts, given out whenever they hold more than ``most`` bigrams."""
+    def added(parts: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+        """Sums (key, h, w, n) of parts, given out whenever they hold more than TOGETHER bigrams."""
         have, waiting, size = [np.zeros(0, np.uint64)] * 3 + [np.zeros(0, np.int64)], [], 0
 
         def merged() -> list[np.ndarray]:
@@ -118,7 +121,7 @@ def counted_pairs(docs: DataFrame, cutoff: int) -> DataFrame:
             if size > max(1 << 18, len(have[0]) // 2):
                 have = merged()
                 waiting, size = [], 0
-                if len(have[0]) > most:
+                if len(have[0]) > TOGETHER:
                     yield have
                     have = [x[:0] for x in have]
         yield merged() if waiting else have
@@ -128,29 +131,18 @@ def counted_pairs(docs: DataFrame, cutoff: int) -> DataFrame:
             for batch in batches:
                 for _, data, texts in chunks(batch):
                     before, token, _ = tokens(words(data, texts))
+                    block = before % np.uint64(blocks)
+                    mine = (block >= first) & (block < first + AT_ONCE)
+                    before, token = before[mine], token[mine]
                     key, (h, w), n = summed(pair_key(before, token), [before, token], np.ones(len(token), np.int64))
                     yield [key, h, w, n]
 
-        for _, h, w, n in added(parts(), TOGETHER):
+        for _, h, w, n in added(parts()):
             for i in range(0, len(h), PIECE):
                 yield pa.record_batch([pa.array(x[i : i + PIECE].view(np.int64)) for x in (h, w, n)], ["h", "w", "c"])
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts() -> Iterator[list[np.ndarray]]:
-            for b in batches:
-                h, w, n = (np.array(b.column(c), np.int64) for c in ("h", "w", "c"))
-                h, w = h.view(np.uint64), w.view(np.uint64)
-                yield [pair_key(h, w), h, w, n]
-
-        for _, h, w, n in added(parts(), math.inf):
-            kept = n >= cutoff
-            yield pa.record_batch([pa.array(x[kept].view(np.int64)) for x in (h, w, n)], ["h", "w", "c"])
-            levels = np.arange(1, GOOD_TURING + 2)
-            sizes = np.bincount(np.minimum(n, GOOD_TURING + 2), minlength=GOOD_TURING + 3)[1:-1]
-            yield pa.record_batch([pa.nulls(len(levels), pa.int64()), pa.array(levels), pa.array(sizes)], ["h", "w", "c"])
-
-    kind = "h long, w long, c long"
-    return docs.select("text").mapInArrow(frugal(read), kind).repartition("h", "w").mapInArrow(frugal(gather), kind)
+    rows = docs.select("text").mapInArrow(frugal(read), "h long, w long, c long")
+    return rows.repartition("h", "w").groupBy("h", "w").agg(F.sum("c").alias("c"))
 
 
 def discounts(n: dict[int, int], k: int = GOOD_TURING) -> list[float]:
@@ -178,19 +170,61 @@ def discounted(c: Column, d: list[float]) -> Column:
     return out
 
 
+def block_of(h: Column, blocks: int) -> Column:
+    """The block of a history: its unsigned hash modulo the number of blocks, a power of 2."""
+    return h.bitwiseAND(F.lit(blocks - 1))
+
+
+def hot_from(table: DataFrame, room: int) -> int:
+    """The least count c such that at most ``room`` rows of a table have it or more, to a 16th of an octave."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    out = 1 << 62
+    for row in sorted(table.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda x: -x.step):
+        room -= row.n
+        if room < 0:
+            break
+        out = math.ceil(2 ** (row.step / 16))
+    return out
+
+
 @dataclass
 class Model:
-    """The term table, how to tell its broadcast rows, and what unknown tokens cost."""
+    """Unigrams (w, c, p), bigrams (h, w, c) by block, discounts, counts that are broadcast, the cost of unknown tokens."""
 
-    terms: DataFrame
+    uni: DataFrame
+    pairs: list[DataFrame]
+    d2: list[float]
     n: int
     v: int
     unknown: float
-    start: float
-    cuts: dict[int, int]
-
-
-def fit(docs: DataFrame, scratch: Scratch, cutoff: int = CUTOFF, hot: int = HOT) -> Model:
+    hot: int
+    hot_pair: int
+
+    def with_p(self, pairs: DataFrame) -> DataFrame:
+        """Bigrams with p, the unigram probability of their second token."""
+        near = pairs.join(F.broadcast(self.uni.where(F.col("c") >= self.hot).select("w", "p")), "w", "left")
+        rest = near.where("p is null").drop("p").join(self.uni.where(F.col("c") < self.hot).select("w", "p"), "w")
+        return near.where("p is not null").unionByName(rest)
+
+    def histories(self, block: int) -> DataFrame:
+        """(h, c, scale, a) of every history of a block: its count, what discounted counts are multiplied by, log of the backoff weight."""
+        sums = self.with_p(self.pairs[block]).groupBy("h").agg(F.sum("c").alias("c"), F.sum(discounted(F.col("c"), self.d2)).alias("d"), F.sum("p").alias("q"))
+        share = F.least(F.col("d") / F.col("c"), F.col("c") / (F.col("c") + 1.0))
+        alpha = (1 - share) / F.greatest(1 - F.col("q"), F.lit(1e-12))
+        return sums.select("h", "c", (share / F.col("d")).alias("scale"), F.log10(alpha).alias("a"))
+
+    def pair_terms(self, pairs: DataFrame, histories: DataFrame) -> DataFrame:
+        """(key, term) of bigrams: what they add to their word and their history."""
+        here = histories.select("h", "scale", "a")
+        near = pairs.join(F.broadcast(self.uni.where(F.col("c") >= self.hot).select("w", "p")), "w", "left")
+        near = near.join(F.broadcast(histories.where(F.col("c") >= self.hot).select("h", "scale", "a")), "h", "left")
+        rest = near.where("p is null or a is null").select("h", "w", "c").join(self.uni.select("w", "p"), "w").join(here, "h")
+        both = near.where("p is not null and a is not null").unionByName(rest)
+        term = F.log10(discounted(F.col("c"), self.d2) * F.col("scale")) - F.log10("p") - F.col("a")
+        return both.select(F.xxhash64("h", "w").alias("key"), term.alias("term"))
+
+
+def fit(docs: DataFrame, scratch: Scratch, hot: int = HOT, blocks: int = BLOCKS) -> Model:
     """The model of all rows of ``docs``."""
     uni = scratch.save(counted(docs), "unigrams")
     r = F.when(F.col("c") <= GOOD_TURING + 1, F.col("c")).otherwise(0)
@@ -200,105 +234,102 @@ def fit(docs: DataFrame, scratch: Scratch, cutoff: int = CUTOFF, hot: int = HOT)
     seen = sum(k * a * d[a - 1] if 0 < a <= GOOD_TURING else s for a, (k, s) in of_counts.items()) / max(n, 1)
     unknown = max(1 - seen, 1 / (n + 1))
     p1 = discounted(F.col("c"), d) * ((1 - unknown) / seen / n if n else 0.0)
-    n_texts = uni.where(F.col("w") == F.lit(signed(END))).select("c").first()
-    n_texts = n_texts.c if n_texts else 0
-
-    pairs = scratch.save(counted_pairs(docs, cutoff), "bigrams")
-    d2 = discounts({r.w: r.n for r in pairs.where("h is null").groupBy("w").agg(F.sum("c").alias("n")).collect()})
-    kept = pairs.where("h is not null")
-    probable = uni.select("w", p1.alias("p"))
-    rated = scratch.save(kept.join(probable.hint("shuffle_hash"), "w").select("h", "w", "c", "p", discounted(F.col("c"), d2).alias("d")), "rated")
-    scratch.drop("bigrams")
-    sums = scratch.save(rated.groupBy("h").agg(F.sum("d").alias("d"), F.sum("p").alias("q")), "sums")
-    start = docs.sparkSession.createDataFrame([(signed(START), n_texts)], "h long, ch long")
-    histories = uni.select(F.col("w").alias("h"), F.col("c").alias("ch")).unionByName(start).join(sums.hint("shuffle_hash"), "h")
-    share = F.least(F.col("d") / F.col("ch"), F.col("ch") / (F.col("ch") + 1.0))
-    alpha = (1 - share) / F.greatest(1 - F.col("q"), F.lit(1e-12))
-    histories = scratch.save(histories.select("h", (share / F.col("d")).alias("scale"), F.log10(alpha).alias("a")), "histories")
-    first = histories.where(F.col("h") == F.lit(signed(START))).select("a").first()
-    words_ = uni.join(histories.select(F.col("h").alias("w"), "a").hint("shuffle_hash"), "w", "left").select(F.lit(1).cast("byte").alias("order"), F.col("w").alias("key"), (F.log10(p1) + F.coalesce("a", F.lit(0.0))).cast("float").alias("term"), "c")
-    pairs = rated.join(histories.hint("shuffle_hash"), "h").select(F.lit(2).cast("byte").alias("order"), F.xxhash64("h", "w").alias("key"), (F.log10(F.col("d") * F.col("scale")) - F.log10("p") - F.col("a")).cast("float").alias("term"), "c")
-    terms = scratch.save(words_.unionByName(pairs), "terms")
-    scratch.drop("unigrams", "rated", "sums", "histories")
-    step = F.floor(F.log2("c") * 16).cast("int")
-    sizes = terms.groupBy("order", step.alias("step")).agg(F.count("*").alias("n")).collect()
-    cuts = {}
-    for order in (1, 2):
-        room, cuts[order] = hot, 1 << 30
-        for row in sorted((x for x in sizes if x.order == order), key=lambda x: -x.step):
-            room -= row.n
-            if room < 0:
-                break
-            cuts[order] = row.step
-    return Model(terms, n, v, math.log10(unknown), first.a if first else 0.0, cuts)
+    pairs = [scratch.save(counted_pairs(docs, first, blocks), f"bigrams-{first}") for first in range(0, blocks, AT_ONCE)]
+    every = reduce(DataFrame.unionByName, pairs)
+    levels = every.where(F.col("c") <= GOOD_TURING + 1).groupBy("c").agg(F.count("*").alias("n")).collect()
+    of_block = [pairs[b // AT_ONCE].where(block_of(F.col("h"), blocks) == b) for b in range(blocks)]
+    return Model(uni.select("w", "c", p1.alias("p")), of_block, discounts({x.c: x.n for x in levels}), n, v, math.log10(unknown), hot_from(uni, hot), hot_from(every, hot))
 
 
 def score(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
-    """(row, doc_id, n_tokens, n_known, base_score, score); row is a hash of doc_id and text."""
-    step = F.floor(F.log2("c") * 16)
-    is_hot = F.when(F.col("order") == 1, step >= model.cuts[1]).otherwise(step >= model.cuts[2])
-    top = model.terms.where(is_hot).toArrow()
-    base = lambda c: np.log10((c + 0.1) / (model.n + 0.1 * (model.v + 1)))
+    """(doc_id, n_tokens, n_known, base_score, score) of every row."""
+    base = lambda c: F.log10((c + 0.1) / F.lit(model.n + 0.1 * (model.v + 1)))
+    # two hashes of doc_id and text: rows that share both are the same row
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.hash("doc_id", "text").alias("row2"), "text")
+    blocks = len(model.pairs)
+    sums = []
+    for b in range(blocks):
+        histories = scratch.save(model.histories(b), f"histories-{b}")
+        pairs = model.pairs[b]
+        words_ = model.uni.select("w", "c", F.log10("p").alias("term"), base(F.col("c")).alias("base")) if not b else model.uni.where("false").select("w", "c", F.lit(0.0).alias("term"), F.lit(0.0).alias("base"))
+        known = (
+            _lookup(model.pair_terms(pairs.where(F.col("c") >= model.hot_pair), histories)),
+            _lookup(histories.where(F.col("c") >= model.hot).select(F.col("h").alias("key"), F.col("a").alias("term"))),
+            _lookup(words_.where(F.col("c") >= model.hot).select(F.col("w").alias("key"), "term", "base"), 2),
+        )
+        none = F.lit(None).cast("double").alias("base")
+        terms = model.pair_terms(pairs.where(F.col("c") < model.hot_pair), histories).select("key", "term", none)
+        terms = terms.unionByName(histories.where(F.col("c") < model.hot).select(F.col("h").bitwiseXOR(F.lit(signed(HISTORY))).alias("key"), F.col("a").alias("term"), none))
+        terms = terms.unionByName(words_.where(F.col("c") < model.hot).select(F.col("w").bitwiseXOR(F.lit(signed(WORD))).alias("key"), "term", "base"))
+        cold = rows.select("row", "row2", "text").mapInArrow(frugal(_looked_up(docs, known, b, blocks)), "row long, row2 int, key long, n int, extra array<double>")
+        whole = [F.sum(F.get("extra", F.lit(i))).alias(name) for i, name in enumerate(("tokens", "left", "x", "b"))]
+        found = cold.join(terms, "key", "left").groupBy("row", "row2").agg(F.sum(F.col("n") * F.col("term")).alias("sx"), F.sum(F.col("n") * F.col("base")).alias("sb"), F.sum(F.when(F.col("base").isNotNull(), F.col("n"))).alias("sk"), F.count("extra").alias("times"), *whole)
+        sums.append(scratch.save(found, f"scores-{b}"))
+        scratch.drop(f"histories-{b}")
+        if (b + 1) % AT_ONCE == 0 or b + 1 == blocks:
+            scratch.drop(f"bigrams-{b // AT_ONCE * AT_ONCE}")
+    # rows that repeat have sent everything once each
+    share = lambda c: F.coalesce(F.sum(c) / F.max("times"), F.lit(0.0)).alias(c)
+    total = reduce(DataFrame.unionByName, sums).groupBy("row", "row2").agg(*[share(c) for c in ("sx", "sb", "x", "b", "sk", "tokens", "left")])
+    joined = rows.select("doc_id", "row", "row2").join(total, ["row", "row2"])
+    unknown = F.round(F.col("left") - F.col("sk"))
+    return joined.select("doc_id", F.round("tokens").cast("bigint").alias("n_tokens"), F.round(F.col("tokens") - unknown).cast("bigint").alias("n_known"), (F.col("b") + F.col("sb") + unknown * base(F.lit(0.0))).alias("base_score"), (F.col("x") + F.col("sx") + unknown * F.lit(model.unknown)).alias("score"))
+
 
-    def table(order: int) -> Lookup:
-        rows = top.filter(pa.compute.equal(top.column("order"), order))
-        key = np.array(rows.column("key"), np.int64).view(np.uint64)
-        return Lookup.of(key, np.column_stack([np.array(rows.column("term"), float), base(np.array(rows.column("c"), float))]))
+def _lookup(rows: DataFrame, values: int = 1) -> Lookup:
+    """A table of the rows (key, values...), which are bounded in number."""
+    found = rows.toArrow()
+    columns = [np.array(found.column(i + 1), float) for i in range(values)]
+    return Lookup.of(np.array(found.column("key"), np.int64).view(np.uint64), np.column_stack(columns))
 
-    shared = docs.sparkSession.sparkContext.broadcast((table(1), table(2)))
-    start = model.start
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+
+def _looked_up(docs: DataFrame, known: tuple[Lookup, Lookup, Lookup], block: int, blocks: int):
+    """The words, histories and bigrams of each text that are not broadcast, with their counts, and one row with what
+    the broadcast terms give: tokens and tokens left (in the first block, which looks up the words), log-probability, base."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The words and bigrams of each text that are not broadcast, with their counts, and one row with
-        what the broadcast terms give: tokens, tokens left, log-probability, base."""
-        one, two = shared.value
+        pairs, histories, words_ = shared.value
         for batch in batches:
             for part, data, texts in chunks(batch):
                 before, token, owner = tokens(words(data, texts))
-                pair, n = pair_key(before, token), len(texts) - 1
-                (at, known), (pair_at, paired) = one.find(token), two.find(pair)
-                sums = [np.bincount(owner[known], one.values[at[known], j], n).astype(float) for j in (0, 1)]
-                x = sums[0] + np.bincount(owner[paired], two.values[pair_at[paired], 0], n) + start
-                count = np.bincount(owner, minlength=n)
-                cold = count - np.bincount(owner[known], minlength=n)
-                key, of = np.concatenate([token[~known], pair[~paired]]), np.concatenate([owner[~known], owner[~paired]])
+                n = len(texts) - 1
+                here = before % np.uint64(blocks) == block
+                of_pair, x = owner[here], np.zeros(n)
+                cold, sums = [], [np.zeros(n), np.zeros(n), x, np.zeros(n)]
+                for table, keys, tag in ((pairs, pair_key(before[here], token[here]), np.uint64(0)), (histories, before[here], HISTORY)):
+                    at, hit = table.find(keys)
+                    x += np.bincount(of_pair[hit], table.values[at[hit], 0], n)
+                    cold.append((keys[~hit] ^ tag, of_pair[~hit]))
+                if not block:
+                    at, hit = words_.find(token)
+                    x += np.bincount(owner[hit], words_.values[at[hit], 0], n)
+                    sums[3] += np.bincount(owner[hit], words_.values[at[hit], 1], n)
+                    sums[0] += np.bincount(owner, minlength=n)
+                    sums[1] += sums[0] - np.bincount(owner[hit], minlength=n)
+                    cold.append((token[~hit] ^ WORD, owner[~hit]))
+                key, of = (np.concatenate(c) for c in zip(*cold, strict=True))
                 _, (key, of), times = summed(key ^ mix(of.astype(np.uint64)), [key, of], np.ones(len(of), np.int64))
                 order = np.argsort(of, kind="stable")  # rows of a text together: they compress
-                ids = np.array(batch.column("row")[part.start : part.stop])
-                row, key = np.concatenate([ids[of[order]], ids]), np.concatenate([key[order].view(np.int64), ids])
-                extra = pa.ListArray.from_arrays(np.concatenate([np.zeros(len(of), np.int32), np.arange(0, 4 * n + 1, 4, dtype=np.int32)]), pa.array(np.column_stack([count, cold, x, sums[1]]).ravel()), mask=pa.array(np.arange(len(row)) < len(of)))
-                yield pa.record_batch([pa.array(row), pa.array(key), pa.array(np.concatenate([times[order], np.zeros(n, np.int64)]).astype(np.int32)), extra], ["row", "key", "n", "extra"])
+                ids, seconds = (np.array(batch.column(c)[part.start : part.stop]) for c in ("row", "row2"))
+                row, row2 = (np.concatenate([c[of[order]], c]) for c in (ids, seconds))
+                extra = pa.ListArray.from_arrays(np.concatenate([np.zeros(len(of), np.int32), np.arange(0, 4 * n + 1, 4, dtype=np.int32)]), pa.array(np.column_stack(sums).ravel()), mask=pa.array(np.arange(len(row)) < len(of)))
+                yield pa.record_batch([pa.array(row), pa.array(row2), pa.array(np.concatenate([key[order].view(np.int64), ids])), pa.array(np.concatenate([times[order], np.zeros(n, np.int64)]).astype(np.int32)), extra], ["row", "row2", "key", "n", "extra"])
 
-    terms = model.terms.where(~is_hot).select("key", "term", F.when(F.col("order") == 1, F.log10((F.col("c") + 0.1) / F.lit(model.n + 0.1 * (model.v + 1)))).alias("base"))
-    more = {name: F.sum(F.get("extra", F.lit(i))).alias(name) for i, name in enumerate(("tokens", "left", "x", "b"))}
-    # rows that repeat have sent everything once each
-    share = lambda c: F.coalesce(F.col(c) / F.col("times"), F.lit(0.0))
-    whole = lambda c: F.round(share(c)).cast("bigint")
-    blocks = []
-    for i in range(BLOCKS):  # each block's shuffle is gone before the next one's
-        block = rows.where(F.pmod("row", F.lit(BLOCKS)) == i).select("row", "text")
-        cold = block.mapInArrow(frugal(run), "row long, key long, n int, extra array<double>")
-        sums = cold.join(terms.hint("shuffle_hash"), "key", "left").groupBy("row").agg(
-            F.sum(F.col("n") * F.col("term").cast("double")).alias("sx"), F.sum(F.col("n") * F.col("base")).alias("sb"), F.sum(F.when(F.col("base").isNotNull(), F.col("n"))).alias("sk"), F.count("extra").alias("times"), *more.values()
-        )
-        blocks.append(scratch.save(sums.select("row", *[share(c).alias(c) for c in ("sx", "sb", "x", "b")], *[whole(c).alias(c) for c in ("sk", "tokens", "left")]), f"scores-{i}"))
-    sums = reduce(DataFrame.unionByName, blocks)
-    joined = rows.select("doc_id", "row").join(sums.hint("shuffle_hash"), "row")
-    unknown = F.col("left") - F.col("sk")
-    return joined.select("row", "doc_id", F.col("tokens").alias("n_tokens"), (F.col("tokens") - unknown).alias("n_known"), (F.col("b") + F.col("sb") + unknown * F.lit(float(base(0.0)))).alias("base_score"), (F.col("x") + F.col("sx") + unknown * F.lit(model.unknown)).alias("score"))
-
-
-def lm_scores(docs: DataFrame, modulus: int = 10, remainder: int = 0, cutoff: int = CUTOFF, hot: int = HOT) -> DataFrame:
+    return run
+
+
+def lm_scores(docs: DataFrame, modulus: int = 10, remainder: int = 0, hot: int = HOT, blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    The model learns from the rows that are not held out. A null or empty text is an end alone; a null
-    doc_id is not held out; repeated rows count each time and each get a row. Without training rows
-    every token is unknown with probability 1. Extra columns are ignored.
+    The model learns from the rows that are not held out. A null or empty text is an end alone; a text
+    of any length is one row; a null doc_id is not held out; repeated rows count each time and each get
+    a row. Without training rows every token is unknown with probability 1; an empty table gives an
+    empty result. ``blocks`` is a power of 2. Extra columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "katz")
     docs = docs.select("doc_id", "text")
-    model = fit(docs.where(~held_out(modulus, remainder)), scratch, cutoff, hot)
+    model = fit(docs.where(~held_out(modulus, remainder)), scratch, hot, blocks)
     return score(docs, model, scratch).select("doc_id", held_out(modulus, remainder).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")

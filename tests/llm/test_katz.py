@@ -14,7 +14,7 @@ def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", low), None]
 
 
-def brute(rows, cutoff):
+def brute(rows):
     held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
     uni, bi = Counter(), Counter()
     for (_, t), h in zip(rows, held, strict=True):
@@ -30,8 +30,7 @@ def brute(rows, cutoff):
     p1 = defaultdict(lambda: unknown, {w: cut(c, d1) * (1 - unknown) / seen / n for w, c in uni.items()})
     after = defaultdict(dict)
     for (h, w), c in bi.items():
-        if c >= cutoff:
-            after[h][w] = cut(c, d2)
+        after[h][w] = cut(c, d2)
     ch = lambda h: sum(not x for x in held) if h == "<s>" else uni[h]
     p2, alpha = {}, {}
     for h, ws in after.items():
@@ -48,19 +47,19 @@ def brute(rows, cutoff):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [0, 7, 1 << 18])
-def test_matches_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "blocks"), [(0, 4), (7, 2), (1 << 18, 4)])
+def test_matches_brute_force(spark, hot, blocks):
     rng = random.Random(9)
     word = lambda: f"W{int(rng.paretovariate(0.7)) % 500}" + rng.choice(["", "", "É"])
     rows = [(i, " ".join(word() for _ in range(rng.randrange(0, 60)))) for i in range(150)]
     rows += [rows[5], rows[5], (None, "w1 w2 w3 unseen"), (900, None), (901, ""), (902, "w1 " * 3000), (0, "another text of a used id"), (903, rows[7][1])]
     docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, score double")
-    got = sorted(((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in lm_scores(docs, hot=hot).collect()), key=str)
-    want = brute(rows, 2)
+    got = sorted(((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in lm_scores(docs, hot=hot, blocks=blocks).collect()), key=str)
+    want = brute(rows)
     key = lambda r: (r[0], r[2], round(r[5], 6))
     for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
         assert g[:5] == w[:5]
-        assert g[5] == pytest.approx(w[5], rel=1e-9, abs=1e-9) and g[6] == pytest.approx(w[6], rel=1e-5, abs=1e-5)
+        assert g[5] == pytest.approx(w[5], rel=1e-9, abs=1e-9) and g[6] == pytest.approx(w[6], rel=1e-9, abs=1e-9)
 
 
 def test_no_rows_and_no_training_rows(spark):
