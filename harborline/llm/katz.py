@@ -3,15 +3,17 @@
 Tokens are lower-cased words and one end per text; words outside the training vocabulary are one
 unknown event. Every bigram of the training texts, those seen once too, has its discounted relative
 frequency; the mass that discounts leave at a history is spread over all other tokens in proportion to
-their unigram probability, so the probabilities after every history sum to 1. The recursion from bigram
-to unigram to unknown is evaluated per token as a sum of looked-up terms:
+their unigram probability, so the probabilities after every history sum to 1. A seen bigram has probability
+d(c) s(h), where d(c) is its discounted count and s(h) the history's scale; any other backs off:
 
-    log p(w|h) = log p(w) + log a(h) + [log p(w|h) - log p(w) - log a(h) if (h, w) was seen]
+    log p(w|h) = log s(h) + log d(c)     if (h, w) was seen c times
+               = log a(h) + log p(w)     otherwise, and so on from p(w) to the unknown event
 
-so a text's score is a sum over its distinct words, histories and bigrams.
+So a text's score is a sum over its histories and bigrams, all looked up at once by one join, plus the
+recursion for the bigrams that this join does not find, which a second, small one evaluates.
 
-Bigrams are counted and scored in blocks of histories, one after the other: a block's table and shuffles
-are gone before the next one's. In every lookup the rows with the largest counts, at most ``HOT``, are
+Bigrams are counted in PASSES passes and scored in BLOCKS, by the hash of the history: a pass's shuffle is
+gone before the next one's. In every lookup the rows with the largest counts, at most ``HOT``, are
 broadcast and looked up in place; that bound holds for any corpus, and it also rids the joins of their
 frequent keys. All other rows are joined by a shuffle that sorts and spills.
 """
@@ -32,14 +34,14 @@ from harborline.llm.labelled import held_out
 from harborline.llm.scratch import Scratch
 from harborline.llm.text import Lookup, Words, bounded_batches, chunks, frugal, mix, words
 
-#: Counts up to GOOD_TURING are discounted; rows of each order that are broadcast at most.
-GOOD_TURING, HOT = 5, 1 << 19
-#: Bigrams that a task adds up before they leave it; blocks of histories; blocks that are counted at a time.
-TOGETHER, BLOCKS, AT_ONCE = 2_000_000, 4, 2
+#: Counts up to GOOD_TURING are discounted; rows that are broadcast at most, to tables in Python and to joins.
+GOOD_TURING, HOT, NEAR = 5, 1 << 19, 1 << 17
+#: Bigrams that a task adds up before they leave it; parts of the histories that are counted or scored at a time.
+TOGETHER, PASSES, BLOCKS = 2_000_000, 2, 3
 #: Rows of one Arrow batch that leaves a Python worker.
 PIECE = 1 << 16
 END, START = np.uint64(0xE5D1E5D1E5D1E5D1), np.uint64(0x57A2757A2757A275)
-#: Keep the keys of words and of histories apart from those of bigrams.
+#: Stand for the history where a word or a history is looked up as a bigram is.
 WORD, HISTORY = np.uint64(0x1F0E1F0E1F0E1F0E), np.uint64(0x6A5B6A5B6A5B6A5B)
 
 
@@ -99,14 +101,19 @@ def summed(key: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> tuple[n
     return key[first], [c[first] for c in columns], np.add.reduceat(n[order], np.flatnonzero(new)) if len(key) else n
 
 
-def counted_pairs(docs: DataFrame, first: int, blocks: int) -> DataFrame:
-    """(h, w, c) of all bigrams whose history lies in the blocks from ``first`` on, AT_ONCE of them.
+def in_part(before: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Which histories lie in one of several parts."""
+    return before.view(np.int64) % parts == part
+
+
+def counted_pairs(docs: DataFrame, part: int, parts: int) -> DataFrame:
+    """(h, w, c) of all bigrams whose history lies in a part, in order of h within a partition.
 
     A task adds up what it reads, TOGETHER bigrams at most, before anything leaves it, so the shuffle
     takes a frequent bigram once per task or so; the engine adds up behind the shuffle, and can spill.
     """
 
-    def added(parts: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    def added(found: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
         """Sums (key, h, w, n) of parts, given out whenever they hold more than TOGETHER bigrams."""
         have, waiting, size = [np.zeros(0, np.uint64)] * 3 + [np.zeros(0, np.int64)], [], 0
 
@@ -115,9 +122,9 @@ def counted_pairs(docs: DataFrame, first: int, blocks: int) -> DataFrame:
             key, (h, w), n = summed(key, [h, w], n)
             return [key, h, w, n]
 
-        for part in parts:
-            waiting.append(part)
-            size += len(part[0])
+        for x in found:
+            waiting.append(x)
+            size += len(x[0])
             if size > max(1 << 18, len(have[0]) // 2):
                 have = merged()
                 waiting, size = [], 0
@@ -127,22 +134,21 @@ def counted_pairs(docs: DataFrame, first: int, blocks: int) -> DataFrame:
         yield merged() if waiting else have
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts() -> Iterator[list[np.ndarray]]:
+        def read_parts() -> Iterator[list[np.ndarray]]:
             for batch in batches:
                 for _, data, texts in chunks(batch):
                     before, token, _ = tokens(words(data, texts))
-                    block = before % np.uint64(blocks)
-                    mine = (block >= first) & (block < first + AT_ONCE)
+                    mine = in_part(before, part, parts)
                     before, token = before[mine], token[mine]
                     key, (h, w), n = summed(pair_key(before, token), [before, token], np.ones(len(token), np.int64))
                     yield [key, h, w, n]
 
-        for _, h, w, n in added(parts()):
+        for _, h, w, n in added(read_parts()):
             for i in range(0, len(h), PIECE):
                 yield pa.record_batch([pa.array(x[i : i + PIECE].view(np.int64)) for x in (h, w, n)], ["h", "w", "c"])
 
     rows = docs.select("text").mapInArrow(frugal(read), "h long, w long, c long")
-    return rows.repartition("h", "w").groupBy("h", "w").agg(F.sum("c").alias("c"))
+    return rows.repartition("h", "w").groupBy("h", "w").agg(F.sum("c").alias("c")).sortWithinPartitions("h")
 
 
 def discounts(n: dict[int, int], k: int = GOOD_TURING) -> list[float]:
@@ -170,11 +176,6 @@ def discounted(c: Column, d: list[float]) -> Column:
     return out
 
 
-def block_of(h: Column, blocks: int) -> Column:
-    """The block of a history: its unsigned hash modulo the number of blocks, a power of 2."""
-    return h.bitwiseAND(F.lit(blocks - 1))
-
-
 def hot_from(table: DataFrame, room: int) -> int:
     """The least count c such that at most ``room`` rows of a table have it or more, to a 16th of an octave."""
     step = F.floor(F.log2("c") * 16).cast("int")
@@ -189,42 +190,26 @@ def hot_from(table: DataFrame, room: int) -> int:
 
 @dataclass
 class Model:
-    """Unigrams (w, c, p), bigrams (h, w, c) by block, discounts, counts that are broadcast, the cost of unknown tokens."""
+    """Unigrams (w, c, p), bigrams (h, w, c), histories (h, c, s, a: logs of scale and backoff weight), discounts, the cost of unknown tokens."""
 
     uni: DataFrame
-    pairs: list[DataFrame]
+    pairs: DataFrame
+    histories: DataFrame
     d2: list[float]
     n: int
     v: int
     unknown: float
-    hot: int
-    hot_pair: int
-
-    def with_p(self, pairs: DataFrame) -> DataFrame:
-        """Bigrams with p, the unigram probability of their second token."""
-        near = pairs.join(F.broadcast(self.uni.where(F.col("c") >= self.hot).select("w", "p")), "w", "left")
-        rest = near.where("p is null").drop("p").join(self.uni.where(F.col("c") < self.hot).select("w", "p"), "w")
-        return near.where("p is not null").unionByName(rest)
-
-    def histories(self, block: int) -> DataFrame:
-        """(h, c, scale, a) of every history of a block: its count, what discounted counts are multiplied by, log of the backoff weight."""
-        sums = self.with_p(self.pairs[block]).groupBy("h").agg(F.sum("c").alias("c"), F.sum(discounted(F.col("c"), self.d2)).alias("d"), F.sum("p").alias("q"))
-        share = F.least(F.col("d") / F.col("c"), F.col("c") / (F.col("c") + 1.0))
-        alpha = (1 - share) / F.greatest(1 - F.col("q"), F.lit(1e-12))
-        return sums.select("h", "c", (share / F.col("d")).alias("scale"), F.log10(alpha).alias("a"))
-
-    def pair_terms(self, pairs: DataFrame, histories: DataFrame) -> DataFrame:
-        """(key, term) of bigrams: what they add to their word and their history."""
-        here = histories.select("h", "scale", "a")
-        near = pairs.join(F.broadcast(self.uni.where(F.col("c") >= self.hot).select("w", "p")), "w", "left")
-        near = near.join(F.broadcast(histories.where(F.col("c") >= self.hot).select("h", "scale", "a")), "h", "left")
-        rest = near.where("p is null or a is null").select("h", "w", "c").join(self.uni.select("w", "p"), "w").join(here, "h")
-        both = near.where("p is not null and a is not null").unionByName(rest)
-        term = F.log10(discounted(F.col("c"), self.d2) * F.col("scale")) - F.log10("p") - F.col("a")
-        return both.select(F.xxhash64("h", "w").alias("key"), term.alias("term"))
-
-
-def fit(docs: DataFrame, scratch: Scratch, hot: int = HOT, blocks: int = BLOCKS) -> Model:
+
+
+def with_p(pairs: DataFrame, uni: DataFrame, near: int = NEAR) -> DataFrame:
+    """Bigrams with p, the unigram probability of their second token: frequent ones by a broadcast, the others by a shuffle."""
+    hot = hot_from(uni, near)
+    first = pairs.join(F.broadcast(uni.where(F.col("c") >= hot).select("w", "p")), "w", "left")
+    rest = first.where("p is null").drop("p").join(uni.where(F.col("c") < hot).select("w", "p"), "w")
+    return first.where("p is not null").unionByName(rest)
+
+
+def fit(docs: DataFrame, scratch: Scratch, near: int = NEAR, passes: int = PASSES) -> Model:
     """The model of all rows of ``docs``."""
     uni = scratch.save(counted(docs), "unigrams")
     r = F.when(F.col("c") <= GOOD_TURING + 1, F.col("c")).otherwise(0)
@@ -233,103 +218,114 @@ def fit(docs: DataFrame, scratch: Scratch, hot: int = HOT, blocks: int = BLOCKS)
     d = discounts({a: b for a, (b, _) in of_counts.items() if a})
     seen = sum(k * a * d[a - 1] if 0 < a <= GOOD_TURING else s for a, (k, s) in of_counts.items()) / max(n, 1)
     unknown = max(1 - seen, 1 / (n + 1))
-    p1 = discounted(F.col("c"), d) * ((1 - unknown) / seen / n if n else 0.0)
-    pairs = [scratch.save(counted_pairs(docs, first, blocks), f"bigrams-{first}") for first in range(0, blocks, AT_ONCE)]
-    every = reduce(DataFrame.unionByName, pairs)
-    levels = every.where(F.col("c") <= GOOD_TURING + 1).groupBy("c").agg(F.count("*").alias("n")).collect()
-    of_block = [pairs[b // AT_ONCE].where(block_of(F.col("h"), blocks) == b) for b in range(blocks)]
-    return Model(uni.select("w", "c", p1.alias("p")), of_block, discounts({x.c: x.n for x in levels}), n, v, math.log10(unknown), hot_from(uni, hot), hot_from(every, hot))
-
-
-def score(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
+    uni = uni.select("w", "c", (discounted(F.col("c"), d) * ((1 - unknown) / seen / n if n else 0.0)).alias("p"))
+    pairs = reduce(DataFrame.unionByName, [scratch.save(counted_pairs(docs, i, passes), f"bigrams-{i}") for i in range(passes)])
+    levels = pairs.where(F.col("c") <= GOOD_TURING + 1).groupBy("c").agg(F.count("*").alias("n")).collect()
+    d2 = discounts({x.c: x.n for x in levels})
+    sums = with_p(pairs, uni, near).groupBy("h").agg(F.sum("c").alias("c"), F.sum(discounted(F.col("c"), d2)).alias("d"), F.sum("p").alias("q"))
+    share = F.least(F.col("d") / F.col("c"), F.col("c") / (F.col("c") + 1.0))
+    alpha = (1 - share) / F.greatest(1 - F.col("q"), F.lit(1e-12))
+    histories = sums.select("h", "c", F.log10(share / F.col("d")).alias("s"), F.log10(alpha).alias("a"))
+    return Model(uni, pairs, scratch.save(histories, "histories"), d2, n, v, math.log10(unknown))
+
+
+def score(docs: DataFrame, model: Model, scratch: Scratch, hot: int = HOT, blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every row."""
     base = lambda c: F.log10((c + 0.1) / F.lit(model.n + 0.1 * (model.v + 1)))
+    none = F.lit(None).cast("double")
     # two hashes of doc_id and text: rows that share both are the same row
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.hash("doc_id", "text").alias("row2"), "text")
-    blocks = len(model.pairs)
+    # what is looked up, with its count: bigrams, histories, words
+    orders = [
+        model.pairs.select("h", "w", "c", F.log10(discounted(F.col("c"), model.d2)).alias("x"), none.alias("b")),
+        model.histories.select(F.lit(signed(HISTORY)).alias("h"), F.col("h").alias("w"), "c", F.col("s").alias("x"), none.alias("b")),
+        model.uni.select(F.lit(signed(WORD)).alias("h"), "w", "c", F.lit(0.0).alias("x"), base(F.col("c")).alias("b")),
+    ]
+    cuts = [hot_from(order, hot) for order in orders]
+    shared = docs.sparkSession.sparkContext.broadcast([_lookup(o.where(F.col("c") >= cut)) for o, cut in zip(orders, cuts, strict=True)])
     sums = []
     for b in range(blocks):
-        histories = scratch.save(model.histories(b), f"histories-{b}")
-        pairs = model.pairs[b]
-        words_ = model.uni.select("w", "c", F.log10("p").alias("term"), base(F.col("c")).alias("base")) if not b else model.uni.where("false").select("w", "c", F.lit(0.0).alias("term"), F.lit(0.0).alias("base"))
-        known = (
-            _lookup(model.pair_terms(pairs.where(F.col("c") >= model.hot_pair), histories)),
-            _lookup(histories.where(F.col("c") >= model.hot).select(F.col("h").alias("key"), F.col("a").alias("term"))),
-            _lookup(words_.where(F.col("c") >= model.hot).select(F.col("w").alias("key"), "term", "base"), 2),
-        )
-        none = F.lit(None).cast("double").alias("base")
-        terms = model.pair_terms(pairs.where(F.col("c") < model.hot_pair), histories).select("key", "term", none)
-        terms = terms.unionByName(histories.where(F.col("c") < model.hot).select(F.col("h").bitwiseXOR(F.lit(signed(HISTORY))).alias("key"), F.col("a").alias("term"), none))
-        terms = terms.unionByName(words_.where(F.col("c") < model.hot).select(F.col("w").bitwiseXOR(F.lit(signed(WORD))).alias("key"), "term", "base"))
-        cold = rows.select("row", "row2", "text").mapInArrow(frugal(_looked_up(docs, known, b, blocks)), "row long, row2 int, key long, n int, extra array<double>")
+        mine = lambda h, b=b: F.pmod(h, F.lit(blocks)) == b
+        parts = [orders[0].where(mine(F.col("h"))), orders[1].where(mine(F.col("w"))), *orders[2 : 3 if b == 0 else 2]]
+        terms = reduce(DataFrame.unionByName, [o.where(F.col("c") < cut).select("h", "w", "x", F.col("b").alias("base")) for o, cut in zip(parts, cuts, strict=False)])
+        cold = rows.select("row", "row2", "text").mapInArrow(frugal(_looked_up(shared, b, blocks)), "row long, row2 int, h long, w long, n int, extra array<double>")
         whole = [F.sum(F.get("extra", F.lit(i))).alias(name) for i, name in enumerate(("tokens", "left", "x", "b"))]
-        found = cold.join(terms, "key", "left").groupBy("row", "row2").agg(F.sum(F.col("n") * F.col("term")).alias("sx"), F.sum(F.col("n") * F.col("base")).alias("sb"), F.sum(F.when(F.col("base").isNotNull(), F.col("n"))).alias("sk"), F.count("extra").alias("times"), *whole)
+        missed = F.col("x_").isNull() & F.col("extra").isNull() & ~F.col("h").isin(signed(WORD), signed(HISTORY))
+        found = cold.join(terms.withColumnRenamed("x", "x_"), ["h", "w"], "left").groupBy("row", "row2").agg(
+            F.sum(F.col("n") * F.col("x_")).alias("sx"), F.sum(F.col("n") * F.col("base")).alias("sb"), F.sum(F.when(F.col("base").isNotNull(), F.col("n"))).alias("sk"), F.count("extra").alias("times"), *whole,
+            F.collect_list(F.when(missed, F.struct("h", "w", "n"))).alias("unseen"),
+        )
         sums.append(scratch.save(found, f"scores-{b}"))
-        scratch.drop(f"histories-{b}")
-        if (b + 1) % AT_ONCE == 0 or b + 1 == blocks:
-            scratch.drop(f"bigrams-{b // AT_ONCE * AT_ONCE}")
+    scratch.drop(*[f"bigrams-{i}" for i in range(PASSES)])
+    every = reduce(DataFrame.unionByName, sums)
+    unseen = every.select("row", "row2", F.explode("unseen").alias("u")).select("row", "row2", "u.*")
+    back = unseen.join(model.uni.select("w", F.log10("p").alias("p")), "w", "left").join(model.histories.select("h", "s", "a"), "h", "left")
+    cost = F.coalesce("p", F.lit(model.unknown)) + F.coalesce(F.col("a") - F.col("s"), F.lit(0.0))
+    # a history that is known gave its scale to every token after it, so a backed-off one takes it off again
+    back = back.groupBy("row", "row2").agg(F.sum(F.col("n") * cost).alias("su"))
     # rows that repeat have sent everything once each
     share = lambda c: F.coalesce(F.sum(c) / F.max("times"), F.lit(0.0)).alias(c)
-    total = reduce(DataFrame.unionByName, sums).groupBy("row", "row2").agg(*[share(c) for c in ("sx", "sb", "x", "b", "sk", "tokens", "left")])
+    columns = ("sx", "sb", "x", "b", "sk", "tokens", "left")
+    total = every.select("row", "row2", "times", *columns, none.alias("su")).unionByName(back.select("row", "row2", F.lit(None).cast("long").alias("times"), *[none.alias(c) for c in columns], "su"))
+    total = scratch.save(total.groupBy("row", "row2").agg(*[share(c) for c in (*columns, "su")]), "totals")
     joined = rows.select("doc_id", "row", "row2").join(total, ["row", "row2"])
     unknown = F.round(F.col("left") - F.col("sk"))
-    return joined.select("doc_id", F.round("tokens").cast("bigint").alias("n_tokens"), F.round(F.col("tokens") - unknown).cast("bigint").alias("n_known"), (F.col("b") + F.col("sb") + unknown * base(F.lit(0.0))).alias("base_score"), (F.col("x") + F.col("sx") + unknown * F.lit(model.unknown)).alias("score"))
+    return joined.select("doc_id", F.round("tokens").cast("bigint").alias("n_tokens"), F.round(F.col("tokens") - unknown).cast("bigint").alias("n_known"), (F.col("b") + F.col("sb") + unknown * base(F.lit(0.0))).alias("base_score"), (F.col("x") + F.col("sx") + F.col("su")).alias("score"))
 
 
-def _lookup(rows: DataFrame, values: int = 1) -> Lookup:
-    """A table of the rows (key, values...), which are bounded in number."""
-    found = rows.toArrow()
-    columns = [np.array(found.column(i + 1), float) for i in range(values)]
-    return Lookup.of(np.array(found.column("key"), np.int64).view(np.uint64), np.column_stack(columns))
+def _lookup(rows: DataFrame) -> Lookup:
+    """A table of the values x and b of rows (h, w, x, b), which are bounded in number."""
+    found = rows.select(F.xxhash64("h", "w").alias("key"), "x", F.coalesce("b", F.lit(0.0)).alias("b")).toArrow()
+    return Lookup.of(np.array(found.column("key"), np.int64).view(np.uint64), np.column_stack([np.array(found.column(c), float) for c in ("x", "b")]))
 
 
-def _looked_up(docs: DataFrame, known: tuple[Lookup, Lookup, Lookup], block: int, blocks: int):
-    """The words, histories and bigrams of each text that are not broadcast, with their counts, and one row with what
-    the broadcast terms give: tokens and tokens left (in the first block, which looks up the words), log-probability, base."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+def _looked_up(shared, block: int, blocks: int):
+    """The bigrams, histories and words of each text that are not broadcast, with their counts, and one row with what
+    the broadcast ones give: tokens and tokens left (in the first block, which looks up the words), log-probability, base."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, histories, words_ = shared.value
         for batch in batches:
             for part, data, texts in chunks(batch):
                 before, token, owner = tokens(words(data, texts))
                 n = len(texts) - 1
-                here = before % np.uint64(blocks) == block
-                of_pair, x = owner[here], np.zeros(n)
-                cold, sums = [], [np.zeros(n), np.zeros(n), x, np.zeros(n)]
-                for table, keys, tag in ((pairs, pair_key(before[here], token[here]), np.uint64(0)), (histories, before[here], HISTORY)):
-                    at, hit = table.find(keys)
-                    x += np.bincount(of_pair[hit], table.values[at[hit], 0], n)
-                    cold.append((keys[~hit] ^ tag, of_pair[~hit]))
+                here = in_part(before, block, blocks)
+                of, before_, token_ = owner[here], before[here], token[here]
+                asked = [(before_, token_, of), (np.full_like(before_, HISTORY), before_, of)]
+                if not block:
+                    asked.append((np.full_like(token, WORD), token, owner))
+                sums, cold = np.zeros((4, n)), []
+                for table, (h, w, of) in zip(shared.value, asked, strict=False):
+                    key = pair_key(h, w)
+                    at, hit = table.find(key)
+                    sums[2] += np.bincount(of[hit], table.values[at[hit], 0], n)
+                    sums[3] += np.bincount(of[hit], table.values[at[hit], 1], n)
+                    cold.append((key[~hit], h[~hit], w[~hit], of[~hit]))
                 if not block:
-                    at, hit = words_.find(token)
-                    x += np.bincount(owner[hit], words_.values[at[hit], 0], n)
-                    sums[3] += np.bincount(owner[hit], words_.values[at[hit], 1], n)
-                    sums[0] += np.bincount(owner, minlength=n)
-                    sums[1] += sums[0] - np.bincount(owner[hit], minlength=n)
-                    cold.append((token[~hit] ^ WORD, owner[~hit]))
-                key, of = (np.concatenate(c) for c in zip(*cold, strict=True))
-                _, (key, of), times = summed(key ^ mix(of.astype(np.uint64)), [key, of], np.ones(len(of), np.int64))
+                    sums[0] = np.bincount(owner, minlength=n)
+                    sums[1] = np.bincount(cold[2][3], minlength=n)
+                key, h, w, of = (np.concatenate(c) for c in zip(*cold, strict=True))
+                _, (h, w, of), times = summed(key ^ mix(of.astype(np.uint64)), [h, w, of], np.ones(len(of), np.int64))
                 order = np.argsort(of, kind="stable")  # rows of a text together: they compress
                 ids, seconds = (np.array(batch.column(c)[part.start : part.stop]) for c in ("row", "row2"))
                 row, row2 = (np.concatenate([c[of[order]], c]) for c in (ids, seconds))
-                extra = pa.ListArray.from_arrays(np.concatenate([np.zeros(len(of), np.int32), np.arange(0, 4 * n + 1, 4, dtype=np.int32)]), pa.array(np.column_stack(sums).ravel()), mask=pa.array(np.arange(len(row)) < len(of)))
-                yield pa.record_batch([pa.array(row), pa.array(row2), pa.array(np.concatenate([key[order].view(np.int64), ids])), pa.array(np.concatenate([times[order], np.zeros(n, np.int64)]).astype(np.int32)), extra], ["row", "row2", "key", "n", "extra"])
+                h, w = (np.concatenate([c[order].view(np.int64), ids]) for c in (h, w))
+                extra = pa.ListArray.from_arrays(np.concatenate([np.zeros(len(of), np.int32), np.arange(0, 4 * n + 1, 4, dtype=np.int32)]), pa.array(sums.T.ravel()), mask=pa.array(np.arange(len(row)) < len(of)))
+                yield pa.record_batch([pa.array(row), pa.array(row2), pa.array(h), pa.array(w), pa.array(np.concatenate([times[order], np.zeros(n, np.int64)]).astype(np.int32)), extra], ["row", "row2", "h", "w", "n", "extra"])
 
     return run
 
 
-def lm_scores(docs: DataFrame, modulus: int = 10, remainder: int = 0, hot: int = HOT, blocks: int = BLOCKS) -> DataFrame:
+def lm_scores(docs: DataFrame, modulus: int = 10, remainder: int = 0, hot: int = HOT, near: int = NEAR) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     The model learns from the rows that are not held out. A null or empty text is an end alone; a text
     of any length is one row; a null doc_id is not held out; repeated rows count each time and each get
     a row. Without training rows every token is unknown with probability 1; an empty table gives an
-    empty result. ``blocks`` is a power of 2. Extra columns are ignored.
+    empty result. Extra columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "katz")
     docs = docs.select("doc_id", "text")
-    model = fit(docs.where(~held_out(modulus, remainder)), scratch, hot, blocks)
-    return score(docs, model, scratch).select("doc_id", held_out(modulus, remainder).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")
+    model = fit(docs.where(~held_out(modulus, remainder)), scratch, near)
+    return score(docs, model, scratch, hot).select("doc_id", held_out(modulus, remainder).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")

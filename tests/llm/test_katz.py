@@ -47,14 +47,14 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("hot", "blocks"), [(0, 4), (7, 2), (1 << 18, 4)])
-def test_matches_brute_force(spark, hot, blocks):
+@pytest.mark.parametrize(("hot", "near"), [(0, 0), (7, 5), (1 << 18, 1 << 17)])
+def test_matches_brute_force(spark, hot, near):
     rng = random.Random(9)
     word = lambda: f"W{int(rng.paretovariate(0.7)) % 500}" + rng.choice(["", "", "É"])
     rows = [(i, " ".join(word() for _ in range(rng.randrange(0, 60)))) for i in range(150)]
     rows += [rows[5], rows[5], (None, "w1 w2 w3 unseen"), (900, None), (901, ""), (902, "w1 " * 3000), (0, "another text of a used id"), (903, rows[7][1])]
     docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, score double")
-    got = sorted(((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in lm_scores(docs, hot=hot, blocks=blocks).collect()), key=str)
+    got = sorted(((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in lm_scores(docs, hot=hot, near=near).collect()), key=str)
     want = brute(rows)
     key = lambda r: (r[0], r[2], round(r[5], 6))
     for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
