@@ -13,7 +13,7 @@ So a text's score is a sum over its histories and bigrams, all looked up at once
 recursion for the bigrams that this join does not find, which a second, small one evaluates.
 
 Bigrams are counted in PASSES passes and scored in BLOCKS, by the hash of the history: a pass's shuffle is
-gone before the next one's. In every lookup the rows with the largest counts, at most ``HOT``, are
+gone before the next one's. In every lookup the rows with the largest counts, at most ``HOT`` or ``NEAR``, are
 broadcast and looked up in place; that bound holds for any corpus, and it also rids the joins of their
 frequent keys. All other rows are joined by a shuffle that sorts and spills.
 """
@@ -34,7 +34,7 @@ from harborline.llm.labelled import held_out
 from harborline.llm.scratch import Scratch
 from harborline.llm.text import Lookup, Words, bounded_batches, chunks, frugal, mix, words
 
-#: Counts up to GOOD_TURING are discounted; rows that are broadcast at most, to tables in Python and to joins.
+#: Counts up to GOOD_TURING are discounted; rows that are broadcast at most: bigrams; words and histories.
 GOOD_TURING, HOT, NEAR = 5, 1 << 19, 1 << 17
 #: Bigrams that a task adds up before they leave it; parts of the histories that are counted or scored at a time.
 TOGETHER, PASSES, BLOCKS = 2_000_000, 2, 3
@@ -229,7 +229,7 @@ def fit(docs: DataFrame, scratch: Scratch, near: int = NEAR, passes: int = PASSE
     return Model(uni, pairs, scratch.save(histories, "histories"), d2, n, v, math.log10(unknown))
 
 
-def score(docs: DataFrame, model: Model, scratch: Scratch, hot: int = HOT, blocks: int = BLOCKS) -> DataFrame:
+def score(docs: DataFrame, model: Model, scratch: Scratch, hot: int = HOT, near: int = NEAR, blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every row."""
     base = lambda c: F.log10((c + 0.1) / F.lit(model.n + 0.1 * (model.v + 1)))
     none = F.lit(None).cast("double")
@@ -241,7 +241,7 @@ def score(docs: DataFrame, model: Model, scratch: Scratch, hot: int = HOT, block
         model.histories.select(F.lit(signed(HISTORY)).alias("h"), F.col("h").alias("w"), "c", F.col("s").alias("x"), none.alias("b")),
         model.uni.select(F.lit(signed(WORD)).alias("h"), "w", "c", F.lit(0.0).alias("x"), base(F.col("c")).alias("b")),
     ]
-    cuts = [hot_from(order, hot) for order in orders]
+    cuts = [hot_from(order, room) for order, room in zip(orders, (hot, near, near), strict=True)]
     shared = docs.sparkSession.sparkContext.broadcast([_lookup(o.where(F.col("c") >= cut)) for o, cut in zip(orders, cuts, strict=True)])
     sums = []
     for b in range(blocks):
@@ -328,4 +328,4 @@ def lm_scores(docs: DataFrame, modulus: int = 10, remainder: int = 0, hot: int =
     scratch = Scratch(spark, "katz")
     docs = docs.select("doc_id", "text")
     model = fit(docs.where(~held_out(modulus, remainder)), scratch, near)
-    return score(docs, model, scratch, hot).select("doc_id", held_out(modulus, remainder).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")
+    return score(docs, model, scratch, hot, near).select("doc_id", held_out(modulus, remainder).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -164,16 +164,17 @@ def per_text(mask: np.ndarray, texts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Lookup:
-    """Values by 64-bit key in an open table."""
+    """Values by distinct 64-bit keys: an open table of row numbers, so that it is small to send and to keep."""
 
     slots: np.ndarray
+    keys: np.ndarray
     values: np.ndarray
     probes: int
 
     @staticmethod
     def of(keys: np.ndarray, values: np.ndarray) -> Lookup:
-        size = 1 << max(4, int(2 * len(keys)).bit_length())
-        slots, at = np.zeros(size, np.int64) - 1, (keys & np.uint64(size - 1)).astype(np.int64)
+        size = 1 << max(4, int(2 * len(keys) - 1).bit_length())
+        slots, at = np.full(size, -1, np.int32), (keys & np.uint64(size - 1)).astype(np.int64)
         left, probes = np.arange(len(keys)), 0
         while len(left):
             place = (at[left] + probes) & (size - 1)
@@ -183,23 +184,19 @@ class Lookup:
             slots[place[free][first]] = taken
             left = np.setdiff1d(left, taken, assume_unique=True)
             probes += 1
-        table = np.zeros((size, values.shape[1]))
-        hashes = np.zeros(size, np.uint64)
-        full = slots >= 0
-        table[full], hashes[full] = values[slots[full]], keys[slots[full]]
-        table = np.column_stack([table, full])
-        return Lookup(hashes, table, probes)
+        return Lookup(slots, keys, values, probes)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The slot of each key, and whether it is there."""
+        """The row of each key, and whether it is there."""
         size = len(self.slots)
         at = (keys & np.uint64(size - 1)).astype(np.int64)
-        out, found, left = at.copy(), np.zeros(len(keys), bool), np.arange(len(keys))
+        out, found, left = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool), np.arange(len(keys))
         for j in range(self.probes):
-            place = (at[left] + j) & (size - 1)
-            full = self.values[place, -1] > 0
-            hit = full & (self.slots[place] == keys[left])
-            out[left[hit]], found[left[hit]] = place[hit], True
+            row = self.slots[(at[left] + j) & (size - 1)]
+            full = row >= 0
+            hit = full.copy()
+            hit[full] = self.keys[row[full]] == keys[left[full]]
+            out[left[hit]], found[left[hit]] = row[hit], True
             left = left[full & ~hit]
             if not len(left):
                 break
