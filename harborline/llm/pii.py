@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harborline.llm.scratch import fresh
+
 #: What stands before a secret.
 SECRETS = r"password=|passwd=|token ?= ?\"|secret=|api_key="
 #: Country codes of E.164, by their ranges.
@@ -29,8 +31,10 @@ PHONES = [
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "key": r"AKIA[A-Z0-9]{16}",
-    "secret": f"(?:{SECRETS})[A-Za-z0-9]{{8,}}",
+    "secret": f"(?:{SECRETS})(?=[^\\s\"']{{8}})[A-Za-z0-9_.!#$%^*+=/~-]*[A-Za-z0-9_!#$%^*+=/~-]",
     "phone": "|".join(PHONES),
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "ip6": r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}",
     "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
@@ -41,7 +45,7 @@ PATTERNS = {
 HOT = f"[0-9@]|AKIA|{SECRETS}"
 #: No candidate begins or ends within a longer word or number.
 ANY = r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + r")(?![A-Za-z0-9])"
-KEY, ROUNDS = "harborline", 8
+ROUNDS = 8
 #: Days from FIRST_DAY on, 1900-01-01 to 2099-12-31: 73049 = 229 * 319.
 FIRST_DAY, DAYS = "1900-01-01", (229, 319)
 
@@ -137,6 +141,15 @@ def permuted_ip(m: Column, key: str) -> Column:
     return F.get(parts, F.lit(0))
 
 
+def permuted_hex(group: Column, key: str) -> Column:
+    """A group of hexadecimal digits permuted among those of its length."""
+    n = F.length(group)
+    half = F.pow(F.lit(4), n).cast("bigint")
+    value = F.conv(F.lower(group), 16, 10).cast("bigint")
+    new = feistel(value, half, half, key, F.concat(F.lit("ip6"), n.cast("string")))
+    return F.lpad(F.lower(F.conv(new.cast("string"), 10, 16)), n, "0")
+
+
 def permuted_phone(m: Column, digits: Column, key: str) -> Column:
     """A phone number with the digits after its country code or trunk 0 permuted; national ones of North America as with +1."""
     n = F.length(digits)
@@ -145,11 +158,30 @@ def permuted_phone(m: Column, digits: Column, key: str) -> Column:
     return F.get(F.transform(F.array(lead), lambda k: refill(m, F.concat(F.substring(digits, F.lit(1), k), permuted_digits(F.substring(digits, k + 1, n - k), key, "phone")))), F.lit(0))
 
 
+def iban_rest(m: Column) -> Column:
+    """The remainder by 97 of an account number, 1 if it is valid: its country and check digits moved to the end, letters as 10 to 35."""
+    plain = F.regexp_replace(m, " ", "")
+    turned = F.split(F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4)), "")
+    value = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    return F.aggregate(turned, F.lit(0), lambda r, c: F.when(c == "", r).otherwise((r * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97))
+
+
+def permuted_iban(m: Column, key: str) -> Column:
+    """An account number with the digits after its check digits permuted, 16 at a time, and its check digits computed anew."""
+    digits = F.regexp_replace(F.substr(m, F.lit(5)), "[^0-9]", "")
+    n = F.length(digits)
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / 16).cast("int") - 1, F.lit(0))), lambda i: F.when(n > 0, permuted_digits(F.substr(digits, i * 16 + 1, F.least(n - i * 16, F.lit(16))), key, "iban")).otherwise(""))
+    blank = F.transform(F.array(F.concat(F.substring(m, 1, 2), F.lit("00"), refill(F.substr(m, F.lit(5)), F.array_join(parts, "")))), lambda t: F.concat(F.substring(t, 1, 2), F.lpad((98 - iban_rest(t)).cast("string"), 2, "0"), F.substr(t, F.lit(5))))
+    return F.get(blank, F.lit(0))
+
+
 def kind_of(m: Column) -> Column:
     """The kind of a valid match, else null."""
     digits = F.regexp_replace(m, "[^0-9]", "")
     days = F.datediff(day(m), F.lit(FIRST_DAY).cast("date"))
     valid = {
+        "iban": F.length(F.regexp_replace(m, " ", "")).between(15, 34) & (iban_rest(m) == 1),
+        "ip6": F.size(F.split(m, ":")).between(3, 8) & (F.size(F.split(m, "::")) <= 2) & m.rlike("[0-9]"),
         "ip": F.forall(F.split(m, r"\."), lambda o: o.try_cast("int") <= 255),
         "date": F.coalesce((days >= 0) & (days < DAYS[0] * DAYS[1]), F.lit(False)),
         "ssn": ~m.rlike("^(000|666|9)|-00-|-0000$"),
@@ -168,7 +200,7 @@ def kind_of(m: Column) -> Column:
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     local = F.substring_index(m, "@", 1)
-    lead = F.regexp_extract(m, r"^(.*?[=\"] ?\"?)[A-Za-z0-9]+$", 1)
+    lead = F.regexp_extract(m, f"^(?:{SECRETS})", 0)
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
     moved = F.transform(F.array(permuted_digits(body, key, "card")), lambda d: F.concat(d, ((10 - luhn(F.concat(d, F.lit("0"))) % 10) % 10).cast("string")))
     return (
@@ -176,6 +208,8 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
         .when(kind == "key", F.concat(F.lit("AKIA"), digest(m, F.lit(16), key, "key", upper=True)))
         .when(kind == "secret", F.concat(lead, digest(m, F.length(m) - F.length(lead), key, "secret")))
         .when(kind.isin("phone", "trunk"), permuted_phone(m, digits, key))
+        .when(kind == "iban", permuted_iban(m, key))
+        .when(kind == "ip6", F.array_join(F.transform(F.split(m, ":"), lambda g: F.when(g == "", g).otherwise(permuted_hex(g, key))), ":"))
         .when(kind == "ip", permuted_ip(m, key))
         .when(kind == "date", permuted_date(m, key))
         .when(kind == "ssn", refill(m, permuted_digits(digits, key, "ssn")))
@@ -184,23 +218,26 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     )
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with text replaced and a column ``_n_pii`` added, the number of values replaced.
+def pseudonymised(docs: DataFrame, key: str, count: str = "_n_pii") -> DataFrame:
+    """``docs`` with text replaced and a column ``count`` added, the number of values replaced.
 
-    Null and empty texts stay as they are. Texts that hold nothing a match must hold are not searched.
+    Whoever has ``key`` can undo the permutations. Null and empty texts stay as they are, a text of any
+    length is one row, every row is its own, so repeated ones, null ids and an empty table are no cases.
+    Other columns stay, whatever their names but ``count``. Texts that hold nothing a match must hold are
+    not searched.
     """
+    (name,) = fresh(docs, "_found")
     changed = lambda m: F.transform(F.array(kind_of(m)), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("new")))[0]
     hot = F.col("text").rlike(HOT)
     found = F.when(hot, F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), changed))
     parts = F.split("text", ANY, -1)
-    news = F.transform(F.col("_found"), lambda f: f["new"])
-    text = F.when(F.size("_found") > 0, F.array_join(F.zip_with(parts, F.concat(news, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")).otherwise(F.col("text"))
-    out = docs.withColumn("_found", found)
-    n = F.coalesce(F.size(F.filter("_found", lambda f: f["kind"].isNotNull())), F.lit(0))
+    news = F.transform(F.col(name), lambda f: f["new"])
+    text = F.when(F.size(name) > 0, F.array_join(F.zip_with(parts, F.concat(news, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")).otherwise(F.col("text"))
+    n = F.coalesce(F.size(F.filter(name, lambda f: f["kind"].isNotNull())), F.lit(0))
     n = F.when(n < 0, 0).otherwise(n)
-    return out.withColumn("text", text).withColumn("_n_pii", n).drop("_found")
+    return docs.withColumn(name, found).withColumn("text", text).withColumn(count, n).drop(name)
 
 
-def pii(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """(doc_id, text, n_pii) of every row; see ``pseudonymised``."""
-    return pseudonymised(docs.select("doc_id", "text"), key).withColumnRenamed("_n_pii", "n_pii")
+def pii(docs: DataFrame, key: str) -> DataFrame:
+    """(doc_id, text, n_pii) of every row; see ``pseudonymised``. Extra columns are ignored."""
+    return pseudonymised(docs.select("doc_id", "text"), key, "n_pii")

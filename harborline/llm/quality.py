@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from harborline.llm.labelled import SAMPLE, held_out, sample
 from harborline.llm.rules import STRESS, SYMBOLS, UPPER, repeated_lines, repeated_words
-from harborline.llm.scratch import Scratch
+from harborline.llm.scratch import Scratch, fresh
 from harborline.llm.text import bounded_batches, chunks, frugal, mix, per_text, words
 
 N_FEATURES, WIDTH, PARTS = 12, 192, 8
@@ -147,6 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int = 5,
     weights = np.linalg.solve(xx + ridge * np.eye(k), xy)
     model = Model(mean, scale, w, b, weights, np.zeros(0), np.zeros(0))
     rest = rows.where(~half).select("x", "label").toArrow()
+    if not rest.num_rows:  # a handful of labels that all fell to the other half
+        rest = rows.select("x", "label").toArrow()
     if rest.num_rows:
         x = np.array(rest.column("x").combine_chunks().flatten()).reshape(-1, N_FEATURES)
         # rounded, so that the order in which partitions were summed cannot split a step
@@ -182,7 +184,14 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents that the classifier does not reject, with their own columns."""
+    """The documents that the classifier does not reject, with their own columns, whatever their names.
+
+    Rows are treated as in ``quality``; an empty table stays empty. Without a labelled row outside the
+    held-out fold nothing can be judged, which is an error for a table with rows.
+    """
     bounded_batches(docs.sparkSession)
     model = fit(docs, labels, Scratch(docs.sparkSession, "quality"))
-    return scored(docs, model, "_score").where(F.col("_score") >= threshold).drop("_score")
+    if not len(model.steps) and not docs.isEmpty():
+        raise ValueError("no labelled document to learn quality from")
+    (name,) = fresh(docs, "_score")
+    return scored(docs, model, name).where(F.col(name) >= threshold).drop(name)

@@ -17,6 +17,8 @@ from harborline.llm.substrings import substring_dedup
 from harborline.llm.toxicity import toxicity
 from harborline.llm.urls import url_filter
 
+#: The session setting that holds the secret key of pseudonyms; the queries over synthetic tables work without one.
+KEY_SETTING, TEST_KEY = "spark.harborline.pii.key", "not a secret"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: No query of this module is plain SQL; tests/llm holds each against a brute-force version.
 ORACLES: dict[str, str] = {}
@@ -34,6 +36,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, TEST_KEY)
+
+
 @query("op1_toxicity")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -72,7 +78,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_pii_pseudonyms")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii(table(spark, sf_dir, "documents"))
+    return pii(table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 @query("op9_url_filter")

@@ -21,7 +21,7 @@ ROWS = [(None, None, None, None, None), (None, "a text without an id", "en", Non
 @pytest.fixture(scope="module")
 def tables(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string, n_chars long")
-    for extra in ("score", "label", "h", "fp", "row", "key", "kept", "n_words", "template", "marks", "held_out"):
+    for extra in ("_doc", "_h", "_key", "_n", "_score", "_found", "score", "label", "h", "fp", "row", "key", "kept", "n_words", "template", "marks", "held_out"):
         docs = docs.withColumn(extra, docs.n_chars)
     labels = spark.createDataFrame([(None, None, None), (3, 1, 0), (4, 0, 1), (5, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(None, None), (1, LONG[:400]), (1, LONG[:400]), (2, "")], "item_id long, text string")
@@ -32,7 +32,7 @@ def tables(spark):
     "run",
     [
         lambda d, n, b: toxicity(d, n), lambda d, n, b: near_duplicates(d), lambda d, n, b: lm_scores(d), lambda d, n, b: quality_rules(d), lambda d, n, b: quality(d, n),
-        lambda d, n, b: substring_dedup(d), lambda d, n, b: pii(d), lambda d, n, b: sampled(d, k=1), lambda d, n, b: url_filter(d.withColumnsRenamed({"doc_id": "page_id", "text": "url"})),
+        lambda d, n, b: substring_dedup(d), lambda d, n, b: pii(d, "k"), lambda d, n, b: sampled(d, k=1), lambda d, n, b: url_filter(d.withColumnsRenamed({"doc_id": "page_id", "text": "url"})),
     ],
 )
 def test_a_row_for_every_row(tables, run):
@@ -45,4 +45,4 @@ def test_filters_keep_columns(tables):
     assert decontaminate(docs, items).count() == len(ROWS) - 2
     kept = one_of_each(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None, 3, 4, 5} and kept.count() == 5
-    assert keep_good(docs, labels).columns == docs.columns and pseudonymised(docs).drop("_n_pii").columns == docs.columns
+    assert keep_good(docs, labels).columns == docs.columns and pseudonymised(docs, "k").drop("_n_pii").columns == docs.columns
