@@ -35,14 +35,14 @@ def _fraction(terms: Callable[[int], tuple[float, float]], b0: float) -> float:
     """A continued fraction b0 + a1/(b1 + a2/(b2 + ...)) by the product of convergents' ratios."""
     f = c = b0 or 1e-300
     d = 0.0
-    for i in range(1, 2000):
+    for i in range(1, 20_000):
         a, b = terms(i)
         d = 1 / ((b + a * d) or 1e-300)
         c = (b + a / c) or 1e-300
         f *= c * d
-        if abs(c * d - 1) < 1e-16:
-            break
-    return f
+        if abs(c * d - 1) < 1e-15:
+            return f
+    raise ArithmeticError("a continued fraction did not converge")
 
 
 def betainc(a: float, b: float, x: float) -> float:

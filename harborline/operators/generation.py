@@ -141,18 +141,21 @@ def age_band(age: Column) -> Column:
 
 
 def joint_demographics(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Every combination with its share."""
+    """Every combination with its share; columns that the table lacks are left out."""
+    columns = [c for c in columns if c in df.columns]
     total = df.agg(F.count("*")).scalar()
     return df.groupBy(*columns).agg(F.count("*").alias("n")).withColumn("share", F.col("n") / total)
 
 
-def macro_elasticity(df: DataFrame, driver: str, outcome: str) -> float:
-    """Log-odds slope of the outcome between the lowest and the highest third of the driver."""
+def macro_elasticity(df: DataFrame, driver: str, outcome: str) -> float | None:
+    """Log-odds slope of the outcome between the lowest and the highest third of the driver; None without one that varies."""
+    if driver not in df.columns or outcome not in df.columns:
+        return None
     q = df.agg(F.percentile(driver, F.array(F.lit(1 / 3), F.lit(2 / 3)))).scalar()
     low, high = F.col(driver) <= q[0], F.col(driver) >= q[1]
     r = df.agg(*[F.avg(F.when(c, F.col(x).cast("double"))).alias(n) for c, s in ((low, "l"), (high, "h")) for x, n in ((driver, f"x{s}"), (outcome, f"y{s}"))]).first()
     odds = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
-    return (odds(r.yh) - odds(r.yl)) / (r.xh - r.xl) if r.xh != r.xl else 0.0
+    return (odds(r.yh) - odds(r.yl)) / (r.xh - r.xl) if None not in tuple(r) and r.xh != r.xl else None
 
 
 def assert_calibrated(ratios: dict[str, float], envelopes: dict[str, tuple[float, float, float]], strict: bool = True) -> dict[str, str]:
@@ -322,7 +325,8 @@ def generate_campaign_contacts(customers: DataFrame, holdings: DataFrame, outcom
     plan = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, c, strict=True)]) for c in sorted(CAMPAIGNS, key=lambda c: c[4]) if c[4] < w.n_months])
     i = F.col("id")
     pick = lambda table, key, default=1.0: F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key], F.lit(default))
-    multiplier = {"branch": 1.15, "digital": 0.95, "telesales": 1.0, "dsa": 0.9, "partner": 0.85}
+    # fixed values: what a channel multiplies the base conversion rate by
+    multiplier = {"digital": 1.15, "telesales": 0.85, "branch": 1.30, "dsa": 0.95}
     kind = "array<struct<campaign_id:string,contact_sequence:int,contact_date:date,channel:string,product_code:string,prior_outcome:string,n_prior_contacts:int,response_probability:double,converted:int,cost_inr:double>>"
 
     def attempt(c: Column) -> object:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from harborline.operators.ranking import globally_ranked
+from harborline.operators.ranking import exact_quantiles, globally_ranked
 
 
 @dataclass(frozen=True)
@@ -69,8 +69,8 @@ def confusion_matrix(df: DataFrame, y: str, score: str, threshold: float = 0.5)
 def curve(df: DataFrame, y: str, score: str) -> DataFrame:
     """(score, n, pos, tp, fp) per distinct score, cumulative from the highest."""
     sizes = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("bigint")).alias("pos"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return sizes.select("score", "n", "pos", F.sum("pos").over(down).alias("tp"), (F.sum("n").over(down) - F.sum("pos").over(down)).alias("fp"))
+    down = globally_ranked(sizes, -F.col("score"), "score", "_i", {"tp": "pos", "_upto": "n"})
+    return down.select("score", "n", "pos", "tp", (F.col("_upto") - F.col("tp")).alias("fp"))
 
 
 def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
@@ -108,7 +108,7 @@ def lift_table(df: DataFrame, y: str, score: str, key: str, n_bins: int = 10) ->
 
 def optimal_threshold(df: DataFrame, y: str, score: str, metric: str = "f1") -> tuple[float, float]:
     """The percentile of the scores with the best value of a ConfusionMatrix property, and that value."""
-    marks = sorted(set(df.agg(F.percentile(F.col(score).cast("double"), F.array(*[F.lit(i / 100) for i in range(1, 100)]))).first()[0] or []))
+    marks = sorted({x for x in exact_quantiles(df, {"x": F.col(score)}, [i / 100 for i in range(1, 100)])["x"] if x is not None})
     cells = df.agg(*[F.struct(*confusion(F.col(y), F.col(score), t)).alias(f"t{i}") for i, t in enumerate(marks)]).first()
     found = [(getattr(ConfusionMatrix(*cells[i]), metric), -t) for i, t in enumerate(marks)]
     best, t = max(found)

@@ -160,6 +160,8 @@ def fit_kmeans(df: DataFrame, x: str, k: int, max_iter: int = 300, tol: float =
         raise ValueError("fewer points than clusters")
     rate = min(1.0, sample / n)
     drawn = np.array([r.x for r in data.where(F.pmod(F.xxhash64("x"), F.lit(1 << 20)) <= int(rate * (1 << 20))).limit(2 * sample).collect()])
+    if len(drawn) < k:  # equal points share a hash: where few are distinct, the draw may miss them all
+        drawn = np.array([r.x for r in data.distinct().limit(2 * sample).collect()])
     drawn = drawn[np.lexsort(drawn.T[::-1])]
     width, best = drawn.shape[1], None
     for start in range(n_init):

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from harborline.operators.ranking import exact_quantiles, globally_ranked
+
 #: Expected first-digit shares, and fixed values: critical chi-squares of 8 degrees, bands of the mean deviation.
 BENFORD = {d: math.log10(1 + 1 / d) for d in range(1, 10)}
 CRITICAL = {0.10: 13.362, 0.05: 15.507, 0.01: 20.090, 0.001: 26.125}
@@ -27,20 +29,19 @@ def profile_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     numbers = [c for c in numeric_columns(df) if c in columns]
     clean = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c)).alias(c) if c in numbers else F.col(c) for c in columns])
     marks = [0.01, 0.25, 0.5, 0.75, 0.99]
-    quartiles = clean.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in numbers]) if numbers else None
-    if quartiles is not None:
-        clean = clean.withColumn("_q", quartiles.select(F.struct(*numbers).alias("q")).scalar())
+    found = exact_quantiles(clean, {c: F.col(c) for c in numbers}, marks) if numbers else {}
     cells = []
     for c in columns:
         v = F.col(c)
         cell = [F.lit(c).alias("column_name"), F.count("*").alias("n_rows"), F.count_if(v.isNull()).alias("n_missing"), F.count_distinct(v).alias("n_distinct")]
         if c in numbers:
             x, n = v.cast("double"), F.count(v)
-            spread = F.col("_q")[c][1] - F.col("_q")[c][0]
-            out = (x < F.col("_q")[c][0] - 1.5 * spread) | (x > F.col("_q")[c][1] + 1.5 * spread)
+            low, high = found[c][1], found[c][3]
+            out = (x < low - 1.5 * (high - low)) | (x > high + 1.5 * (high - low)) if low is not None else F.lit(False)
+            quantiles = F.array(*[F.lit(q) for q in found[c]]) if low is not None else F.lit(None).cast("array<double>")
             # the sample-size correction that turns the population skewness into the unbiased one
             skew = F.when((n > 2) & (F.stddev_pop(x) > 0), F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2))
-            cell += [F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.percentile(x, F.array(*map(F.lit, marks))).alias("quantiles"), F.max(x).alias("max"), skew.alias("skew"), F.count_if(x == 0).alias("n_zero"), F.count_if(x < 0).alias("n_negative"), F.count_if(out).alias("n_outliers")]
+            cell += [F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), quantiles.alias("quantiles"), F.max(x).alias("max"), skew.alias("skew"), F.count_if(x == 0).alias("n_zero"), F.count_if(x < 0).alias("n_negative"), F.count_if(out).alias("n_outliers")]
         else:
             none = F.lit(None).cast("double")
             cell += [none.alias("mean"), none.alias("sd"), none.alias("min"), F.lit(None).cast("array<double>").alias("quantiles"), none.alias("max"), none.alias("skew"), *[F.lit(None).cast("bigint").alias(k) for k in ("n_zero", "n_negative", "n_outliers")]]
@@ -52,9 +53,9 @@ def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(k)
 
 
-def missingness_matrix(df: DataFrame, max_cols: int = 40) -> DataFrame:
-    """(a, b, rate): how often two columns are missing together, for all pairs of the first columns."""
-    columns = df.columns[:max_cols]
+def missingness_matrix(df: DataFrame) -> DataFrame:
+    """(a, b, rate): how often two columns are missing together, for all pairs of columns."""
+    columns = df.columns
     cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.avg((F.col(a).isNull() & F.col(b).isNull()).cast("double")).alias("rate")) for a in columns for b in columns]
     return df.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("x")).select("x.*")
 
@@ -62,8 +63,8 @@ def missingness_matrix(df: DataFrame, max_cols: int = 40) -> DataFrame:
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     """``df`` with the average rank of a column, from counts per distinct value."""
     sizes = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = sizes.select("_v", (before + (F.col("_n") + 1) / 2).alias(name))
+    upto = globally_ranked(sizes, F.col("_v"), "_v", "_i", {"_upto": "_n"})
+    ranks = upto.select("_v", (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
     return df.join(ranks, df[column] == F.col("_v"), "left").drop("_v")
 
 
@@ -117,7 +118,7 @@ def benford_test(df: DataFrame, column: str, alpha: float = 0.05) -> Benford:
     rows = first_digits(df, column).collect()
     n = sum(r.n for r in rows)
     if not n:
-        raise ValueError("no value has a first digit")
+        return Benford(0, 0.0, 0.0, False, "no data")
     chi2 = sum((r.n - n * r.expected) ** 2 / (n * r.expected) for r in rows)
     mad = sum(abs(r.observed - r.expected) for r in rows) / 9
     return Benford(n, chi2, mad, chi2 <= CRITICAL[alpha], next((name for top, name in BANDS if mad < top), "non-conformity"))
@@ -125,8 +126,11 @@ def benford_test(df: DataFrame, column: str, alpha: float = 0.05) -> Benford:
 
 def iqr_outliers(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """``df`` with is_outlier by quartile fences."""
-    q = df.agg(F.percentile(F.col(column).cast("double"), F.array(F.lit(0.25), F.lit(0.75)))).scalar()
-    x, spread = F.col(column).cast("double"), q[1] - q[0]
+    x = F.col(column).cast("double")
+    low, high = exact_quantiles(df, {"x": x}, [0.25, 0.75])["x"]
+    if low is None:
+        return df.withColumn("is_outlier", F.lit(False))
+    q, spread = (low, high), high - low
     return df.withColumn("is_outlier", F.coalesce((x < q[0] - k * spread) | (x > q[1] + k * spread), F.lit(False)))
 
 
@@ -137,15 +141,16 @@ def mad_outliers(df: DataFrame, column: str, threshold: float = 3.5) -> DataFram
     and if the quartiles are equal too, every value off the median is an outlier.
     """
     x = F.col(column).cast("double")
-    middle = df.agg(F.median(x)).scalar()
-    q = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))).scalar()
-    off = df.withColumn("_off", F.abs(x - middle))
-    mad = off.agg(F.median("_off")).scalar()
-    spread = q[1] - q[0]
-    by_mad = 0.6745 * F.col("_off") / mad > threshold
-    by_iqr = (x < q[0] - 1.5 * spread) | (x > q[1] + 1.5 * spread)
-    flag = F.when(mad > 0, by_mad).when(spread > 0, by_iqr).otherwise(x != middle)
-    return off.withColumn("is_outlier", F.coalesce(flag, F.lit(False))).drop("_off")
+    low, middle, high = exact_quantiles(df, {"x": x}, [0.25, 0.5, 0.75])["x"]
+    if middle is None:
+        return df.withColumn("is_outlier", F.lit(False))
+    off, spread = F.abs(x - middle), high - low
+    (mad,) = exact_quantiles(df, {"x": off}, [0.5])["x"]
+    if mad > 0:
+        flag = 0.6745 * off / mad > threshold
+    else:
+        flag = (x < low - 1.5 * spread) | (x > high + 1.5 * spread) if spread > 0 else x != middle
+    return df.withColumn("is_outlier", F.coalesce(flag, F.lit(False)))
 
 
 def round_number_bias(df: DataFrame, column: str, bases: tuple[int, ...] = (10, 100, 1000)) -> DataFrame:
@@ -159,13 +164,16 @@ def duplicate_clusters(df: DataFrame, subset: list[str], min_size: int = 2) -> D
     return df.groupBy(*subset).agg(F.count("*").alias("cluster_size")).where(F.col("cluster_size") >= min_size).orderBy(F.desc("cluster_size"), *subset)
 
 
-def standardise_rate(df: DataFrame, period: str, outcome: str, stratum: str, min_coverage: float = 0.8) -> DataFrame:
-    """(period, rate, coverage): the outcome's rate per period under the pooled mix of strata.
+def standardise_rate(df: DataFrame, period: str, outcome: str, stratum: str, min_coverage: float = 0.8, weights: dict[str, float] | None = None) -> DataFrame:
+    """(period, rate, coverage): the outcome's rate per period under the pooled mix of strata, or under given weights.
 
     Weights of strata absent in a period are spread over those present; below ``min_coverage`` of the
     weight the rate is null.
     """
     mix = df.groupBy(stratum).agg(F.count("*").alias("n")).select(stratum, (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("w"))
+    if weights:
+        total = sum(weights.values())
+        mix = df.sparkSession.createDataFrame([(k, v / total) for k, v in weights.items()], f"{stratum} string, w double")
     cells = df.groupBy(period, stratum).agg(F.avg(F.col(outcome).cast("double")).alias("r"))
     both = cells.join(mix, stratum)
     out = both.groupBy(period).agg((F.sum(F.col("w") * F.col("r")) / F.sum("w")).alias("rate"), F.sum("w").alias("coverage"))
@@ -179,6 +187,11 @@ class Break:
     after: float
     score: float
 
+    @property
+    def pct_change(self) -> float | None:
+        """The change of level in percent of the level before; None if that is 0."""
+        return 100 * (self.after - self.before) / abs(self.before) if self.before else None
+
 
 def break_scan(series: DataFrame, order: str, value: str, min_segment: int = 6) -> DataFrame:
     """(split, before, after, score) of every legal split of a series: Welch's statistic from prefix sums.

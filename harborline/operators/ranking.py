@@ -7,6 +7,8 @@ the tie-breaker does.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,3 +55,41 @@ def ntile(rn: Column, n: Column, k: int) -> Column:
     q, r = F.floor(n / k), n % k
     head = r * (q + 1)
     return F.when(q == 0, rn).when(rn <= head, F.floor((rn - 1) / (q + 1)) + 1).otherwise(r + F.floor((rn - 1 - head) / F.greatest(q, F.lit(1))) + 1).cast("int")
+
+
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], marks: list[float], small: int = SMALL) -> dict[str, list[float | None]]:
+    """The exact, interpolated quantiles of every column, without gathering its values in one task.
+
+    Up to ``small`` rows, one aggregation finds them. Beyond, the value at a rank is found by counting
+    256 bins between the least and the largest value and then only the bin that holds the rank, until
+    its rows are few enough or equal. Null and NaN are missing; without values all quantiles are None.
+    """
+    values = df.select(*[F.when(~F.isnan(c.cast("double")), c.cast("double")).alias(k) for k, c in columns.items()])
+    ends = values.agg(*[F.struct(F.count(k), F.min(k), F.max(k)).alias(k) for k in columns]).first()
+    few = [k for k in columns if ends[k][0] <= small or math.inf in (-ends[k][1], ends[k][2])]
+    out = {k: [None] * len(marks) for k in columns}
+    if few:
+        found = values.agg(*[F.percentile(k, F.array(*map(F.lit, marks))).alias(k) for k in few]).first()
+        out |= {k: found[k] for k in few if found[k] is not None}
+    for k in columns.keys() - set(few):
+        n, lo, hi = ends[k]
+        places = [(n - 1) * q for q in marks]
+        of = {r: _value_at(values.select(F.col(k).alias("x")), r, lo, hi, small) for r in sorted({f(p) for p in places for f in (math.floor, math.ceil)})}
+        out[k] = [of[math.floor(p)] + (of[math.ceil(p)] - of[math.floor(p)]) * (p - math.floor(p)) for p in places]
+    return out
+
+
+def _value_at(values: DataFrame, rank: int, lo: float, hi: float, small: int) -> float:
+    """The value of ``x`` at a rank from 0, between the least and the largest value."""
+    inside = values.where(F.col("x").between(lo, hi))
+    while lo < hi:
+        bins = inside.groupBy(F.floor((F.col("x") - lo) / (hi - lo) * 255).alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        for row in sorted(bins.collect(), key=lambda r: r.bin):
+            if rank < row.n:
+                break
+            rank -= row.n
+        lo, hi = row.lo, row.hi
+        inside = values.where(F.col("x").between(lo, hi))
+        if row.n <= small:
+            return inside.agg(F.percentile("x", F.lit(rank / max(row.n - 1, 1)))).first()[0]
+    return lo

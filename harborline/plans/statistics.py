@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborline.functions.hypothesis import contingency
-from harborline.functions.intervals import proportion_table
+from harborline.functions.intervals import difference_in_proportions_interval, proportion_table
 from harborline.operators import profiling as P
 from harborline.operators.metrics import confusion, curve, lift_table, ranking_metrics
-from harborline.operators.models import fit_kmeans, fit_logistic
-from harborline.operators.rules import Severity, foreign_key, in_range, in_set, matches, non_negative, not_null, rule_counts, unique
+from harborline.operators.models import KMeansFit, fit_kmeans, fit_logistic
+from harborline.operators.rules import Severity, foreign_key, in_range, in_set, matches, monotonic_dates, no_future_dates, non_negative, not_null, row_count_between, rule_counts, unique
 from harborline.plans.atomic import read
 from harborline.plans.registry import query
 from harborline.plans.star import to
@@ -52,9 +53,9 @@ def benford(spark: SparkSession, d: str) -> DataFrame:
     return P.first_digits(read(spark, d, "lineitem"), "l_extendedprice").select("digit", "n", to(F.col("observed"), 6).alias("observed"), to(F.col("expected"), 6).alias("expected"))
 
 
-@query("mad_outliers_orders", "WITH m AS (SELECT median(o_totalprice) AS m FROM orders), d AS (SELECT median(abs(o_totalprice - m)) AS d FROM orders, m) SELECT o_orderkey FROM orders, m, d WHERE 0.6745::DOUBLE * abs(o_totalprice - m) / d > 1.5")
+@query("mad_outliers_orders", "WITH m AS (SELECT median(o_totalprice) AS m FROM orders), d AS (SELECT median(abs(o_totalprice - m)) AS d FROM orders, m) SELECT o_orderkey FROM orders, m, d WHERE 0.6745::DOUBLE * abs(o_totalprice - m) / d > 1.2")
 def mad(spark: SparkSession, d: str) -> DataFrame:
-    return P.mad_outliers(read(spark, d, "orders"), "o_totalprice", 1.5).where("is_outlier").select("o_orderkey")
+    return P.mad_outliers(read(spark, d, "orders"), "o_totalprice", 1.2).where("is_outlier").select("o_orderkey")
 
 
 @query("iqr_outliers_events", "WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events) SELECT event_id FROM events, q WHERE value < a - 0.25::DOUBLE * (b - a) OR value > b + 0.25::DOUBLE * (b - a)")
@@ -138,3 +139,42 @@ def logistic(spark: SparkSession, d: str) -> DataFrame:
 def kmeans(spark: SparkSession, d: str) -> DataFrame:
     points = read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x"))
     return fit_kmeans(points, "x", 4).predict(points, "x").select("vec_id", "cluster")
+
+
+@query("rules_order_dates", """WITH l AS (SELECT o_orderdate, o_orderdate < lag(o_orderdate) OVER (ORDER BY o_orderkey) AS back FROM orders), c AS (SELECT count(*) AS n, count(*) FILTER (back) AS b, count(*) FILTER (o_orderdate > TIMESTAMP '1998-01-01') AS f FROM l)
+SELECT 'row_count' AS rule, n AS n_checked, if(n BETWEEN 1 AND 10, 0, n) AS n_failed FROM c UNION ALL SELECT 'o_orderdate_monotonic', n, b FROM c UNION ALL SELECT 'o_orderdate_not_future', n, f FROM c""")
+def rules_order_dates(spark: SparkSession, d: str) -> DataFrame:
+    rules = [row_count_between(1, 10), monotonic_dates("o_orderdate", "o_orderkey"), no_future_dates("o_orderdate", "1998-01-01")]
+    return rule_counts(read(spark, d, "orders"), rules)
+
+
+@query("spearman_lineitem", f"WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0::DOUBLE AS b FROM lineitem) SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, {r2('corr(r.a, r.b)', 6)} AS r FROM r")
+def spearman(spark: SparkSession, d: str) -> DataFrame:
+    found = P.correlation_pairs(read(spark, d, "lineitem").select("l_quantity", "l_extendedprice"), threshold=0.0, method="spearman")
+    return found.select("a", "b", to(F.col("r"), 6).alias("r"))
+
+
+_WILSON = "(p + z * z / (2 * n)) / (1 + z * z / n) {0} z / (1 + z * z / n) * sqrt(p * (1 - p) / n + z * z / (4.0::DOUBLE * n * n))"
+
+
+@query("newcombe_difference", f"""WITH g AS (SELECT o_orderstatus AS s, count(*)::DOUBLE AS n, count(*) FILTER (o_orderpriority < '3') / count(*)::DOUBLE AS p, 1.959963984540054::DOUBLE AS z FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1),
+w AS (SELECT s, p, {_WILSON.format('-')} AS lo, {_WILSON.format('+')} AS hi FROM g), b AS (SELECT f.p - o.p AS d, sqrt((f.p - f.lo) ** 2 + (o.hi - o.p) ** 2) AS down, sqrt((f.hi - f.p) ** 2 + (o.p - o.lo) ** 2) AS up FROM w f, w o WHERE f.s = 'F' AND o.s = 'O')
+SELECT {r2('d', 6)} AS difference, {r2('d - down', 6)} AS low, {r2('d + up', 6)} AS high FROM b""")
+def newcombe(spark: SparkSession, d: str) -> DataFrame:
+    sums = read(spark, d, "orders").where("o_orderstatus in ('F', 'O')").groupBy("o_orderstatus").agg(F.count_if(F.col("o_orderpriority") < "3").alias("s"), F.count("*").alias("n")).collect()
+    of = {r.o_orderstatus: (r.s, r.n) for r in sums}
+    i = difference_in_proportions_interval(*of.get("F", (0, 0)), *of.get("O", (0, 0)))
+    return spark.createDataFrame([(i.estimate, i.low, i.high)], "difference double, low double, high double").select(*[to(F.col(c), 6).alias(c) for c in ("difference", "low", "high")])
+
+
+#: Fixed centres, one per corner of the first two dimensions, so that SQL can assign points as well.
+CORNERS = [(0.5, 0.5), (0.5, -0.5), (-0.5, 0.5), (-0.5, -0.5)]
+
+
+_CENTRES = ", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE)" for i, (x, y) in enumerate(CORNERS))
+
+
+@query("kmeans_assignment", f"WITH c AS (SELECT * FROM (VALUES {_CENTRES}) AS t(i, x, y)), e AS (SELECT vec_id, i, (embedding[1]::DOUBLE - x) * (embedding[1]::DOUBLE - x) + (embedding[2]::DOUBLE - y) * (embedding[2]::DOUBLE - y) AS d FROM embeddings, c) SELECT vec_id, i AS cluster FROM e QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, i) = 1")
+def assigned(spark: SparkSession, d: str) -> DataFrame:
+    points = read(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 2), lambda v: v.cast("double")).alias("x"))
+    return KMeansFit(np.array(CORNERS), 0.0, 0).predict(points, "x").select("vec_id", "cluster")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from harborline.operators.ranking import globally_ranked, ntile
 from harborline.plans.registry import query
-from harborline.plans.star import DAYS_PER_MONTH, DEFAULT_RATE, STAR_SQL, Star, fiscal, star, money, to, truncated_months
+from harborline.plans.star import DAYS_PER_MONTH, DEFAULT_RATE, MACRO, STAR_SQL, Star, fiscal, star, money, to, truncated_months
 
 # The named segments in order of precedence, as conditions on the three scores.
 RFM_SEGMENTS = [
@@ -232,7 +232,7 @@ def q08(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("q09_clv_deciles", sql(f""",
-rate AS (SELECT {DEFAULT_RATE}::DOUBLE / 100 / 12 AS i),
+rate AS (SELECT coalesce((SELECT v FROM (VALUES {", ".join(f"('{k}', {y}, {'NULL' if v is None else v}::DOUBLE)" for k, y, v in MACRO)}) AS m(k, y, v) WHERE k = 'FR.INR.LEND' AND v IS NOT NULL ORDER BY y DESC LIMIT 1), {DEFAULT_RATE}::DOUBLE) / 100 / 12 AS i),
 paid AS (SELECT customer_key, sum(revenue_c)::BIGINT AS r, count(DISTINCT month) AS n FROM account GROUP BY 1),
 future AS (SELECT customer_id, segment, city, acquisition_channel, income_c, tenure_months, churned, observed_months, r, r / n::DOUBLE / 100.0::DOUBLE AS avg, if(churned = 1, 0, least(120, 12 + observed_months * 1.5::DOUBLE)) AS months, customer_key, i
            FROM cust JOIN paid USING (customer_key) JOIN snapshot USING (customer_key), rate),

@@ -71,6 +71,7 @@ def get_bytes(url: str, params: dict | None = None, cache_dir: str | None = None
 
     A ttl of 0 or less never expires. Client errors are not retried, save 408 and 429.
     """
+    params = {k: v for k, v in (params or {}).items() if v is not None and v != ""}
     if params:
         url = f"{url}{'&' if '?' in url else '?'}{urllib.parse.urlencode(sorted(params.items()))}"
     held = Path(cache_dir, sha256(url.encode())) if cache_dir else None
@@ -139,6 +140,6 @@ def write_results(queries: dict[str, Callable[[SparkSession, str], DataFrame]],
     sizes = {}
     for name, run in queries.items():
         df = run(spark, sf_dir)
-        (df.limit(limit) if limit else df).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/{name}")
+        (df.limit(limit) if limit else df).write.mode("overwrite").option("header", True).csv(f"{out}/{name}")
         sizes[name] = spark.read.option("header", True).csv(f"{out}/{name}").count()
     return sizes

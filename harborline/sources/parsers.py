@@ -6,17 +6,31 @@ A payload is a table with a ``body`` column (JSON text) or files read by ``binar
 
 from __future__ import annotations
 
+import csv
 import io
+import itertools
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-# Texts that stand for no number, percent fields of the bank filings, and World Bank series.
+# Texts that stand for no number, and percent fields of the bank filings.
 PLACEHOLDERS = ["", "-", "--", ".", "n/a", "na", "nan", "none", "null"]
 PERCENT_FIELDS = ["NIMY", "ROA", "ROE", "EEFFR"]
-INDICATORS = ["FR.INR.LEND", "FR.INR.DPST", "FP.CPI.TOTL.ZG", "NY.GDP.MKTP.KD.ZG", "NY.GDP.PCAP.CD", "PA.NUS.FCRF", "SL.UEM.TOTL.ZS", "FS.AST.PRVT.GD.ZS"]
+# World Bank series of the panel, with their labels.
+INDICATORS = {
+    "FR.INR.LEND": "Lending interest rate (%)",
+    "FR.INR.DPST": "Deposit interest rate (%)",
+    "FB.CBK.BRCH.P5": "Commercial bank branches (per 100,000 adults)",
+    "FX.OWN.TOTL.ZS": "Account ownership, age 15+ (% of population)",
+    "NY.GDP.MKTP.KD.ZG": "GDP growth (annual %)",
+    "FP.CPI.TOTL.ZG": "Inflation, consumer prices (annual %)",
+    "NY.GDP.PCAP.CD": "GDP per capita (current US$)",
+    "FB.BNK.CAPA.ZS": "Bank capital to assets ratio (%)",
+}
 
 
 class SourceError(Exception):
@@ -30,14 +44,14 @@ def coerce_numeric(c: Column | str) -> Column:
     return F.when(~F.lower(text).isin(PLACEHOLDERS) & ~F.isnan(value), value)
 
 
-def _raise_unless(ok: Column, message: str, value: Column) -> Column:
+def _raise_unless(ok: Column, message: Column, value: Column) -> Column:
     return F.when(ok, value).otherwise(F.raise_error(message).cast("string"))
 
 
 def world_bank(payloads: DataFrame) -> DataFrame:
     """(indicator, indicator_label, country_iso3, year, value) from [meta, rows]; null rows give none, an error object raises."""
     parts = F.from_json("body", "array<string>")
-    rows = _raise_unless((F.size(parts) == 2) | ~F.get_json_object("body", "$[0].message").isNotNull(), "the World Bank answered with an error", F.get(parts, F.lit(1)))
+    rows = _raise_unless((F.size(parts) == 2) | ~F.get_json_object("body", "$[0].message").isNotNull(), F.concat(F.lit("the World Bank answered with an error: "), F.coalesce(F.get_json_object("body", "$[0].message[0].value"), F.get_json_object("body", "$[0].message"))), F.get(parts, F.lit(1)))
     kind = "array<struct<indicator:struct<id:string,value:string>,countryiso3code:string,date:string,value:string>>"
     found = payloads.select(F.explode(F.from_json(rows, kind)).alias("r"))
     return found.select(F.col("r.indicator.id").alias("indicator"), F.col("r.indicator.value").alias("indicator_label"), F.col("r.countryiso3code").alias("country_iso3"), F.col("r.date").try_cast("int").alias("year"), coerce_numeric(F.col("r.value")).alias("value"))
@@ -118,12 +132,26 @@ def inner_csv(blob: bytes, hint: str = "bank-additional-full.csv") -> tuple[byte
 
 def campaign_contacts(spark: SparkSession, text: str, drop_leaky: bool = True) -> DataFrame:
     """Contacts of a ;-separated file: dots in names become underscores, y becomes subscribed, duration goes."""
-    head, *lines = text.splitlines()
-    names = [c.strip().strip('"') for c in head.split(";")]
-    kind = ", ".join(f"`{c}` string" for c in names)
-    rows = spark.createDataFrame([(x,) for x in lines], "value string")
-    df = rows.select(F.from_csv("value", kind, {"sep": ";", "quote": '"'}).alias("r")).select("r.*")
-    # a column is numeric if every value is
+    return contacts_of(spark.createDataFrame(list(csv_rows(text)), _text_schema(text)), drop_leaky)
+
+
+def campaign_contacts_at(spark: SparkSession, path: str, drop_leaky: bool = True) -> DataFrame:
+    """``campaign_contacts`` of a file or folder, read by the executors; quoted line feeds stay in their field."""
+    return contacts_of(spark.read.csv(path, sep=";", quote='"', header=True, multiLine=True), drop_leaky)
+
+
+def csv_rows(text: str) -> Iterator[tuple[str, ...]]:
+    """The rows of a ;-separated text after its head; a quoted field may hold line feeds."""
+    return map(tuple, itertools.islice(csv.reader(io.StringIO(text, newline=""), delimiter=";"), 1, None))
+
+
+def _text_schema(text: str) -> T.StructType:
+    return T.StructType([T.StructField(c.strip(), T.StringType()) for c in next(csv.reader(io.StringIO(text, newline=""), delimiter=";"))])
+
+
+def contacts_of(df: DataFrame, drop_leaky: bool = True) -> DataFrame:
+    """Contacts from columns of text; a column is a number if every value is."""
+    names = df.columns
     plain = df.agg(*[F.count_if(F.col(f"`{c}`").try_cast("double").isNull()).alias(str(i)) for i, c in enumerate(names)]).first()
     df = df.select(*[F.col(f"`{c}`").cast("double").alias(c) if not plain[i] else F.col(f"`{c}`") for i, c in enumerate(names)])
     df = df.toDF(*[c.replace(".", "_") for c in df.columns])

@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from harborline.operators.ranking import globally_ranked, ntile
+from harborline.operators.models import fit_kmeans
+from harborline.operators.ranking import exact_quantiles, globally_ranked, ntile
 
 
 def test_ranks_and_running_sums(spark):
@@ -25,3 +28,20 @@ def test_ntile(spark):
         rows = spark.range(1, n + 1).select(ntile(F.col("id"), F.lit(n), 10).alias("t")).collect()
         want = [i + 1 for i in range(min(10, n)) for _ in range(n // 10 + (i < n % 10))]
         assert [r.t for r in rows] == want
+
+
+def test_exact_quantiles_by_bins(spark):
+    rng = random.Random(4)
+    values = [rng.choice([0.0, 1.0, rng.gauss(0, 1), rng.gauss(0, 1e9)]) for _ in range(3000)] + [None, float("nan")]
+    df = spark.createDataFrame([(v, 7.0) for v in values], "x double, same double")
+    marks = [0.0, 0.01, 0.25, 0.5, 0.733, 0.99, 1.0]
+    got = exact_quantiles(df, {"x": F.col("x"), "same": F.col("same"), "none": F.lit(None)}, marks, small=40)
+    known = sorted(v for v in values if v is not None and v == v)
+    assert got["same"] == [7.0] * len(marks) and got["none"] == [None] * len(marks)
+    assert got["x"] == pytest.approx(np.quantile(known, marks).tolist(), rel=1e-12)
+    assert got == exact_quantiles(df, {"x": F.col("x"), "same": F.col("same"), "none": F.lit(None)}, marks) | {"x": got["x"]}
+
+
+def test_kmeans_with_few_distinct_points(spark):
+    df = spark.range(60000).select(F.array((F.col("id") % 2).cast("double"), F.lit(0.0)).alias("x"))
+    assert sorted(fit_kmeans(df, "x", 2, n_init=1).sizes) == [30000, 30000]
