@@ -15,7 +15,7 @@ recursion for the bigrams that this join does not find, which a second, small on
 Bigrams are counted in PASSES passes and scored in BLOCKS, by the hash of the history: a pass's shuffle is
 gone before the next one's. In every lookup the rows with the largest counts, at most ``HOT`` or ``NEAR``, are
 broadcast and looked up in place; that bound holds for any corpus, and it also rids the joins of their
-frequent keys. All other rows are joined by a shuffle that sorts and spills.
+frequent keys. All other rows are joined by a shuffle whose number of partitions follows their number.
 """
 
 from __future__ import annotations
@@ -34,10 +34,12 @@ from harborline.llm.labelled import held_out
 from harborline.llm.scratch import Scratch
 from harborline.llm.text import Lookup, Words, bounded_batches, chunks, frugal, mix, words
 
-#: Counts up to GOOD_TURING are discounted; rows that are broadcast at most: bigrams; words and histories.
+#: Counts up to GOOD_TURING are discounted; rows that are broadcast at most: bigrams; words to a join (twice as many words, and histories, to Python).
 GOOD_TURING, HOT, NEAR = 5, 1 << 19, 1 << 17
 #: Bigrams that a task adds up before they leave it; parts of the histories that are counted or scored at a time.
 TOGETHER, PASSES, BLOCKS = 2_000_000, 2, 3
+#: Looked-up rows per task of a scoring join.
+PART = 500_000
 #: Rows of one Arrow batch that leaves a Python worker.
 PIECE = 1 << 16
 END, START = np.uint64(0xE5D1E5D1E5D1E5D1), np.uint64(0x57A2757A2757A275)
@@ -241,8 +243,10 @@ def score(docs: DataFrame, model: Model, scratch: Scratch, hot: int = HOT, near:
         model.histories.select(F.lit(signed(HISTORY)).alias("h"), F.col("h").alias("w"), "c", F.col("s").alias("x"), none.alias("b")),
         model.uni.select(F.lit(signed(WORD)).alias("h"), "w", "c", F.lit(0.0).alias("x"), base(F.col("c")).alias("b")),
     ]
-    cuts = [hot_from(order, room) for order, room in zip(orders, (hot, near, near), strict=True)]
+    cuts = [hot_from(order, room) for order, room in zip(orders, (hot, 2 * near, 2 * near), strict=True)]
     shared = docs.sparkSession.sparkContext.broadcast([_lookup(o.where(F.col("c") >= cut)) for o, cut in zip(orders, cuts, strict=True)])
+    n_terms = sum(table.count() for table in (model.pairs, model.histories, model.uni))
+    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_terms // (blocks * PART)))
     sums = []
     for b in range(blocks):
         mine = lambda h, b=b: F.pmod(h, F.lit(blocks)) == b
@@ -251,14 +255,18 @@ def score(docs: DataFrame, model: Model, scratch: Scratch, hot: int = HOT, near:
         cold = rows.select("row", "row2", "text").mapInArrow(frugal(_looked_up(shared, b, blocks)), "row long, row2 int, h long, w long, n int, extra array<double>")
         whole = [F.sum(F.get("extra", F.lit(i))).alias(name) for i, name in enumerate(("tokens", "left", "x", "b"))]
         missed = F.col("x_").isNull() & F.col("extra").isNull() & ~F.col("h").isin(signed(WORD), signed(HISTORY))
-        found = cold.join(terms.withColumnRenamed("x", "x_"), ["h", "w"], "left").groupBy("row", "row2").agg(
-            F.sum(F.col("n") * F.col("x_")).alias("sx"), F.sum(F.col("n") * F.col("base")).alias("sb"), F.sum(F.when(F.col("base").isNotNull(), F.col("n"))).alias("sk"), F.count("extra").alias("times"), *whole,
-            F.collect_list(F.when(missed, F.struct("h", "w", "n"))).alias("unseen"),
+        # terms have distinct keys and PART of them or fewer per task, whatever their number: a bound for the hashed side
+        to = lambda df: df.repartition(n_parts, "h", "w")
+        found = to(cold).join(to(terms.withColumnRenamed("x", "x_")).hint("shuffle_hash"), ["h", "w"], "left")
+        # one row per text for what is found, and one for every bigram that is not
+        found = found.withColumns({"uh": F.when(missed, F.col("h")), "uw": F.when(missed, F.col("w"))}).groupBy("row", "row2", "uh", "uw").agg(
+            F.sum(F.col("n") * F.col("x_")).alias("sx"), F.sum(F.col("n") * F.col("base")).alias("sb"), F.sum(F.when(F.col("base").isNotNull(), F.col("n"))).alias("sk"), F.count("extra").alias("times"), *whole, F.sum("n").alias("n")
         )
         sums.append(scratch.save(found, f"scores-{b}"))
     scratch.drop(*[f"bigrams-{i}" for i in range(PASSES)])
     every = reduce(DataFrame.unionByName, sums)
-    unseen = every.select("row", "row2", F.explode("unseen").alias("u")).select("row", "row2", "u.*")
+    unseen = every.where("uh is not null").select("row", "row2", F.col("uh").alias("h"), F.col("uw").alias("w"), "n")
+    every = every.where("uh is null")
     back = unseen.join(model.uni.select("w", F.log10("p").alias("p")), "w", "left").join(model.histories.select("h", "s", "a"), "h", "left")
     cost = F.coalesce("p", F.lit(model.unknown)) + F.coalesce(F.col("a") - F.col("s"), F.lit(0.0))
     # a history that is known gave its scale to every token after it, so a backed-off one takes it off again
