@@ -3,8 +3,8 @@
 The statistics of a document are compared with thresholds read from quantile sketches of its own
 (lang, source). A sketch is a histogram on a logarithmic scale: bin b holds the values within a fixed
 relative error of its middle. Two sketches merge by adding bins, in any order and exactly, so the
-result does not depend on how rows are dealt out, and a source too small to judge by itself uses the
-merged sketch of its language, or of everything.
+result does not depend on how rows are dealt out. A source's threshold is drawn towards that of its
+language, and a language's towards that of everything, the more the fewer rows it has.
 """
 
 from __future__ import annotations
@@ -114,13 +114,15 @@ def fences(bins: DataFrame, keys: list[str], spread: float) -> DataFrame:
     return found.select(*keys, "metric", "total", (value(F.col("mid")) + spread * (value(F.col("high")) - value(F.col("mid")))).alias("fence"))
 
 
-def quality_rules(docs: DataFrame, spread: float = 7.0, least: int = 200) -> DataFrame:
+def quality_rules(docs: DataFrame, spread: float = 7.0, prior: float = 200.0) -> DataFrame:
     """One row per document: doc_id, counts, base_failed, kept and the names of the rules it broke.
 
     base_failed: under 50 words, or over half of the words repeated. kept is false for those, and for
-    documents over an adaptive threshold by the metric's margin. Sketches of fewer than ``least``
-    rows give way to those of the language, then of the whole table. Null lang or source is a group
-    like any other; null and empty texts have zero counts and fail. Repeated rows each count.
+    documents over an adaptive threshold by the metric's margin. A group's threshold is the mean of its
+    own, weighted by its rows, and of the next larger group's, weighted by ``prior``. Null lang or source
+    is a group like any other; null and empty texts have zero counts and fail; a text of any length is
+    one row. Repeated rows each count; a null doc_id is kept. An empty table gives an empty result.
+    Extra columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -132,8 +134,8 @@ def quality_rules(docs: DataFrame, spread: float = 7.0, least: int = 200) -> Dat
     levels = [["lang", "source"], ["lang"], []]
     wide = []
     for keys in levels:
-        f = fences(bins, keys, spread).where(F.col("total") >= least) if keys else fences(bins, keys, spread)
-        wide.append(f.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("metric", "fence"))).alias(f"f{len(keys)}")))
+        entry = F.struct("metric", F.struct("fence", "total"))
+        wide.append(fences(bins, keys, spread).groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias(f"f{len(keys)}")))
     groups = bins.select("lang", "source").distinct()
     for keys, f in zip(levels, wide, strict=True):
         if keys:
@@ -142,7 +144,10 @@ def quality_rules(docs: DataFrame, spread: float = 7.0, least: int = 200) -> Dat
             groups = groups.join(f, on, "left").drop(*[f"_{k}" for k in keys])
         else:
             groups = groups.withColumn("f0", f.scalar())
-    table = scratch.save(groups.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.coalesce("f2", "f1", "f0").alias("fence")), "thresholds")
+    drawn = lambda own, near: (own["total"] * own["fence"] + prior * near) / (own["total"] + prior)
+    of_lang = F.map_zip_with("f1", "f0", lambda _, own, near: drawn(own, near["fence"]))
+    groups = groups.withColumn("fence", F.map_zip_with("f2", of_lang, lambda _, own, near: drawn(own, near)))
+    table = scratch.save(groups.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "fence"), "thresholds")
     over = F.array_compact(F.array(*[F.when(F.col(f"m_{m}") > F.col("fence")[m] + slack, F.lit(m)) for m, (_, slack) in METRICS.items()]))
     joined = values.join(table, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
