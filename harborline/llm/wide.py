@@ -9,7 +9,7 @@ has a list in common and passes the tally: 0.91 at 0.80, 0.99 at 0.85, 0.9999 at
 
 A class is first compared with the least one of each of its lists; then the pairs of a list that these
 links left in different components are compared in blocks, so a list of copies costs as many exact
-comparisons as it has members, and yet no pair of a list is passed over.
+comparisons as it has members, and yet no pair of a list is passed over. Lists of the same classes are one.
 """
 
 from __future__ import annotations
@@ -135,6 +135,14 @@ def posted(classes: DataFrame, first: int) -> DataFrame:
     return one.select("class", "word", "x", F.explode(masks).alias("mask")).select(F.xxhash64(F.col("word") + first, "mask", F.col("x").bitwiseAND(F.col("mask"))).alias("key"), "class")
 
 
+def different(members: DataFrame) -> DataFrame:
+    """``members`` (key, n, class, least) of one list of each set of classes; sets are told apart by 128 bits.
+
+    Classes that agree in more than four bytes of a word, or in several words, stand together in many lists."""
+    sets = members.groupBy("key", "n", "least").agg(F.bit_xor("class").alias("x"), F.bit_xor(F.xxhash64("class")).alias("y"))
+    return members.join(sets.groupBy("n", "least", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 def grouped(docs: DataFrame, size: int, similarity: float, scratch: Scratch) -> DataFrame:
     """(doc_id, h, root) of every row: rows of one root are linked by pairs that reach the similarity."""
     bounded_batches(docs.sparkSession)
@@ -148,6 +156,8 @@ def grouped(docs: DataFrame, size: int, similarity: float, scratch: Scratch) ->
         # the lists grow with the corpus, so they are broadcast only if their files are small
         some = scratch.save(keys.join(lists, "key").select("key", "n", "class", "least"), f"members-{first}")
         members = some if members is None else members.unionByName(some)
+    members = scratch.save(different(members), "members")
+    scratch.drop(*[f"{name}-{first}" for first in range(0, WORDS, ROUND) for name in ("lists", "members")])
     stars = scratch.save(members.where("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct(), "stars")
     ends = stars.select(F.col("a").alias("class")).unionByName(stars.select(F.col("b").alias("class"))).distinct()
     listed = scratch.save(classes.join(ends, "class"), "listed")
