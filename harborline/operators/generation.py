@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborline.operators.models import sigmoid
+from harborline.settings import EngineError
 
 # ---- fixed values of the generated bank ------------------------------------------------------------
 CITIES = [("Mumbai", "Maharashtra", 0.18), ("Delhi", "Delhi", 0.14), ("Bengaluru", "Karnataka", 0.12), ("Chennai", "Tamil Nadu", 0.09), ("Hyderabad", "Telangana", 0.08), ("Pune", "Maharashtra", 0.07), ("Kolkata", "West Bengal", 0.07), ("Ahmedabad", "Gujarat", 0.06), ("Jaipur", "Rajasthan", 0.05), ("Lucknow", "Uttar Pradesh", 0.04), ("Kochi", "Kerala", 0.04), ("Indore", "Madhya Pradesh", 0.03), ("Chandigarh", "Punjab", 0.03)]
@@ -96,7 +97,7 @@ def zscored(df: DataFrame, values: dict[str, Column]) -> DataFrame:
 
 
 # ---- calibration -------------------------------------------------------------------------------------
-class CalibrationError(Exception):
+class CalibrationError(EngineError):
     """Too little data to calibrate on, or a portfolio outside its peers' range."""
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from harborline.settings import EngineError
+
 # Texts that stand for no number, and percent fields of the bank filings.
 PLACEHOLDERS = ["", "-", "--", ".", "n/a", "na", "nan", "none", "null"]
 PERCENT_FIELDS = ["NIMY", "ROA", "ROE", "EEFFR"]
@@ -33,7 +35,7 @@ INDICATORS = {
 }
 
 
-class SourceError(Exception):
+class SourceError(EngineError):
     """A source failed or answered with something else than data."""
 
 
@@ -63,13 +65,18 @@ def latest_value(series: DataFrame) -> DataFrame:
     return series.where("value is not null").groupBy("indicator").agg(last.alias("x")).select("indicator", "x.year", "x.value")
 
 
-def bank_filings(payloads: DataFrame, numbers: list[str]) -> DataFrame:
-    """Rows of {data: [{data: {...}} or {...}]}: all fields as text but the numeric ones, REPDTE as report_date."""
-    rows = payloads.select(F.explode(F.from_json(F.get_json_object("body", "$.data"), "array<string>")).alias("r"))
+def bank_rows(payloads: DataFrame) -> DataFrame:
+    """(m), a row's fields as a map of texts, of {data: [{data: {...}} or {...}]}; a payload without data raises."""
+    data = F.get_json_object("body", "$.data")
+    rows = payloads.select(F.explode(F.from_json(_raise_unless(data.isNotNull(), F.lit("the filings have no data"), data), "array<string>")).alias("r"))
     inner = F.coalesce(F.get_json_object("r", "$.data"), F.col("r"))
-    fields = rows.select(F.from_json(inner, "map<string,string>").alias("m"))
+    return rows.select(F.from_json(inner, "map<string,string>").alias("m"))
+
+
+def bank_filings(payloads: DataFrame, numbers: list[str]) -> DataFrame:
+    """CERT, NAME, REPDTE as report_date, and the numbers asked for, of every row."""
     get = lambda k: F.col("m")[k]
-    return fields.select(get("CERT").try_cast("int").alias("CERT"), get("NAME").alias("NAME"), F.try_to_date(get("REPDTE"), "yyyyMMdd").alias("report_date"), *[coerce_numeric(get(n)).alias(n) for n in numbers])
+    return bank_rows(payloads).select(get("CERT").try_cast("int").alias("CERT"), get("NAME").alias("NAME"), F.try_to_date(get("REPDTE"), "yyyyMMdd").alias("report_date"), *[coerce_numeric(get(n)).alias(n) for n in numbers])
 
 
 def peer_panel(financials: DataFrame, institutions: DataFrame, quarters: int) -> DataFrame:
