@@ -1,16 +1,21 @@
 """Toxic passages by maximum-scoring segments.
 
-Fitting counts, over the labelled sample, the documents of either class that hold a token (or the
-stem it begins with), but no more
-than the distinct words it follows there, lest copies of one passage count as many, and takes log-odds under a Dirichlet prior proportional to the token's share of the sample. Tokens whose log-odds
-differ from zero by more than chance keep a score of their own; all others share one. Both classes are
-distributions over that alphabet and a score is the log of their ratio, so its expectation over clean
-text is negative and the scale of its extremes is 1 (lambda of extreme-value theory).
+Fitting counts, over three quarters of the labelled sample, the documents of either class that hold a
+token (or the stem it begins with), but no more than the distinct words it follows there, lest copies
+of one passage count as many, and takes log-odds under a Dirichlet prior proportional to the token's
+share of the sample. Tokens whose log-odds differ from zero by more than chance keep a score of their
+own; all others share one. Both classes are distributions over that alphabet and a score is the log of
+their ratio, so its expectation over clean text is negative and the scale of its extremes is about 1
+(lambda of extreme-value theory).
 
 Scoring scans a text once and finds every maximal segment; tokens of one sign in a row are one item.
-The chance that clean text of n tokens holds a segment of score S is 1 - exp(-K n exp(-S)). Segments
-with an expectation under ``expect`` are significant; they are combined into one log-likelihood, and a
-logistic map fitted on the sample turns it into the probability of label 1.
+A token's return within ``NEAR`` tokens counts half of what it counted before, because words in one
+place are no independent draws; further away it counts in full, so a passage is found wherever it
+stands. The chance that clean text of n tokens holds a segment of score S is 1 - exp(-K n exp(-S)).
+Segments with an expectation under ``expect`` are significant and all are given. Their excesses over
+that floor add up to the text's evidence, halved for each earlier segment of the same leading token,
+and a logistic map turns it into the probability of label 1. K and that map are fitted on the last
+quarter of the sample, which the scores have not seen.
 """
 
 from __future__ import annotations
@@ -27,9 +32,12 @@ from harborline.llm.labelled import SAMPLE, held_out, sample
 from harborline.llm.scratch import Scratch
 from harborline.llm.text import LOWER, PUNCTUATED, Words, bounded_batches, chunks, frugal, mix, span_hash, words
 
-#: Tokens with a score of their own at most: those furthest from chance.
-VOCABULARY, SIGNIFICANT, PRIOR = 1 << 16, 4.0, 50.0
-
+#: Log-odds in standard errors from which a token has a score of its own; the prior's weight in documents. With
+#: this prior a token that stands in a few documents cannot be significant, so the lexicon is far smaller than
+#: the bounded sample it comes from.
+SIGNIFICANT, PRIOR = 4.0, 50.0
+#: Tokens within which returns of a token are discounted.
+NEAR = 64
 
 #: A token is known by itself or by its first bytes, so inflected forms of one stem count together.
 STEMS = (4, 5)
@@ -51,7 +59,8 @@ class Lexicon:
     a: float = 0.0
     b: float = 0.0
 
-    def tokens(self, data: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, Words]:
+    def tokens(self, data: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, Words]:
+        """Every token's discounted score and the form it has it from (0: none)."""
         w = words(data, texts, PUNCTUATED)
         scores, key = np.full(len(w.starts), self.other), np.zeros(len(w.starts), np.uint64)
         best = np.zeros(len(w.starts))
@@ -60,14 +69,14 @@ class Lexicon:
             better = (self.keys[at] == h) & (np.abs(self.scores[at]) > best)
             scores[better], key[better] = self.scores[at[better]], h[better]
             best[better] = np.abs(scores[better])
-        # words repeat within a text far more than independent draws would: each return halves a token's score
         hot = np.flatnonzero(scores > 0)
         order = hot[np.lexsort((hot, key[hot], w.owner[hot]))]
         new = np.ones(len(order), bool)
         new[1:] = (key[order][1:] != key[order][:-1]) | (w.owner[order][1:] != w.owner[order][:-1])
-        since = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        scores[order] *= 0.5 ** np.minimum(since, 60)
-        return scores, w
+        # places on one axis, on which different forms or texts are further apart than NEAR
+        place = np.cumsum(new) * (len(scores) + NEAR + 1) + order
+        scores[order] *= 0.5 ** np.minimum(np.arange(len(order)) - np.searchsorted(place, place - NEAR), 60)
+        return scores, key, w
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -103,7 +112,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 def evidence(lexicon: Lexicon, data: np.ndarray, texts: np.ndarray, expect: float = 0.5) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, float]]]]:
     """Per text: the combined excess of its significant segments, its tokens, and those segments."""
-    scores, w = lexicon.tokens(data, texts)
+    scores, key, w = lexicon.tokens(data, texts)
     out, found = np.zeros(len(texts) - 1), [[] for _ in range(len(texts) - 1)]
     hot = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(scores > 0)])[w.first]))
     for i in hot.tolist():
@@ -111,17 +120,32 @@ def evidence(lexicon: Lexicon, data: np.ndarray, texts: np.ndarray, expect: floa
         floor = np.log(lexicon.k * n / expect)
         found[i] = [(s, e, x) for s, e, x in segments(scores[w.first[i] : w.first[i + 1]]) if x > floor]
         if found[i]:
-            out[i] = sum(x - max(floor, 0) for _, _, x in found[i])
+            lead = [key[w.first[i] + s + int(np.argmax(scores[w.first[i] + s : w.first[i] + e]))] for s, e, _ in found[i]]
+            excess = np.array([x - max(floor, 0) for _, _, x in found[i]])
+            out[i] = (excess * 0.5 ** np.minimum(_returns(np.array(lead), -excess), 60)).sum()
     return out, w.counts, found
 
 
+def _returns(keys: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """How many equal keys come before each, in the order of ``by``."""
+    order = np.lexsort((np.arange(len(keys)), by, keys))
+    first = np.concatenate([[0], np.flatnonzero(np.diff(keys[order])) + 1])
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.arange(len(keys)) - np.repeat(first, np.diff(np.concatenate([first, [len(keys)]])))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int = 3, remainder: int = 1, bound: int = SAMPLE) -> Lexicon:
     """The lexicon of the labelled sample with its calibration; without both classes, one that scores 0."""
-    rows = scratch.save(sample(docs, labels, "toxic", modulus, remainder, bound).select("doc_id", "text", F.col("label").cast("int")), "sample")
-    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+    last = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) == 0
+    whole = scratch.save(sample(docs, labels, "toxic", modulus, remainder, bound).select("doc_id", "text", F.col("label").cast("int"), last.alias("last")), "sample")
+    sizes = {(r.label, r.last): r.n for r in whole.groupBy("label", "last").agg(F.count("*").alias("n")).collect()}
+    split = all(sizes.get((label, part)) for label in (0, 1) for part in (False, True))
+    toxic, clean = (sizes.get((label, False), 0) + (0 if split else sizes.get((label, True), 0)) for label in (1, 0))
     if not toxic or not clean:
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0), 0.0, a=-50.0)
+    # a sample with a class in one part only is too small to be split: both fits take all of it
+    rows, unseen = (whole.where("not last"), whole.where("last")) if split else (whole, whole)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per form: the documents of either class that hold it."""
@@ -136,13 +160,12 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int = 3,
                 yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(t), pa.array(np.bincount(at, minlength=len(key)) - t)], ["token", "t", "c"])
 
     def ranked(counts: DataFrame) -> pa.Table:
-        """The forms furthest from chance, by hash."""
+        """The forms that differ by more than chance, by hash."""
         share = (F.col("t") + F.col("c")) / (toxic + clean)
         t, c = F.col("t") + PRIOR * share, F.col("c") + PRIOR * share
-        odds = F.log(t / (toxic + PRIOR - t)) - F.log(c / (clean + PRIOR - c))
+        odds = F.log(t / (toxic + PRIOR + 1 - t)) - F.log(c / (clean + PRIOR + 1 - c))
         z = F.abs(odds / F.sqrt(1 / t + 1 / c))
-        kept = counts.where(f"t + c >= 5 and t < {toxic} and c < {clean}").select("token", "t", "c", z.alias("z")).where(F.col("z") > SIGNIFICANT)
-        found = kept.orderBy(F.col("z").desc(), "token").limit(VOCABULARY).toArrow()
+        found = counts.select("token", "t", "c", z.alias("z")).where(F.col("z") > SIGNIFICANT).toArrow()
         return found.take(np.argsort(np.array(found.column("token"), np.int64).view(np.uint64)))
 
     first = ranked(rows.select("text", "label").mapInArrow(frugal(count), "token long, t long, c long").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
@@ -175,12 +198,12 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int = 3,
     p, q = (t + prior) / (n[1] + PRIOR), (c + prior) / (n[0] + PRIOR)
     lexicon = Lexicon(keys, np.log(p / q), float(np.log(max(1 - p.sum(), 1e-6) / max(1 - q.sum(), 1e-6))))
     lexicon.other = min(lexicon.other, -1e-3)
-    found = _evidence(rows, lexicon, 1e30).toArrow()  # every segment, before K is known
+    found = _evidence(unseen, lexicon, 1e30).toArrow()  # every segment, before K is known
     y = np.array(found.column("label"), float)
     best, size = np.array(found.column("best"), float), np.array(found.column("n"), float)
     neg = y == 0
     lexicon.k = float(max(neg.sum(), 1) / max((size[neg] * np.exp(-best[neg])).sum(), 1.0))
-    found = _evidence(rows, lexicon, 0.5).toArrow().sort_by("doc_id")
+    found = _evidence(unseen, lexicon, 0.5).toArrow().sort_by("doc_id")
     lexicon.a, lexicon.b = logistic(np.array(found.column("x"), float), np.array(found.column("label"), float))
     return lexicon
 
@@ -205,7 +228,7 @@ def _evidence(rows: DataFrame, lexicon: Lexicon, expect: float) -> DataFrame:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Intercept and slope of a logistic fit of y on x, the slope not below 0."""
+    """Intercept and slope of a logistic fit of y on x, the slope not below 0; beyond 30 more evidence does not steer the fit."""
     design, beta = np.column_stack([np.ones(len(x)), np.minimum(x, 30)]), np.zeros(2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
@@ -235,7 +258,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, modulus
         for batch in batches:
             for part, data, texts in chunks(batch):
                 x, _, found = evidence(model, data, texts)
-                score = 1 / (1 + np.exp(-np.clip(model.a + model.b * np.minimum(x, 30), -30, 30)))
+                score = 1 / (1 + np.exp(-np.clip(model.a + model.b * x, -700, 700)))
                 passages = pa.array([[{"start": s, "end": e, "score": v} for s, e, v in f] for f in found], kind)
                 yield pa.record_batch([batch.column("doc_id")[part.start : part.stop], pa.array(score), passages], ["doc_id", "score", "passages"])
 

@@ -3,7 +3,8 @@ import random
 import numpy as np
 
 from harborline.llm.quality import isotonic, quality
-from harborline.llm.toxicity import segments, toxicity
+from harborline.llm.text import LOWER, span_hash
+from harborline.llm.toxicity import NEAR, Lexicon, _returns, evidence, segments, toxicity
 
 
 def brute_segments(x):
@@ -23,6 +24,38 @@ def test_segments_match_the_definition():
         assert [(a, b, round(v, 9)) for a, b, v in segments(np.array(x))] == fine
 
 
+def lexicon(**scores):
+    """A lexicon of whole words of up to four letters."""
+    hashes = []
+    for word in scores:
+        values = LOWER[np.frombuffer(word.encode(), np.uint8)].astype(np.uint64) + np.uint64(1)
+        hashes.append(span_hash(values, np.array([0]), np.array([len(word)]))[0])
+    order = np.argsort(np.array(hashes))
+    return Lexicon(np.array(hashes)[order], np.array(list(scores.values()))[order], -0.2, k=0.1)
+
+
+def passages(model, *texts):
+    raw = [t.encode() for t in texts]
+    ends = np.cumsum([0, *map(len, raw)])
+    return evidence(model, np.frombuffer(b"".join(raw), np.uint8), ends)
+
+
+def test_a_passage_is_found_wherever_it_stands():
+    model, filler, bad = lexicon(zork=4.0, blar=4.0, quux=4.0, fnor=4.0), "ok " * 2 * NEAR, "zork blar quux fnor "
+    once, five, late, word = passages(model, filler + bad + filler, (filler + bad) * 5, ("zork " + filler) * 20 + bad, "zork " * 40)[2]
+    assert [round(x) for _, _, x in once] == [16] and len(five) == 5
+    assert [(s, e) for s, e, _ in five] == [(i * (2 * NEAR + 4) + 2 * NEAR, (i + 1) * (2 * NEAR + 4)) for i in range(5)]
+    assert all(abs(x - once[0][2]) < 1e-9 for _, _, x in five)
+    assert late and late[-1][1] == 20 * (2 * NEAR + 1) + 4 and round(late[-1][2]) == 16
+    assert sum(x for _, _, x in word) <= 8  # one word over and over is little evidence
+    x = passages(model, filler + bad + "ok " * 4 * (2 * NEAR + 4), (filler + bad) * 5)[0]
+    assert x[0] < x[1] < 2 * x[0]  # and so are copies of one passage
+
+
+def test_returns_are_counted_by_score():
+    assert list(_returns(np.array([7, 5, 7, 7]), -np.array([1.0, 9, 3, 2]))) == [2, 0, 0, 1]
+
+
 def test_isotonic():
     steps, levels = isotonic(np.array([3.0, 1, 2, 4, 4]), np.array([0.0, 0, 1, 1, 0]))
     assert list(steps) == [1, 2] and list(levels) == [0, 0.5]
