@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from harborline.llm.decontaminate import contaminated
 from harborline.llm.katz import lm_scores
+from harborline.llm.merkle import manifest, manifest_sql
 from harborline.llm.pieces import sampled
 from harborline.llm.pii import pii
 from harborline.llm.quality import quality
@@ -20,8 +21,8 @@ from harborline.llm.urls import url_filter
 #: The session setting that holds the secret key of pseudonyms; the queries over synthetic tables work without one.
 KEY_SETTING, TEST_KEY = "spark.harborline.pii.key", "not a secret"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: No query of this module is plain SQL; tests/llm holds each against a brute-force version.
-ORACLES: dict[str, str] = {}
+#: SQL of the queries that it can express; tests/llm holds the others against brute force, a round trip or held-out labels.
+ORACLES: dict[str, str] = {"op11_merkle_manifest": manifest_sql()}
 
 
 def query(name: str) -> Callable:
@@ -89,3 +90,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sentencepiece_sampling")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled(table(spark, sf_dir, "documents"))
+
+
+@query("op11_merkle_manifest")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
