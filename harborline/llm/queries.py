@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from harborline.llm.decontaminate import contaminated
+from harborline.llm.divergence import SQL as DIVERGENCE_SQL
+from harborline.llm.divergence import divergence
 from harborline.llm.katz import lm_scores
 from harborline.llm.merkle import manifest, manifest_sql
 from harborline.llm.pieces import sampled
@@ -22,7 +24,7 @@ from harborline.llm.urls import url_filter
 KEY_SETTING, TEST_KEY = "spark.harborline.pii.key", "not a secret"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: SQL of the queries that it can express; tests/llm holds the others against brute force, a round trip or held-out labels.
-ORACLES: dict[str, str] = {"op11_merkle_manifest": manifest_sql()}
+ORACLES: dict[str, str] = {"op11_merkle_manifest": manifest_sql(), "op12_source_divergence": DIVERGENCE_SQL}
 
 
 def query(name: str) -> Callable:
@@ -95,3 +97,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_merkle_manifest")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op12_source_divergence")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
