@@ -11,6 +11,7 @@ from harborline.llm.divergence import SQL as DIVERGENCE_SQL
 from harborline.llm.divergence import divergence
 from harborline.llm.katz import lm_scores
 from harborline.llm.merkle import manifest, manifest_sql
+from harborline.llm.packing import best_fit_packing
 from harborline.llm.pieces import sampled
 from harborline.llm.pii import pii
 from harborline.llm.quality import quality
@@ -102,3 +103,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_source_divergence")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op13_best_fit_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"))
