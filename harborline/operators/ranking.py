@@ -8,6 +8,8 @@ the tie-breaker does.
 from __future__ import annotations
 
 import math
+import struct
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from pyspark.sql.window import Window
 
 #: Rows sampled for boundaries, bins, and rows that one task may rank alone.
 SAMPLE, BINS, SMALL = 10_000, 64, 50_000
+#: Parts of a span of keys that one scan counts.
+SPLIT = 512
 
 
 def globally_ranked(df: DataFrame, key: Column, tie: str, name: str = "rn", running: dict[str, str] | None = None, base: DataFrame | None = None, bins: int = BINS, small: int = SMALL) -> DataFrame:
@@ -57,39 +61,120 @@ def ntile(rn: Column, n: Column, k: int) -> Column:
     return F.when(q == 0, rn).when(rn <= head, F.floor((rn - 1) / (q + 1)) + 1).otherwise(r + F.floor((rn - 1 - head) / F.greatest(q, F.lit(1))) + 1).cast("int")
 
 
+def order_key(x: Column) -> Column:
+    """A long that orders as the double ``x`` does: the bits of its absolute value, negated for negative numbers.
+
+    Infinities are the ends and both zeros are 0. Every step is exact: powers of two, and divisions by them.
+    """
+    a = F.abs(x)
+    guess = F.floor(F.log2(a))
+    two = lambda e: F.pow(F.lit(2.0), e)
+    # log2 may be off by one next to a power of two
+    exponent = F.when(two(guess) > a, guess - 1).when(two(guess + 1) <= a, guess + 1).otherwise(guess)
+    normal = (exponent + 1023) * (1 << 52) + ((a / two(exponent) - 1) * float(1 << 52)).cast("long")
+    tiny = (a * 2.0**537 * 2.0**537).cast("long")
+    bits = F.when(a == math.inf, F.lit(2047 << 52)).when(a < 2.0**-1022, tiny).otherwise(normal)
+    return F.when(x < 0, -bits).otherwise(bits)
+
+
+def value_of(key: int) -> float:
+    """The double of a key."""
+    return math.copysign(struct.unpack("<d", struct.pack("<q", abs(key)))[0], key)
+
+
+@dataclass
+class Span:
+    """An interval of one column's keys that holds some of the ranks sought, counted from its own start."""
+
+    column: str
+    low: int
+    high: int
+    n: int
+    ranks: dict[int, int]
+
+    @property
+    def shift(self) -> int:
+        """The bits to drop so that at most SPLIT different keys are left; at least eight bits of the width go."""
+        s = 0
+        while (self.high >> s) - (self.low >> s) >= SPLIT:
+            s += 1
+        return s
+
+
+def _inside(keys: DataFrame, spans: list[Span]) -> DataFrame:
+    """(i, bin, k) of every key in span i; the spans of a column are disjoint."""
+    cells: dict[str, Column] = {}
+    for i, s in enumerate(spans):
+        inside, found = F.col(s.column).between(s.low, s.high), F.struct(F.lit(i).alias("i"), F.shiftright(s.column, s.shift).alias("bin"), F.col(s.column).alias("k"))
+        cells[s.column] = cells[s.column].when(inside, found) if s.column in cells else F.when(inside, found)
+    return keys.select(F.explode(F.array(*cells.values())).alias("x")).where("x is not null").select("x.*")
+
+
+def _counted(keys: DataFrame, spans: list[Span]) -> list[list[tuple[int, int, int]]]:
+    """One scan: (low, high, n) of the parts of every span, ascending."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in spans]
+    for r in _inside(keys, spans).groupBy("i", "bin").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("n")).collect():
+        out[r.i].append((r.low, r.high, r.n))
+    return [sorted(x) for x in out]
+
+
+def _read(keys: DataFrame, spans: list[Span]) -> list[list[int]]:
+    """One scan: the keys of every span, ascending; the caller has bounded their number."""
+    out: list[list[int]] = [[] for _ in spans]
+    for r in _inside(keys, spans).select("i", "k").collect():
+        out[r.i].append(r.k)
+    return [sorted(x) for x in out]
+
+
+def _between(low: float, high: float, share: float) -> float:
+    """Interpolated; next to an infinity the nearer end, so that nothing becomes NaN."""
+    if math.isinf(low) or math.isinf(high):
+        return low if share < 0.5 else high
+    return low + (high - low) * share if math.isfinite(high - low) else low * (1 - share) + high * share
+
+
 def exact_quantiles(df: DataFrame, columns: dict[str, Column], marks: list[float], small: int = SMALL) -> dict[str, list[float | None]]:
     """The exact, interpolated quantiles of every column, without gathering its values in one task.
 
-    Up to ``small`` rows, one aggregation finds them. Beyond, the value at a rank is found by counting
-    256 bins between the least and the largest value and then only the bin that holds the rank, until
-    its rows are few enough or equal. Null and NaN are missing; without values all quantiles are None.
+    Values become 64-bit keys of the same order. A scan counts the least and largest key of each column; each
+    further one splits the spans that hold a sought rank, of all columns and ranks together, and goes on in
+    the parts that hold it, at least eight bits narrower. Spans of ``small`` rows in all are read as they are.
+    Nine scans suffice for any table. Null and NaN are missing; without values all quantiles are None.
     """
-    values = df.select(*[F.when(~F.isnan(c.cast("double")), c.cast("double")).alias(k) for k, c in columns.items()])
-    ends = values.agg(*[F.struct(F.count(k), F.min(k), F.max(k)).alias(k) for k in columns]).first()
-    few = [k for k in columns if ends[k][0] <= small or math.inf in (-ends[k][1], ends[k][2])]
-    out = {k: [None] * len(marks) for k in columns}
-    if few:
-        found = values.agg(*[F.percentile(k, F.array(*map(F.lit, marks))).alias(k) for k in few]).first()
-        out |= {k: found[k] for k in few if found[k] is not None}
-    for k in columns.keys() - set(few):
-        n, lo, hi = ends[k]
-        places = [(n - 1) * q for q in marks]
-        of = {r: _value_at(values.select(F.col(k).alias("x")), r, lo, hi, small) for r in sorted({f(p) for p in places for f in (math.floor, math.ceil)})}
-        out[k] = [of[math.floor(p)] + (of[math.ceil(p)] - of[math.floor(p)]) * (p - math.floor(p)) for p in places]
+    names = {k: f"k{i}" for i, k in enumerate(columns)}
+    if not columns:
+        return {}
+    values = df.select(*[c.cast("double").alias(names[k]) for k, c in columns.items()])
+    keys = values.select(*[F.when(~F.isnan(k), order_key(F.col(k))).alias(k) for k in names.values()])
+    ends = keys.agg(*[F.struct(F.count(k), F.min(k), F.max(k)).alias(k) for k in names.values()]).first()
+    known: dict[tuple[str, int], int] = {}
+    spans = []
+    for k in names.values():
+        n, low, high = ends[k]
+        if n:
+            ranks = {r: r for q in marks for r in (math.floor((n - 1) * q), math.ceil((n - 1) * q))}
+            spans.append(Span(k, low, high, n, ranks))
+    while spans:
+        for s in spans:
+            if s.low == s.high:
+                known |= {(s.column, r): s.low for r in s.ranks}
+        spans = [s for s in spans if s.low < s.high]
+        if spans and sum(s.n for s in spans) <= small:
+            for s, held in zip(spans, _read(keys, spans), strict=True):
+                known |= {(s.column, r): held[i] for r, i in s.ranks.items()}
+            break
+        parts = _counted(keys, spans) if spans else []
+        narrower = []
+        for i, s in enumerate(spans):
+            before = 0
+            for low, high, n in parts[i]:
+                here = {r: at - before for r, at in s.ranks.items() if before <= at < before + n}
+                if here:
+                    narrower.append(Span(s.column, low, high, n, here))
+                before += n
+        spans = narrower
+    out = {}
+    for k, name in names.items():
+        n = ends[name][0]
+        out[k] = [_between(value_of(known[name, math.floor(p)]), value_of(known[name, math.ceil(p)]), p - math.floor(p)) for p in ((n - 1) * q for q in marks)] if n else [None] * len(marks)
     return out
-
-
-def _value_at(values: DataFrame, rank: int, lo: float, hi: float, small: int) -> float:
-    """The value of ``x`` at a rank from 0, between the least and the largest value."""
-    inside = values.where(F.col("x").between(lo, hi))
-    while lo < hi:
-        bins = inside.groupBy(F.floor((F.col("x") - lo) / (hi - lo) * 255).alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-        for row in sorted(bins.collect(), key=lambda r: r.bin):
-            if rank < row.n:
-                break
-            rank -= row.n
-        lo, hi = row.lo, row.hi
-        inside = values.where(F.col("x").between(lo, hi))
-        if row.n <= small:
-            return inside.agg(F.percentile("x", F.lit(rank / max(row.n - 1, 1)))).first()[0]
-    return lo

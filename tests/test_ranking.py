@@ -1,11 +1,14 @@
+import math
 import random
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from harborline.operators import ranking
 from harborline.operators.models import fit_kmeans
-from harborline.operators.ranking import exact_quantiles, globally_ranked, ntile
+from harborline.operators.ranking import exact_quantiles, globally_ranked, ntile, order_key, value_of
 
 
 def test_ranks_and_running_sums(spark):
@@ -39,7 +42,38 @@ def test_exact_quantiles_by_bins(spark):
     known = sorted(v for v in values if v is not None and v == v)
     assert got["same"] == [7.0] * len(marks) and got["none"] == [None] * len(marks)
     assert got["x"] == pytest.approx(np.quantile(known, marks).tolist(), rel=1e-12)
-    assert got == exact_quantiles(df, {"x": F.col("x"), "same": F.col("same"), "none": F.lit(None)}, marks) | {"x": got["x"]}
+    assert got == exact_quantiles(df, {"x": F.col("x"), "same": F.col("same"), "none": F.lit(None)}, marks)
+
+
+WIDE = [-1.7e308, 1.0, 2.0, 3.0, 1.7e308]
+
+
+@pytest.mark.parametrize("values", [WIDE, [-math.inf, *WIDE, math.inf, 0.0, -0.0], [5e-324, -5e-324, 2.2250738585072014e-308, 1e-310, 0.0], [math.nextafter(2.0**e, d) for e in (-1022, -3, 0, 1, 52, 1023) for d in (0, math.inf)]])
+def test_quantiles_of_wide_values(spark, values):
+    rows = (values * 9)[:33]
+    df = spark.createDataFrame([(v,) for v in rows], "x double")
+    assert exact_quantiles(df, {"x": F.col("x")}, [i / 32 for i in range(33)], small=0)["x"] == sorted(rows)
+
+
+def test_order_key(spark):
+    rng = random.Random(5)
+    values = [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(4000)] + [2.0**e for e in range(-1074, 1024)] + [-(2.0**e) * (1 - 2**-53) for e in range(-1021, 1024)]
+    values = [v for v in values if v == v]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", order_key(F.col("x")).alias("k")).collect()
+    assert all(value_of(r.k) == r.x for r in got)
+
+
+def test_nine_scans_do_for_all_columns_together(spark, monkeypatch):
+    scans = []
+    for name in ("_counted", "_read"):
+        monkeypatch.setattr(ranking, name, lambda *a, f=getattr(ranking, name): (scans.append(1), f(*a))[1])
+    rng = random.Random(6)
+    rows = [(struct.unpack("<d", rng.randbytes(7) + b"\x40")[0], -rng.random(), float(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = exact_quantiles(df, {c: F.col(c) for c in "abc"}, [0.01, 0.25, 0.5, 0.75, 0.99], small=0)
+    assert len(scans) <= 8  # and the one that counts
+    for i, c in enumerate("abc"):
+        assert got[c] == pytest.approx(np.quantile([r[i] for r in rows], [0.01, 0.25, 0.5, 0.75, 0.99]).tolist(), rel=1e-12)
 
 
 def test_kmeans_with_few_distinct_points(spark):
