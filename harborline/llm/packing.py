@@ -14,10 +14,13 @@ or a round saves no sequence. A full sequence never moves, so what is exchanged
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from harborline.llm.text import bounded_batches, chunks, frugal
 LENGTH, END = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces of one block; distinct words a task keeps for reuse, and their bytes.
-PIECES, KEPT_WORDS, KEPT_BYTES = 1 << 17, 1 << 18, 1 << 25
+PIECES, KEPT_WORDS, KEPT_BYTES = 1 << 17, 1 << 20, 1 << 25
 #: Steps of the second family of bounds.
 STEPS = 32
 _WHERE = "sequence_id long, offset long, filled int, block long"
@@ -45,45 +48,92 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+_UNITS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+_TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Between units that are encoded together; a unit never holds this digit.
+_MARK = b"0"
+
+
+def units(word: bytes) -> list[bytes]:
+    """Parts of a word that the tokenizer encodes apart from each other, so that fewer distinct ones are left.
+
+    It splits runs of letters, digits and all else, after lower-casing. Only ASCII without apostrophes (whose
+    contractions it keeps) is split in full; of another word the marks after a Latin letter come off."""
+    if b"<|" in word:  # may be a special token, which is looked for before anything else
+        return [word]
+    if word.isascii():
+        return [word] if b"'" in word else _UNITS.findall(word.lower())
+    core = word.rstrip(_TAIL)
+    last = core.decode("utf-8", "replace")[-1:]
+    return [core, word[len(core) :]] if len(core) < len(word) and last < "\u0250" and last.isalpha() else [word]
+
+
 class Encoder(dict):
-    """Ids of many texts. White space separates words before any rule of the tokenizer, so each distinct word is
-    encoded once and looked up after that."""
+    """Ids of many texts. White space separates words before any rule of the tokenizer, so a distinct word is
+    encoded once, from units that are each encoded once, and looked up after that. What is kept is bounded."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.mark,) = self.tokenizer.encode(_MARK.decode(), add_special_tokens=False).ids
+        self.units: dict[bytes, bytes] = {}
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.new: list[bytes] = []
-        self.size, self.flat, self.lengths = 0, array("I"), array("q")
+        self.size, self.flat, self.lengths = 0, bytearray(), array("q")
+        if len(self.units) > KEPT_WORDS or sum(map(len, self.units)) > KEPT_BYTES:
+            self.units = {}
 
     def __missing__(self, word: bytes) -> int:
         self[word] = code = len(self)
         self.new.append(word)
         return code
 
+    def encode_units(self, new: list[bytes]) -> None:
+        """Units are joined by a mark that has an id of its own, and their ids cut there."""
+        plain = [u for u in new if _MARK not in u and b"<|" not in u]
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            text = (b" " + _MARK + b" ").join(part).decode("utf-8", "replace")
+            (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark).tolist()
+            raw = ids.tobytes()
+            self.units.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip([0, *[c + 1 for c in cuts]], [*cuts, len(ids)], strict=True)), strict=True))
+        for u in new:
+            if u not in self.units:
+                self.units[u] = np.array(self.tokenizer.encode(u.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each text's followed by END, and how many each has."""
         if len(self) > KEPT_WORDS or self.size > KEPT_BYTES:
             self.reset()
         words = [t.split() for t in texts]
-        codes = np.array([self[w] for own in words for w in own], np.int64)
+        codes = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64)
         if self.new:
-            for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in self.new], add_special_tokens=False):
-                self.flat.extend(x.ids)
-                self.lengths.append(len(x.ids))
+            parts = [units(w) for w in self.new]
+            self.encode_units(list({u for p in parts for u in p if u not in self.units}))
+            for p in parts:
+                ids = b"".join([self.units[u] for u in p])
+                self.flat += ids
+                self.lengths.append(len(ids) >> 2)
             self.size += sum(map(len, self.new))
             self.new = []
-        lengths = np.frombuffer(self.lengths, np.int64) if self.lengths else np.zeros(0, np.int64)
+        lengths = np.array(self.lengths, np.int64)
         n = lengths[codes]
-        ids = np.frombuffer(self.flat, np.uint32)[ranges((np.cumsum(lengths) - lengths)[codes], n)] if len(codes) else np.zeros(0, np.uint32)
-        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([len(own) for own in words])]
-        del lengths
-        return np.insert(ids, ends, END).astype("<u4"), np.diff(ends, prepend=0) + 1
+        ids = np.frombuffer(self.flat, "<u4")[ranges((np.cumsum(lengths) - lengths)[codes], n)] if self.flat else np.zeros(0, "<u4")
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([len(own) for own in words], dtype=np.int64)]
+        return np.insert(ids, ends, END), np.diff(ends, prepend=0) + 1
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(path)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,7 +209,7 @@ def first_packing(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at, held = Encoder(path), numbered(0), []
+        coder, at, held = encoder(path), numbered(0), []
 
         def block() -> Iterator[pa.RecordBatch]:
             nonlocal at, held
@@ -171,7 +221,7 @@ def first_packing(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
         for batch in batches:
             for part, data, texts in chunks(batch):
                 raw = data.tobytes()
-                ids, lengths = encoder.encode([raw[a:b] for a, b in zip(texts[:-1].tolist(), texts[1:].tolist(), strict=True)])
+                ids, lengths = coder.encode([raw[a:b] for a, b in zip(texts[:-1].tolist(), texts[1:].tolist(), strict=True)])
                 pieces = -(-lengths // LENGTH)
                 owner = np.repeat(np.arange(len(lengths)), pieces)
                 number = ranges(np.zeros(len(pieces), np.int64), pieces)

@@ -21,6 +21,15 @@ def direct(text):
     return [*Tokenizer.from_file(vocabulary_path()).encode(text or "", add_special_tokens=False).ids, 1]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from(list("aBz09'.,=<>|%\u0301\u0338\u0331HKéßñΣ日\U0001f600\x1c\xa0\u0130_ \n")), st.characters(codec="utf-8")), max_size=12), max_size=6))
+def test_words_by_units_are_what_whole_texts_give(texts):
+    texts = [*texts, *[t + "<|endoftext|>," for t in texts[:1]], *["don't'S " + t for t in texts[:1]]]
+    ids, n = packing.encoder(vocabulary_path()).encode([t.encode() for t in texts])
+    want = [[*packing.encoder(vocabulary_path()).tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [len(w) for w in want] == n.tolist() and [i for w in want for i in w] == ids.tolist()
+
+
 def least(lengths, capacity):
     """The true number of bins, by trying all packings."""
     best = len(lengths)
@@ -117,9 +126,15 @@ def test_sequences_hold_the_tokens(spark):
         assert direct(rows[r.doc_id][1])[r.start : r.start + r.length] == ids[r.sequence_id][r.offset : r.offset + r.length]
 
 
+def test_words_forgotten(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 3)
+    coder, texts = packing.Encoder(vocabulary_path()), ["one two", "", "three four one's", "two, One 10"] * 3
+    for t in texts:
+        assert coder.encode([t.encode()])[0].tolist() == direct(t)
+
+
 @pytest.mark.parametrize("size", [1, 7])
-def test_words_forgotten_and_blocks_cut(spark, monkeypatch, size):
-    for name in ("PIECES", "KEPT_WORDS"):
-        monkeypatch.setattr(packing, name, size)
+def test_blocks_cut(spark, monkeypatch, size):
+    monkeypatch.setattr(packing, "PIECES", size)
     rows = made(25, 1)
     checked(rows, best_fit_packing(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect())
