@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.functions.distributions import normal_ppf, t_ppf
+from harborline.operators.ranking import exact_ranks
 
 
 @dataclass(frozen=True)
@@ -77,23 +81,134 @@ def mean_interval(df: DataFrame, column: str, confidence: float = 0.95) -> Inter
     return Interval(r.m, r.m - half, r.m + half, confidence)
 
 
-def bootstrap_interval(df: DataFrame, column: str, n_resamples: int = 2000, seed: int = 1, confidence: float = 0.95, key: str | None = None) -> Interval:
-    """Percentile interval of the mean: every row weighs Poisson(1) in each resample, by a hash of its key.
+@dataclass(frozen=True)
+class Statistic:
+    """A function of weighted sums: ``value`` makes it, for all resamples at once, of the sums of w times each column."""
+
+    sums: dict[str, Column]
+    value: Callable[[dict[str, np.ndarray]], np.ndarray]
+
+
+@dataclass(frozen=True)
+class Quantile:
+    """The least value that holds the share ``q`` of the weight."""
+
+    column: Column
+    q: float
+
+
+def mean_of(x: Column) -> Statistic:
+    return Statistic({"n": F.lit(1), "x": x}, lambda s: s["x"] / s["n"])
+
+
+def ratio_of(a: Column, b: Column) -> Statistic:
+    """The sum of one column over the sum of another."""
+    return Statistic({"a": a, "b": b}, lambda s: s["a"] / s["b"])
+
+
+def deviation_of(x: Column) -> Statistic:
+    """The standard deviation, n - 1 below."""
+    return Statistic({"n": F.lit(1), "x": x, "xx": x * x}, lambda s: np.sqrt(np.maximum(s["xx"] - s["x"] ** 2 / s["n"], 0) / (s["n"] - 1)))
+
+
+def correlation_of(x: Column, y: Column) -> Statistic:
+    def value(s: dict[str, np.ndarray]) -> np.ndarray:
+        both = s["n"] * s["xy"] - s["x"] * s["y"]
+        return both / np.sqrt((s["n"] * s["xx"] - s["x"] ** 2) * (s["n"] * s["yy"] - s["y"] ** 2))
+
+    return Statistic({"n": F.lit(1), "x": x, "y": y, "xx": x * x, "xy": x * y, "yy": y * y}, value)
+
+
+#: Where Poisson(1) reaches the next number, as far as a double of 53 bits tells.
+_STEPS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(19)])
+_BLOCK, _EDGES = 1 << 20, 1024
+
+
+def poisson_weights(keys: np.ndarray, n_resamples: int, seed: int) -> np.ndarray:
+    """The weight of each row in each resample: Poisson(1), by a splitmix hash of (row key, resample, seed)."""
+    with np.errstate(over="ignore"):
+        x = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None] + (np.arange(1, n_resamples + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed))
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return np.searchsorted(_STEPS, (x >> np.uint64(11)).astype(float) / 2.0**53, "right")
+
+
+def _weighted(rows: DataFrame, n_resamples: int, seed: int, width: int, state: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all rows of a state (resamples x width), one state a task; ``rows`` is (key, columns...)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, step = np.zeros((n_resamples, width)), max(1, _BLOCK // n_resamples)
+        for batch in batches:
+            columns = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:]])
+            keys = batch.column(0).to_numpy()
+            for at in range(0, len(keys), step):
+                total += state(poisson_weights(keys[at : at + step], n_resamples, seed), columns[at : at + step])
+        b, j = np.nonzero(total)
+        yield pa.record_batch([pa.array(b.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[b, j])], ["b", "j", "w"])
+
+    out = np.zeros((n_resamples, width))
+    for r in rows.mapInArrow(run, "b int, j int, w double").groupBy("b", "j").agg(F.sum("w").alias("w")).collect():  # resamples x width, both given
+        out[r.b, r.j] = r.w
+    return out
+
+
+def bootstrap_values(df: DataFrame, statistic: Statistic | Quantile, n_resamples: int = 2000, seed: int = 1, key: Column | None = None) -> tuple[float, np.ndarray]:
+    """The statistic of the table, and its value in each resample.
 
-    Rows are first summed by (key hash, resample) within tasks, so what moves is a row per resample.
+    Every row weighs Poisson(1) in each resample by a hash of ``key``, a number that tells rows apart (by
+    default where the row stands, so the draw then depends on the partitioning). A task adds up one
+    state of fixed size, resamples by sums, however many rows it reads. The state of a quantile is the weight
+    between 1,024 order statistics within six standard deviations of its rank, so a resample's
+    quantile is one of these; up to 1,024 values in that band it is exact. A row with a missing value is left out.
     """
-    x, by = F.col(column).cast("double"), F.col(key) if key else F.monotonically_increasing_id()
-    u = (F.pmod(F.xxhash64(by, F.col("b"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    weight, mass, total = F.lit(0), math.exp(-1), math.exp(-1)
-    for k in range(1, 12):
-        weight = weight + (u > total).cast("int")
-        mass /= k
-        total += mass
-    rows = df.where(x.isNotNull()).select(x.alias("x"), F.explode(F.sequence(F.lit(1), F.lit(n_resamples))).alias("b"), *([F.col(key)] if key else []))
-    means = rows.select("b", "x", weight.alias("w")).groupBy("b").agg((F.sum(F.col("w") * F.col("x")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    key = F.monotonically_increasing_id() if key is None else key.cast("long")
+    if isinstance(statistic, Quantile):
+        x = statistic.column.cast("double")
+        rows = df.select(key.alias("key"), x.alias("x")).where("x is not null and not isnan(x)")
+        n = rows.count()
+        if not n:
+            raise ValueError("no value")
+        spread = 6 * math.sqrt(n * statistic.q * (1 - statistic.q)) + 3
+        low, high = max(0, math.floor(n * statistic.q - spread)), min(n - 1, math.ceil(n * statistic.q + spread))
+        ranks = np.unique(np.linspace(low, high, min(_EDGES, high - low + 1)).round().astype(int))
+        edges = np.unique(exact_ranks(rows, F.col("x"), ranks.tolist()))
+
+        def held(w: np.ndarray, values: np.ndarray) -> np.ndarray:
+            place = np.searchsorted(edges, values[:, 0])
+            out = np.zeros((w.shape[1], len(edges) + 1))
+            order = np.argsort(place, kind="stable")
+            first = np.flatnonzero(np.diff(place[order], prepend=-1))
+            out[:, place[order][first]] = np.add.reduceat(w[order], first, axis=0).T
+            return out
+
+        upto = np.cumsum(_weighted(rows, n_resamples, seed, len(edges) + 1, held), axis=1)
+        found = np.argmax(upto >= statistic.q * upto[:, -1:], axis=1)
+        (whole,) = exact_ranks(rows, F.col("x"), [max(0, math.ceil(n * statistic.q) - 1)])
+        return whole, edges[np.minimum(found, len(edges) - 1)]
+    names = list(statistic.sums)
+    rows = df.select(key.alias("key"), *[c.cast("double").alias(n) for n, c in statistic.sums.items()]).dropna()
+    plain = rows.agg(*[F.sum(n).alias(n) for n in names]).first()
+    if plain[0] is None:
+        raise ValueError("no value")
+    sums = _weighted(rows, n_resamples, seed, len(names), lambda w, x: w.T @ x)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        whole = statistic.value({n: np.array([plain[n]]) for n in names})[0]
+        return float(whole), statistic.value({n: sums[:, j] for j, n in enumerate(names)})
+
+
+def bootstrap_interval(df: DataFrame, statistic: str | Statistic | Quantile, n_resamples: int = 2000, seed: int = 1, confidence: float = 0.95, key: str | Column | None = None) -> Interval:
+    """Percentile interval of a statistic, by default (a column's name) of the mean; a resample without weight is left out."""
+    if isinstance(statistic, str):
+        statistic = mean_of(F.col(statistic))
+    if isinstance(key, str):
+        key = F.xxhash64(key) if dict(df.dtypes)[key] not in ("int", "bigint") else F.col(key)
+    whole, values = bootstrap_values(df, statistic, n_resamples, seed, key)
     tail = (1 - confidence) / 2
-    low, high = means.agg(F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail)))).first()[0]
-    return Interval(df.agg(F.avg(x)).first()[0], low, high, confidence)
+    low, high = np.nanquantile(values, [tail, 1 - tail])
+    return Interval(whole, float(low), float(high), confidence)
 
 
 def difference_in_proportions_interval(s1: int, n1: int, s2: int, n2: int, confidence: float = 0.95) -> Interval:

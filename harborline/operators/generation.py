@@ -10,15 +10,35 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 from datetime import date
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harborline.functions.distributions import betainc
 from harborline.operators.models import sigmoid
+from harborline.operators.ranking import exact_quantiles
 from harborline.settings import EngineError
 
+#: The mean up to which one inversion draws a Poisson number.
+PART = 256
+
 # ---- fixed values of the generated bank ------------------------------------------------------------
-CITIES = [("Mumbai", "Maharashtra", 0.18), ("Delhi", "Delhi", 0.14), ("Bengaluru", "Karnataka", 0.12), ("Chennai", "Tamil Nadu", 0.09), ("Hyderabad", "Telangana", 0.08), ("Pune", "Maharashtra", 0.07), ("Kolkata", "West Bengal", 0.07), ("Ahmedabad", "Gujarat", 0.06), ("Jaipur", "Rajasthan", 0.05), ("Lucknow", "Uttar Pradesh", 0.04), ("Kochi", "Kerala", 0.04), ("Indore", "Madhya Pradesh", 0.03), ("Chandigarh", "Punjab", 0.03)]
+CITIES = [
+    ("Mumbai", "Maharashtra", 0.18),
+    ("Delhi", "Delhi", 0.14),
+    ("Bengaluru", "Karnataka", 0.12),
+    ("Chennai", "Tamil Nadu", 0.09),
+    ("Hyderabad", "Telangana", 0.08),
+    ("Pune", "Maharashtra", 0.07),
+    ("Kolkata", "West Bengal", 0.07),
+    ("Ahmedabad", "Gujarat", 0.06),
+    ("Jaipur", "Rajasthan", 0.05),
+    ("Lucknow", "Uttar Pradesh", 0.04),
+    ("Kochi", "Kerala", 0.04),
+    ("Indore", "Madhya Pradesh", 0.03),
+    ("Chandigarh", "Punjab", 0.03),
+]
 JOB_WEALTH = {"management": 2.4, "entrepreneur": 2.0, "self-employed": 1.6, "admin.": 1.0, "technician": 1.1, "services": 0.8, "blue-collar": 0.7, "housemaid": 0.5, "retired": 0.9, "student": 0.25, "unemployed": 0.35, "unknown": 0.9}
 EDUCATION_WEALTH = {"university.degree": 1.5, "professional.course": 1.3, "high.school": 1.0, "basic.9y": 0.8, "basic.6y": 0.7, "basic.4y": 0.65, "illiterate": 0.5, "unknown": 0.95}
 #: Acquisition channel: share at the window's start, and how it drifts to the end.
@@ -26,20 +46,55 @@ ACQUISITION = [("branch", 0.46, -0.22), ("digital", 0.18, 0.26), ("partner", 0.1
 SEGMENTS = [("private", 10_000_000), ("priority", 3_000_000), ("affluent", 1_200_000), ("mass", 0)]
 #: code, name, category, rate offset, adoption, least income, annual fee, balance as a multiple of income, least balance
 PRODUCTS = [
-    ("SAV", "Savings Account", "deposit", -5.2, 0.97, 0, 0, 0.18, 500.0), ("CUR", "Current Account", "deposit", -8.0, 0.16, 600_000, 1_200, 0.30, 500.0), ("FD", "Fixed Deposit", "deposit", -1.8, 0.34, 250_000, 0, 0.55, 500.0), ("RD", "Recurring Deposit", "deposit", -2.4, 0.19, 180_000, 0, 0.12, 500.0),
-    ("PL", "Personal Loan", "lending", 3.0, 0.13, 300_000, 0, 0.62, 500.0), ("HL", "Home Loan", "lending", -0.3, 0.09, 800_000, 0, 2.62, 500.0), ("AL", "Auto Loan", "lending", 0.9, 0.08, 500_000, 0, 0.54, 500.0), ("GL", "Gold Loan", "lending", 1.2, 0.06, 0, 0, 0.18, 500.0),
-    ("CC", "Credit Card", "card", 14.0, 0.28, 360_000, 500, 0.09, 0.0), ("MF", "Mutual Fund", "investment", 0.0, 0.15, 500_000, 0, 0.45, 500.0), ("INS", "Insurance", "investment", 0.0, 0.21, 300_000, 0, 0.25, 500.0), ("DMT", "Demat Account", "investment", 0.0, 0.09, 700_000, 300, 0.30, 0.0),
-]
+    ("SAV", "Savings Account", "deposit", -5.2, 0.97, 0, 0, 0.18, 500.0),
+    ("CUR", "Current Account", "deposit", -8.0, 0.16, 600_000, 1_200, 0.30, 500.0),
+    ("FD", "Fixed Deposit", "deposit", -1.8, 0.34, 250_000, 0, 0.55, 500.0),
+    ("RD", "Recurring Deposit", "deposit", -2.4, 0.19, 180_000, 0, 0.12, 500.0),
+    ("PL", "Personal Loan", "lending", 3.0, 0.13, 300_000, 0, 0.62, 500.0),
+    ("HL", "Home Loan", "lending", -0.3, 0.09, 800_000, 0, 2.62, 500.0),
+    ("AL", "Auto Loan", "lending", 0.9, 0.08, 500_000, 0, 0.54, 500.0),
+    ("GL", "Gold Loan", "lending", 1.2, 0.06, 0, 0, 0.18, 500.0),
+    ("CC", "Credit Card", "card", 14.0, 0.28, 360_000, 500, 0.09, 0.0),
+    ("MF", "Mutual Fund", "investment", 0.0, 0.15, 500_000, 0, 0.45, 500.0),
+    ("INS", "Insurance", "investment", 0.0, 0.21, 300_000, 0, 0.25, 500.0),
+    ("DMT", "Demat Account", "investment", 0.0, 0.09, 700_000, 300, 0.30, 0.0),
+]
 SEGMENT_ADOPTION = {"mass": 0.85, "affluent": 1.2, "priority": 1.45, "private": 1.6}
 #: Log-odds of the monthly churn hazard: the ground truth that models are to recover.
 HAZARD = {"intercept": -2.55, "log_tenure": -0.32, "txn_recency_months": 0.44, "n_products": -0.38, "digital_engagement": -0.55, "log_balance": -0.22, "fee_paid_recently": 0.21, "age_scaled": -0.16, "is_salaried": -0.19, "complaint_active": 0.68, "rate_delta_pp": 0.13, "structural_break": 0.85}
 FRAILTY_SIGMA, BREAK_AT = 0.6, 0.62
 #: type, direction, share of volume, mean amount as a fraction of monthly income
-TXN_TYPES = [("SALARY_CREDIT", "credit", 0.06, 0.85), ("UPI_PAYMENT", "debit", 0.34, 0.020), ("CARD_SPEND", "debit", 0.16, 0.045), ("ATM_WITHDRAWAL", "debit", 0.11, 0.060), ("NEFT_TRANSFER", "debit", 0.08, 0.180), ("BILL_PAYMENT", "debit", 0.10, 0.035), ("EMI_DEBIT", "debit", 0.05, 0.150), ("INTEREST_CREDIT", "credit", 0.04, 0.012), ("CHEQUE_DEPOSIT", "credit", 0.03, 0.320), ("FEE_DEBIT", "debit", 0.03, 0.008)]
+TXN_TYPES = [
+    ("SALARY_CREDIT", "credit", 0.06, 0.85),
+    ("UPI_PAYMENT", "debit", 0.34, 0.020),
+    ("CARD_SPEND", "debit", 0.16, 0.045),
+    ("ATM_WITHDRAWAL", "debit", 0.11, 0.060),
+    ("NEFT_TRANSFER", "debit", 0.08, 0.180),
+    ("BILL_PAYMENT", "debit", 0.10, 0.035),
+    ("EMI_DEBIT", "debit", 0.05, 0.150),
+    ("INTEREST_CREDIT", "credit", 0.04, 0.012),
+    ("CHEQUE_DEPOSIT", "credit", 0.03, 0.320),
+    ("FEE_DEBIT", "debit", 0.03, 0.008),
+]
 MERCHANTS = ["groceries", "fuel", "dining", "travel", "utilities", "healthcare", "education", "apparel", "electronics", "entertainment", "insurance", "other"]
 SEASON = [0.94, 0.90, 1.05, 0.98, 1.00, 0.96, 0.99, 1.02, 1.08, 1.24, 1.18, 1.06]
 #: id, name, product, channel, first month, months, segment, cost per contact, share of the eligible
-CAMPAIGNS = [("CMP001", "Festive Gold Loan Push", "GL", "telesales", 9, 3, "all", 42.0, 0.30), ("CMP002", "Salary Account Upgrade", "CUR", "branch", 4, 4, "mass", 65.0, 0.22), ("CMP003", "Premium Card Acquisition", "CC", "digital", 12, 6, "affluent", 28.0, 0.45), ("CMP004", "Fixed Deposit Rate Drive", "FD", "telesales", 18, 3, "all", 40.0, 0.35), ("CMP005", "Home Loan Balance Transfer", "HL", "dsa", 24, 5, "priority", 180.0, 0.55), ("CMP006", "Digital Onboarding Nudge", "MF", "digital", 28, 4, "all", 18.0, 0.40), ("CMP007", "Insurance Cross-Sell", "INS", "telesales", 33, 4, "all", 38.0, 0.28), ("CMP008", "Recurring Deposit Campaign", "RD", "branch", 38, 3, "mass", 55.0, 0.25), ("CMP009", "Wealth Advisory Outreach", "DMT", "branch", 44, 4, "private", 320.0, 0.70), ("CMP010", "Personal Loan Pre-Approved", "PL", "digital", 48, 5, "all", 22.0, 0.33), ("CMP011", "Auto Loan Festive Offer", "AL", "dsa", 55, 3, "affluent", 150.0, 0.40), ("CMP012", "Savings Reactivation", "SAV", "digital", 58, 4, "all", 15.0, 0.50)]
+CAMPAIGNS = [
+    ("CMP001", "Festive Gold Loan Push", "GL", "telesales", 9, 3, "all", 42.0, 0.30),
+    ("CMP002", "Salary Account Upgrade", "CUR", "branch", 4, 4, "mass", 65.0, 0.22),
+    ("CMP003", "Premium Card Acquisition", "CC", "digital", 12, 6, "affluent", 28.0, 0.45),
+    ("CMP004", "Fixed Deposit Rate Drive", "FD", "telesales", 18, 3, "all", 40.0, 0.35),
+    ("CMP005", "Home Loan Balance Transfer", "HL", "dsa", 24, 5, "priority", 180.0, 0.55),
+    ("CMP006", "Digital Onboarding Nudge", "MF", "digital", 28, 4, "all", 18.0, 0.40),
+    ("CMP007", "Insurance Cross-Sell", "INS", "telesales", 33, 4, "all", 38.0, 0.28),
+    ("CMP008", "Recurring Deposit Campaign", "RD", "branch", 38, 3, "mass", 55.0, 0.25),
+    ("CMP009", "Wealth Advisory Outreach", "DMT", "branch", 44, 4, "private", 320.0, 0.70),
+    ("CMP010", "Personal Loan Pre-Approved", "PL", "digital", 48, 5, "all", 22.0, 0.33),
+    ("CMP011", "Auto Loan Festive Offer", "AL", "dsa", 55, 3, "affluent", 150.0, 0.40),
+    ("CMP012", "Savings Reactivation", "SAV", "digital", 58, 4, "all", 15.0, 0.50),
+]
+#: Contacts of one customer in one campaign at most.
+MOST_CONTACTS = 8
 OUTCOME_EFFECT, SEGMENT_RESPONSE = {"success": 3.1, "failure": 0.72, "nonexistent": 1.0}, {"mass": 0.9, "affluent": 1.15, "priority": 1.3, "private": 1.45}
 
 
@@ -70,20 +125,48 @@ def chosen(u: Column, values: list, weights: list) -> Column:
     return out
 
 
-def poisson(u: Column, mean: Column, most: int = 60) -> Column:
-    """The least k whose cumulative chance reaches u."""
+def poisson(u: Column, mean: Column) -> Column:
+    """The least k whose cumulative chance reaches u, for means up to 700, where exp(-mean) is a number.
+
+    The search is as long as it takes: beyond the mean and its twelve deviations there is less than 2**-53.
+    It ends where a further term no longer moves the sum."""
+    most = F.ceil(mean + 12 * F.sqrt(mean) + 40).cast("int")
     start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("k"))
-    step = lambda s, i: F.when(s["c"] >= u, s).otherwise(F.struct((s["p"] * mean / i).alias("p"), (s["c"] + s["p"] * mean / i).alias("c"), i.alias("k")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s["k"])
+    step = lambda s, i: F.when((s["c"] >= u) | ((s["k"] > mean) & (s["p"] < 1e-17)), s).otherwise(F.struct((s["p"] * mean / i).alias("p"), (s["c"] + s["p"] * mean / i).alias("c"), i.alias("k")))
+    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["k"])
+
+
+def poisson_draw(mean: Column, seed: int, stream: str, *keys: Column) -> Column:
+    """A Poisson number of any mean: the sum of draws of PART or less each, with numbers of their own."""
+    parts = F.greatest(F.lit(1), F.ceil(mean / PART)).cast("int")
+    one = lambda j: poisson(F.when(j == 0, uniform(seed, stream, *keys)).otherwise(uniform(seed, stream, j, *keys)), mean / parts)
+    return F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda n, j: n + one(j))
+
+
+def geometric(u: Column, p: float) -> Column:
+    """Trials up to the first success, by inversion."""
+    return F.greatest(F.lit(1), F.ceil(F.log(u) / math.log(1 - p))).cast("int")
 
 
-def beta(a: float, b: float, seed: int, stream: str, *keys: Column) -> Column:
-    """By rejection under the density's mode, 40 tries."""
-    mode = (a - 1) / (a + b - 2)
-    top = mode ** (a - 1) * (1 - mode) ** (b - 1)
-    tries = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.struct(uniform(seed, stream + "/x", i, *keys).alias("x"), uniform(seed, stream + "/y", i, *keys).alias("y")))
-    good = F.filter(tries, lambda t: t["y"] * top <= F.pow(t["x"], F.lit(a - 1)) * F.pow(1 - t["x"], F.lit(b - 1)))
-    return F.coalesce(F.get(good, F.lit(0))["x"], F.lit(mode))
+@cache
+def beta_quantiles(a: float, b: float, parts: int = 1 << 12) -> list[float]:
+    """The quantiles at i / parts, to the last bits of a double, by bisection of the incomplete beta function."""
+    out = [0.0]
+    for i in range(1, parts):
+        low, high = out[-1], 1.0
+        while (middle := (low + high) / 2) not in (low, high):
+            low, high = (middle, high) if betainc(a, b, middle) * parts < i else (low, middle)
+        out.append(high)
+    return [*out, 1.0]
+
+
+def beta(a: float, b: float, seed: int, stream: str, *keys: Column, parts: int = 1 << 10) -> Column:
+    """By inversion: between exact quantiles 1 / parts apart, along a line; next to 0 and 1 along the power that the density follows there."""
+    table, place = F.array(*map(F.lit, beta_quantiles(a, b, parts))), uniform(seed, stream, *keys) * parts
+    i = F.floor(place).cast("int")
+    low, high, share = F.get(table, i), F.get(table, i + 1), place - i
+    first, last = high * F.pow(share, F.lit(1 / a)), 1 - (1 - low) * F.pow(1 - share, F.lit(1 / b))
+    return F.when(i == 0, first).when(i == parts - 1, last).otherwise(low + (high - low) * share)
 
 
 def zscored(df: DataFrame, values: dict[str, Column]) -> DataFrame:
@@ -127,10 +210,12 @@ class Profile:
 
 def fit_lognormal(df: DataFrame, column: str, least: int = 30) -> dict[str, float]:
     x = F.col(column).cast("double")
-    r = df.where(x > 0).agg(F.count("*").alias("n"), F.avg(F.log(x)).alias("mu"), F.stddev_samp(F.log(x)).alias("sigma"), F.median(x).alias("median"), F.avg(x).alias("mean"), F.percentile(x, 0.9).alias("p90")).first()
+    positive = df.where(x > 0)
+    r = positive.agg(F.count("*").alias("n"), F.avg(F.log(x)).alias("mu"), F.stddev_samp(F.log(x)).alias("sigma"), F.avg(x).alias("mean")).first()
     if r.n < least:
         raise CalibrationError(f"{r.n} positive values, {least} needed")
-    return r.asDict()
+    median, p90 = exact_quantiles(positive, {"x": x}, [0.5, 0.9])["x"]
+    return r.asDict() | {"median": median, "p90": p90}
 
 
 def age_band(age: Column) -> Column:
@@ -152,7 +237,9 @@ def macro_elasticity(df: DataFrame, driver: str, outcome: str) -> float | None:
     """Log-odds slope of the outcome between the lowest and the highest third of the driver; None without one that varies."""
     if driver not in df.columns or outcome not in df.columns:
         return None
-    q = df.agg(F.percentile(driver, F.array(F.lit(1 / 3), F.lit(2 / 3)))).scalar()
+    q = exact_quantiles(df, {"x": F.col(driver)}, [1 / 3, 2 / 3])["x"]
+    if q[0] is None:
+        return None
     low, high = F.col(driver) <= q[0], F.col(driver) >= q[1]
     r = df.agg(*[F.avg(F.when(c, F.col(x).cast("double"))).alias(n) for c, s in ((low, "l"), (high, "h")) for x, n in ((driver, f"x{s}"), (outcome, f"y{s}"))]).first()
     odds = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
@@ -288,7 +375,7 @@ def generate_transactions(customers: DataFrame, outcomes: DataFrame, p: Profile,
     base = zscored(customers, {"_iz": F.log1p("annual_income_inr")}).join(outcomes.select("customer_id", "churn_date"), "customer_id", "left")
     mean = F.greatest(F.lit(0.4), F.least(F.lit(14.0), 1.4 + 3.4 * F.col("digital_engagement") + 1.1 * F.col("_iz"))) * season(F.col("month"))
     i, m = F.col("id"), F.col("month")
-    counted = live_months(base, "acquired_date", w).withColumn("n", poisson(uniform(p.seed, "n_txn", i, m), mean))
+    counted = live_months(base, "acquired_date", w).withColumn("n", poisson_draw(mean, p.seed, "n_txn", i, m))
     rows = counted.where("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
     u = lambda stream: uniform(p.seed, stream, i, m, F.col("k"))
     kind = chosen(u("type"), list(range(len(TXN_TYPES))), [t[2] for t in TXN_TYPES])
@@ -344,9 +431,9 @@ def generate_campaign_contacts(customers: DataFrame, holdings: DataFrame, outcom
     def campaign(s: Column, c: Column) -> Column:
         start = F.get("months", c["at"])
         fits = (F.col("acquired_date") <= start) & (F.col("churn_date").isNull() | (F.col("churn_date") > start)) & ((c["segment"] == "all") | (c["segment"] == F.col("segment"))) & ~F.array_contains("owned", c["product_code"]) & (uniform(p.seed, "target", i, c["campaign_id"]) < c["share"])
-        tries = F.least(F.lit(8), F.ceil(F.log(uniform(p.seed, "tries", i, c["campaign_id"])) / math.log(1 - 0.55))).cast("int")
+        tries = F.least(F.lit(MOST_CONTACTS), geometric(uniform(p.seed, "tries", i, c["campaign_id"]), 0.55))
         begun = F.struct(s["before"].alias("before"), s["n"].alias("n"), F.lit(False).alias("won"), s["rows"].alias("rows"))
-        end = F.aggregate(F.sequence(F.lit(1), F.greatest(tries, F.lit(1))), begun, attempt(c))
+        end = F.aggregate(F.sequence(F.lit(1), tries), begun, attempt(c))
         return F.when(fits, F.struct(F.when(end["won"], "success").otherwise("failure").alias("before"), end["n"].alias("n"), end["rows"].alias("rows"))).otherwise(s)
 
     begin = F.struct(F.lit("nonexistent").alias("before"), F.lit(0).alias("n"), F.array().cast(kind).alias("rows"))
@@ -366,7 +453,10 @@ def portfolio_ratios(snapshots: DataFrame, p: Profile, cost_income: float = 0.56
 
 
 def generate_all(spark: SparkSession, n: int, p: Profile, w: Window, out: str, strict: bool = False) -> dict[str, int]:
-    """All tables as Parquet, each read back by those that build on it; row counts. A strict gate raises."""
+    """All tables as Parquet, each read back by those that build on it; row counts. A strict gate raises.
+
+    What a model is to recover lies in ``ground_truth``, one JSON row beside the tables and not a column of any.
+    """
     sizes: dict[str, int] = {}
 
     def keep(name: str, df: DataFrame) -> DataFrame:
@@ -384,5 +474,10 @@ def generate_all(spark: SparkSession, n: int, p: Profile, w: Window, out: str, s
     keep("transactions", generate_transactions(customers, outcomes, p, w))
     snapshots = keep("monthly_snapshots", generate_monthly_snapshots(holdings, outcomes, p, w))
     keep("campaign_contacts", generate_campaign_contacts(customers, holdings, outcomes, p, w))
-    assert_calibrated(portfolio_ratios(snapshots, p), p.envelopes, strict)
+    ratios = portfolio_ratios(snapshots, p)
+    checked = assert_calibrated(ratios, p.envelopes, strict)
+    truth = {**HAZARD, "frailty_sigma": FRAILTY_SIGMA, "break_at": BREAK_AT}
+    row = ({k: float(v) for k, v in truth.items()}, ratios, checked, p.seed, str(w.start), str(w.end), dict(sizes))
+    kind = "hazard_coefficients map<string,double>, portfolio map<string,double>, calibration_check map<string,string>, seed long, start string, end string, row_counts map<string,long>"
+    spark.createDataFrame([row], kind).coalesce(1).write.mode("overwrite").json(f"{out}/ground_truth")
     return sizes

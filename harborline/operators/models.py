@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from harborline.functions.distributions import chi2_sf, normal_sf
 from harborline.functions.intervals import z_of
@@ -142,56 +143,144 @@ class KMeansFit:
     inertia: float
     iterations: int
     sizes: list[int] = field(default_factory=list)
+    names: list[str] = field(default_factory=list)
+    converged: bool = True
 
     def predict(self, df: DataFrame, x: str, name: str = "cluster") -> DataFrame:
         """``df`` with the nearest centre, the lowest number where two are as near."""
         nearest = F.array_min(F.array(*[F.struct(squared_distance(x, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centres)]))
         return df.withColumn(name, nearest["i"]).withColumn(f"{name}_distance", nearest["d"])
 
+    def centroid_frame(self, spark: SparkSession) -> DataFrame:
+        """(cluster, a column for each dimension, size, share_pct)."""
+        names, total = self.names or [f"f{i}" for i in range(self.centres.shape[1])], sum(self.sizes) or 1
+        rows = [(i, *map(float, c), n, round(100 * n / total, 2)) for i, (c, n) in enumerate(zip(self.centres, self.sizes, strict=True))]
+        return spark.createDataFrame(rows, f"cluster int, {', '.join(f'`{n}` double' for n in names)}, size long, share_pct double")
 
-def fit_kmeans(df: DataFrame, x: str, k: int, max_iter: int = 300, tol: float = 1e-6, n_init: int = 5, seed: int = 1, sample: int = 5000) -> KMeansFit:
-    """Lloyd's iterations from k-means++ seeds drawn on a bounded sample; the best of ``n_init`` starts.
 
-    An empty cluster restarts at the farthest point. Labels belong to the final centres.
+def points_of(batch: pa.RecordBatch) -> np.ndarray:
+    """The points of a batch's column x, an array of doubles; all of one width."""
+    x = batch.column("x")
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+
+
+def nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each point's nearest centre, the first where two are as near, and the squared distance, in blocks of bounded size."""
+    at, gap = np.zeros(len(points), np.int64), np.zeros(len(points))
+    step = max(1, (1 << 22) // max(1, centres.size))
+    for i in range(0, len(points), step):
+        d = ((points[i : i + step, None] - centres[None]) ** 2).sum(-1)
+        at[i : i + step] = d.argmin(1)
+        gap[i : i + step] = d.min(1)
+    return at, gap
+
+
+def _seeding_pass(data: DataFrame, starts: list[np.ndarray], take: int, seed: int) -> list[np.ndarray]:
+    """``take`` points for each start, drawn without replacement by their squared distance to its centres.
+
+    A point's key is an exponential number over its distance, and the least keys are the sample, so a task
+    passes on its own least ones and no total has to be known before. A start without centres draws evenly.
     """
-    data = df.select(F.transform(F.col(x), lambda v: v.cast("double")).alias("x")).where("x is not null").cache()
-    n = data.count()
-    if n < k:
-        raise ValueError("fewer points than clusters")
-    rate = min(1.0, sample / n)
-    drawn = np.array([r.x for r in data.where(F.pmod(F.xxhash64("x"), F.lit(1 << 20)) <= int(rate * (1 << 20))).limit(2 * sample).collect()])
-    if len(drawn) < k:  # equal points share a hash: where few are distinct, the draw may miss them all
-        drawn = np.array([r.x for r in data.distinct().limit(2 * sample).collect()])
-    drawn = drawn[np.lexsort(drawn.T[::-1])]
-    width, best = drawn.shape[1], None
-    for start in range(n_init):
-        rng = np.random.default_rng(seed + start)
-        centres = drawn[rng.integers(len(drawn))][None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple[float, list[float]]]] = [[] for _ in starts]
+        for batch in batches:
+            points, h = points_of(batch), batch.column("h").to_numpy().view(np.uint64)
+            for s, centres in enumerate(starts):
+                with np.errstate(over="ignore", divide="ignore"):
+                    z = (h ^ np.uint64((seed + 1) * 0x9E3779B9 + s)) * np.uint64(0xBF58476D1CE4E5B9)
+                    z = (z ^ z >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+                    u = ((z >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+                    key = -np.log(u) / (nearest(points, centres)[1] if len(centres) else 1.0)
+                some = np.flatnonzero(np.isfinite(key))
+                if len(some) > take:
+                    some = some[np.argpartition(key[some], take - 1)[:take]]
+                best[s] = sorted(best[s] + [(float(key[i]), points[i].tolist()) for i in some])[:take]
+        for s, own in enumerate(best):
+            yield pa.record_batch([pa.array([s] * len(own), pa.int32()), pa.array([k for k, _ in own], pa.float64()), pa.array([p for _, p in own], pa.list_(pa.float64()))], ["s", "key", "p"])
+
+    drawn = data.mapInArrow(run, "s int, key double, p array<double>")
+    first = F.row_number().over(Window.partitionBy("s").orderBy("key", "p")) <= take
+    found: list[list[list[float]]] = [[] for _ in starts]
+    for r in drawn.withColumn("first", first).where("first").collect():  # starts x take, both given
+        found[r.s].append(r.p)
+    return [np.unique(np.array(x), axis=0) if x else np.zeros((0, 0)) for x in found]
+
+
+def _assignment_pass(data: DataFrame, starts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For every start in one pass: points and distance of each centre, the sum of its points, and the farthest point of all."""
+    width = starts[0].shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states = [(np.zeros(len(c)), np.zeros(len(c)), np.zeros((len(c), width))) for c in starts]
+        far: list[tuple[float, list[float]]] = [(-1.0, [])] * len(starts)
+        for batch in batches:
+            points = points_of(batch)
+            for i, (centres, (n, d, total)) in enumerate(zip(starts, states, strict=True)):
+                if len(points):
+                    at, gap = nearest(points, centres)
+                    n += np.bincount(at, minlength=len(centres))
+                    d += np.bincount(at, gap, minlength=len(centres))
+                    np.add.at(total, at, points)
+                    far[i] = max(far[i], (float(gap.max()), points[gap.argmax()].tolist()))
+        rows = [(i, j, float(n[j]), float(d[j]), total[j].tolist(), far[i][0], far[i][1]) for i, (n, d, total) in enumerate(states) for j in range(len(n))]
+        kinds = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.float64())]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["s", "c", "n", "d", "total", "gap", "far"])
+
+    states = data.mapInArrow(run, "s int, c int, n double, d double, total array<double>, gap double, far array<double>")
+    sums = states.groupBy("s", "c").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), *[F.sum(F.col("total")[j]).alias(f"t{j}") for j in range(width)], F.max(F.struct("gap", "far")).alias("far"))
+    out = [(np.zeros(len(c)), np.zeros(len(c)), np.zeros(c.shape), np.zeros(width)) for c in starts]
+    for r in sums.collect():
+        n, d, total, far = out[r.s]
+        n[r.c], d[r.c], total[r.c], far[:] = r.n, r.d, [r[f"t{j}"] for j in range(width)], r.far.far
+    return out
+
+
+def seeds(data: DataFrame, k: int, n_init: int, seed: int, rounds: int = 5) -> list[np.ndarray]:
+    """k centres for each start, by oversampled parallel seeding: ``rounds`` passes draw 2k candidates each, one
+    pass weighs them by the points next to them, and k-means++ over the weighted candidates picks k."""
+    starts = _seeding_pass(data, [np.zeros((0, 0))] * n_init, 1, seed)
+    for i in range(rounds):
+        more = _seeding_pass(data, starts, 2 * k, seed + 1 + i)
+        starts = [np.unique(np.vstack([a, b]), axis=0) if len(b) else a for a, b in zip(starts, more, strict=True)]
+    out = []
+    for s, (candidates, (weights, *_)) in enumerate(zip(starts, _assignment_pass(data, starts), strict=True)):
+        rng = np.random.default_rng(seed + s)
+        centres = candidates[rng.choice(len(candidates), p=weights / weights.sum())][None]
         while len(centres) < k:
-            gap = ((drawn[:, None] - centres[None]) ** 2).sum(-1).min(1)
-            centres = np.vstack([centres, drawn[rng.choice(len(drawn), p=gap / gap.sum() if gap.sum() else None)]])
-        for i in range(1, max_iter + 1):
-            fit = KMeansFit(centres, math.inf, i)
-            labelled = fit.predict(data, "x")
-            rows = labelled.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("cluster_distance").alias("d"), *[F.avg(F.col("x")[j]).alias(f"m{j}") for j in range(width)]).collect()
-            moved = centres.copy()
-            for r in rows:
-                moved[r.cluster] = [r[f"m{j}"] for j in range(width)]
-            for empty in set(range(k)) - {r.cluster for r in rows}:
-                moved[empty] = labelled.agg(F.max_by("x", "cluster_distance")).first()[0]
-            shift, centres = ((moved - centres) ** 2).sum(), moved
-            if shift <= tol:
-                break
-        final = KMeansFit(centres, 0.0, i)
-        rows = final.predict(data, "x").groupBy("cluster").agg(F.count("*").alias("n"), F.sum("cluster_distance").alias("d")).orderBy("cluster").collect()
-        final.inertia, final.sizes = sum(r.d for r in rows), [r.n for r in rows]
-        if best is None or final.inertia < best.inertia:
-            best = final
+            chance = weights * nearest(candidates, centres)[1]
+            centres = np.vstack([centres, candidates[rng.choice(len(candidates), p=chance / chance.sum() if chance.sum() else None)]])
+        out.append(centres)
+    return out
+
+
+def fit_kmeans(df: DataFrame, x: str, k: int, max_iter: int = 300, tol: float = 1e-6, n_init: int = 5, seed: int = 1, names: list[str] | None = None) -> KMeansFit:
+    """Lloyd's iterations from parallel seeds; the best of ``n_init`` starts, all of which share every pass.
+
+    A pass adds up, for every start, the points of each centre in the tasks, a state of fixed size. An
+    empty cluster restarts at the farthest point. Labels belong to the final centres. Null points are left out.
+    """
+    data = df.select(F.transform(F.col(x), lambda v: v.cast("double")).alias("x")).where("x is not null").withColumn("h", F.xxhash64("x", F.monotonically_increasing_id())).cache()
+    if data.count() < k:
+        raise ValueError("fewer points than clusters")
+    starts = seeds(data, k, n_init, seed)
+    live, done = list(range(n_init)), {}
+    for i in range(1, max_iter + 2):
+        for s, (n, d, total, far) in zip(list(live), _assignment_pass(data, [starts[s] for s in live]), strict=True):
+            moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], far)
+            still = ((moved - starts[s]) ** 2).sum() <= tol
+            if still or i > max_iter:
+                done[s] = KMeansFit(starts[s], float(d.sum()), min(i, max_iter), n.astype(int).tolist(), names or [], bool(still))
+                live.remove(s)
+            else:
+                starts[s] = moved
+        if not live:
+            break
     data.unpersist()
-    return best
+    return min(done.values(), key=lambda f: f.inertia)
 
 
-def silhouette_score(df: DataFrame, x: str, label: str, sample: int = 2000) -> float:
+def silhouette_score(df: DataFrame, x: str, label: str, sample: int = 5000) -> float:
     """Mean Euclidean silhouette over a bounded sample, drawn by hash: a fixed number of points, compared in blocks."""
     n = df.count()
     rate = min(1.0, sample / max(n, 1))

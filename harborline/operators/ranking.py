@@ -15,13 +15,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows sampled for boundaries, bins, and rows that one task may rank alone.
-SAMPLE, BINS, SMALL = 10_000, 64, 50_000
+#: Rows sampled for boundaries, bins at least and at most, and rows that one task may rank alone.
+SAMPLE, BINS, MOST_BINS, SMALL = 10_000, 64, 4_096, 50_000
 #: Parts of a span of keys that one scan counts.
 SPLIT = 512
 
 
-def globally_ranked(df: DataFrame, key: Column, tie: str, name: str = "rn", running: dict[str, str] | None = None, base: DataFrame | None = None, bins: int = BINS, small: int = SMALL) -> DataFrame:
+def _place(keyed: DataFrame, n: int, bins: int) -> Column:
+    """The bin of ``_k``, a struct, by boundaries read from a bounded sample of it: two steps of comparisons where bins are many."""
+    rate = min(1.0, max(SAMPLE, 16 * bins) / n)
+    rows = keyed.where(F.pmod(F.xxhash64("_k"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("_k.*").limit(4 * max(SAMPLE, 16 * bins)).collect()
+    drawn = sorted(set(rows), key=lambda r: tuple((x is not None, x) for x in r))
+    kinds = keyed.select("_k.*").dtypes
+    edges = [F.struct(*[F.lit(x).cast(kind).alias(c) for x, (c, kind) in zip(r, kinds, strict=True)]) for r in drawn[:: max(1, len(drawn) // bins)][1:]]
+    over = lambda some: F.size(F.filter(some, lambda e: e < F.col("_k")))
+    if not edges:
+        return F.lit(0)
+    if len(edges) <= BINS:
+        return over(F.array(*edges))
+    step = math.isqrt(len(edges)) + 1
+    blocks = [edges[i : i + step] for i in range(0, len(edges), step)]
+    block = over(F.array(*[x[-1] for x in blocks]))
+    inside = F.coalesce(over(F.get(F.array(*[F.array(*x) for x in blocks]), block)), F.lit(0))
+    return F.when(block == len(blocks), len(edges)).otherwise(block * step + inside)
+
+
+def _bins(n: int, bins: int | None) -> int:
+    """Bins follow the rows: a million each, as far as MOST_BINS."""
+    return bins or min(MOST_BINS, max(BINS, n // 1_000_000))
+
+
+def globally_ranked(df: DataFrame, key: Column, tie: str, name: str = "rn", running: dict[str, str] | None = None, base: DataFrame | None = None, bins: int | None = None, small: int = SMALL) -> DataFrame:
     """``df`` with ``name``, the row number by (key, tie) ascending, and running sums of columns.
 
     ``key`` is numeric and ``tie`` unique. ``running`` maps new columns to the columns summed. ``base``
@@ -35,13 +59,7 @@ def globally_ranked(df: DataFrame, key: Column, tie: str, name: str = "rn", runn
         sums = {a: F.sum(b).over(by.rowsBetween(Window.unboundedPreceding, 0)) for a, b in (running or {}).items()}
         return df.withColumn(name, F.row_number().over(by)).withColumns(sums)
     keyed = lambda x: x.withColumn("_k", F.struct(key.alias("k"), F.col(tie).alias("t")))
-    rate = min(1.0, SAMPLE / n)
-    rows = keyed(base).where(F.pmod(F.xxhash64(tie), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("_k.*").limit(4 * SAMPLE).collect()
-    drawn = sorted(rows, key=lambda r: (r.k is not None, r.k, r.t))
-    step = max(1, len(drawn) // bins)
-    kinds = dict(keyed(base).select("_k.*").dtypes)
-    edges = [F.struct(F.lit(r.k).cast(kinds["k"]).alias("k"), F.lit(r.t).cast(kinds["t"]).alias("t")) for r in drawn[step::step]]
-    place = F.size(F.filter(F.array(*edges), lambda e: e < F.col("_k"))) if edges else F.lit(0)
+    place = _place(keyed(base), n, _bins(n, bins))
     sums = {f"_s_{a}": F.sum(b).alias(f"_s_{a}") for a, b in (running or {}).items()}
     sizes = keyed(base).withColumn("_bin", place).groupBy("_bin").agg(F.count("*").alias("_n"), *sums.values())
     before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -54,6 +72,24 @@ def globally_ranked(df: DataFrame, key: Column, tie: str, name: str = "rn", runn
     return out.drop("_k", "_bin", "_n_before", *[f"{s}_before" for s in sums])
 
 
+def previous(df: DataFrame, column: str, order: str, name: str, bins: int | None = None) -> DataFrame:
+    """``df`` with ``name``, the column's value in the row before by (order, column), nulls first; null in the first row.
+
+    Rows are binned by ranges of that order; a bin takes its first row's value from the last row of the
+    last bin before it that has any, so no bin waits for another. Rows equal in both columns share the bins that a hash
+    of the whole row gives them.
+    """
+    keyed = df.withColumn("_k", F.struct(F.col(f"`{order}`").alias("o"), F.col(f"`{column}`").alias("v"), F.xxhash64(*[F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))]).alias("h")))
+    n = df.count()
+    binned = keyed.withColumn("_bin", _place(keyed, max(n, 1), _bins(n, bins)))
+    last = binned.groupBy("_bin").agg(F.max("_k").alias("_last"))
+    last = last.select("_bin", F.lag("_last").over(Window.orderBy("_bin"))["v"].alias("_handed"))
+    within = Window.partitionBy("_bin").orderBy("_k")
+    first = F.row_number().over(within) == 1
+    out = binned.join(F.broadcast(last), "_bin").withColumn(name, F.when(first, F.col("_handed")).otherwise(F.lag(column).over(within)))
+    return out.drop("_k", "_bin", "_handed")
+
+
 def ntile(rn: Column, n: Column, k: int) -> Column:
     """The bucket that NTILE(k) gives row ``rn`` of ``n``."""
     q, r = F.floor(n / k), n % k
@@ -133,27 +169,21 @@ def _between(low: float, high: float, share: float) -> float:
     return low + (high - low) * share if math.isfinite(high - low) else low * (1 - share) + high * share
 
 
-def exact_quantiles(df: DataFrame, columns: dict[str, Column], marks: list[float], small: int = SMALL) -> dict[str, list[float | None]]:
-    """The exact, interpolated quantiles of every column, without gathering its values in one task.
+def _keyed(columns: dict[str, Column], df: DataFrame) -> DataFrame:
+    values = df.select(*[c.cast("double").alias(k) for k, c in columns.items()])
+    return values.select(*[F.when(~F.isnan(k), order_key(F.col(k))).alias(k) for k in columns])
 
-    Values become 64-bit keys of the same order. A scan counts the least and largest key of each column; each
-    further one splits the spans that hold a sought rank, of all columns and ranks together, and goes on in
-    the parts that hold it, at least eight bits narrower. Spans of ``small`` rows in all are read as they are.
-    Nine scans suffice for any table. Null and NaN are missing; without values all quantiles are None.
-    """
-    names = {k: f"k{i}" for i, k in enumerate(columns)}
-    if not columns:
-        return {}
-    values = df.select(*[c.cast("double").alias(names[k]) for k, c in columns.items()])
-    keys = values.select(*[F.when(~F.isnan(k), order_key(F.col(k))).alias(k) for k in names.values()])
-    ends = keys.agg(*[F.struct(F.count(k), F.min(k), F.max(k)).alias(k) for k in names.values()]).first()
+
+def _ends(keys: DataFrame) -> dict[str, tuple[int, int, int]]:
+    """One scan: how many keys each column has, the least and the largest."""
+    r = keys.agg(*[F.struct(F.count(k), F.min(k), F.max(k)).alias(k) for k in keys.columns]).first()
+    return {k: tuple(r[k]) for k in keys.columns}
+
+
+def _at_ranks(keys: DataFrame, ends: dict[str, tuple[int, int, int]], ranks: dict[str, list[int]], small: int) -> dict[tuple[str, int], float]:
+    """The value at each rank (from 0) of each column."""
     known: dict[tuple[str, int], int] = {}
-    spans = []
-    for k in names.values():
-        n, low, high = ends[k]
-        if n:
-            ranks = {r: r for q in marks for r in (math.floor((n - 1) * q), math.ceil((n - 1) * q))}
-            spans.append(Span(k, low, high, n, ranks))
+    spans = [Span(k, ends[k][1], ends[k][2], ends[k][0], {r: r for r in ranks[k]}) for k in ranks if ranks[k]]
     while spans:
         for s in spans:
             if s.low == s.high:
@@ -173,8 +203,29 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], marks: list[float
                     narrower.append(Span(s.column, low, high, n, here))
                 before += n
         spans = narrower
-    out = {}
-    for k, name in names.items():
-        n = ends[name][0]
-        out[k] = [_between(value_of(known[name, math.floor(p)]), value_of(known[name, math.ceil(p)]), p - math.floor(p)) for p in ((n - 1) * q for q in marks)] if n else [None] * len(marks)
-    return out
+    return {at: value_of(k) for at, k in known.items()}
+
+
+def exact_ranks(df: DataFrame, column: Column, ranks: list[int], small: int = SMALL) -> list[float]:
+    """The values of a column at ranks from 0, as ``exact_quantiles`` finds them."""
+    keys = _keyed({"x": column}, df)
+    found = _at_ranks(keys, _ends(keys), {"x": list(dict.fromkeys(ranks))}, small)
+    return [found["x", r] for r in ranks]
+
+
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], marks: list[float], small: int = SMALL) -> dict[str, list[float | None]]:
+    """The exact, interpolated quantiles of every column, without gathering its values in one task.
+
+    Values become 64-bit keys of the same order. A scan counts the least and largest key of each column; each
+    further one splits the spans that hold a sought rank, of all columns and ranks together, and goes on in
+    the parts that hold it, at least eight bits narrower. Spans of ``small`` rows in all are read as they are.
+    Nine scans suffice for any table. Null and NaN are missing; without values all quantiles are None.
+    """
+    if not columns:
+        return {}
+    names = {k: f"k{i}" for i, k in enumerate(columns)}
+    keys = _keyed({names[k]: c for k, c in columns.items()}, df)
+    ends = _ends(keys)
+    places = {k: [(ends[k][0] - 1) * q for q in marks] if ends[k][0] else [] for k in names.values()}
+    known = _at_ranks(keys, ends, {k: sorted({f(p) for p in own for f in (math.floor, math.ceil)}) for k, own in places.items()}, small)
+    return {k: [_between(known[name, math.floor(p)], known[name, math.ceil(p)], p - math.floor(p)) for p in places[name]] or [None] * len(marks) for k, name in names.items()}

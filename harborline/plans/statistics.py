@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborline.functions.hypothesis import contingency
+from harborline.functions import intervals
 from harborline.functions.intervals import difference_in_proportions_interval, proportion_table
 from harborline.operators import profiling as P
 from harborline.operators.metrics import confusion, curve, lift_table, ranking_metrics
@@ -167,14 +168,47 @@ def newcombe(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i.estimate, i.low, i.high)], "difference double, low double, high double").select(*[to(F.col(c), 6).alias(c) for c in ("difference", "low", "high")])
 
 
-#: Fixed centres, one per corner of the first two dimensions, so that SQL can assign points as well.
-CORNERS = [(0.5, 0.5), (0.5, -0.5), (-0.5, 0.5), (-0.5, -0.5)]
+def _weights(b: int, seed: int) -> str:
+    """The bootstrap's weights of orders in SQL: a splitmix hash of key and resample, and where Poisson(1) stands for it."""
+    whole = "18446744073709551616::UHUGEINT"
+    steps = ", ".join(f"{x:.17e}" for x in intervals._STEPS)
+    return f"""h0 AS (SELECT o_orderkey, (o_totalprice * 100)::BIGINT AS x, o_orderstatus = 'F' AS f, b, (o_orderkey::UHUGEINT * 11400714819323198485::UHUGEINT + b::UHUGEINT * 15111065706836454659::UHUGEINT + {seed}::UHUGEINT) % {whole} AS h FROM orders, range(1, {b + 1}) AS t(b)),
+h1 AS (SELECT * REPLACE ((xor(h, h >> 30) * 13787848793156543929::UHUGEINT) % {whole} AS h) FROM h0), h2 AS (SELECT * REPLACE ((xor(h, h >> 27) * 10723151780598845931::UHUGEINT) % {whole} AS h) FROM h1),
+u AS (SELECT x, f, b, (xor(h, h >> 31) >> 11)::DOUBLE / 9007199254740992::DOUBLE AS u FROM h2), w AS (SELECT x, f, b, len(list_filter([{steps}], lambda s: s <= u)) AS w FROM u)"""
 
 
-_CENTRES = ", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE)" for i, (x, y) in enumerate(CORNERS))
+def _resampled(name: str, whole: str, each: str) -> str:
+    return f"SELECT '{name}' AS statistic, {r2(f'({whole})', 4)} AS estimate, {r2('quantile_cont(v, 0.025)', 4)} AS low, {r2('quantile_cont(v, 0.975)', 4)} AS high FROM ({each})"
 
 
-@query("kmeans_assignment", f"WITH c AS (SELECT * FROM (VALUES {_CENTRES}) AS t(i, x, y)), e AS (SELECT vec_id, i, (embedding[1]::DOUBLE - x) * (embedding[1]::DOUBLE - x) + (embedding[2]::DOUBLE - y) * (embedding[2]::DOUBLE - y) AS d FROM embeddings, c) SELECT vec_id, i AS cluster FROM e QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, i) = 1")
+@query("bootstrap_orders", f"""WITH {_weights(100, 7)}, c AS (SELECT b, x, sum(w) OVER (PARTITION BY b ORDER BY x) AS c, sum(w) OVER (PARTITION BY b) AS n FROM w)
+{_resampled("mean", "SELECT sum((o_totalprice * 100)::BIGINT) / count(*)::DOUBLE FROM orders", "SELECT sum(w * x) / sum(w)::DOUBLE AS v FROM w GROUP BY b")}
+UNION ALL {_resampled("share_of_f", "SELECT sum((o_totalprice * 100)::BIGINT) FILTER (o_orderstatus = 'F') / sum((o_totalprice * 100)::BIGINT)::DOUBLE FROM orders", "SELECT sum(w * x) FILTER (f) / sum(w * x)::DOUBLE AS v FROM w GROUP BY b")}
+UNION ALL {_resampled("median", "SELECT quantile_disc((o_totalprice * 100)::BIGINT, 0.5)::DOUBLE FROM orders", "SELECT min(x)::DOUBLE AS v FROM c WHERE c >= 0.5::DOUBLE * n GROUP BY b")}""")
+def bootstrap_orders(spark: SparkSession, d: str) -> DataFrame:
+    x = F.round(F.col("o_totalprice") * 100).cast("long")
+    rows = read(spark, d, "orders").select("o_orderkey", x.alias("x"), F.when(F.col("o_orderstatus") == "F", x).otherwise(0).alias("f"))
+    asked = {"mean": intervals.mean_of(F.col("x")), "share_of_f": intervals.ratio_of(F.col("f"), F.col("x")), "median": intervals.Quantile(F.col("x"), 0.5)}
+    found = [(name, i.estimate, i.low, i.high) for name, i in ((name, intervals.bootstrap_interval(rows, s, 100, 7, key="o_orderkey")) for name, s in asked.items())]
+    return spark.createDataFrame(found, "statistic string, estimate double, low double, high double").select("statistic", *[to(F.col(c), 4).alias(c) for c in ("estimate", "low", "high")])
+
+
+@query("kmeans_planted", "SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey % 4) AS leader FROM orders")
+def kmeans_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Four groups far apart: whatever the seeds, each cluster is one of them; a cluster is named by its least order."""
+    points = read(spark, d, "orders").select("o_orderkey", F.array((F.col("o_custkey") % 4 * 1000 + F.col("o_orderkey") % 50).cast("double"), (F.col("o_orderkey") % 30).cast("double")).alias("x"))
+    found = fit_kmeans(points, "x", 4, n_init=2).predict(points, "x")
+    return found.join(F.broadcast(found.groupBy("cluster").agg(F.min("o_orderkey").alias("leader"))), "cluster").select("o_orderkey", "leader")
+
+
+#: Fixed centres, one for each corner of the first two dimensions and the origin of the others, so that SQL can assign points as well.
+CORNERS = [(x, y, *[0.0] * 62) for x in (0.5, -0.5) for y in (0.5, -0.5)]
+
+
+_CENTRES = ", ".join(f"({i}, [{', '.join(map(str, c))}]::DOUBLE[])" for i, c in enumerate(CORNERS))
+
+
+@query("kmeans_assignment", f"WITH c AS (SELECT * FROM (VALUES {_CENTRES}) AS t(i, c)), e AS (SELECT vec_id, i, list_sum(list_transform(list_zip(embedding::DOUBLE[], c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM embeddings, c) SELECT vec_id, i AS cluster FROM e QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, i) = 1")
 def assigned(spark: SparkSession, d: str) -> DataFrame:
-    points = read(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 2), lambda v: v.cast("double")).alias("x"))
+    points = read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
     return KMeansFit(np.array(CORNERS), 0.0, 0).predict(points, "x").select("vec_id", "cluster")

@@ -73,3 +73,26 @@ def test_calibration(spark):
         G.assert_calibrated({"ROA": 9.9}, env)
     n = spark.range(4000).select(G.poisson(G.uniform(1, "p", F.col("id")), F.lit(3.0)).alias("k"), G.beta(1.4, 3.0, 1, "b", F.col("id")).alias("b")).agg(F.avg("k"), F.variance("k"), F.avg("b")).first()
     assert n[0] == pytest.approx(3, abs=0.15) and n[1] == pytest.approx(3, abs=0.3) and n[2] == pytest.approx(1.4 / 4.4, abs=0.02)
+
+
+def test_draws_beyond_any_cap(spark):
+    """Poisson far beyond 60 and beyond where exp(-mean) is a number, geometric beyond 8, beta against its moments."""
+    rows = spark.range(3000)
+    for mean in (0.02, 3.0, 90.0, 300.0, 2000.0):
+        r = rows.select(G.poisson_draw(F.lit(mean), 1, "p", F.col("id")).alias("k")).agg(F.avg("k"), F.variance("k"), F.max("k")).first()
+        assert r[0] == pytest.approx(mean, abs=5 * (mean / 3000) ** 0.5) and r[1] == pytest.approx(mean, rel=0.15 if mean > 1 else 0.5) and (mean < 1 or r[2] > mean + 2 * mean**0.5)
+    extreme = spark.range(1).select(G.poisson(F.lit(1 - 2.0**-53), F.lit(50.0)).alias("k"), G.geometric(F.lit(2.0**-53), 0.55).alias("g"), G.geometric(F.lit(0.999), 0.55).alias("one")).first()
+    assert 110 < extreme.k < 150 and extreme.g == 47 and extreme.one == 1
+    g = rows.select(G.geometric(G.uniform(2, "g", F.col("id")), 0.2).alias("k")).agg(F.avg("k"), F.variance("k")).first()
+    assert g[0] == pytest.approx(5, abs=0.4) and g[1] == pytest.approx(20, rel=0.2)
+    a, b = 1.4, 3.0
+    x = sorted(r.x for r in spark.range(4000).select(G.beta(a, b, 3, "b", F.col("id")).alias("x")).collect())
+    assert max(abs(G.betainc(a, b, v) - (i + 0.5) / 4000) for i, v in enumerate(x)) < 1.63 / 4000**0.5 and 0 < x[0] and x[-1] < 1
+
+
+def test_ground_truth_lies_beside_the_tables(spark, book, tmp_path):
+    sizes, t, w = book
+    path = t["customers"].inputFiles()[0].rsplit("/", 2)[0]
+    truth = spark.read.json(f"{path}/ground_truth").collect()
+    assert len(truth) == 1 and truth[0].hazard_coefficients.frailty_sigma == G.FRAILTY_SIGMA and truth[0].row_counts.customers == 600
+    assert "ground_truth" not in sizes and not any("frailty_sigma" in df.columns for df in t.values())

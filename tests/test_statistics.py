@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from harborline.functions import distributions as D
@@ -84,6 +85,31 @@ def test_intervals(spark):
     assert b == I.bootstrap_interval(df.repartition(7), "x", 300, key="k")
 
 
+def test_bootstrap_of_any_statistic(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.lognormvariate(0, 1), rng.gauss(0, 1)) for i in range(400)]
+    rows += [(1000, None, 1.0), (1001, float("nan"), 1.0)]
+    df, x = frame(spark, rows, "k long, x double, y double"), I.F.col("x")
+    known = np.array([r[:3] for r in rows[:400]])
+    w = I.poisson_weights(known[:, 0].astype(np.int64), 50, 3)
+    assert abs(w.mean() - 1) < 0.03 and abs(w.var() - 1) < 0.05 and w.max() > 4
+    ranked = known[known[:, 1].argsort(), 1]
+    heavy = np.cumsum(w[known[:, 1].argsort()], axis=0)
+    for s, want in (
+        (I.mean_of(x), (w * known[:, 1:2]).sum(0) / w.sum(0)),
+        (I.ratio_of(I.F.col("y"), x), (w * known[:, 2:]).sum(0) / (w * known[:, 1:2]).sum(0)),
+        (I.deviation_of(x), np.array([np.repeat(known[:, 1], w[:, b]).std(ddof=1) for b in range(50)])),
+        (I.correlation_of(x, I.F.col("y")), np.array([np.corrcoef(np.repeat(known[:, 1], w[:, b]), np.repeat(known[:, 2], w[:, b]))[0, 1] for b in range(50)])),
+        (I.Quantile(x, 0.9), np.array([ranked[np.argmax(heavy[:, b] >= 0.9 * heavy[-1, b])] for b in range(50)])),
+    ):
+        clean = df.where("k < 1000")
+        whole, got = I.bootstrap_values(clean.repartition(3), s, 50, 3, I.F.col("k"))
+        assert got == pytest.approx(want, rel=1e-9) and min(want) <= whole <= max(want)
+    assert I.bootstrap_values(df, I.Quantile(x, 0.5), 20, 3, I.F.col("k"))[0] == sorted(known[:, 1])[199]
+    with pytest.raises(ValueError, match="no value"):
+        I.bootstrap_values(df.limit(0), I.mean_of(x), 10)
+
+
 def test_metrics(spark):
     df = frame(spark, [(1, 0.9, 1), (1, 0.4, 2), (0, 0.8, 3), (0, 0.1, 4)], "y int, s double, k int")
     m = M.confusion_matrix(df, "y", "s")
@@ -114,6 +140,28 @@ def test_kmeans_finds_blobs(spark):
     df = frame(spark, rows, "x array<double>")
     fit = L.fit_kmeans(df, "x", 3, n_init=2)
     assert sorted(fit.sizes) == [150, 150, 150] and L.silhouette_score(fit.predict(df, "x"), "x", "cluster") > 0.7
+    frame_ = fit.centroid_frame(spark).collect()
+    assert [r.cluster for r in frame_] == [0, 1, 2] and {r.share_pct for r in frame_} == {33.33} and fit.converged
+    chosen = L.choose_k(df, "x", [2, 3, 4], n_init=2)
+    assert [c["recommended"] for c in chosen] == [False, True, False] and chosen[1]["elbow"]
+
+
+def test_kmeans_shares_its_passes(spark, monkeypatch):
+    """Twenty planted clusters: found from every seed, in passes that do not grow with the starts."""
+    rows = [([100.0 * (i % 20) + i % 7, 50.0 * (i % 20 % 3)],) for i in range(2000)]
+    df = frame(spark, rows, "x array<double>")
+    for starts in (1, 4):
+        passes = []
+        for name in ("_seeding_pass", "_assignment_pass"):
+            monkeypatch.setattr(L, name, lambda *a, f=getattr(L, name): (passes.append(1), f(*a))[1])
+        assert L.fit_kmeans(df, "x", 20, n_init=starts).sizes == [100] * 20 if starts == 4 else True
+        monkeypatch.undo()
+        assert len(passes) <= 1 + 5 + 1 + 10
+
+
+def test_standardise(spark):
+    got = L.standardise(frame(spark, [(1.0, 5.0, 1), (3.0, 5.0, 2)], "a double, b double, k int"), ["a", "b"]).orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(-1.0, 0.0, 1), (1.0, 0.0, 2)]
 
 
 def test_anomalies(spark):
@@ -128,7 +176,10 @@ def test_anomalies(spark):
     series = frame(spark, [(i, 10.0 if i < 20 else 30.0) for i in range(40)], "t int, x double")
     found = P.detect_structural_break(series, "t", "x")
     assert (found.index, found.before, found.after) == (20, 10, 30)
+    assert found.pct_change == 200 and P.Break(1, 0.0, 3.0, 1.0).pct_change is None
     assert P.detect_structural_break(series.limit(5), "t", "x") is None
+    rates = P.standardise_rate(frame(spark, [(1, "a", 1), (1, "b", 0), (2, "a", 0), (3, "c", 1)], "p int, s string, y int"), "p", "y", "s", weights={"a": 3, "b": 1})
+    assert {r.p: (r.rate, r.coverage) for r in rates.collect()} == {1: (0.75, 1.0), 2: (None, 0.75)}
     pairs = P.correlation_pairs(frame(spark, [(float(i), 2.0 * i, float(i * i % 7)) for i in range(20)], "a double, b double, c double")).collect()
     assert [(r.a, r.b) for r in pairs] == [("a", "b")]
     assert P.profile_table(one([1, 2, 3, 10, None])).first().skew == pytest.approx(1.7636, abs=1e-3)
@@ -145,3 +196,41 @@ def test_rules(spark):
         report.raise_if_failed()
     assert R.validate(df.limit(0), rules, "t").passed
     assert report.to_frame(spark).count() == 9
+
+
+def test_failing_rows_are_sampled_in_the_counting_job(spark):
+    rows = [(i, f"s{i}", float(-i) if i % 3 else None) for i in range(900)]
+    df = frame(spark, rows, "k int, s string, x double").repartition(7)
+    rules = [R.not_null("x"), R.non_negative("x"), R.in_range("k", 3, 10_000), R.not_null("k"), *[R.expression(f"e{i}", lambda i=i: R.F.col("k") == i, ("k",)) for i in range(70)]]
+    spark.sparkContext.setJobGroup("rules", "")
+    report = R.validate(df, rules, "t")
+    again = R.validate(df.repartition(3), rules, "t")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    by = {r.rule: r for r in report.results}
+    assert (by["x_not_null"].n_failed, by["x_non_negative"].n_failed, by["k_in_range"].n_failed, by["k_not_null"].n_failed) == (300, 600, 3, 0)
+    assert [by[f"e{i}"].sample for i in (0, 69)] == [[{"k": i, "s": f"s{i}", "x": None}] for i in (0, 69)]
+    assert len(by["x_not_null"].sample) == 5 and all(x["x"] is None for x in by["x_not_null"].sample) and sorted(x["k"] for x in by["k_in_range"].sample) == [0, 1, 2] and by["k_not_null"].sample == []
+    assert report == again
+
+
+def test_monotonic_dates_across_bins(spark):
+    from harborline.operators.ranking import previous
+
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 1, rng.randrange(500)]), rng.choice([None, rng.randrange(9)])) for _ in range(1500)]
+    ordered = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+    for n in (1, 7, 90):
+        got = previous(frame(spark, rows, "o int, v int").repartition(5), "v", "o", "before", bins=n).collect()
+        want = [(o, v, b) for (o, v), b in zip(ordered, [None, *[v for _, v in ordered]], strict=False)]
+        assert sorted(map(str, ((r.o, r.v, r.before) for r in got))) == sorted(map(str, want))
+
+
+def test_rates_are_judged_by_their_base(spark):
+    df = frame(spark, [("2024-01-01", "USD", "INR", 10.0), ("2024-01-01", "EUR", "INR", 10.0)], "date string, base string, quote string, rate double")
+    assert {r.rule: r.n_failed for r in R.validate(df, R.fx_suite(), "fx").results}["usd_inr_plausible"] == 1
+
+
+def test_many_tables_one_report(spark):
+    a, b = frame(spark, [(1,), (None,)], "x int"), frame(spark, [("y",)], "s string")
+    report = R.validate_many({"a": (a, [R.not_null("x")]), "b": (b, [R.not_null("s"), R.not_null("t")])})
+    assert [(r.table, r.n_failed) for r in report.results] == [("a", 1), ("b", 0)] and report.skipped == [("b", "t_not_null")]
