@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from harborline.plans.registry import query
 from harborline.plans.star import Star, cents, fiscal, money, to
+from harborline.plans.views import customer_360, monthly_revenue
 from harborline.plans.warehouse import r2, sql
 
 
@@ -115,9 +116,10 @@ def union(spark: SparkSession, d: str) -> DataFrame:
 
 @query("generate_date_dimension", """SELECT year(d) * 10000 + month(d) * 100 + day(d) AS date_key, d AS full_date, year(d) AS year, quarter(d) AS quarter, month(d) AS month, strftime(d, '%B') AS month_name, day(d) AS day, isodow(d) - 1 AS day_of_week, strftime(d, '%A') AS day_name, weekofyear(d) AS week_of_year,
 (isodow(d) >= 6)::INT AS is_weekend, (last_day(d) = d)::INT AS is_month_end, date_trunc('month', d)::DATE AS month_start_date, year(d) - (month(d) < 4)::INT AS fiscal_year, (month(d) + 8) % 12 // 3 + 1 AS fiscal_quarter, (month(d) IN (10, 11))::INT AS is_festive_season
-FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2026-12-31', INTERVAL 1 DAY))::DATE AS d)""")
+FROM (SELECT unnest(generate_series((SELECT min(o_orderdate)::DATE FROM orders), (SELECT max(o_orderdate)::DATE FROM orders), INTERVAL 1 DAY))::DATE AS d)""")
 def dates(spark: SparkSession, d: str) -> DataFrame:
-    return Star(spark, d).dim_date("2024-01-01", "2026-12-31")
+    first, last = read(spark, d, "orders").agg(F.to_date(F.min("o_orderdate")), F.to_date(F.max("o_orderdate"))).first()
+    return Star(spark, d).dim_date(str(first), str(last))
 
 
 @query("generate_repeat_rows", "SELECT s_suppkey, i::INT AS i FROM supplier, range(1, s_suppkey % 4 + 1) AS r(i)")
@@ -157,8 +159,13 @@ def orphans(spark: SparkSession, d: str) -> DataFrame:
     return orders.agg(a.alias("orders_without_customer"), b.alias("lines_without_order"), (F.count("*") - F.count_distinct("o_orderkey")).alias("repeated_orders"))
 
 
-@query("view_monthly_revenue", sql("SELECT month, product_code, segment, count(DISTINCT customer_key)::BIGINT AS n_customers, sum(revenue_c)::BIGINT / 100.0::DOUBLE AS revenue_inr FROM account JOIN cust USING (customer_key) GROUP BY 1, 2, 3"))
+@query("view_monthly_revenue", sql("SELECT month, category, product_code, product_name, segment, count(DISTINCT customer_key)::BIGINT AS n_customers, sum(balance_c)::BIGINT / 100.0::DOUBLE AS balance_inr, sum(interest_c)::BIGINT / 100.0::DOUBLE AS interest_revenue_inr, sum(fee_c)::BIGINT / 100.0::DOUBLE AS fee_revenue_inr, sum(revenue_c)::BIGINT / 100.0::DOUBLE AS total_revenue_inr FROM account JOIN product USING (product_code) JOIN cust USING (customer_key) GROUP BY ALL"))
 def monthly_view(spark: SparkSession, d: str) -> DataFrame:
-    s = Star(spark, d)
-    rows = s.fact_monthly_account.join(s.dim_customer.select("customer_key", "segment"), "customer_key")
-    return rows.groupBy("month", "product_code", "segment").agg(F.count_distinct("customer_key").alias("n_customers"), money(F.sum("revenue_c")).alias("revenue_inr"))
+    return monthly_revenue(Star(spark, d)).drop("customers")
+
+
+@query("view_customer_360", sql("""SELECT customer_id, c.segment, city, state, age, CASE WHEN age <= 25 THEN '<25' WHEN age <= 35 THEN '25-34' WHEN age <= 45 THEN '35-44' WHEN age <= 55 THEN '45-54' WHEN age <= 65 THEN '55-64' ELSE '65+' END AS age_band, income_c / 100.0::DOUBLE AS annual_income_inr, credit_score, acquisition_channel, acquired_date, tenure_months, digital_engagement,
+ churned, censored, churn_date, observed_months, coalesce(n, 0)::INT AS n_products, coalesce(b, 0) / 100.0::DOUBLE AS total_balance_inr, coalesce(r, 0) / 100.0::DOUBLE AS total_revenue_inr, n_transactions
+ FROM cust c LEFT JOIN snapshot s USING (customer_key) LEFT JOIN (SELECT customer_key, count(DISTINCT product_code) AS n, sum(balance_c)::BIGINT AS b, sum(revenue_c)::BIGINT AS r FROM account, latest WHERE month = m GROUP BY 1) USING (customer_key)"""))
+def customer_view(spark: SparkSession, d: str) -> DataFrame:
+    return customer_360(Star(spark, d))

@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 
 # Fixed values of the channel dimension: code, name, digital flag. 5-LOW has no row on purpose.
 CHANNELS = [("1-URGENT", "Mobile app", 1), ("2-HIGH", "Net banking", 1), ("3-MEDIUM", "Branch", 0), ("4-NOT SPECIFIED", "ATM", 0)]
-# Fixed values of the macro reference: indicator, year, value; the latest years are not published yet.
-MACRO = [("FR.INR.LEND", 2021, 8.698333), ("FR.INR.LEND", 2022, 8.567143), ("FR.INR.LEND", 2023, None), ("FR.INR.LEND", 2024, None), ("FP.CPI.TOTL.ZG", 2022, 6.7)]
+#: The series of the lending rate; the rate where nothing is known, and other fixed values of the model.
+LENDING = "FR.INR.LEND"
 DEFAULT_RATE, CHURN_DAYS, DAYS_PER_MONTH, CAMPAIGNS = 8.567143, 180, 30.44, 12
 
 
@@ -91,8 +91,16 @@ class Star:
 
     @cached_property
     def fact_monthly_account(self) -> DataFrame:
+        return self.accounts(self.table("lineitem"))
+
+    @cached_property
+    def latest_accounts(self) -> DataFrame:
+        """The accounts of the last month: lines are cut by a range of ship dates in the scan, before anything is joined."""
+        return self.accounts(self.table("lineitem").where(F.col("l_shipdate") >= self.latest_month))
+
+    def accounts(self, lines: DataFrame) -> DataFrame:
         price = F.col("l_extendedprice")
-        lines = self.table("lineitem").select(
+        lines = lines.select(
             F.col("l_orderkey"), F.col("l_partkey"), F.trunc(F.to_date("l_shipdate"), "MM").alias("month"), cents(price).alias("balance_c"), cents(price * (1 - F.col("l_discount")) * 0.01).alias("interest_c"), cents(price * F.col("l_tax") * 0.01).alias("fee_c")
         )
         parts = self.table("part").select("p_partkey", F.concat_ws("/", "p_brand", "p_type").alias("product_code"))
@@ -103,7 +111,7 @@ class Star:
 
     @cached_property
     def latest_month(self) -> Column:
-        return self.table("lineitem").agg(F.max(F.trunc(F.to_date("l_shipdate"), "MM"))).scalar()
+        return self.table("lineitem").agg(F.trunc(F.to_date(F.max("l_shipdate")), "MM")).scalar()
 
     @cached_property
     def fact_campaign_contact(self) -> DataFrame:
@@ -131,12 +139,24 @@ class Star:
 
     @cached_property
     def ref_macro_indicator(self) -> DataFrame:
-        return self.spark.createDataFrame(MACRO, "indicator string, year int, value double")
+        """The mean tax of a ship year stands for its lending rate; the last year is not published yet."""
+        year = F.year("l_shipdate").alias("year")
+        rates = self.table("lineitem").groupBy(year).agg(to(F.sum(F.floor(F.col("l_tax") * 100 + F.lit(0.5))) / F.count("*"), 6).alias("value"))
+        last = self.table("lineitem").agg(F.year(F.max("l_shipdate"))).scalar()
+        return rates.select(F.lit(LENDING).alias("indicator"), "year", F.when(F.col("year") < last, F.col("value")).alias("value"))
 
     def dim_date(self, start: str, end: str) -> DataFrame:
         """One row per day; the fiscal year begins in April and the festive season is October and November."""
+        return self.dated(self.spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("full_date")))
+
+    @cached_property
+    def dates(self) -> DataFrame:
+        """The date dimension over all ship dates, from the first day of their first month."""
+        ends = self.table("lineitem").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
+        return self.dated(ends.where("a is not null").select(F.explode(F.sequence(F.trunc(F.to_date("a"), "MM").cast("date"), F.to_date("b"))).alias("full_date")))
+
+    def dated(self, days: DataFrame) -> DataFrame:
         day = F.col("full_date")
-        days = self.spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("full_date"))
         return days.select(
             (F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)).alias("date_key"), day, F.year(day).alias("year"), F.quarter(day).alias("quarter"), F.month(day).alias("month"), F.date_format(day, "MMMM").alias("month_name"), F.dayofmonth(day).alias("day"),
             F.weekday(day).alias("day_of_week"), F.date_format(day, "EEEE").alias("day_name"), F.weekofyear(day).alias("week_of_year"), (F.weekday(day) >= 5).cast("int").alias("is_weekend"), (F.last_day(day) == day).cast("int").alias("is_month_end"), F.trunc(day, "MM").alias("month_start_date"),
@@ -198,6 +218,9 @@ contact AS (
 campaign AS (
   SELECT k::INT AS campaign_key, printf('CMP%03d', k) AS campaign_id, (DATE '1995-01-01' + to_months(k::INT))::DATE AS start_date, product_code
   FROM range(12) AS r(k) JOIN product ON product_key = k + 1),
+macro AS (
+  SELECT year, if(year < (SELECT max(year(l_shipdate)) FROM lineitem), floor(sum(floor(l_tax * 100 + 0.5))::BIGINT / count(*)::DOUBLE * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE, NULL) AS value
+  FROM (SELECT year(l_shipdate)::INT AS year, l_tax FROM lineitem) GROUP BY year),
 snapshot AS (
   SELECT customer_key, acquired, if(gone, last, NULL) AS churn_date, gone::INT AS churned, 1 - gone::INT AS censored,
          ((year(stop) - year(acquired)) * 12 + month(stop) - month(acquired))::INT AS observed_months, n_transactions

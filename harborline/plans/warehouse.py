@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from harborline.operators.ranking import globally_ranked, ntile
 from harborline.plans.registry import query
-from harborline.plans.star import DAYS_PER_MONTH, DEFAULT_RATE, MACRO, STAR_SQL, Star, fiscal, star, money, to, truncated_months
+from harborline.plans.star import DAYS_PER_MONTH, DEFAULT_RATE, LENDING, STAR_SQL, Star, star, money, to, truncated_months
 
 # The named segments in order of precedence, as conditions on the three scores.
 RFM_SEGMENTS = [
@@ -41,8 +41,7 @@ def p2(a: str, b: str) -> str:
 
 
 def latest_holdings(s: Star) -> DataFrame:
-    now = s.fact_monthly_account.where(F.col("month") == s.latest_month)
-    return now.groupBy("customer_key").agg(F.count_distinct("product_code").cast("int").alias("n_products"), F.sum("balance_c").alias("balance_c"), F.sum("revenue_c").alias("revenue_c"))
+    return s.latest_accounts.groupBy("customer_key").agg(F.count_distinct("product_code").cast("int").alias("n_products"), F.sum("balance_c").alias("balance_c"), F.sum("revenue_c").alias("revenue_c"))
 
 
 @query("q01_customer_360", sql("""
@@ -60,7 +59,7 @@ def q01(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = star(spark, sf_dir)
     txns = s.fact_transaction.groupBy("customer_key").agg(F.count("*").alias("n_txn"), F.sum("amount_c").alias("value_c"), F.max("txn_date").alias("last_txn_date"))
     contacts = s.fact_campaign_contact.groupBy("customer_key").agg(F.count("*").alias("n_contacts"), F.sum("converted").alias("n_won"))
-    all_ = s.dim_customer.join(s.fact_customer_snapshot.drop("acquired_date", "n_transactions"), "customer_key", "left")
+    all_ = s.dim_customer.join(s.fact_customer_snapshot.drop("acquired_date", "n_transactions", "n_products", "balance_c", "revenue_c"), "customer_key", "left")
     for side in (latest_holdings(s), txns, contacts):
         all_ = all_.join(side, "customer_key", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -114,13 +113,15 @@ FROM monthly WINDOW w AS (ORDER BY month), a AS (ORDER BY month ROWS 2 PRECEDING
 def q03(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = star(spark, sf_dir)
     monthly = s.fact_monthly_account.groupBy("month").agg(F.count_distinct("customer_key").cast("int").alias("n_customers"), *[F.sum(f"{c}_c").alias(c) for c in ("balance", "interest", "fee", "revenue")])
+    calendar = s.dates.select(F.col("full_date").alias("month"), "fiscal_year", "fiscal_quarter", "is_festive_season")
+    monthly = monthly.join(F.broadcast(calendar), "month", "left")  # a row for each day of the calendar
     by = Window.orderBy("month")  # one row per calendar month
     r = F.col("revenue")
     mean = lambda k: to(F.sum(r).over(by.rowsBetween(-k, 0)) / F.count("*").over(by.rowsBetween(-k, 0)) / 100.0)
     prev, year = F.lag(r).over(by), F.lag(r, 12).over(by)
     return monthly.select(
         "month", "n_customers", money("balance").alias("balance_inr"), money("interest").alias("interest_revenue_inr"), money("fee").alias("fee_revenue_inr"), money("revenue").alias("total_revenue_inr"), to(r / F.col("n_customers") / 100.0).alias("revenue_per_customer_inr"),
-        money(prev).alias("prev_month_revenue"), pct(r - prev, prev).alias("mom_pct"), money(year).alias("prev_year_revenue"), pct(r - year, year).alias("yoy_pct"), mean(2).alias("revenue_ma3"), mean(11).alias("revenue_ma12"), money(F.sum(r).over(by)).alias("cumulative_revenue_inr"), *fiscal(F.col("month")),
+        money(prev).alias("prev_month_revenue"), pct(r - prev, prev).alias("mom_pct"), money(year).alias("prev_year_revenue"), pct(r - year, year).alias("yoy_pct"), mean(2).alias("revenue_ma3"), mean(11).alias("revenue_ma12"), money(F.sum(r).over(by)).alias("cumulative_revenue_inr"), "fiscal_year", "fiscal_quarter", "is_festive_season",
     ).orderBy("month")
 
 
@@ -204,7 +205,7 @@ def q07(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = s.fact_campaign_contact.groupBy("campaign_key").agg(
         F.count("*").cast("int").alias("n_contacts"), F.count_distinct("customer_key").cast("int").alias("n_customers_reached"), F.sum("converted").cast("int").alias("n_conversions"), F.sum("cost_c").alias("cost"), F.sum("contact_sequence").alias("seq"), F.count_if(first).alias("n1"), F.count_if(first & won).alias("w1"), F.count_if(again).alias("n2"), F.count_if(again & won).alias("w2")
     )
-    accounts = s.fact_monthly_account.where(F.col("month") == s.latest_month).select("customer_key", "product_code", "revenue_c")
+    accounts = s.latest_accounts.select("customer_key", "product_code", "revenue_c")
     earned = s.fact_campaign_contact.where(won).join(F.broadcast(s.dim_campaign), "campaign_key").join(accounts, ["customer_key", "product_code"]).groupBy("campaign_key").agg(F.sum("revenue_c").alias("r"))
     out = s.dim_campaign.join(stats, "campaign_key").join(earned, "campaign_key", "left")
     c, r = F.col, F.coalesce("r", F.lit(0)) * 12
@@ -232,7 +233,7 @@ def q08(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("q09_clv_deciles", sql(f""",
-rate AS (SELECT coalesce((SELECT v FROM (VALUES {", ".join(f"('{k}', {y}, {'NULL' if v is None else v}::DOUBLE)" for k, y, v in MACRO)}) AS m(k, y, v) WHERE k = 'FR.INR.LEND' AND v IS NOT NULL ORDER BY y DESC LIMIT 1), {DEFAULT_RATE}::DOUBLE) / 100 / 12 AS i),
+rate AS (SELECT coalesce((SELECT value FROM macro WHERE value IS NOT NULL ORDER BY year DESC LIMIT 1), {DEFAULT_RATE}::DOUBLE) / 100 / 12 AS i),
 paid AS (SELECT customer_key, sum(revenue_c)::BIGINT AS r, count(DISTINCT month) AS n FROM account GROUP BY 1),
 future AS (SELECT customer_id, segment, city, acquisition_channel, income_c, tenure_months, churned, observed_months, r, r / n::DOUBLE / 100.0::DOUBLE AS avg, if(churned = 1, 0, least(120, 12 + observed_months * 1.5::DOUBLE)) AS months, customer_key, i
            FROM cust JOIN paid USING (customer_key) JOIN snapshot USING (customer_key), rate),
@@ -243,7 +244,7 @@ SELECT customer_id, segment, city, acquisition_channel, income_c / 100.0::DOUBLE
        total_c / 100.0::DOUBLE AS total_clv_inr, dec::INT AS clv_decile, {r2("cd", 4)} AS clv_percentile, {r2("100.0::DOUBLE * total_c / total::DOUBLE", 4)} AS share_of_total_clv_pct, run / 100.0::DOUBLE AS running_clv_inr, {p2("run", "total")} AS cumulative_clv_share_pct, 1 - churned AS is_active, if(churned = 0, adec, NULL)::INT AS active_clv_decile FROM placed"""))
 def q09(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = star(spark, sf_dir)
-    known = s.ref_macro_indicator.where("indicator = 'FR.INR.LEND' and value is not null").agg(F.coalesce(F.max_by("value", "year"), F.lit(DEFAULT_RATE))).scalar()
+    known = s.ref_macro_indicator.where((F.col("indicator") == LENDING) & F.col("value").isNotNull()).agg(F.coalesce(F.max_by("value", "year"), F.lit(DEFAULT_RATE))).scalar()
     paid = s.fact_monthly_account.groupBy("customer_key").agg(F.sum("revenue_c").alias("r"), F.count_distinct("month").alias("n"))
     months = F.when(F.col("churned") == 1, F.lit(0.0)).otherwise(F.least(F.lit(120.0), 12 + F.col("observed_months") * 1.5))
     snap = s.fact_customer_snapshot.select("customer_key", "churned", "observed_months", months.alias("months"))

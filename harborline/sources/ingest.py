@@ -22,6 +22,7 @@ from harborline.settings import Settings, logger
 from harborline.sources import parsers
 from harborline.sources.fetch import Fetched, Manifest, Source, get_bytes, ingest_all
 from harborline.sources.parsers import INDICATORS, SourceError
+from harborline.sources.staged import staging_folder
 
 # Addresses of the sources, and the fields asked of bank filings.
 WORLD_BANK = "https://api.worldbank.org/v2"
@@ -115,8 +116,11 @@ def rates_since(spark: SparkSession, start: date, base: str = "USD", quotes: str
 
 
 def campaign(spark: SparkSession, get: Get = get_bytes) -> DataFrame:
+    """The contacts of the archive: the driver unpacks the file that it has fetched, the executors parse its lines."""
     body, _ = parsers.inner_csv(get(CAMPAIGN).body)
-    return parsers.campaign_contacts(spark, body.decode("utf-8", "replace"))
+    path = staging_folder(spark, "campaign")
+    payload(spark, body.decode("utf-8", "replace").rstrip("\r\n")).coalesce(1).write.text(path)
+    return parsers.campaign_contacts_at(spark, path)
 
 
 def registry(s: Settings, get: Get | None = None) -> list[Source]:

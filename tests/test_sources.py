@@ -100,3 +100,38 @@ def test_registry_and_report(spark, tmp_path):
     S.write_json(tmp_path / "r.json", {"a": 1})
     assert S.read_json(tmp_path / "r.json") == {"a": 1} and S.human_size(2048) == "2.0 KB"
     assert sum(len(s()) for s in SUITES.values()) == 36
+
+
+def test_conditional_requests_and_sidecars(tmp_path):
+    asked = []
+
+    class Reply(io.BytesIO):
+        headers = {"ETag": '"v1"', "Last-Modified": "Mon, 01 Jan 2024 00:00:00 GMT", "Content-Type": "text/csv"}
+
+    def opener(request, timeout):
+        asked.append({k.lower(): v for k, v in request.header_items()})
+        if asked[-1].get("if-none-match") == '"v1"':
+            raise urllib.error.HTTPError(request.full_url, 304, "not modified", {}, None)
+        return Reply(b"body")
+
+    get = lambda **k: S.get_bytes("http://x/y", {"a": 1}, str(tmp_path), pause=lambda s: None, opener=opener, **k)
+    first = get()
+    side = next(tmp_path.glob("*.meta.json"))
+    meta = S.read_json(side)
+    assert not first.from_cache and first.content_type == "text/csv" and meta["url"] == "http://x/y?a=1" and meta["etag"] == '"v1"' and meta["sha256"] == first.sha256 and meta["size"] == 4
+    assert get().from_cache and len(asked) == 1
+    S.write_json(side, meta | {"checked_at": 0, "fetched_at": 5.0})
+    again = get()
+    assert again.from_cache and not again.stale and again.fetched_at == 5.0 and asked[-1]["if-modified-since"].startswith("Mon") and S.read_json(side)["checked_at"] > 1e9
+    assert get().from_cache and len(asked) == 2  # good for another ttl
+    assert not get(refresh=True).from_cache and "if-none-match" not in asked[-1]
+    S.write_json(side, S.read_json(side) | {"checked_at": 0})
+
+    def gone(request, timeout):
+        raise urllib.error.HTTPError(request.full_url, 404, "gone", {}, None)
+
+    stale = S.get_bytes("http://x/y", {"a": 1}, str(tmp_path), opener=gone)
+    assert stale.from_cache and stale.stale and stale.body == b"body"
+    side.with_name(side.name.removesuffix(".meta.json")).write_bytes(b"torn")
+    assert not get().from_cache  # a body that is not the sidecar's is fetched anew
+    assert S.file_sha256(side) == S.sha256(side.read_bytes())
