@@ -151,8 +151,8 @@ def listed(posted: DataFrame, distance: int, scratch: Scratch, name: str) -> tup
     by = ["set", "mask", "shared"]
     lists = scratch.save(posted.groupBy(*by).agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), name)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    # the lists grow with the corpus: they are broadcast only if their files are small
-    return lists.where("n = 2").where(near).select("a", "b"), posted.join(lists.where("n > 2").select(*by, "n"), by)
+    # the lists grow with the corpus: one plan for all sizes, which broadcasts none of them
+    return lists.where("n = 2").where(near).select("a", "b"), posted.join(lists.where("n > 2").select(*by, "n").hint("merge"), by)
 
 
 def links(distinct: DataFrame, distance: int, scratch: Scratch, block: int = BLOCK, hot: int = HOT) -> DataFrame:
