@@ -7,15 +7,20 @@ bytes. Candidates are tallied over all positional bytes and dropped below MINIMU
 truly reach the similarity are linked. ``found_share`` computes what share of the pairs of a similarity
 has a list in common and passes the tally: 0.91 at 0.80, 0.99 at 0.85, 0.9999 at 0.90.
 
-A class is first compared with the least one of each of its lists; then the pairs of a list that these
-links left in different components are compared in blocks, so a list of copies costs as many exact
-comparisons as it has members, and yet no pair of a list is passed over. Lists of the same classes are one.
+A class is compared with the least one of each of its lists. What these links leave open, all classes of a list
+that still falls into several components, and every class of few shingles, whose fingerprint says
+little, goes through an exact way: each class posts its rarest shingles, as many as it cannot do without in any pair that
+reaches the similarity (its size less the overlap needed, and one). No such pair is without a posted shingle
+in common, and copies with edits of their own mostly post those edits, which nobody shares. The lists of that index are
+again compared with their least class first, and then in blocks of bounded size, where only pairs of different
+components are left, of sizes that fit and of fingerprints that may belong to a pair of the similarity.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +34,11 @@ from harborline.llm.text import bounded_batches, chunks, frugal, mix, span_hash,
 
 #: 64-bit words of a fingerprint, those posted at a time (their postings are gone before the next), equal bytes of a candidate.
 WORDS, ROUND, MINIMUM = 16, 4, 16
+#: Shingles up to which a class always takes the exact way, and standard errors below its expectation at which bits rule out a pair.
+FEW, ERRORS = 64, 4.0
 _STEPS = np.random.default_rng(20).integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: What a bit is that exactly half of the hashes have: either, but the same for all texts.
+_TIES = np.unpackbits(np.random.default_rng(21).integers(0, 256, (WORDS, 8), np.uint8), axis=1, bitorder="little").astype(bool)
 #: For every byte, its bits as eight counters of a byte each.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view("<u8")[:, 0]
 
@@ -43,6 +52,12 @@ def found_share(similarity: float, words: int = WORDS, minimum: int = MINIMUM) -
     return listed * (1 - sum(of(8 * words, k) for k in range(minimum)))
 
 
+def least_equal_bits(similarity: float) -> int:
+    """Equal bits of two fingerprints under which a pair of the similarity would be ERRORS standard errors off."""
+    n, agree = 64 * WORDS, 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(n * agree - ERRORS * math.sqrt(n * agree * (1 - agree)))
+
+
 def shingle_sets(data: np.ndarray, texts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text, ascending, and how many each has; fewer words are one shingle."""
     w = words(data, texts)
@@ -58,7 +73,7 @@ def shingle_sets(data: np.ndarray, texts: np.ndarray, size: int) -> tuple[np.nda
 
 
 def signatures(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """WORDS words for each text of at least one hash: a bit is set if over half of the text's hashes have it."""
+    """WORDS words for each text of at least one hash: a bit is set if over half of the text's hashes have it, or by _TIES if half do."""
     begin = np.cumsum(counts) - counts
     # counters of a byte hold 255 hashes, so longer texts are summed in pieces
     pieces = -(-counts // 255)
@@ -69,12 +84,13 @@ def signatures(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     for i, step in enumerate(_STEPS):
         parts = mix(hashes * step).astype("<u8").view(np.uint8).reshape(-1, 8)
         ones = np.stack([np.add.reduceat(_SPREAD[parts[:, b]], at).view(np.uint8).reshape(-1, 8) for b in range(8)], axis=1).reshape(-1, 64)
-        out[:, i] = np.packbits(2 * np.add.reduceat(ones, whole, axis=0, dtype=np.int64) > counts[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        twice = 2 * np.add.reduceat(ones, whole, axis=0, dtype=np.int64)
+        out[:, i] = np.packbits((twice > counts[:, None]) | ((twice == counts[:, None]) & _TIES[i]), axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
-def classes_and_signatures(data: np.ndarray, texts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each text and its fingerprint; texts without words are class 0."""
+def classes_and_signatures(data: np.ndarray, texts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class of each text, its fingerprint and the size of its set; texts without words are class 0."""
     hashes, counts = shingle_sets(data, texts, size)
     classes, found = np.zeros(len(counts), np.uint64), np.zeros((len(counts), WORDS), np.uint64)
     full = np.flatnonzero(counts)
@@ -82,21 +98,21 @@ def classes_and_signatures(data: np.ndarray, texts: np.ndarray, size: int) -> tu
         with np.errstate(over="ignore"):
             classes[full] = mix(np.add.reduceat(mix(hashes), (np.cumsum(counts) - counts)[full]) + counts[full].astype(np.uint64))
             found[full] = signatures(hashes, counts[full])
-    return classes, found
+    return classes, found, counts
 
 
 def marked_table(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, h, class, fp): a hash of the text, its class and its fingerprint; null counts as empty."""
+    """(doc_id, h, class, fp, m): a hash of the text, its class, fingerprint and set size; null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, texts in chunks(batch):
                 kept = [batch.column(c)[rows.start : rows.stop] for c in ("doc_id", "h")]
-                found, fp = classes_and_signatures(data, texts, size)
+                found, fp, sizes = classes_and_signatures(data, texts, size)
                 at = np.arange(len(found) + 1, dtype=np.int32) * WORDS
-                yield pa.record_batch([*kept, pa.array(found.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(fp.ravel().view(np.int64)))], ["doc_id", "h", "class", "fp"])
+                yield pa.record_batch([*kept, pa.array(found.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(fp.ravel().view(np.int64))), pa.array(sizes.astype(np.int64))], ["doc_id", "h", "class", "fp", "m"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(frugal(run), "doc_id long, h long, class long, fp array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(frugal(run), "doc_id long, h long, class long, fp array<long>, m long")
 
 
 def set_table(rows: DataFrame, size: int) -> DataFrame:
@@ -118,14 +134,55 @@ def shared_bytes(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda n, x: n + equal(x))
 
 
+def ratio(similarity: float) -> Fraction:
+    """The similarity as a fraction, so that a pair right at it is told exactly."""
+    return Fraction(similarity).limit_denominator(1000)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of classes whose shingle sets reach the similarity."""
+    r = ratio(similarity)
     side = lambda n: sets.select(F.col("class").alias(n), F.col("shingles").alias(f"of_{n}"), F.size("shingles").alias(f"n_{n}"))
-    fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity
+    fits = F.least("n_a", "n_b") * r.denominator >= F.greatest("n_a", "n_b") * r.numerator
     sizes = pairs.join(side("a").select("a", "n_a"), "a").join(side("b").select("b", "n_b"), "b").where(fits).select("a", "b")
     both = sizes.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(common >= (F.col("n_a") + F.col("n_b") - common) * similarity).select("a", "b")
+    return both.where(common * r.denominator >= (F.col("n_a") + F.col("n_b") - common) * r.numerator).select("a", "b")
+
+
+def rarest(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, class): each class's rarest shingles, of which every pair that reaches the similarity has one in common.
+
+    Shingles are ordered by how many classes have them, then by hash; those of one class are not posted."""
+    r = ratio(similarity)
+    one = sets.select("class", F.size("shingles").alias("m"), F.explode("shingles").alias("key"))
+    counts = one.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    # counts of one are as good as none, and they come first
+    known = one.join(counts.hint("merge"), "key", "left").select("class", "m", F.struct(F.coalesce("c", F.lit(1)).alias("c"), "key").alias("x"))
+    needed = F.expr(f"(m * {r.numerator} + {r.denominator - 1}) div {r.denominator}")
+    first = known.groupBy("class", "m").agg(F.sort_array(F.collect_list("x")).alias("xs")).select("class", F.slice("xs", F.lit(1), (F.col("m") - needed + 1).cast("int")).alias("xs"))
+    return first.select("class", F.explode(F.filter("xs", lambda x: x["c"] > 1)).alias("x")).select("x.key", "class")
+
+
+def listed(keys: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(key, n, class, least) of the lists of more than one class; both sides are as large as the postings, so nothing is broadcast."""
+    lists = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("least")).where("n > 1"), f"{name}-lists")
+    out = scratch.save(keys.join(lists.hint("merge"), "key").select("key", "n", "class", "least"), name)
+    scratch.drop(f"{name}-lists")
+    return out
+
+
+def to_least(members: DataFrame) -> DataFrame:
+    """(a, b): every class with the least one of each of its lists."""
+    return members.where("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct()
+
+
+def rooted(members: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The members with their roots by ``links``, of the lists that have several."""
+    roots = components(links, Scratch(members.sparkSession, name))
+    found = scratch.save(members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), f"{name}-rooted")
+    open_ = found.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return found.join(open_, "key", "left_semi")
 
 
 def posted(classes: DataFrame, first: int) -> DataFrame:
@@ -143,49 +200,53 @@ def different(members: DataFrame) -> DataFrame:
     return members.join(sets.groupBy("n", "least", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
 
 
-def grouped(docs: DataFrame, size: int, similarity: float, scratch: Scratch) -> DataFrame:
+def grouped(docs: DataFrame, size: int, similarity: float, scratch: Scratch, few: int = FEW) -> DataFrame:
     """(doc_id, h, root) of every row: rows of one root are linked by pairs that reach the similarity."""
-    bounded_batches(docs.sparkSession)
+    spark, r = docs.sparkSession, ratio(similarity)
+    bounded_batches(spark)
     marked = scratch.save(marked_table(docs, size), "marked")
-    classes = marked.where("class <> 0").groupBy("class").agg(F.min("fp").alias("fp"), F.min(F.struct("doc_id", "h")).alias("k"))
+    classes = marked.where("class <> 0").groupBy("class").agg(F.min("fp").alias("fp"), F.min("m").alias("m"), F.min(F.struct("doc_id", "h")).alias("k"))
     classes = scratch.save(classes, "classes")
     members = None
     for first in range(0, WORDS, ROUND):
-        keys = posted(classes, first)
-        lists = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("least")).where("n > 1"), f"lists-{first}")
-        # the lists grow with the corpus, so they are broadcast only if their files are small
-        some = scratch.save(keys.join(lists, "key").select("key", "n", "class", "least"), f"members-{first}")
+        some = listed(posted(classes, first), scratch, f"members-{first}")
         members = some if members is None else members.unionByName(some)
     members = scratch.save(different(members), "members")
-    scratch.drop(*[f"{name}-{first}" for first in range(0, WORDS, ROUND) for name in ("lists", "members")])
-    stars = scratch.save(members.where("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct(), "stars")
-    ends = stars.select(F.col("a").alias("class")).unionByName(stars.select(F.col("b").alias("class"))).distinct()
-    listed = scratch.save(classes.join(ends, "class"), "listed")
-    named = listed.select("class", F.col("k.doc_id").alias("_doc"), F.col("k.h").alias("_h"))
+    scratch.drop(*[f"members-{first}" for first in range(0, WORDS, ROUND)])
+    stars = scratch.save(to_least(members), "stars")
+    # a class of few shingles may be near to one that has a little more
+    small = classes.where(F.col("m") * r.numerator <= few * r.denominator).select("class")
+    ends = stars.select(F.col("a").alias("class")).unionByName(stars.select(F.col("b").alias("class"))).unionByName(small).distinct()
+    there = scratch.save(classes.join(ends, "class"), "listed")
+    named = there.select("class", F.col("k.doc_id").alias("_doc"), F.col("k.h").alias("_h"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(named, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h")))
-    # rows that share doc_id and text give a class twice, which repeats a link and does no harm
-    sets = scratch.save(set_table(texts, size), "sets")
-    side = lambda n: listed.select(F.col("class").alias(n), F.col("fp").alias(f"fp_{n}"))
+    # rows that share doc_id and text give a class once more
+    sets = scratch.save(set_table(texts, size).dropDuplicates(["class"]), "sets")
+    side = lambda n: there.select(F.col("class").alias(n), F.col("fp").alias(f"fp_{n}"))
     counted = stars.join(side("a"), "a").join(side("b"), "b").where(shared_bytes(F.col("fp_a"), F.col("fp_b")) >= MINIMUM).select("a", "b")
     near = scratch.save(verified(scratch.save(counted, "counted"), sets, similarity).distinct(), "near-least")
-    roots = components(near, Scratch(docs.sparkSession, "near-least"))
-    rooted = members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rooted = scratch.save(rooted, "rooted")
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = rooted.join(open_, "key").join(listed.select("class", "fp"), "class").select("key", "n", "class", "root", *[F.col("fp")[i].alias(f"w{i}") for i in range(WORDS)])
+
+    left = rooted(members, near, scratch, "first").select("class").unionByName(small).distinct()
+    exact = listed(rarest(sets.join(scratch.save(left, "left"), "class", "left_semi"), similarity), scratch, "rare")
+    pairs = scratch.save(to_least(rooted(exact, near, scratch, "second")), "rare-stars")
+    near = scratch.save(near.unionByName(verified(pairs, sets, similarity)).distinct(), "near-rare")
+    rest = rooted(exact, near, scratch, "third").join(there.select("class", "fp", "m"), "class").select("key", "n", "class", "root", "m", *[F.col("fp")[i].alias(f"w{i}") for i in range(WORDS)])
+    bits, numerator, denominator = least_equal_bits(similarity), r.numerator, r.denominator
 
     def found(x: dict[str, np.ndarray]) -> np.ndarray:
-        other = x["root"][:, None] != x["root"][None, :]
-        equal = np.zeros(other.shape, np.int16)
+        m = x["m"]
+        fits = np.minimum(m[:, None], m) * denominator >= np.maximum(m[:, None], m) * numerator
+        fits &= x["root"][:, None] != x["root"][None, :]
+        equal = np.zeros(fits.shape, np.int16)
         for i in range(WORDS):
-            v = x[f"w{i}"]
-            equal += ((v[:, None] ^ v[None, :]).view(np.uint8).reshape(len(v), len(v), 8) == 0).sum(axis=2, dtype=np.int16)
-        a, b = np.nonzero(np.triu(other & (equal >= MINIMUM), 1))
+            v = x[f"w{i}"].view(np.uint64)
+            equal += np.bitwise_count(~(v[:, None] ^ v[None, :])).astype(np.int16)
+        a, b = np.nonzero(np.triu(fits & ((equal >= bits) | (np.minimum(m[:, None], m) <= few)), 1))
         return np.column_stack([x["class"][a], x["class"][b]])
 
     others = scratch.save(in_blocks(rest, ["key"], "class", found, block=256).distinct(), "others")
     links = near.unionByName(scratch.save(verified(others, sets, similarity), "near-others"))
-    roots = components(links, Scratch(docs.sparkSession, "near")).withColumnRenamed("node", "class")
+    roots = components(links, Scratch(spark, "near")).withColumnRenamed("node", "class")
     return marked.join(roots, "class", "left").select("doc_id", "h", F.coalesce("root", "class").alias("root"))
 
 
@@ -198,7 +259,7 @@ def first_of_each(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFr
     keyed = docs.withColumn(key, F.xxhash64("text"))
     same = keyed["doc_id"].eqNullSafe(F.col(doc)) & (F.col(key) == F.col(h))
     once = keyed.join(kept.where(F.col(n) == 1), same, "left_semi").drop(key)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c.replace(chr(96), chr(96) * 2)}`") for c in docs.columns])
     again = keyed.join(kept.where(F.col(n) > 1), same, "left_semi")
     again = again.groupBy("doc_id", key).agg(F.min_by(whole, F.to_json(whole)).alias(h)).select(f"{h}.*")
     return once.unionByName(again)

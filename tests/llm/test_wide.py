@@ -1,12 +1,10 @@
 import random
-from collections import Counter
-from itertools import combinations
 
 import corpus_pipeline
 import numpy as np
 
 from harborline.llm.text import mix
-from harborline.llm.wide import _STEPS, MINIMUM, classes_and_signatures, found_share, one_of_each, signatures
+from harborline.llm.wide import _STEPS, _TIES, FEW, MINIMUM, WORDS, found_share, least_equal_bits, one_of_each, rarest, signatures
 
 
 def shingles(text):
@@ -66,33 +64,67 @@ def test_matches_brute_force(spark):
     assert one_of_each(docs.limit(0)).count() == 0
 
 
-def test_recall_of_the_index():
-    rng, found = random.Random(7), Counter()
-    sets = combinations(range(8), 4)
-    masks = [sum(0xFF << 8 * i for i in s) for s in sets]
-    for edits in (8, 6, 4):  # 360 shingles, of which each edit changes five
-        for _ in range(300):
-            base = [f"v{rng.randrange(10**6)}" for _ in range(364)]
-            other = list(base)
-            for k in range(edits):
-                other[20 + 40 * k] = "edit"
-            raw = [" ".join(x).encode() for x in (base, other)]
-            fp = classes_and_signatures(np.frombuffer(b"".join(raw), np.uint8), np.array([0, len(raw[0]), len(raw[0] + raw[1])]), 5)[1].tolist()
-            equal = sum((x >> 8 * i & 255) == (y >> 8 * i & 255) for x, y in zip(*fp, strict=True) for i in range(8))
-            found[edits] += equal >= MINIMUM and any((x ^ y) & m == 0 for x, y in zip(*fp, strict=True) for m in masks)
-    for edits, similarity in ((8, 0.8), (6, 330 / 390), (4, 340 / 380)):
-        assert abs(found[edits] / 300 - found_share(similarity)) < 0.08
+def pair_found(a, b, n):
+    """Whether the index finds random sets of a and b shingles of which n are in both: a list in common, and the tally."""
+    rng = np.random.default_rng([a, b, n])
+    trials = 200
+    pool = rng.integers(0, 1 << 63, (trials, a + b - n), np.uint64)
+    one, other = (signatures(x.ravel(), np.full(trials, x.shape[1])) for x in (pool[:, :a], pool[:, a - n :]))
+    equal = (one ^ other).view(np.uint8).reshape(trials, WORDS, 8) == 0
+    return float(((equal.sum((1, 2)) >= MINIMUM) & (equal.sum(2) >= 4).any(1)).mean()), float((np.bitwise_count(~(one ^ other)).sum(1) >= least_equal_bits(0.8)).mean())
+
+
+def test_recall_of_the_index_over_sizes():
+    """Sets beyond FEW at the least similarity, sizes odd and even, equal and unequal: 0.9 on the whole, nothing far below."""
+    shares = []
+    for n in [*range(FEW + 1, 130, 5), 150, 151, 200, 255, 320, 400]:
+        for b in {n, n + n // 10}:
+            both = -(-4 * (n + b) // 9)  # the least overlap that reaches 0.8
+            found, possible = pair_found(n, b, both)
+            shares.append(found)
+            assert found > 0.84 and possible > 0.99, (n, b, found, possible)
+    assert np.mean(shares) > 0.9
     assert found_share(0.8) > 0.9 and found_share(0.85) > 0.99 and found_share(0.9) > 0.999
 
 
+def test_short_texts_miss_no_pair(spark):
+    """Every set size up to FEW, one pair right at or just over the similarity and one just under."""
+    rng, rows, want = random.Random(8), [], []
+    for n in range(4, FEW + 1):
+        for less in (0, 1):
+            common = -(-8 * n // 9) - less  # of two sets of n: n - common replaced at the end
+            if n + n - common > 0 and common > 0:
+                words = [f"v{rng.randrange(10**9)}" for _ in range(n + 4)]
+                near = [*words[: common + 4], *[f"e{rng.randrange(10**9)}" for _ in range(n - common)]]
+                assert (similarity(shingles(" ".join(words)), shingles(" ".join(near))) >= 0.8) == (common / (2 * n - common) >= 0.8)
+                rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(near))]
+                want += [len(rows) - 2] if common * 5 >= (2 * n - common) * 4 else [len(rows) - 2, len(rows) - 1]
+    assert sorted(r.doc_id for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
+def test_a_group_of_near_copies_makes_few_rows(spark):
+    """Copies of one text with edits of their own, under the similarity to each other: they share no rare shingle."""
+    rng = random.Random(9)
+    base, rows = [f"v{i}" for i in range(200)], []
+    for i in range(600):
+        own = list(base)
+        for k in rng.sample(range(0, 200, 5), 9):
+            own[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(own)))
+    rows += [(1000, " ".join(base)), (1001, " ".join([*base[:199], "end"]))]
+    sets = spark.createDataFrame([(i, [hash(x) & (1 << 62) - 1 for x in shingles(t)]) for i, t in rows], "class long, shingles array<long>")
+    assert rarest(sets, 0.8).count() < 20 * len(rows)
+    assert sorted(r.doc_id for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute(rows)
+
+
 def test_signatures_of_long_texts():
     rng = np.random.default_rng(3)
     hashes, counts = rng.integers(0, 1 << 63, 1700, np.uint64), np.array([1, 255, 256, 1188])
     got, at = signatures(hashes, counts), 0
     for row, n in zip(got, counts, strict=True):
-        for word, step in zip(row.tolist(), _STEPS, strict=True):
+        for word, step, tie in zip(row.tolist(), _STEPS, _TIES, strict=True):
             bits = (mix(hashes[at : at + n] * step)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-            assert word == sum(1 << i for i, ones in enumerate(bits.sum(axis=0).tolist()) if 2 * ones > n)
+            assert word == sum(1 << i for i, ones in enumerate(bits.sum(axis=0).tolist()) if 2 * ones > n or (2 * ones == n and tie[i]))
         at += n
 
 
