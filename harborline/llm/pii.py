@@ -16,8 +16,17 @@ from pyspark.sql import functions as F
 
 from harborline.llm.scratch import fresh
 
-#: What stands before a secret.
-SECRETS = r"password=|passwd=|token ?= ?\"|secret=|api_key="
+#: What stands before a secret: a name in any case, = or a colon, and a quote if there is one. After a colon and a space,
+#: where a sentence may go on, only a value with a digit is a secret.
+NAMES = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)"
+SECRETS = NAMES + r"[\"']?(?: ?= ?[\"']?|: ?[\"']|:(?! )|: (?=[^\s\"']*[0-9]))"
+#: Lengths of account numbers by country.
+IBAN = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 #: Country codes of E.164, by their ranges.
 COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-689][0-9]|3[578][0-9]|42[0-9]|5[09][0-9]|6[789][0-9]|8[0578][0-9]|9[679][0-9]"
 #: A number with +1; any country's with its code, 8 to 15 digits in all; pairs after a 0; North America's without code.
@@ -31,20 +40,20 @@ PHONES = [
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "key": r"AKIA[A-Z0-9]{16}",
-    "secret": f"(?:{SECRETS})(?=[^\\s\"']{{8}})[A-Za-z0-9_.!#$%^*+=/~-]*[A-Za-z0-9_!#$%^*+=/~-]",
+    "secret": f"(?:{SECRETS})(?=[^\\s\"']{{8}})[^\\s\"']*[^\\s\"'.,;:!?)\\]}}]",
     "phone": "|".join(PHONES),
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}[0-9]{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?",
     "ip6": r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}",
     "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
-    "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}",
+    "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "card": r"[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}",
     "trunk": r"(?:\(0[1-9][0-9]{0,3}\)[ /-]?|0[1-9][0-9]{0,3}[ /-])(?:[ -]?[0-9]){5,9}(?![./-]?[0-9])",
 }
 #: Texts without any of this hold no match: every kind but keys and secrets has a digit or @.
 HOT = f"[0-9@]|AKIA|{SECRETS}"
-#: No candidate begins or ends within a longer word or number.
-ANY = r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + r")(?![A-Za-z0-9])"
+#: No candidate begins or ends within a longer word or number, but a day may be followed by its time.
+ANY = r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + r")(?:(?![A-Za-z0-9])|(?<=[0-9]{4}-[0-9]{2}-[0-9]{2})(?=T[0-9]{2}:[0-9]{2}))"
 ROUNDS = 8
 #: Days from FIRST_DAY on, 1900-01-01 to 2099-12-31: 73049 = 229 * 319.
 FIRST_DAY, DAYS = "1900-01-01", (229, 319)
@@ -111,7 +120,7 @@ def digest(text: Column, length: Column, key: str, kind: str, upper: bool = Fals
 def day(m: Column) -> Column:
     """The date that a match writes, null if the calendar has no such day; day first before month first."""
     return F.coalesce(
-        F.try_to_date(m, "yyyy-MM-dd"),
+        F.try_to_date(F.regexp_replace(m, "^([0-9]{4})/([0-9]{2})/", "$1-$2-"), "yyyy-MM-dd"),
         F.try_to_date(F.regexp_replace(m, r"\.", "/"), "dd/MM/yyyy"),
         F.when(m.contains("/"), F.try_to_date(m, "MM/dd/yyyy")),
     )
@@ -122,6 +131,7 @@ def written(d: Column, like: Column) -> Column:
     month_first = F.try_to_date(F.regexp_replace(like, r"\.", "/"), "dd/MM/yyyy").isNull() & like.contains("/")
     return (
         F.when(like.contains("-"), F.date_format(d, "yyyy-MM-dd"))
+        .when(like.rlike("^[0-9]{4}/"), F.date_format(d, "yyyy/MM/dd"))
         .when(like.contains("."), F.date_format(d, "dd.MM.yyyy"))
         .when(month_first, F.date_format(d, "MM/dd/yyyy"))
         .otherwise(F.date_format(d, "dd/MM/yyyy"))
@@ -160,7 +170,7 @@ def permuted_phone(m: Column, digits: Column, key: str) -> Column:
 
 def iban_rest(m: Column) -> Column:
     """The remainder by 97 of an account number, 1 if it is valid: its country and check digits moved to the end, letters as 10 to 35."""
-    plain = F.regexp_replace(m, " ", "")
+    plain = F.upper(F.regexp_replace(m, " ", ""))
     turned = F.split(F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4)), "")
     value = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
     return F.aggregate(turned, F.lit(0), lambda r, c: F.when(c == "", r).otherwise((r * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97))
@@ -177,10 +187,11 @@ def permuted_iban(m: Column, key: str) -> Column:
 
 def kind_of(m: Column) -> Column:
     """The kind of a valid match, else null."""
-    digits = F.regexp_replace(m, "[^0-9]", "")
+    digits, plain = F.regexp_replace(m, "[^0-9]", ""), F.regexp_replace(m, " ", "")
     days = F.datediff(day(m), F.lit(FIRST_DAY).cast("date"))
     valid = {
-        "iban": F.length(F.regexp_replace(m, " ", "")).between(15, 34) & (iban_rest(m) == 1),
+        # what is written in small letters may be any word with digits, so its country must have numbers of its length
+        "iban": F.length(plain).between(15, 34) & (iban_rest(m) == 1) & (~m.rlike("^[a-z]") | (F.create_map(*[F.lit(x) for kv in IBAN.items() for x in kv])[F.upper(F.substring(m, 1, 2))] == F.length(plain))),
         "ip6": F.size(F.split(m, ":")).between(3, 8) & (F.size(F.split(m, "::")) <= 2) & m.rlike("[0-9]"),
         "ip": F.forall(F.split(m, r"\."), lambda o: o.try_cast("int") <= 255),
         "date": F.coalesce((days >= 0) & (days < DAYS[0] * DAYS[1]), F.lit(False)),
@@ -193,7 +204,7 @@ def kind_of(m: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(PATTERNS.items()):
         fits = m.rlike(f"^(?:{pattern})$")
-        out = F.when(fits, F.when(valid[kind], kind) if kind in valid else F.lit(kind)).otherwise(out)
+        out = F.when(fits, F.when(F.coalesce(valid[kind], F.lit(False)), kind) if kind in valid else F.lit(kind)).otherwise(out)
     return out
 
 

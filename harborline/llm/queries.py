@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +22,10 @@ from harborline.llm.simhash import near_duplicates
 from harborline.llm.substrings import substring_dedup
 from harborline.llm.toxicity import toxicity
 from harborline.llm.urls import url_filter
+from harborline.settings import logger
 
-#: The session setting that holds the secret key of pseudonyms; the queries over synthetic tables work without one.
-KEY_SETTING, TEST_KEY = "spark.harborline.pii.key", "not a secret"
+#: The session setting that holds the secret key of pseudonyms.
+KEY_SETTING = "spark.harborline.pii.key"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: SQL of the queries that it can express; tests/llm holds the others against brute force, a round trip or held-out labels.
 ORACLES: dict[str, str] = {"op11_merkle_manifest": manifest_sql(), "op12_source_divergence": DIVERGENCE_SQL}
@@ -40,8 +43,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def own_key() -> str:
+    """A key that nobody knows, the same for all calls of this process: values stay linked, but only in what it writes."""
+    logger("pii").warning("%s is unset: pseudonyms are made under a random key", KEY_SETTING)
+    return secrets.token_hex(32)
+
+
 def pii_key(spark: SparkSession) -> str:
-    return spark.conf.get(KEY_SETTING, TEST_KEY)
+    return spark.conf.get(KEY_SETTING, None) or own_key()
 
 
 @query("op1_toxicity")
