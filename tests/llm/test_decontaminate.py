@@ -2,6 +2,8 @@ import random
 import re
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from harborline.llm.decontaminate import RUN, SHARE, contaminated, decontaminate
 
 
@@ -97,3 +99,12 @@ def test_every_alignment_of_a_short_item(spark):
     want = brute(docs, items)
     got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == want and len(want) > 150
+
+
+def test_an_item_of_one_frequent_word(spark):
+    """A hundred thousand rows hold the word, some of them thousands of times: no text gathers its hits."""
+    d = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50000 == 0, F.repeat(F.lit("yes word "), 2000)).when(F.col("id") % 3 == 0, F.lit("Yes.")).otherwise(F.concat(F.lit("oh yes "), F.col("id"))).alias("text"))
+    b = spark.createDataFrame([(1, "Yes."), (2, "oh yes 77")], "item_id long, text string")
+    got = contaminated(d, b).groupBy("item_id").count().collect()
+    assert {r.item_id: r["count"] for r in got} == {1: 100_000, 2: 1}
+    assert decontaminate(d, b, least=3).count() == 99_999
