@@ -15,9 +15,3 @@ def test_kmeans_uses_every_dimension(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.vec_id: r.cluster for r in __spark_entry__.queries()["kmeans_embeddings"](spark, str(tmp_path)).collect()}
     assert len({got[i] for i in range(4)}) == 4 and all(got[i] == got[i % 4] for i in got)
-
-
-def test_op10_returns_the_segmentations(spark, tmp_path):
-    spark.createDataFrame([(1, "some words to cut"), (2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = __spark_entry__.queries()["op10_sentencepiece_sampling"](spark, str(tmp_path)).collect()
-    assert all(len(r.ids) == r.n_pieces for r in got) and sum(r.n_pieces > 0 for r in got) == 2
