@@ -5,9 +5,8 @@ so substitutions do not hide a passage from all masks: of any two words replaced
 the masks has a place that avoids both. A place of a document is worth hashing only if its first two
 words stand side by side in the benchmark, so these pairs are looked up first, in a table of slots;
 the seeds of the places left are looked up in a second one, and only those that hit are joined to the
-benchmark's. A hit fixes an alignment of document and item, which is verified on the row of the hit: a place
-carries the words around it, as many as the longest item has on either side, so a text is read once and however many
-hits it has, they never meet.
+benchmark's. A hit fixes an alignment of document and item, and the alignment is verified on the words
+themselves.
 """
 
 from __future__ import annotations
@@ -117,29 +116,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = RUN, share: f
     scratch = Scratch(spark, "contamination")
     items = benchmark.select("item_id", "text").distinct().select("item_id", F.xxhash64("item_id", "text").alias("item"), word_hashes(F.col("text")).alias("words"))
     items = scratch.save(items.withColumn("size", F.size("words")).where(F.col("size") >= max(1, least)), "items")
-    reach = max(items.agg(F.max("size")).first()[0] or 0, MASKS[-1][-1] + 1)
     known, masks = item_seeds(items, run, share)
     known = scratch.save(known.distinct(), "seeds")
     small = known.count() <= BROADCAST_SEEDS
     near = F.broadcast if small else (lambda df: df)
     pairs, whole = Slots(known.select("pair")), Slots(known.select("seed"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), word_hashes(F.col("text")).alias("words"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    at = places(rows.select("doc_id", "h", word_hashes(F.col("text")).alias("words")), ["doc_id", "h"])
     single = pairs.holds(F.xxhash64("first")) if len(MASKS) in masks else F.lit(False)
-    base = F.greatest(F.col("pos") - reach, F.lit(0))
-    at = places(rows, ["doc_id", "h"]).where(pairs.holds(pair()) | single)
-    at = at.select("doc_id", "h", base.alias("base"), F.slice("words", base + 1, F.lit(2 * reach)).alias("words"), (F.col("pos") - base).alias("pos"), "first", "second")
-    hits = seeds(at, ["doc_id", "h", "base", "words"], masks).where(whole.holds(F.col("seed"))).join(near(known.drop("pair", "size")), "seed")
-    joined = hits.join(near(items.select("item", "item_id", F.col("words").alias("of"), "size")), "item").withColumn("shift", F.col("base") + F.col("pos") - F.col("at"))
-    start = F.greatest("shift", F.lit(0))
-    part = F.slice("words", start - F.col("base") + 1, F.col("size") + F.least("shift", F.lit(0)))
-    other = F.slice("of", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size(part))
-    lined = joined.select("doc_id", "h", "item", "item_id", start.alias("from"), F.zip_with(part, other, lambda x, y: (x == y).cast("int")).alias("same"), F.least("size", F.lit(run)).alias("need"))
-    # agreements up to each place: those of a run are a difference
-    upto = F.aggregate("same", F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
-    lined = lined.where(F.size("same") >= F.col("need")).withColumn("upto", upto)
-    most = F.array_max(F.transform(F.sequence(F.lit(0), F.size("same") - F.col("need")), lambda i: F.get("upto", i + F.col("need")) - F.get("upto", i)))
-    scored = lined.where(most >= F.ceil(F.col("need") * F.lit(share))).select("doc_id", "h", "item", "item_id", "from", F.size("same").alias("n"), F.element_at("upto", -1).alias("matched"))
-    best = F.max(F.struct("matched", (-F.col("from")).alias("from"), "n")).alias("b")
+    mine = seeds(at.where(pairs.holds(pair()) | single), ["doc_id", "h"], masks)
+    hits = mine.where(whole.holds(F.col("seed"))).join(near(known.drop("pair")), "seed").select("doc_id", "h", F.struct("item", "size", (F.col("pos") - F.col("at")).alias("shift")).alias("hit"))
+    # the alignments of one text, which its length bounds
+    hits = scratch.save(hits.groupBy("doc_id", "h").agg(F.collect_set("hit").alias("hits")), "hits")
+    back = hits.withColumnsRenamed({"doc_id": "_doc", "h": "_h"})
+    both = rows.join(back, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h"))).dropDuplicates(["doc_id", "h"])
+    both = both.select("doc_id", "h", "hits", word_hashes(F.col("text")).alias("words"))
+    aligned = F.transform("hits", lambda x: F.struct(x["item"].alias("item"), x["shift"].alias("shift"), F.slice("words", F.greatest(x["shift"], F.lit(0)) + 1, x["size"] + F.least(x["shift"], F.lit(0))).alias("part")))
+    lined = both.select("doc_id", "h", F.explode(aligned).alias("a")).select("doc_id", "h", "a.*")
+    joined = lined.join(near(items.select("item", "item_id", F.col("words").alias("of"), "size")), "item")
+    other = F.slice("of", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("part"))
+    joined = joined.select("doc_id", "h", "item", "item_id", F.greatest("shift", F.lit(0)).alias("from"), F.zip_with("part", other, lambda x, y: (x == y).cast("int")).alias("same"), F.least("size", F.lit(run)).alias("need"))
+    sums = F.transform(F.sequence(F.lit(0), F.size("same") - F.col("need")), lambda i: F.aggregate(F.slice("same", i + 1, F.col("need")), F.lit(0), lambda a, x: a + x))
+    scored = joined.where(F.size("same") >= F.col("need")).select("*", F.array_max(sums).alias("most")).where(F.col("most") >= F.ceil(F.col("need") * F.lit(share)))
+    matched = F.aggregate("same", F.lit(0), lambda a, x: a + x)
+    best = F.max(F.struct(matched.alias("matched"), (-F.col("from")).alias("from"), F.size("same").alias("n"))).alias("b")
     out = scored.groupBy("doc_id", "h", "item", "item_id").agg(best)
     return out.select("doc_id", "h", "item_id", (-F.col("b.from")).alias("first_word"), F.col("b.n").alias("n_words"), F.col("b.matched").alias("n_matched"))
 
