@@ -22,11 +22,13 @@ components are left, of sizes that fit and of fingerprints that may belong to a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ from harborline.llm.simhash import in_blocks, signed
 from harborline.llm.text import bounded_batches, chunks, frugal, mix, span_hash, words
 
 #: 64-bit words of a fingerprint, sets of positions, those posted at a time (their postings are gone before the next), equal bytes of a candidate.
-WORDS, LISTS, ROUND, MINIMUM = 16, 1024, 64, 16
+WORDS, LISTS, ROUND, MINIMUM = 16, 1024, 128, 16
 #: Slots of the table of keys that stand in a list of several: so many for a key, within these bounds. A full table only filters less.
 ROOM, FEWEST, MOST = 16, 1 << 16, 1 << 24
 _PERMUTED = np.random.default_rng(22)
@@ -170,12 +172,12 @@ def rarest(sets: DataFrame, similarity: float) -> DataFrame:
     return first.select("class", F.explode(F.filter("xs", lambda x: x["c"] > 1)).alias("x")).select("x.key", "class")
 
 
-def listed(keys: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(key, n, class, least) of the lists of more than one class."""
-    lists = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("least")).where("n > 1"), f"{name}-lists")
-    table, size = kept_slots(lists)
-    likely = keys.where(F.substring(table, F.pmod(F.xxhash64("key"), F.lit(size)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01"))
-    out = scratch.save(likely.join(lists.hint("merge"), "key").select("key", "n", "class", "least"), name)
+def listed(keys: Callable[[Broadcast | None], DataFrame], scratch: Scratch, name: str) -> DataFrame:
+    """(key, n, class, least) of the lists of more than one class; ``keys`` makes the postings, or those that are likely to stand in a list."""
+    lists = scratch.save(keys(None).groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("least")).where("n > 1"), f"{name}-lists")
+    table = kept_slots(lists)
+    out = scratch.save(keys(table).join(lists.hint("merge"), "key").select("key", "n", "class", "least"), name)
+    table.destroy()
     scratch.drop(f"{name}-lists")
     return out
 
@@ -193,19 +195,41 @@ def rooted(members: DataFrame, links: DataFrame, scratch: Scratch, name: str) ->
     return found.join(open_, "key", "left_semi")
 
 
-def posted(classes: DataFrame, first: int) -> DataFrame:
-    """(key, class) of ROUND sets of each fingerprint: a set's number and its four bytes, in one long."""
-    byte = lambda p: F.shiftrightunsigned(F.col(f"w{p // 8}"), 8 * (p % 8)).bitwiseAND(F.lit(255).cast("long"))
-    words = classes.select("class", *[F.col("fp")[i].alias(f"w{i}") for i in range(WORDS)])
-    keys = []
-    for i in range(first, min(first + ROUND, LISTS)):
-        a, b, c, d = SETS[i].tolist()
-        keys.append(F.lit(i << 32) + F.shiftleft(byte(a), 24) + F.shiftleft(byte(b), 16) + F.shiftleft(byte(c), 8) + byte(d))
-    return words.select("class", F.explode(F.array(*keys)).alias("key")).select("key", "class")
+def xxhash_long(x: np.ndarray) -> np.ndarray:
+    """What ``F.xxhash64`` makes of a column of longs, as unsigned numbers."""
+    p1, p2, p3, p4, p5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, r: (v << np.uint64(r)) | (v >> np.uint64(64 - r))
+    with np.errstate(over="ignore"):
+        h = (np.uint64(42) + p5 + np.uint64(8)) ^ (turn(x.view(np.uint64) * p2, 31) * p1)
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        return h ^ h >> np.uint64(32)
 
 
-def kept_slots(lists: DataFrame) -> tuple[Column, int]:
-    """A table with a byte for every slot, 1 where the key of a list falls, as a one-row subquery; and its size."""
+def posted(classes: DataFrame, first: int, likely: Broadcast | None = None) -> DataFrame:
+    """(key, class) of ROUND sets of each fingerprint: a set's number and its four bytes, in one long; of ``likely`` keys only."""
+    sets = SETS[first : first + ROUND]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.arange(first, first + len(sets), dtype=np.int64) << 32
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                fp = part.column("fp").flatten().to_numpy().astype("<i8").view(np.uint8).reshape(part.num_rows, 8 * WORDS)
+                keys = (number + np.ascontiguousarray(fp[:, sets]).view("<u4")[:, :, 0]).ravel()
+                classes = np.repeat(part.column("class").to_numpy(), len(sets))
+                if likely is not None:
+                    table = likely.value
+                    kept = table[(xxhash_long(keys) % np.uint64(len(table))).astype(np.int64)] > 0
+                    keys, classes = keys[kept], classes[kept]
+                yield pa.record_batch([pa.array(keys), pa.array(classes)], ["key", "class"])
+
+    return classes.select("class", "fp").mapInArrow(frugal(run), "key long, class long")
+
+
+def kept_slots(lists: DataFrame) -> Broadcast:
+    """A table with a byte for every slot, 1 where the key of a list falls, of a bounded size."""
     n, size = lists.count(), FEWEST
     while size < ROOM * n and size < MOST:
         size *= 2
@@ -214,7 +238,7 @@ def kept_slots(lists: DataFrame) -> tuple[Column, int]:
     table = np.zeros(size, np.uint8)
     for r in stretches.collect():  # 512 at most
         table[r.i << 15 : (r.i + 1) << 15] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
-    return lists.sparkSession.createDataFrame([(bytearray(table),)], "t binary").scalar(), size
+    return lists.sparkSession.sparkContext.broadcast(table)
 
 
 def different(members: DataFrame) -> DataFrame:
@@ -234,7 +258,7 @@ def grouped(docs: DataFrame, size: int, similarity: float, scratch: Scratch, few
     classes = scratch.save(classes, "classes")
     members = None
     for first in range(0, LISTS, ROUND):
-        some = listed(posted(classes, first), scratch, f"members-{first}")
+        some = listed(partial(posted, classes, first), scratch, f"members-{first}")
         members = some if members is None else members.unionByName(some)
     members = scratch.save(different(members), "members")
     scratch.drop(*[f"members-{first}" for first in range(0, LISTS, ROUND)])
@@ -252,7 +276,8 @@ def grouped(docs: DataFrame, size: int, similarity: float, scratch: Scratch, few
     near = scratch.save(verified(scratch.save(counted, "counted"), sets, similarity).distinct(), "near-least")
 
     left = rooted(members, near, scratch, "first").select("class").unionByName(small).distinct()
-    exact = listed(rarest(sets.join(scratch.save(left, "left"), "class", "left_semi"), similarity), scratch, "rare")
+    rare = scratch.save(rarest(sets.join(scratch.save(left, "left"), "class", "left_semi"), similarity), "rarest")
+    exact = listed(lambda _: rare, scratch, "rare")
     pairs = scratch.save(to_least(rooted(exact, near, scratch, "second")), "rare-stars")
     near = scratch.save(near.unionByName(verified(pairs, sets, similarity)).distinct(), "near-rare")
     rest = rooted(exact, near, scratch, "third").join(there.select("class", "fp", "m"), "class").select("key", "n", "class", "root", "m", *[F.col("fp")[i].alias(f"w{i}") for i in range(WORDS)])

@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 
 from harborline.llm.text import mix
-from harborline.llm.wide import _STEPS, _TIES, FEW, MINIMUM, SETS, WORDS, found_share, least_equal_bits, one_of_each, rarest, signatures
+from harborline.llm.wide import _STEPS, _TIES, FEW, MINIMUM, SETS, WORDS, found_share, least_equal_bits, one_of_each, rarest, signatures, xxhash_long
 
 
 def shingles(text):
@@ -84,7 +84,7 @@ def test_recall_of_the_index_over_sizes():
             shares.append(found)
             assert found >= 0.9 and possible > 0.99, (n, b, found, possible)
     assert np.mean(shares) > 0.94
-    assert found_share(0.8) > 0.95 and found_share(0.85) > 0.998 and found_share(0.9) > 0.9999
+    assert found_share(0.8) > 0.95 and found_share(0.85) > 0.996 and found_share(0.9) > 0.9999
 
 
 def test_short_texts_miss_no_pair(spark):
@@ -117,6 +117,12 @@ def test_a_group_of_near_copies_makes_few_rows(spark):
     assert sorted(r.doc_id for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute(rows)
 
 
+def test_slots_are_found_alike_in_both_engines(spark):
+    x = np.array([0, 1, -1, 2**62, -(2**63), 123456789], np.int64)
+    got = spark.createDataFrame([(int(v),) for v in x], "x long").selectExpr("xxhash64(x) AS h").collect()
+    assert [r.h for r in got] == xxhash_long(x).view(np.int64).tolist()
+
+
 def test_signatures_of_long_texts():
     rng = np.random.default_rng(3)
     hashes, counts = rng.integers(0, 1 << 63, 1700, np.uint64), np.array([1, 255, 256, 1188])
