@@ -14,6 +14,10 @@ from harborline.functions.intervals import Interval, z_of
 from harborline.operators.profiling import average_rank
 
 
+#: Cells of a contingency table at most.
+MOST_CELLS = 1_000_000
+
+
 @dataclass(frozen=True)
 class TestResult:
     name: str
@@ -84,11 +88,13 @@ def proportion_z_test(s1: int, n1: int, s2: int, n2: int, confidence: float = 0.
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, n, expected) of all cells, also the empty ones."""
+    """(a, b, n, expected) of all cells, also the empty ones; raises beyond MOST_CELLS of them."""
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"))
     rows, cols = cells.groupBy(a).agg(F.sum("n").alias("_r")), cells.groupBy(b).agg(F.sum("n").alias("_c"))
     total = cells.agg(F.sum("n")).scalar()
     # the categories of a contingency table, not rows, are crossed
+    if (n := rows.count() * cols.count()) > MOST_CELLS:
+        raise ValueError(f"{n} cells: {a} and {b} are not categories")
     grid = rows.crossJoin(cols)
     return grid.join(cells, [a, b], "left").select(a, b, F.coalesce("n", F.lit(0)).alias("n"), (F.col("_r") * F.col("_c") / total).alias("expected"))
 

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from harborline.plans import atomic, staging, statistics, warehouse  # noqa: F401
+from harborline.plans import atomic, inference, staging, statistics, warehouse  # noqa: F401
