@@ -443,7 +443,9 @@ def sampled(docs: DataFrame, k: int = 2, seed: int = 1, alpha: float = 1.0, path
     the probability that a draw of k holds it, given the threshold; decoded_equal tells whether the
     ids decode to the text. A text with fewer than k segmentations has a row for each (inclusion 1);
     null and empty texts have the empty one. Every text is taken whole and spells back exactly, also
-    one that holds the vocabulary's space mark. Repeated rows repeat their result.
+    one that holds the vocabulary's space mark. Repeated rows repeat their result; a null doc_id is kept and draws as
+    0 does. Segmentations of equal perturbed value come in the order in which they are found. Extra columns
+    are ignored; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path, alpha))

@@ -175,7 +175,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus:
     Null and empty texts are scored by all-zero statistics. A document labelled more than once counts
     with its largest label; labels without a document and null labels are ignored. Without any
     labelled row every score is 0. Extra columns are ignored, repeated rows each get a row, a null doc_id is
-    kept and not held out, a text of any length is one row, an empty table gives an empty result.
+    kept and not held out, a text of any length is one row, an empty table gives an empty result. Equal scores are predicted alike.
     """
     bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "quality")

@@ -246,7 +246,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, modulus
     Tokens are runs of letters and digits, lower-cased in ASCII. Null and empty texts have no passage
     and the score of a text without evidence; a text of any length is one row. Labels are treated as in
     the quality classifier. Repeated rows each get a row, a null doc_id is kept and not held out, extra
-    columns are ignored, an empty table gives an empty result.
+    columns are ignored, an empty table gives an empty result. Equal scores are predicted alike; segments
+    of equal score stand in the order of the text.
     """
     bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "toxicity")
