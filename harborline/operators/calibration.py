@@ -21,6 +21,8 @@ ANCHOR_SIGMA, GDP_PER_HEAD, RUPEES = 1.25, 2700.0, 88.0
 DRIVERS = ["euribor3m", "emp_var_rate", "cons_price_idx", "cons_conf_idx"]
 TRAITS = ["age_band", "job", "marital", "education"]
 LEAST_BANKS = 5
+#: Combinations of traits that a profile holds at most.
+MOST_TRAITS = 100_000
 
 
 @dataclass
@@ -127,7 +129,9 @@ def build_profile(spark: SparkSession, s: Settings, provenance: DataFrame | None
     people = contacts if "age_band" in contacts.columns or "age" not in contacts.columns else contacts.withColumn("age_band", F.when(F.col("age").isNotNull(), age_band(F.col("age"))))
     ages = {"mean": contacts.agg(F.avg("age")).first()[0], **dict(zip(("p25", "p75"), exact_quantiles(contacts, {"x": F.col("age").cast("double")}, [0.25, 0.75])["x"], strict=True))} if "age" in contacts.columns else {}
     traits = [c for c in TRAITS if c in people.columns]
-    mix = [r.asDict() for r in joint_demographics(people, traits).orderBy(*traits).collect()] if traits else []
+    mix = [r.asDict() for r in joint_demographics(people, traits).orderBy(*traits).limit(MOST_TRAITS + 1).collect()] if traits else []
+    if len(mix) > MOST_TRAITS:
+        raise CalibrationError(f"over {MOST_TRAITS} combinations of {', '.join(traits)}: these are no categories")
     quarters = None if panel is None else latest_quarter(panel)
     ratio = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
     bands = {k: envelope(quarters, F.col(k), {k}) for k in ("ROA", "NIMY", "EEFFR", "ROE")}
