@@ -16,7 +16,8 @@ little, goes through an exact way: each class posts its rarest shingles, as many
 reaches the similarity (its size less the overlap needed, and one). No such pair is without a posted shingle
 in common, and copies with edits of their own mostly post those edits, which nobody shares. The lists of that index are
 again compared with their least class first, and then in blocks of bounded size, where only pairs of different
-components are left, of sizes that fit and of fingerprints that may belong to a pair of the similarity.
+components are left: on the sets themselves, which a block links by a forest, and for sets of more than CARRIED shingles
+on sizes that fit and fingerprints that may belong to a pair of the similarity.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from harborline.llm.graph import components
 from harborline.llm.scratch import Scratch, fresh
-from harborline.llm.simhash import in_blocks, signed
+from harborline.llm.simhash import forest, in_blocks, signed
 from harborline.llm.text import bounded_batches, chunks, frugal, mix, span_hash, words
 
 #: 64-bit words of a fingerprint, sets of positions, those posted at a time (their postings are gone before the next), equal bytes of a candidate.
@@ -46,6 +47,8 @@ _PERMUTED = np.random.default_rng(22)
 SETS = np.concatenate([_PERMUTED.permutation(8 * WORDS).reshape(-1, 4) for _ in range(LISTS // (2 * WORDS))])
 #: Shingles up to which a class always takes the exact way, and standard errors below its expectation at which bits rule out a pair.
 FEW, ERRORS = 64, 4.0
+#: Shingles up to which a set goes along to the comparison of a block, which then links only what reaches the similarity.
+CARRIED = 512
 _STEPS = np.random.default_rng(20).integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: What a bit is that exactly half of the hashes have: either, but the same for all texts.
 _TIES = np.unpackbits(np.random.default_rng(21).integers(0, 256, (WORDS, 8), np.uint8), axis=1, bitorder="little").astype(bool)
@@ -187,6 +190,23 @@ def to_least(members: DataFrame) -> DataFrame:
     return members.where("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct()
 
 
+def overlaps(sets: np.ndarray) -> np.ndarray:
+    """How many elements every two of the sets share; None is the empty set."""
+    sizes = np.array([0 if s is None else len(s) for s in sets])
+    values = np.concatenate([np.zeros(0, np.int64), *[s for s in sets if s is not None]])
+    _, place, counts = np.unique(values, return_inverse=True, return_counts=True)
+    shared = counts > 1
+    kept, column = shared[place], (np.cumsum(shared) - 1)[place]
+    rows, column = np.repeat(np.arange(len(sets)), sizes)[kept], column[kept]
+    out, step = np.zeros((len(sets), len(sets)), np.float32), 4096
+    for first in range(0, int(shared.sum()), step):
+        here = (column >= first) & (column < first + step)
+        marks = np.zeros((len(sets), step), np.float32)
+        marks[rows[here], column[here] - first] = 1
+        out += marks @ marks.T
+    return out.astype(np.int64)
+
+
 def rooted(members: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The members with their roots by ``links``, of the lists that have several."""
     roots = components(links, Scratch(members.sparkSession, name))
@@ -280,21 +300,30 @@ def grouped(docs: DataFrame, size: int, similarity: float, scratch: Scratch, few
     exact = listed(lambda _: rare, scratch, "rare")
     pairs = scratch.save(to_least(rooted(exact, near, scratch, "second")), "rare-stars")
     near = scratch.save(near.unionByName(verified(pairs, sets, similarity)).distinct(), "near-rare")
-    rest = rooted(exact, near, scratch, "third").join(there.select("class", "fp", "m"), "class").select("key", "n", "class", "root", "m", *[F.col("fp")[i].alias(f"w{i}") for i in range(WORDS)])
+    rest = rooted(exact, near, scratch, "third").join(there.select("class", "fp", "m"), "class")
+    rest = rest.join(sets.where(F.size("shingles") <= CARRIED), "class", "left")
+    rest = rest.select("key", "n", "class", "root", "m", *[F.col("fp")[i].alias(f"w{i}") for i in range(WORDS)], "shingles")
     bits, numerator, denominator = least_equal_bits(similarity), r.numerator, r.denominator
 
     def found(x: dict[str, np.ndarray]) -> np.ndarray:
-        m = x["m"]
+        m, carried = x["m"], np.array([s is not None for s in x["shingles"]])
         fits = np.minimum(m[:, None], m) * denominator >= np.maximum(m[:, None], m) * numerator
         fits &= x["root"][:, None] != x["root"][None, :]
-        equal = np.zeros(fits.shape, np.int16)
-        for i in range(WORDS):
-            v = x[f"w{i}"].view(np.uint64)
-            equal += np.bitwise_count(~(v[:, None] ^ v[None, :])).astype(np.int16)
-        a, b = np.nonzero(np.triu(fits & ((equal >= bits) | (np.minimum(m[:, None], m) <= few)), 1))
-        return np.column_stack([x["class"][a], x["class"][b]])
-
-    others = scratch.save(in_blocks(rest, ["key"], "class", found, block=256).distinct(), "others")
+        known = carried[:, None] & carried
+        near, rough = fits & known, fits & ~known
+        if near.any():
+            common = overlaps(x["shingles"])
+            near &= common * denominator >= (m[:, None] + m - common) * numerator
+        if rough.any():
+            equal = np.zeros(fits.shape, np.int16)
+            for i in range(WORDS):
+                v = x[f"w{i}"].view(np.uint64)
+                equal += np.bitwise_count(~(v[:, None] ^ v[None, :])).astype(np.int16)
+            rough &= equal >= bits
+        pairs = np.array([*forest(near), *zip(*np.nonzero(np.triu(rough, 1)), strict=True)], np.int64).reshape(-1, 2)
+        return x["class"][pairs]
+
+    others = scratch.save(in_blocks(rest, ["key"], "class", found, block=512).distinct(), "others")
     links = near.unionByName(scratch.save(verified(others, sets, similarity), "near-others"))
     roots = components(links, Scratch(spark, "near")).withColumnRenamed("node", "class")
     return marked.join(roots, "class", "left").select("doc_id", "h", F.coalesce("root", "class").alias("root"))

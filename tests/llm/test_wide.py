@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 
 from harborline.llm.text import mix
-from harborline.llm.wide import _STEPS, _TIES, FEW, MINIMUM, SETS, WORDS, found_share, least_equal_bits, one_of_each, rarest, signatures, xxhash_long
+from harborline.llm.wide import _STEPS, _TIES, FEW, MINIMUM, SETS, WORDS, found_share, least_equal_bits, one_of_each, overlaps, rarest, signatures, xxhash_long
 
 
 def shingles(text):
@@ -139,3 +139,12 @@ def test_columns_named_as_the_operators_own_and_ties(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _doc long, _h long, _key long, _n long")
     kept = one_of_each(docs)
     assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.lang) for r in kept.collect()) == [(0, "v"), (1, "x")]
+
+
+def test_overlaps():
+    rng = random.Random(12)
+    sets = [None, *[np.array(sorted(rng.sample(range(9000), k)), np.int64) for k in (1, 5, 300, 4000, 6000)], np.zeros(0, np.int64)]
+    got = overlaps(np.array([*sets, None], object)[:-1])
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert i == j or got[i, j] == (0 if a is None or b is None else len(set(a) & set(b)))
