@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from harborline.functions.distributions import chi2_sf, f_sf, normal_sf, t_ppf, t_two_sided_p
 from harborline.functions.intervals import Interval, z_of
 from harborline.operators.profiling import average_rank
+from harborline.operators.ranking import SMALL, globally_ranked, least_from
 
 
 #: Cells of a contingency table at most.
@@ -118,14 +118,14 @@ def mann_whitney_u(df: DataFrame, value: str, group: str) -> TestResult:
     return TestResult("mann-whitney u", u, min(1.0, 2 * normal_sf(abs(z))), None, 2 * u / (a.n * b.n) - 1)
 
 
-def benjamini_hochberg(tests: DataFrame, p: str, key: str, alpha: float = 0.05) -> DataFrame:
-    """``tests`` with p_adjusted and rejected; a family of tests is a small table."""
-    rising = Window.orderBy(p, key)
-    ranked = tests.withColumn("_i", F.row_number().over(rising)).withColumn("_m", F.count("*").over(Window.partitionBy()))
-    least = F.min(F.col(p) * F.col("_m") / F.col("_i")).over(Window.orderBy("_i").rowsBetween(0, Window.unboundedFollowing))
-    return ranked.withColumn("p_adjusted", F.least(least, F.lit(1.0))).withColumn("rejected", F.col("p_adjusted") <= alpha).drop("_i", "_m")
+def benjamini_hochberg(tests: DataFrame, p: str, key: str, alpha: float = 0.05, small: int = SMALL) -> DataFrame:
+    """``tests`` with p_adjusted and rejected; tests without a p-value come last, and count. ``key`` tells tests apart."""
+    ranked = globally_ranked(tests, F.coalesce(F.col(p), F.lit(math.nan)), key, "_i", small=small, bin_as="_place")
+    ratio = F.col(p) * tests.agg(F.count("*")).scalar() / F.col("_i")
+    found = least_from(ranked, ratio, "_i", "_place", "_least").withColumn("p_adjusted", F.least(F.col("_least"), F.lit(1.0)))
+    return found.withColumn("rejected", F.col("p_adjusted") <= alpha).drop("_i", "_place", "_least")
 
 
 def bonferroni(tests: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
-    m = F.count("*").over(Window.partitionBy())
+    m = tests.agg(F.count("*")).scalar()
     return tests.withColumn("p_adjusted", F.least(F.col(p) * m, F.lit(1.0))).withColumn("rejected", F.col("p_adjusted") <= alpha)

@@ -45,19 +45,20 @@ def _bins(n: int, bins: int | None) -> int:
     return bins or min(MOST_BINS, max(BINS, n // 1_000_000))
 
 
-def globally_ranked(df: DataFrame, key: Column, tie: str, name: str = "rn", running: dict[str, str] | None = None, base: DataFrame | None = None, bins: int | None = None, small: int = SMALL) -> DataFrame:
+def globally_ranked(df: DataFrame, key: Column, tie: str, name: str = "rn", running: dict[str, str] | None = None, base: DataFrame | None = None, bins: int | None = None, small: int = SMALL, bin_as: str | None = None) -> DataFrame:
     """``df`` with ``name``, the row number by (key, tie) ascending, and running sums of columns.
 
     ``key`` is numeric and ``tie`` unique. ``running`` maps new columns to the columns summed. ``base``
     has the same rows before other ranks were added; boundaries and bin sizes are read from it, so it is
-    worth caching where several ranks are taken. Up to ``small`` rows, one task ranks them all.
+    worth caching where several ranks are taken. Up to ``small`` rows, one task ranks them all. ``bin_as``
+    names a column that keeps a row's bin; bins ascend with the rank.
     """
     base = df if base is None else base
     n = base.count()
     if n <= small:
         by = Window.orderBy(key, tie)
         sums = {a: F.sum(b).over(by.rowsBetween(Window.unboundedPreceding, 0)) for a, b in (running or {}).items()}
-        return df.withColumn(name, F.row_number().over(by)).withColumns(sums)
+        return df.withColumn(name, F.row_number().over(by)).withColumns(sums).withColumns({bin_as: F.lit(0)} if bin_as else {})
     keyed = lambda x: x.withColumn("_k", F.struct(key.alias("k"), F.col(tie).alias("t")))
     place = _place(keyed(base), n, _bins(n, bins))
     sums = {f"_s_{a}": F.sum(b).alias(f"_s_{a}") for a, b in (running or {}).items()}
@@ -69,7 +70,19 @@ def globally_ranked(df: DataFrame, key: Column, tie: str, name: str = "rn", runn
     out = binned.join(F.broadcast(offsets), "_bin").withColumn(name, F.row_number().over(within) + F.col("_n_before"))
     for a, b in (running or {}).items():
         out = out.withColumn(a, F.sum(b).over(within.rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"_s_{a}_before"))
-    return out.drop("_k", "_bin", "_n_before", *[f"{s}_before" for s in sums])
+    out = out.drop("_k", "_n_before", *[f"{s}_before" for s in sums])
+    return out.withColumnRenamed("_bin", bin_as) if bin_as else out.drop("_bin")
+
+
+def least_from(ranked: DataFrame, value: Column, rank: str, place: str, name: str) -> DataFrame:
+    """``ranked`` with ``name``, the least ``value`` of a row and of all rows of higher rank; ``place`` is the bin of the rank.
+
+    A bin runs down from its highest rank, which takes one step a row, and starts from the least of the bins after it.
+    """
+    down = Window.partitionBy(place).orderBy(F.desc(rank)).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.orderBy(F.desc(place)).rowsBetween(Window.unboundedPreceding, -1)
+    later = ranked.groupBy(place).agg(F.min(value).alias("_low")).select(place, F.min("_low").over(after).alias("_later"))
+    return ranked.join(F.broadcast(later), place).withColumn(name, F.least(F.min(value).over(down), "_later")).drop("_later")
 
 
 def previous(df: DataFrame, column: str, order: str, name: str, bins: int | None = None) -> DataFrame:

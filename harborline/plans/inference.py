@@ -47,9 +47,9 @@ def hypothesis_orders(spark: SparkSession, d: str) -> DataFrame:
 a AS (SELECT *, least(1, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r)
 SELECT o_custkey, {r2('q', 6)} AS p_adjusted, q <= 0.5::DOUBLE AS rejected, {r2('least(1, p * m)', 6)} AS p_bonferroni FROM a""")
 def adjusted(spark: SparkSession, d: str) -> DataFrame:
-    tests = read(spark, d, "orders").groupBy("o_custkey").agg(F.least(F.lit(1.0), (F.sum("o_orderkey") % 9973 + 1) / F.lit(10000.0)).alias("p"))
-    held = H.bonferroni(tests, "p").select("o_custkey", to(F.col("p_adjusted"), 6).alias("p_bonferroni"))
-    return H.benjamini_hochberg(tests, "p", "o_custkey", 0.5).select("o_custkey", to(F.col("p_adjusted"), 6).alias("p_adjusted"), "rejected").join(held, "o_custkey")
+    tests = read(spark, d, "orders").groupBy("o_custkey").agg(F.least(F.lit(1.0), (F.sum("o_orderkey") % 9973 + 1) / F.lit(10000.0)).alias("p")).cache()
+    held = H.bonferroni(tests, "p").withColumnRenamed("p_adjusted", "held")
+    return H.benjamini_hochberg(held, "p", "o_custkey", 0.5).select("o_custkey", to(F.col("p_adjusted"), 6).alias("p_adjusted"), "rejected", to(F.col("held"), 6).alias("p_bonferroni"))
 
 
 @query("logistic_odds_orders", f"""WITH n AS (SELECT (count(*) FILTER (y AND x))::DOUBLE AS a, (count(*) FILTER (NOT y AND x))::DOUBLE AS b, (count(*) FILTER (y AND NOT x))::DOUBLE AS c, (count(*) FILTER (NOT y AND NOT x))::DOUBLE AS d FROM (SELECT o_orderstatus = 'F' AS y, o_orderpriority < '3' AS x FROM orders))

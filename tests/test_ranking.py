@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from harborline.functions.hypothesis import benjamini_hochberg
 from harborline.operators import ranking
 from harborline.operators.models import fit_kmeans
 from harborline.operators.ranking import exact_quantiles, globally_ranked, ntile, order_key, value_of
@@ -79,3 +80,19 @@ def test_nine_scans_do_for_all_columns_together(spark, monkeypatch):
 def test_kmeans_with_few_distinct_points(spark):
     df = spark.range(60000).select(F.array((F.col("id") % 2).cast("double"), F.lit(0.0)).alias("x"))
     assert sorted(fit_kmeans(df, "x", 2, n_init=1).sizes) == [30000, 30000]
+
+
+def test_least_of_all_later_ranks(spark):
+    """Adjusted p-values over many bins and over one, with ties, missing values and keys, against plain Python."""
+    rng = random.Random(2)
+    p = [rng.choice([0.001, 0.2, rng.random(), rng.random() ** 4, 1.0]) for _ in range(2000)] + [None, None, math.nan]
+    df = spark.createDataFrame([(i or None, x) for i, x in enumerate(p)], "k int, p double").repartition(5)
+    order = sorted((i for i, x in enumerate(p) if x == x and x is not None), key=lambda i: p[i])
+    want, least = {}, 1.0
+    for rank in range(len(order), 0, -1):
+        least = min(least, p[order[rank - 1]] * len(p) / rank)
+        want[order[rank - 1]] = least
+    for small in (0, 10_000):
+        got = benjamini_hochberg(df, "p", "k", 0.3, small=small).collect()
+        assert len(got) == len(p)
+        assert all(r.p_adjusted == want.get(r.k or 0, 1.0) and r.rejected == (r.p_adjusted <= 0.3) for r in got)

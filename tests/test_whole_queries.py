@@ -3,6 +3,7 @@
 import random
 
 import __spark_entry__
+from tests.oracle import check
 
 
 def test_kmeans_uses_every_dimension(spark, tmp_path):
@@ -15,3 +16,11 @@ def test_kmeans_uses_every_dimension(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.vec_id: r.cluster for r in __spark_entry__.queries()["kmeans_embeddings"](spark, str(tmp_path)).collect()}
     assert len({got[i] for i in range(4)}) == 4 and all(got[i] == got[i % 4] for i in got)
+
+
+def test_orders_without_a_customer_are_a_test_too(spark, tmp_path):
+    spark.createDataFrame([(i, None if i % 7 == 0 else i % 50) for i in range(1, 300)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    (tmp_path / "sql").mkdir()
+    spark.read.parquet(f"{tmp_path}/orders.parquet").toPandas().to_parquet(f"{tmp_path}/sql/orders.parquet")
+    name = "adjusted_p_values"
+    check(spark, str(tmp_path / "sql"), lambda s, d: __spark_entry__.queries()[name](s, d), __spark_entry__.oracle_sql()[name])
