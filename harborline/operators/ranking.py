@@ -17,12 +17,14 @@ from pyspark.sql.window import Window
 
 #: Rows sampled for boundaries, bins at least and at most, and rows that one task may rank alone.
 SAMPLE, BINS, MOST_BINS, SMALL = 10_000, 64, 4_096, 50_000
+#: Boundaries that a row is compared with one by one.
+FLAT = 16
 #: Parts of a span of keys that one scan counts.
 SPLIT = 512
 
 
 def _place(keyed: DataFrame, n: int, bins: int) -> Column:
-    """The bin of ``_k``, a struct, by boundaries read from a bounded sample of it: two steps of comparisons where bins are many."""
+    """The bin of ``_k``, a struct, by boundaries read from a bounded sample of it: two steps of comparisons where bins are more than a few."""
     rate = min(1.0, max(SAMPLE, 16 * bins) / n)
     rows = keyed.where(F.pmod(F.xxhash64("_k"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("_k.*").limit(4 * max(SAMPLE, 16 * bins)).collect()
     drawn = sorted(set(rows), key=lambda r: tuple((x is not None, x) for x in r))
@@ -31,7 +33,7 @@ def _place(keyed: DataFrame, n: int, bins: int) -> Column:
     over = lambda some: F.size(F.filter(some, lambda e: e < F.col("_k")))
     if not edges:
         return F.lit(0)
-    if len(edges) <= BINS:
+    if len(edges) <= FLAT:
         return over(F.array(*edges))
     step = math.isqrt(len(edges)) + 1
     blocks = [edges[i : i + step] for i in range(0, len(edges), step)]

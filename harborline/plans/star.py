@@ -34,6 +34,12 @@ def to(x: Column, digits: int = 2) -> Column:
     return F.floor(x * p + F.lit(0.5)).cast("double") / p
 
 
+def line_revenues() -> tuple[Column, Column]:
+    """Interest and fee of a line in cents."""
+    price = F.col("l_extendedprice")
+    return cents(price * (1 - F.col("l_discount")) * 0.01), cents(price * F.col("l_tax") * 0.01)
+
+
 def months(a: Column, b: Column) -> Column:
     """Calendar months from a to b."""
     return ((F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a)).cast("int")
@@ -98,17 +104,25 @@ class Star:
         """The accounts of the last month: lines are cut by a range of ship dates in the scan, before anything is joined."""
         return self.accounts(self.table("lineitem").where(F.col("l_shipdate") >= self.latest_month))
 
-    def accounts(self, lines: DataFrame) -> DataFrame:
-        price = F.col("l_extendedprice")
-        lines = lines.select(
-            F.col("l_orderkey"), F.col("l_partkey"), F.trunc(F.to_date("l_shipdate"), "MM").alias("month"), cents(price).alias("balance_c"), cents(price * (1 - F.col("l_discount")) * 0.01).alias("interest_c"), cents(price * F.col("l_tax") * 0.01).alias("fee_c")
-        )
-        parts = self.table("part").select("p_partkey", F.concat_ws("/", "p_brand", "p_type").alias("product_code"))
+    def priced(self, lines: DataFrame, *measures: Column, of_part: tuple[Column, ...] = ()) -> DataFrame:
+        """Measures of lines with their customer, month and columns of their part; nothing else is moved."""
+        lines = lines.select("l_orderkey", "l_partkey", F.trunc(F.to_date("l_shipdate"), "MM").alias("month"), *measures)
+        parts = self.table("part").select("p_partkey", *of_part)
         orders = self.table("orders").select("o_orderkey", F.col("o_custkey").alias("customer_key"))
-        joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(parts, lines["l_partkey"] == parts["p_partkey"])
+        return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(parts, lines["l_partkey"] == parts["p_partkey"])
+
+    def accounts(self, lines: DataFrame) -> DataFrame:
+        code, (interest, fee) = F.concat_ws("/", "p_brand", "p_type").alias("product_code"), line_revenues()
+        joined = self.priced(lines, cents(F.col("l_extendedprice")).alias("balance_c"), interest.alias("interest_c"), fee.alias("fee_c"), of_part=(code,))
         sums = [F.sum(c).alias(c) for c in ("balance_c", "interest_c", "fee_c")]
         return joined.groupBy("customer_key", "product_code", "month").agg(*sums, F.sum(F.col("interest_c") + F.col("fee_c")).alias("revenue_c"))
 
+    @cached_property
+    def monthly_revenue(self) -> DataFrame:
+        """(customer_key, month, revenue_c) over all accounts, from the lines themselves: no account is made, no product code moves."""
+        interest, fee = line_revenues()
+        return self.priced(self.table("lineitem"), (interest + fee).alias("c")).groupBy("customer_key", "month").agg(F.sum("c").alias("revenue_c"))
+
     @cached_property
     def latest_month(self) -> Column:
         return self.table("lineitem").agg(F.trunc(F.to_date(F.max("l_shipdate")), "MM")).scalar()

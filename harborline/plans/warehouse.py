@@ -245,7 +245,7 @@ SELECT customer_id, segment, city, acquisition_channel, income_c / 100.0::DOUBLE
 def q09(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = star(spark, sf_dir)
     known = s.ref_macro_indicator.where((F.col("indicator") == LENDING) & F.col("value").isNotNull()).agg(F.coalesce(F.max_by("value", "year"), F.lit(DEFAULT_RATE))).scalar()
-    paid = s.fact_monthly_account.groupBy("customer_key").agg(F.sum("revenue_c").alias("r"), F.count_distinct("month").alias("n"))
+    paid = s.monthly_revenue.groupBy("customer_key").agg(F.sum("revenue_c").alias("r"), F.count("month").alias("n"))
     months = F.when(F.col("churned") == 1, F.lit(0.0)).otherwise(F.least(F.lit(120.0), 12 + F.col("observed_months") * 1.5))
     snap = s.fact_customer_snapshot.select("customer_key", "churned", "observed_months", months.alias("months"))
     rows = s.dim_customer.join(paid, "customer_key").join(snap, "customer_key").withColumn("avg", F.col("r") / F.col("n") / 100.0).withColumn("i", known / 100 / 12)
@@ -254,9 +254,9 @@ def q09(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = rows.cache()
     sums = base.agg(F.struct(F.count("*").alias("n"), F.count_if(F.col("churned") == 0).alias("active"), F.sum("total_c").alias("total"))).scalar()
     rows = globally_ranked(rows, -F.col("total_c"), "customer_key", "rn", {"run": "total_c"}, base)
-    rows = globally_ranked(rows, F.col("churned") * (1 << 60) - F.col("total_c"), "customer_key", "arn", base=base).withColumn("_all", sums)
     # rows of equal value share the best rank from above, so cume_dist counts from the worst
     ties = rows.groupBy("total_c").agg(F.min("rn").alias("best"))
+    rows = globally_ranked(rows, F.col("churned") * (1 << 60) - F.col("total_c"), "customer_key", "arn", base=base).withColumn("_all", sums)
     rows = rows.join(ties, "total_c")
     n, total = F.col("_all.n"), F.col("_all.total")
     return rows.select(
