@@ -16,6 +16,10 @@ from harborline.functions.distributions import chi2_sf, normal_sf
 from harborline.functions.intervals import z_of
 
 
+#: Bytes of points in one row of a packed table.
+PACKED = 1 << 19
+
+
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), x))))
 
@@ -158,20 +162,49 @@ class KMeansFit:
         return spark.createDataFrame(rows, f"cluster int, {', '.join(f'`{n}` double' for n in names)}, size long, share_pct double")
 
 
-def points_of(batch: pa.RecordBatch) -> np.ndarray:
-    """The points of a batch's column x, an array of doubles; all of one width."""
-    x = batch.column("x")
-    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+def packed(data: DataFrame) -> DataFrame:
+    """(n, x, h): n points of ``data`` (x, h) a row, all of one width, as the bytes of their doubles and hashes.
+
+    Every pass reads all points, and bytes go to Python as they are, without a conversion of each number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, h = batch.column("x"), batch.column("h").to_numpy()
+            points = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+            step = max(1, PACKED // max(1, points.shape[1] * 8))
+            for at in range(0, len(points), step):
+                part = points[at : at + step]
+                yield pa.record_batch([pa.array([len(part)], pa.int32()), pa.array([part.tobytes()], pa.binary()), pa.array([h[at : at + step].tobytes()], pa.binary())], ["n", "x", "h"])
+
+    return data.select("x", "h").mapInArrow(run, "n int, x binary, h binary")
+
+
+def points_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The points and hashes of each row that ``packed`` made."""
+    for n, x, h in zip(*(batch.column(c) for c in ("n", "x", "h")), strict=True):
+        yield np.frombuffer(x.as_buffer(), float).reshape(n.as_py(), -1), np.frombuffer(h.as_buffer(), np.uint64)
 
 
 def nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each point's nearest centre, the first where two are as near, and the squared distance, in blocks of bounded size."""
+    """Each point's nearest centre, the first where two are as near, and the squared distance, in blocks of bounded size.
+
+    Products of matrices tell the nearest one apart; where another is as near to within their rounding, all differences are taken."""
     at, gap = np.zeros(len(points), np.int64), np.zeros(len(points))
-    step = max(1, (1 << 22) // max(1, centres.size))
+    step = max(1, (1 << 18) // max(1, len(centres) + points.shape[1]))
+    squares = (centres**2).sum(1)
     for i in range(0, len(points), step):
-        d = ((points[i : i + step, None] - centres[None]) ** 2).sum(-1)
-        at[i : i + step] = d.argmin(1)
-        gap[i : i + step] = d.min(1)
+        part = points[i : i + step]
+        with np.errstate(over="ignore", invalid="ignore"):
+            d = squares - 2 * (part @ centres.T)
+            best = d.argmin(1)
+            least = d[np.arange(len(part)), best]
+            # the rounding of a product of this length, with room
+            error = 1e-13 * points.shape[1] * ((part**2).sum(1) + squares.max())
+            close = np.flatnonzero(~((d <= (least + error)[:, None]).sum(1) == 1))
+        for some in range(0, len(close), inner := max(1, (1 << 22) // max(1, centres.size))):
+            rows = close[some : some + inner]
+            best[rows] = ((part[rows, None] - centres[None]) ** 2).sum(-1).argmin(1)
+        at[i : i + step], gap[i : i + step] = best, ((part - centres[best]) ** 2).sum(-1)
     return at, gap
 
 
@@ -184,8 +217,7 @@ def _seeding_pass(data: DataFrame, starts: list[np.ndarray], take: int, seed: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list[tuple[float, list[float]]]] = [[] for _ in starts]
-        for batch in batches:
-            points, h = points_of(batch), batch.column("h").to_numpy().view(np.uint64)
+        for points, h in (x for batch in batches for x in points_of(batch)):
             for s, centres in enumerate(starts):
                 with np.errstate(over="ignore", divide="ignore"):
                     z = (h ^ np.uint64((seed + 1) * 0x9E3779B9 + s)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -214,25 +246,34 @@ def _assignment_pass(data: DataFrame, starts: list[np.ndarray]) -> list[tuple[np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states = [(np.zeros(len(c)), np.zeros(len(c)), np.zeros((len(c), width))) for c in starts]
         far: list[tuple[float, list[float]]] = [(-1.0, [])] * len(starts)
-        for batch in batches:
-            points = points_of(batch)
+        for points, _ in (x for batch in batches for x in points_of(batch)):
             for i, (centres, (n, d, total)) in enumerate(zip(starts, states, strict=True)):
                 if len(points):
                     at, gap = nearest(points, centres)
                     n += np.bincount(at, minlength=len(centres))
                     d += np.bincount(at, gap, minlength=len(centres))
-                    np.add.at(total, at, points)
+                    total += (at == np.arange(len(centres))[:, None]).astype(float) @ points
                     far[i] = max(far[i], (float(gap.max()), points[gap.argmax()].tolist()))
         rows = [(i, j, float(n[j]), float(d[j]), total[j].tolist(), far[i][0], far[i][1]) for i, (n, d, total) in enumerate(states) for j in range(len(n))]
         kinds = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.float64())]
         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["s", "c", "n", "d", "total", "gap", "far"])
 
-    states = data.mapInArrow(run, "s int, c int, n double, d double, total array<double>, gap double, far array<double>")
-    sums = states.groupBy("s", "c").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), *[F.sum(F.col("total")[j]).alias(f"t{j}") for j in range(width)], F.max(F.struct("gap", "far")).alias("far"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], list] = {}
+        for r in (r for batch in batches for r in batch.to_pylist()):
+            have = found.setdefault((r["s"], r["c"]), [0.0, 0.0, np.zeros(width), (-1.0, [])])
+            have[0], have[1], have[2], have[3] = have[0] + r["n"], have[1] + r["d"], have[2] + r["total"], max(have[3], (r["gap"], r["far"]))
+        rows = [(*at, n, d, total.tolist(), *far) for at, (n, d, total, far) in found.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+    kinds = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.float64())]
+    names, schema = ["s", "c", "n", "d", "total", "gap", "far"], "s int, c int, n double, d double, total array<double>, gap double, far array<double>"
+    # one row a task and centre, which are added up as arrays: a sum for each dimension takes longer to plan than to add
+    sums = data.mapInArrow(run, schema).repartition("s", "c").mapInArrow(add, schema)
     out = [(np.zeros(len(c)), np.zeros(len(c)), np.zeros(c.shape), np.zeros(width)) for c in starts]
     for r in sums.collect():
         n, d, total, far = out[r.s]
-        n[r.c], d[r.c], total[r.c], far[:] = r.n, r.d, [r[f"t{j}"] for j in range(width)], r.far.far
+        n[r.c], d[r.c], total[r.c], far[:] = r.n, r.d, r.total, r.far
     return out
 
 
@@ -260,8 +301,19 @@ def fit_kmeans(df: DataFrame, x: str, k: int, max_iter: int = 300, tol: float =
     A pass adds up, for every start, the points of each centre in the tasks, a state of fixed size. An
     empty cluster restarts at the farthest point. Labels belong to the final centres. Null points are left out.
     """
-    data = df.select(F.transform(F.col(x), lambda v: v.cast("double")).alias("x")).where("x is not null").withColumn("h", F.xxhash64("x", F.monotonically_increasing_id())).cache()
-    if data.count() < k:
+    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(limit, None)
+    conf.set(limit, str(4 << 20))
+    try:
+        return _fit_kmeans(df, x, k, max_iter, tol, n_init, seed, names)
+    finally:
+        conf.unset(limit) if before is None else conf.set(limit, before)
+
+
+def _fit_kmeans(df: DataFrame, x: str, k: int, max_iter: int, tol: float, n_init: int, seed: int, names: list[str] | None) -> KMeansFit:
+    data = df.select(F.transform(F.col(x), lambda v: v.cast("double")).alias("x")).where("x is not null").withColumn("h", F.xxhash64("x", F.monotonically_increasing_id()))
+    data = packed(data).cache()
+    if (data.agg(F.sum("n")).first()[0] or 0) < k:
         raise ValueError("fewer points than clusters")
     starts = seeds(data, k, n_init, seed)
     live, done = list(range(n_init)), {}

@@ -234,3 +234,16 @@ def test_many_tables_one_report(spark):
     a, b = frame(spark, [(1,), (None,)], "x int"), frame(spark, [("y",)], "s string")
     report = R.validate_many({"a": (a, [R.not_null("x")]), "b": (b, [R.not_null("s"), R.not_null("t")])})
     assert [(r.table, r.n_failed) for r in report.results] == [("a", 1), ("b", 0)] and report.skipped == [("b", "t_not_null")]
+
+
+def test_points_go_to_python_packed_and_ties_keep_the_first_centre(spark):
+    rng = np.random.default_rng(3)
+    centres = np.vstack([c := rng.normal(0, 1, (3, 8)), c[:1], c[1] + 1e-15])
+    points = np.vstack([rng.normal(0, 1, (3000, 8)), (c[0] + c[1]) / 2, c, 1e8 + rng.normal(0, 1, (50, 8)), np.zeros((0, 8))])
+    d = ((points[:, None] - centres[None]) ** 2).sum(-1)
+    at, gap = L.nearest(points, centres)
+    assert (at == d.argmin(1)).all() and (gap == d.min(1)).all()
+    df = spark.createDataFrame([(p.tolist(), i) for i, p in enumerate(points)], "x array<double>, h long").repartition(2)
+    rows = L.packed(df).collect()
+    assert len(rows) == 2 and sum(r.n for r in rows) == len(points)
+    assert sorted(h for r in rows for h in np.frombuffer(r.h, np.int64)) == list(range(len(points)))
