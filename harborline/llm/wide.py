@@ -10,11 +10,11 @@ share of the pairs of a similarity has a list in common and passes the tally: 0.
 Keys are counted first. What stands in a list of several is then told by a table of slots of a bounded size, so
 that postings that stand alone, nearly all of them, are not shuffled a second time.
 
-A class is compared with the least one of each of its lists. What these links leave open, all classes of a list
-that still falls into several components, and every class of few shingles, whose fingerprint says
+A class is compared with the least ones of its lists first, with a bounded number of them. Then every class that
+stands in a list, and every class of few shingles, whose fingerprint says
 little, goes through an exact way: each class posts its rarest shingles, as many as it cannot do without in any pair that
 reaches the similarity (its size less the overlap needed, and one). No such pair is without a posted shingle
-in common, and copies with edits of their own mostly post those edits, which nobody shares. The lists of that index are
+in common, and copies with edits of their own mostly post those edits, which nobody shares. The lists of that index, one of each set of classes, are
 again compared with their least class first, and then in blocks of bounded size, where only pairs of different
 components are left: on the sets themselves, which a block links by a forest, and for sets of more than CARRIED shingles
 on sizes that fit and fingerprints that may belong to a pair of the similarity.
@@ -25,12 +25,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from fractions import Fraction
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.llm.graph import components
@@ -47,6 +47,8 @@ _PERMUTED = np.random.default_rng(22)
 SETS = np.concatenate([_PERMUTED.permutation(8 * WORDS).reshape(-1, 4) for _ in range(LISTS // (2 * WORDS))])
 #: Shingles up to which a class always takes the exact way, and standard errors below its expectation at which bits rule out a pair.
 FEW, ERRORS = 64, 4.0
+#: Classes with which one is compared first: so many that stand in most of its lists, and as many of the least.
+STARS = 4
 #: Shingles up to which a set goes along to the comparison of a block, which then links only what reaches the similarity.
 CARRIED = 512
 _STEPS = np.random.default_rng(20).integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -185,9 +187,13 @@ def listed(keys: Callable[[Broadcast | None], DataFrame], scratch: Scratch, name
     return out
 
 
-def to_least(members: DataFrame) -> DataFrame:
-    """(a, b): every class with the least one of each of its lists."""
-    return members.where("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct()
+def to_least(members: DataFrame, most: int = STARS) -> DataFrame:
+    """(a, b): every class with least ones of its lists, at most ``most`` that most of them have and as many that are the least.
+
+    The lists of a large group of near copies have hundreds of different ones; the least of all are the same for most classes."""
+    pairs = members.where("class <> least").groupBy(F.col("least").alias("a"), F.col("class").alias("b")).agg(F.count("*").alias("n"))
+    places = {"often": F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a")), "low": F.row_number().over(Window.partitionBy("b").orderBy("a"))}
+    return pairs.withColumns(places).where(F.least("often", "low") <= most).select("a", "b")
 
 
 def overlaps(sets: np.ndarray) -> np.ndarray:
@@ -264,7 +270,7 @@ def kept_slots(lists: DataFrame) -> Broadcast:
 def different(members: DataFrame) -> DataFrame:
     """``members`` (key, n, class, least) of one list of each set of classes; sets are told apart by 128 bits.
 
-    Classes that agree in more than four bytes of a word, or in several words, stand together in many lists."""
+    Classes that share one rare shingle mostly share several."""
     sets = members.groupBy("key", "n", "least").agg(F.bit_xor("class").alias("x"), F.bit_xor(F.xxhash64("class")).alias("y"))
     return members.join(sets.groupBy("n", "least", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
 
@@ -276,17 +282,13 @@ def grouped(docs: DataFrame, size: int, similarity: float, scratch: Scratch, few
     marked = scratch.save(marked_table(docs, size), "marked")
     classes = marked.where("class <> 0").groupBy("class").agg(F.min("fp").alias("fp"), F.min("m").alias("m"), F.min(F.struct("doc_id", "h")).alias("k"))
     classes = scratch.save(classes, "classes")
-    members = None
-    for first in range(0, LISTS, ROUND):
-        some = listed(partial(posted, classes, first), scratch, f"members-{first}")
-        members = some if members is None else members.unionByName(some)
-    members = scratch.save(different(members), "members")
-    scratch.drop(*[f"members-{first}" for first in range(0, LISTS, ROUND)])
+    rounds = range(0, LISTS, ROUND)
+    members = reduce(DataFrame.unionByName, [listed(partial(posted, classes, first), scratch, f"members-{first}") for first in rounds])
     stars = scratch.save(to_least(members), "stars")
     # a class of few shingles may be near to one that has a little more
     small = classes.where(F.col("m") * r.numerator <= few * r.denominator).select("class")
-    ends = stars.select(F.col("a").alias("class")).unionByName(stars.select(F.col("b").alias("class"))).unionByName(small).distinct()
-    there = scratch.save(classes.join(ends, "class"), "listed")
+    there = scratch.save(classes.join(members.select("class").unionByName(small).distinct(), "class"), "listed")
+    scratch.drop(*[f"members-{first}" for first in rounds])
     named = there.select("class", F.col("k.doc_id").alias("_doc"), F.col("k.h").alias("_h"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(named, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h")))
     # rows that share doc_id and text give a class once more
@@ -295,12 +297,11 @@ def grouped(docs: DataFrame, size: int, similarity: float, scratch: Scratch, few
     counted = stars.join(side("a"), "a").join(side("b"), "b").where(shared_bytes(F.col("fp_a"), F.col("fp_b")) >= MINIMUM).select("a", "b")
     near = scratch.save(verified(scratch.save(counted, "counted"), sets, similarity).distinct(), "near-least")
 
-    left = rooted(members, near, scratch, "first").select("class").unionByName(small).distinct()
-    rare = scratch.save(rarest(sets.join(scratch.save(left, "left"), "class", "left_semi"), similarity), "rarest")
-    exact = listed(lambda _: rare, scratch, "rare")
-    pairs = scratch.save(to_least(rooted(exact, near, scratch, "second")), "rare-stars")
+    rare = scratch.save(rarest(sets, similarity), "rarest")
+    exact = scratch.save(different(listed(lambda _: rare, scratch, "rare-all")), "rare")
+    pairs = scratch.save(to_least(rooted(exact, near, scratch, "first")), "rare-stars")
     near = scratch.save(near.unionByName(verified(pairs, sets, similarity)).distinct(), "near-rare")
-    rest = rooted(exact, near, scratch, "third").join(there.select("class", "fp", "m"), "class")
+    rest = rooted(exact, near, scratch, "second").join(there.select("class", "fp", "m"), "class")
     rest = rest.join(sets.where(F.size("shingles") <= CARRIED), "class", "left")
     rest = rest.select("key", "n", "class", "root", "m", *[F.col("fp")[i].alias(f"w{i}") for i in range(WORDS)], "shingles")
     bits, numerator, denominator = least_equal_bits(similarity), r.numerator, r.denominator

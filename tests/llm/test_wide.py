@@ -3,8 +3,9 @@ import random
 import corpus_pipeline
 import numpy as np
 
+from harborline.llm import wide
 from harborline.llm.text import mix
-from harborline.llm.wide import _STEPS, _TIES, FEW, MINIMUM, SETS, WORDS, found_share, least_equal_bits, one_of_each, overlaps, rarest, signatures, xxhash_long
+from harborline.llm.wide import _STEPS, _TIES, FEW, MINIMUM, SETS, STARS, WORDS, found_share, least_equal_bits, one_of_each, overlaps, rarest, signatures, to_least, xxhash_long
 
 
 def shingles(text):
@@ -148,3 +149,22 @@ def test_overlaps():
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
             assert i == j or got[i, j] == (0 if a is None or b is None else len(set(a) & set(b)))
+
+
+def test_a_class_meets_few_least_ones(spark):
+    """A class of a large group stands in hundreds of lists, each with a least class of its own."""
+    members = [(k, 3, c, k % 300) for k in range(1000) for c in (k % 300, 1000, 1001 + k % 2)] + [(2000 + k, 2, c, 299) for k in range(9) for c in (299, 1000)]
+    got = [tuple(r) for r in to_least(spark.createDataFrame(members, "key long, n long, class long, least long")).collect()]
+    assert len(got) == len(set(got)) and all(sum(b == c for _, b in got) <= 2 * STARS for c in (1000, 1001, 1002))
+    assert {(0, 1000), (299, 1000), (0, 1001), (1, 1002)} <= set(got)
+
+
+def test_lists_of_the_same_classes_are_compared_once(spark, monkeypatch):
+    """Two texts under the similarity that share many rare shingles."""
+    seen, blocks = [], wide.in_blocks
+    monkeypatch.setattr(wide, "in_blocks", lambda rows, *a, **k: (seen.append(rows.count()), blocks(rows, *a, **k))[1])
+    one = [f"v{i}" for i in range(204)]
+    rows = [(1, " ".join(one)), (2, " ".join([*one[:176], *[f"e{i}" for i in range(28)]]))]
+    assert 0.7 < similarity(shingles(rows[0][1]), shingles(rows[1][1])) < 0.8
+    assert sorted(r.doc_id for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 2]
+    assert seen == [2]
