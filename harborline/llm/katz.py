@@ -12,6 +12,9 @@ d(c) s(h), where d(c) is its discounted count and s(h) the history's scale; any
 So a text's score is a sum over its histories and bigrams, all looked up at once by one join, plus the
 recursion for the bigrams that this join does not find, which a second, small one evaluates.
 
+Most bigrams are seen once. Those that no held-out text has are not looked up: a bigram of a training text that the
+lookup does not find was seen once, and one of a held-out text was never seen. So the counting pass reads the held-out texts too.
+
 Bigrams are counted in PASSES passes and scored in BLOCKS, by the hash of the history: a pass's shuffle is
 gone before the next one's. In every lookup the rows with the largest counts, at most ``HOT`` or ``NEAR``, are
 broadcast and looked up in place; that bound holds for any corpus, and it also rids the joins of their
@@ -42,6 +45,8 @@ TOGETHER, PASSES, BLOCKS = 2_000_000, 2, 3
 PART = 500_000
 #: Rows of one Arrow batch that leaves a Python worker.
 PIECE = 1 << 16
+#: Bits under a count in the shuffle that tell whether held-out texts have the bigram.
+MARK = 20
 END, START = np.uint64(0xE5D1E5D1E5D1E5D1), np.uint64(0x57A2757A2757A275)
 #: Stand for the history where a word or a history is looked up as a bigram is.
 WORD, HISTORY = np.uint64(0x1F0E1F0E1F0E1F0E), np.uint64(0x6A5B6A5B6A5B6A5B)
@@ -94,9 +99,9 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(frugal(run), "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def summed(key: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """One row per key: its first values of the columns, and the sum of n."""
-    order = np.argsort(key, kind="stable")
+def summed(key: np.ndarray, columns: list[np.ndarray], n: np.ndarray, kind: str = "quicksort") -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """One row per key: its values of the columns, and the sum of n."""
+    order = np.argsort(key, kind=kind)
     new = np.ones(len(key), bool)
     new[1:] = key[order][1:] != key[order][:-1]
     first = order[new]
@@ -108,9 +113,15 @@ def in_part(before: np.ndarray, part: int, parts: int) -> np.ndarray:
     return before.view(np.int64) % parts == part
 
 
+def flags(batch: pa.RecordBatch, rows: slice) -> np.ndarray:
+    """The column ``held`` of some rows."""
+    return batch.column("held")[rows.start : rows.stop].to_numpy(zero_copy_only=False)
+
+
 def counted_pairs(docs: DataFrame, part: int, parts: int) -> DataFrame:
-    """(h, w, c) of all bigrams whose history lies in a part, in order of h within a partition.
+    """(h, w, c, held) of all bigrams of the training texts whose history lies in a part, in order of h within a partition.
 
+    ``held`` says whether a held-out text has the bigram too; ``docs`` is (text, held).
     A task adds up what it reads, TOGETHER bigrams at most, before anything leaves it, so the shuffle
     takes a frequent bigram once per task or so; the engine adds up behind the shuffle, and can spill.
     """
@@ -121,7 +132,7 @@ def counted_pairs(docs: DataFrame, part: int, parts: int) -> DataFrame:
 
         def merged() -> list[np.ndarray]:
             key, h, w, n = (np.concatenate(x) for x in zip(have, *waiting, strict=True))
-            key, (h, w), n = summed(key, [h, w], n)
+            key, (h, w), n = summed(key, [h, w], n, "stable")  # runs in order merge
             return [key, h, w, n]
 
         for x in found:
@@ -138,19 +149,25 @@ def counted_pairs(docs: DataFrame, part: int, parts: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def read_parts() -> Iterator[list[np.ndarray]]:
             for batch in batches:
-                for _, data, texts in chunks(batch):
-                    before, token, _ = tokens(words(data, texts))
+                for rows, data, texts in chunks(batch):
+                    before, token, of = tokens(words(data, texts))
                     mine = in_part(before, part, parts)
                     before, token = before[mine], token[mine]
-                    key, (h, w), n = summed(pair_key(before, token), [before, token], np.ones(len(token), np.int64))
+                    # a task's counts: of training texts in the low half, of others in the high one
+                    one = np.where(flags(batch, rows)[of[mine]], 1 << 32, 1)
+                    key, (h, w), n = summed(pair_key(before, token), [before, token], one)
                     yield [key, h, w, n]
 
         for _, h, w, n in added(read_parts()):
+            # what leaves it: the training count, and in the low MARK bits, which count tasks, whether others have it
+            n = ((n & 0xFFFFFFFF) << MARK) + (n >> 32 > 0)
             for i in range(0, len(h), PIECE):
                 yield pa.record_batch([pa.array(x[i : i + PIECE].view(np.int64)) for x in (h, w, n)], ["h", "w", "c"])
 
-    rows = docs.select("text").mapInArrow(frugal(read), "h long, w long, c long")
-    return rows.repartition("h", "w").groupBy("h", "w").agg(F.sum("c").alias("c")).sortWithinPartitions("h")
+    rows = docs.select("text", "held").mapInArrow(frugal(read), "h long, w long, c long")
+    found = rows.repartition("h", "w").groupBy("h", "w").agg(F.sum("c").alias("c"))
+    found = found.select("h", "w", F.shiftright("c", MARK).alias("c"), (F.col("c").bitwiseAND(F.lit((1 << MARK) - 1)) > 0).alias("held"))
+    return found.where("c > 0").sortWithinPartitions("h")
 
 
 def discounts(n: dict[int, int], k: int = GOOD_TURING) -> list[float]:
@@ -192,7 +209,9 @@ def hot_from(table: DataFrame, room: int) -> int:
 
 @dataclass
 class Model:
-    """Unigrams (w, c, p), bigrams (h, w, c), histories (h, c, s, a: logs of scale and backoff weight), discounts, the cost of unknown tokens."""
+    """Unigrams (w, c, p), bigrams (h, w, c), histories (h, c, s, a: logs of scale and backoff weight), discounts, the cost of unknown tokens.
+
+    Of the bigrams seen once, only those that held-out texts have too are kept: any other bigram of a training text was seen once."""
 
     uni: DataFrame
     pairs: DataFrame
@@ -212,8 +231,8 @@ def with_p(pairs: DataFrame, uni: DataFrame, near: int = NEAR) -> DataFrame:
 
 
 def fit(docs: DataFrame, scratch: Scratch, near: int = NEAR, passes: int = PASSES) -> Model:
-    """The model of all rows of ``docs``."""
-    uni = scratch.save(counted(docs), "unigrams")
+    """The model of the rows of ``docs`` (text, held) that are not held out."""
+    uni = scratch.save(counted(docs.where("not held")), "unigrams")
     r = F.when(F.col("c") <= GOOD_TURING + 1, F.col("c")).otherwise(0)
     of_counts = {x.r: (x.n, x.s) for x in uni.groupBy(r.alias("r")).agg(F.count("*").alias("n"), F.sum("c").alias("s")).collect()}
     n, v = sum(s for _, s in of_counts.values()), sum(k for k, _ in of_counts.values())
@@ -228,15 +247,17 @@ def fit(docs: DataFrame, scratch: Scratch, near: int = NEAR, passes: int = PASSE
     share = F.least(F.col("d") / F.col("c"), F.col("c") / (F.col("c") + 1.0))
     alpha = (1 - share) / F.greatest(1 - F.col("q"), F.lit(1e-12))
     histories = sums.select("h", "c", F.log10(share / F.col("d")).alias("s"), F.log10(alpha).alias("a"))
-    return Model(uni, pairs, scratch.save(histories, "histories"), d2, n, v, math.log10(unknown))
+    histories, pairs = scratch.save(histories, "histories"), scratch.save(pairs.where("c > 1 or held").select("h", "w", "c"), "bigrams")
+    scratch.drop(*[f"bigrams-{i}" for i in range(passes)])
+    return Model(uni, pairs, histories, d2, n, v, math.log10(unknown))
 
 
 def score(docs: DataFrame, model: Model, scratch: Scratch, hot: int = HOT, near: int = NEAR, blocks: int = BLOCKS) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of every row."""
+    """(doc_id, n_tokens, n_known, base_score, score) of every row of ``docs`` (doc_id, text, held)."""
     base = lambda c: F.log10((c + 0.1) / F.lit(model.n + 0.1 * (model.v + 1)))
     none = F.lit(None).cast("double")
     # two hashes of doc_id and text: rows that share both are the same row
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.hash("doc_id", "text").alias("row2"), "text")
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.hash("doc_id", "text").alias("row2"), "text", "held")
     # what is looked up, with its count: bigrams, histories, words
     orders = [
         model.pairs.select("h", "w", "c", F.log10(discounted(F.col("c"), model.d2)).alias("x"), none.alias("b")),
@@ -247,23 +268,25 @@ def score(docs: DataFrame, model: Model, scratch: Scratch, hot: int = HOT, near:
     shared = docs.sparkSession.sparkContext.broadcast([_lookup(o.where(F.col("c") >= cut)) for o, cut in zip(orders, cuts, strict=True)])
     n_terms = sum(table.count() for table in (model.pairs, model.histories, model.uni))
     n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_terms // (blocks * PART)))
-    sums = []
+    sums, once = [], math.log10(model.d2[0])
     for b in range(blocks):
         mine = lambda h, b=b: F.pmod(h, F.lit(blocks)) == b
         parts = [orders[0].where(mine(F.col("h"))), orders[1].where(mine(F.col("w"))), *orders[2 : 3 if b == 0 else 2]]
         terms = reduce(DataFrame.unionByName, [o.where(F.col("c") < cut).select("h", "w", "x", F.col("b").alias("base")) for o, cut in zip(parts, cuts, strict=False)])
-        cold = rows.select("row", "row2", "text").mapInArrow(frugal(_looked_up(shared, b, blocks)), "row long, row2 int, h long, w long, n int, extra array<double>")
-        whole = [F.sum(F.get("extra", F.lit(i))).alias(name) for i, name in enumerate(("tokens", "left", "x", "b"))]
-        missed = F.col("x_").isNull() & F.col("extra").isNull() & ~F.col("h").isin(signed(WORD), signed(HISTORY))
+        cold = rows.select("row", "row2", "text", "held").mapInArrow(frugal(_looked_up(shared, b, blocks)), "row long, row2 int, h long, w long, n int, extra array<double>")
+        bigram = F.col("extra").isNull() & ~F.col("h").isin(signed(WORD), signed(HISTORY))
         # terms have distinct keys and PART of them or fewer per task, whatever their number: a bound for the hashed side
         to = lambda df: df.repartition(n_parts, "h", "w")
         found = to(cold).join(to(terms.withColumnRenamed("x", "x_")).hint("shuffle_hash"), ["h", "w"], "left")
+        # a bigram of a training text that is not found was seen once; held-out texts have a negative n
+        missed = F.col("x_").isNull() & bigram & (F.col("n") < 0)
+        found = found.withColumns({"uh": F.when(missed, F.col("h")), "uw": F.when(missed, F.col("w")), "x_": F.coalesce("x_", F.when(bigram & (F.col("n") > 0), F.lit(once))), "n": F.abs("n")})
         # one row per text for what is found, and one for every bigram that is not
-        found = found.withColumns({"uh": F.when(missed, F.col("h")), "uw": F.when(missed, F.col("w"))}).groupBy("row", "row2", "uh", "uw").agg(
-            F.sum(F.col("n") * F.col("x_")).alias("sx"), F.sum(F.col("n") * F.col("base")).alias("sb"), F.sum(F.when(F.col("base").isNotNull(), F.col("n"))).alias("sk"), F.count("extra").alias("times"), *whole, F.sum("n").alias("n")
+        found = found.groupBy("row", "row2", "uh", "uw").agg(
+            F.sum(F.coalesce(F.col("n") * F.col("x_"), F.get("extra", F.lit(2)))).alias("sx"), F.sum(F.coalesce(F.col("n") * F.col("base"), F.get("extra", F.lit(3)))).alias("sb"),
+            F.sum(F.coalesce(F.when(F.col("base").isNotNull(), F.col("n").cast("double")), F.get("extra", F.lit(1)))).alias("known"), F.sum(F.get("extra", F.lit(0))).alias("tokens"), F.count("extra").alias("times"), F.sum("n").alias("n"),
         )
         sums.append(scratch.save(found, f"scores-{b}"))
-    scratch.drop(*[f"bigrams-{i}" for i in range(PASSES)])
     every = reduce(DataFrame.unionByName, sums)
     unseen = every.where("uh is not null").select("row", "row2", F.col("uh").alias("h"), F.col("uw").alias("w"), "n")
     every = every.where("uh is null")
@@ -273,12 +296,13 @@ def score(docs: DataFrame, model: Model, scratch: Scratch, hot: int = HOT, near:
     back = back.groupBy("row", "row2").agg(F.sum(F.col("n") * cost).alias("su"))
     # rows that repeat have sent everything once each
     share = lambda c: F.coalesce(F.sum(c) / F.max("times"), F.lit(0.0)).alias(c)
-    columns = ("sx", "sb", "x", "b", "sk", "tokens", "left")
+    columns = ("sx", "sb", "known", "tokens")
     total = every.select("row", "row2", "times", *columns, none.alias("su")).unionByName(back.select("row", "row2", F.lit(None).cast("long").alias("times"), *[none.alias(c) for c in columns], "su"))
     total = scratch.save(total.groupBy("row", "row2").agg(*[share(c) for c in (*columns, "su")]), "totals")
     joined = rows.select("doc_id", "row", "row2").join(total, ["row", "row2"])
-    unknown = F.round(F.col("left") - F.col("sk"))
-    return joined.select("doc_id", F.round("tokens").cast("bigint").alias("n_tokens"), F.round(F.col("tokens") - unknown).cast("bigint").alias("n_known"), (F.col("b") + F.col("sb") + unknown * base(F.lit(0.0))).alias("base_score"), (F.col("x") + F.col("sx") + F.col("su")).alias("score"))
+    known = F.round("known")
+    unknown = F.round("tokens") - known
+    return joined.select("doc_id", F.round("tokens").cast("bigint").alias("n_tokens"), known.cast("bigint").alias("n_known"), (F.col("sb") + unknown * base(F.lit(0.0))).alias("base_score"), (F.col("sx") + F.col("su")).alias("score"))
 
 
 def _lookup(rows: DataFrame) -> Lookup:
@@ -289,7 +313,8 @@ def _lookup(rows: DataFrame) -> Lookup:
 
 def _looked_up(shared, block: int, blocks: int):
     """The bigrams, histories and words of each text that are not broadcast, with their counts, and one row with what
-    the broadcast ones give: tokens and tokens left (in the first block, which looks up the words), log-probability, base."""
+    the broadcast ones give: tokens and tokens known (in the first block, which looks up the words), log-probability, base.
+    The counts of held-out texts are negative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,10 +335,12 @@ def _looked_up(shared, block: int, blocks: int):
                     cold.append((key[~hit], h[~hit], w[~hit], of[~hit]))
                 if not block:
                     sums[0] = np.bincount(owner, minlength=n)
-                    sums[1] = np.bincount(cold[2][3], minlength=n)
+                    sums[1] = sums[0] - np.bincount(cold[2][3], minlength=n)
                 key, h, w, of = (np.concatenate(c) for c in zip(*cold, strict=True))
                 _, (h, w, of), times = summed(key ^ mix(of.astype(np.uint64)), [h, w, of], np.ones(len(of), np.int64))
-                order = np.argsort(of, kind="stable")  # rows of a text together: they compress
+                times = np.where(flags(batch, part)[of], -times, times)
+                # rows of a text together: they compress; short numbers are sorted by their digits
+                order = np.argsort(of.astype(np.uint16) if n < 1 << 16 else of, kind="stable")
                 ids, seconds = (np.array(batch.column(c)[part.start : part.stop]) for c in ("row", "row2"))
                 row, row2 = (np.concatenate([c[of[order]], c]) for c in (ids, seconds))
                 h, w = (np.concatenate([c[order].view(np.int64), ids]) for c in (h, w))
@@ -334,6 +361,6 @@ def lm_scores(docs: DataFrame, modulus: int = 10, remainder: int = 0, hot: int =
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "katz")
-    docs = docs.select("doc_id", "text")
-    model = fit(docs.where(~held_out(modulus, remainder)), scratch, near)
+    docs = docs.select("doc_id", "text", held_out(modulus, remainder).alias("held"))
+    model = fit(docs, scratch, near)
     return score(docs, model, scratch, hot, near).select("doc_id", held_out(modulus, remainder).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -6,7 +6,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from harborline.llm.katz import discounts, lm_scores
+from harborline.llm.katz import discounts, fit, lm_scores
+from harborline.llm.scratch import Scratch
 
 
 def tokens(text):
@@ -71,3 +72,11 @@ def test_no_rows_and_no_training_rows(spark):
 
 def test_discounts_fall_back():
     assert all(0 < d <= 1 for d in discounts({}) + discounts({1: 5}) + discounts({1: 1, 2: 50, 3: 9, 6: 4}))
+
+
+def test_bigrams_seen_once_stay_where_held_out_texts_have_them(spark):
+    """Any other bigram of a training text that is not found was seen once, so it need not be joined."""
+    docs = spark.createDataFrame([("a b", False), ("a b c d", False), ("c d x c d", True)], "text string, held boolean")
+    model = fit(docs, Scratch(spark, "katz-test"))
+    assert sorted(r.c for r in model.pairs.collect()) == [1, 1, 2, 2] and (model.n, model.v) == (8, 5)
+    assert sorted(r.c for r in model.histories.collect()) == [1, 1, 2, 2, 2]
