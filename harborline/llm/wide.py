@@ -17,7 +17,8 @@ reaches the similarity (its size less the overlap needed, and one). No such pair
 in common, and copies with edits of their own mostly post those edits, which nobody shares. The lists of that index, one of each set of classes, are
 again compared with their least class first, and then in blocks of bounded size, where only pairs of different
 components are left: on the sets themselves, which a block links by a forest, and for sets of more than CARRIED shingles
-on sizes that fit and fingerprints that may belong to a pair of the similarity.
+on sizes that fit and fingerprints that may belong to a pair of the similarity. Of those pairs a block gives a forest too; what
+it joins is a cluster, which holds every such pair. The sets of a cluster then meet once, in blocks of bounded size, not in every list.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ FEW, ERRORS = 64, 4.0
 STARS = 4
 #: Shingles up to which a set goes along to the comparison of a block, which then links only what reaches the similarity.
 CARRIED = 512
+#: Classes of a block, and shingles of one of a cluster (a longer set is a block of its own).
+BLOCK, TOGETHER = 512, 1 << 20
 _STEPS = np.random.default_rng(20).integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: What a bit is that exactly half of the hashes have: either, but the same for all texts.
 _TIES = np.unpackbits(np.random.default_rng(21).integers(0, 256, (WORDS, 8), np.uint8), axis=1, bitorder="little").astype(bool)
@@ -204,13 +207,26 @@ def overlaps(sets: np.ndarray) -> np.ndarray:
     shared = counts > 1
     kept, column = shared[place], (np.cumsum(shared) - 1)[place]
     rows, column = np.repeat(np.arange(len(sets)), sizes)[kept], column[kept]
-    out, step = np.zeros((len(sets), len(sets)), np.float32), 4096
+    out, step = np.zeros((len(sets), len(sets)), np.int64), 4096
     for first in range(0, int(shared.sum()), step):
         here = (column >= first) & (column < first + step)
         marks = np.zeros((len(sets), step), np.float32)
         marks[rows[here], column[here] - first] = 1
-        out += marks @ marks.T
-    return out.astype(np.int64)
+        out += (marks @ marks.T).astype(np.int64)
+    return out
+
+
+def reaching(sets: np.ndarray, m: np.ndarray, asked: np.ndarray, r: Fraction) -> np.ndarray:
+    """Which of the ``asked`` pairs of sets, of m elements each, reach the similarity r."""
+    if not asked.any():
+        return asked
+    common = overlaps(sets)
+    return asked & (common * r.denominator >= (m[:, None] + m - common) * r.numerator)
+
+
+def may_reach(m: np.ndarray, root: np.ndarray, r: Fraction) -> np.ndarray:
+    """Which pairs are of different roots and have sizes that fit."""
+    return (np.minimum(m[:, None], m) * r.denominator >= np.maximum(m[:, None], m) * r.numerator) & (root[:, None] != root)
 
 
 def rooted(members: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -275,6 +291,20 @@ def different(members: DataFrame) -> DataFrame:
     return members.join(sets.groupBy("n", "least", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
 
 
+def in_clusters(rough: DataFrame, links: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b): a forest of the pairs that reach the similarity in the components of ``rough``, of classes that ``links`` leave apart."""
+    r = ratio(similarity)
+    clusters = scratch.save(components(rough, Scratch(sets.sparkSession, "rough")).select(F.col("root").alias("key"), F.col("node").alias("class")), "clusters")
+    members = rooted(clusters, links, scratch, "third").join(sets, "class").select("key", "class", "root", F.size("shingles").cast("long").alias("m"), "shingles")
+    # blocks by number and by length, whichever are more
+    sizes = members.groupBy("key").agg(F.greatest(F.count("*"), F.ceil(F.sum("m") * BLOCK / TOGETHER)).alias("n"))
+
+    def found(x: dict[str, np.ndarray]) -> np.ndarray:
+        return x["class"][np.array(forest(reaching(x["shingles"], x["m"], may_reach(x["m"], x["root"], r), r)), np.int64).reshape(-1, 2)]
+
+    return in_blocks(members.join(sizes, "key").select("key", "n", "class", "root", "m", "shingles"), ["key"], "class", found, block=BLOCK)
+
+
 def grouped(docs: DataFrame, size: int, similarity: float, scratch: Scratch, few: int = FEW) -> DataFrame:
     """(doc_id, h, root) of every row: rows of one root are linked by pairs that reach the similarity."""
     spark, r = docs.sparkSession, ratio(similarity)
@@ -304,28 +334,27 @@ def grouped(docs: DataFrame, size: int, similarity: float, scratch: Scratch, few
     rest = rooted(exact, near, scratch, "second").join(there.select("class", "fp", "m"), "class")
     rest = rest.join(sets.where(F.size("shingles") <= CARRIED), "class", "left")
     rest = rest.select("key", "n", "class", "root", "m", *[F.col("fp")[i].alias(f"w{i}") for i in range(WORDS)], "shingles")
-    bits, numerator, denominator = least_equal_bits(similarity), r.numerator, r.denominator
+    bits = least_equal_bits(similarity)
 
     def found(x: dict[str, np.ndarray]) -> np.ndarray:
         m, carried = x["m"], np.array([s is not None for s in x["shingles"]])
-        fits = np.minimum(m[:, None], m) * denominator >= np.maximum(m[:, None], m) * numerator
-        fits &= x["root"][:, None] != x["root"][None, :]
-        known = carried[:, None] & carried
-        near, rough = fits & known, fits & ~known
-        if near.any():
-            common = overlaps(x["shingles"])
-            near &= common * denominator >= (m[:, None] + m - common) * numerator
+        fits, known = may_reach(m, x["root"], r), carried[:, None] & carried
+        near, rough = reaching(x["shingles"], m, fits & known, r), fits & ~known
         if rough.any():
             equal = np.zeros(fits.shape, np.int16)
             for i in range(WORDS):
                 v = x[f"w{i}"].view(np.uint64)
                 equal += np.bitwise_count(~(v[:, None] ^ v[None, :])).astype(np.int16)
             rough &= equal >= bits
-        pairs = np.array([*forest(near), *zip(*np.nonzero(np.triu(rough, 1)), strict=True)], np.int64).reshape(-1, 2)
-        return x["class"][pairs]
-
-    others = scratch.save(in_blocks(rest, ["key"], "class", found, block=512).distinct(), "others")
-    links = near.unionByName(scratch.save(verified(others, sets, similarity), "near-others"))
+        return x["class"][np.array([*forest(near), *forest(rough)], np.int64).reshape(-1, 2)]
+
+    others = scratch.save(in_blocks(rest, ["key"], "class", found, block=BLOCK).distinct(), "others")
+    links = scratch.save(near.unionByName(verified(others, sets, similarity)), "near-others")
+    # a pair with a longer set is known by its fingerprints only
+    longer = lambda n: there.where(F.col("m") > CARRIED).select(F.col("class").alias(n))
+    rough = scratch.save(others.join(longer("a"), "a", "left_semi").unionByName(others.join(longer("b"), "b", "left_semi")), "rough")
+    if not rough.isEmpty():
+        links = links.unionByName(scratch.save(in_clusters(rough, links, sets, similarity, scratch), "near-clusters"))
     roots = components(links, Scratch(spark, "near")).withColumnRenamed("node", "class")
     return marked.join(roots, "class", "left").select("doc_id", "h", F.coalesce("root", "class").alias("root"))
 

@@ -168,3 +168,30 @@ def test_lists_of_the_same_classes_are_compared_once(spark, monkeypatch):
     assert 0.7 < similarity(shingles(rows[0][1]), shingles(rows[1][1])) < 0.8
     assert sorted(r.doc_id for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 2]
     assert seen == [2]
+
+
+def test_long_near_copies_make_few_rows(spark, monkeypatch):
+    """Texts beyond CARRIED with edits of their own: most pairs are under the similarity, and all look near by fingerprint."""
+    made, blocks = [], wide.in_blocks
+
+    def counted(rows, *a, **k):
+        made.append((rows.count(), (out := blocks(rows, *a, **k)).count()))
+        return out
+
+    monkeypatch.setattr(wide, "in_blocks", counted)
+    rng = random.Random(14)
+    base, rows = [f"v{i}" for i in range(700)], []
+    for i in range(48):
+        own = list(base)
+        for k in rng.sample(range(0, 700, 5), 18):
+            own[k] = f"e{i}x{k}"
+        own[1], own[3] = f"p{i % 3}", f"q{i % 3}"  # rare shingles in common
+        rows.append((i, " ".join(own)))
+    near = rows[7][1].split()
+    rows.append((100, " ".join([*near[:690], *[f"z{i}" for i in range(10)]])))
+    sets = [shingles(t) for _, t in rows]
+    assert all(len(s) > wide.CARRIED for s in sets) and len(brute(rows)) > 1
+    for bound in (wide.TOGETHER, 4096):
+        monkeypatch.setattr(wide, "TOGETHER", bound)
+        assert sorted(r.doc_id for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute(rows)
+    assert all(out <= n for n, out in made) and len(made) == 4
