@@ -14,6 +14,7 @@ recursion for the bigrams that this join does not find, which a second, small on
 
 Most bigrams are seen once. Those that no held-out text has are not looked up: a bigram of a training text that the
 lookup does not find was seen once, and one of a held-out text was never seen. So the counting pass reads the held-out texts too.
+A table of slots of a bounded size tells most of the former before they leave a task. A word and the history that it is are looked up as one.
 
 Bigrams are counted in PASSES passes and scored in BLOCKS, by the hash of the history: a pass's shuffle is
 gone before the next one's. In every lookup the rows with the largest counts, at most ``HOT`` or ``NEAR``, are
@@ -30,6 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,19 +39,21 @@ from harborline.llm.labelled import held_out
 from harborline.llm.scratch import Scratch
 from harborline.llm.text import Lookup, Words, bounded_batches, chunks, frugal, mix, words
 
-#: Counts up to GOOD_TURING are discounted; rows that are broadcast at most: bigrams; words to a join (twice as many words, and histories, to Python).
+#: Counts up to GOOD_TURING are discounted; rows that are broadcast at most: bigrams; words to a join (four times as many, with their histories, to Python).
 GOOD_TURING, HOT, NEAR = 5, 1 << 19, 1 << 17
 #: Bigrams that a task adds up before they leave it; parts of the histories that are counted or scored at a time.
 TOGETHER, PASSES, BLOCKS = 2_000_000, 2, 3
 #: Looked-up rows per task of a scoring join.
 PART = 500_000
+#: Slots of the table of a block's bigrams: so many for one, within these bounds. A full table only filters less.
+ROOM, FEWEST, MOST = 16, 1 << 16, 1 << 26
 #: Rows of one Arrow batch that leaves a Python worker.
 PIECE = 1 << 16
 #: Bits under a count in the shuffle that tell whether held-out texts have the bigram.
 MARK = 20
 END, START = np.uint64(0xE5D1E5D1E5D1E5D1), np.uint64(0x57A2757A2757A275)
-#: Stand for the history where a word or a history is looked up as a bigram is.
-WORD, HISTORY = np.uint64(0x1F0E1F0E1F0E1F0E), np.uint64(0x6A5B6A5B6A5B6A5B)
+#: Stands for the history where a word is looked up as a bigram is.
+WORD = np.uint64(0x1F0E1F0E1F0E1F0E)
 
 
 def signed(x: int) -> int:
@@ -258,23 +262,26 @@ def score(docs: DataFrame, model: Model, scratch: Scratch, hot: int = HOT, near:
     none = F.lit(None).cast("double")
     # two hashes of doc_id and text: rows that share both are the same row
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.hash("doc_id", "text").alias("row2"), "text", "held")
-    # what is looked up, with its count: bigrams, histories, words
+    # a word is a history too, but for the end, and the start is a history only
+    words_ = model.uni.select("w", "c").join(model.histories.select(F.col("h").alias("w"), F.col("c").alias("as_h"), "s"), "w", "full")
+    words_ = scratch.save(words_.select("w", F.coalesce("c", "as_h").alias("c"), F.coalesce("s", F.lit(0.0)).alias("x"), base(F.col("c")).alias("b")), "words")
+    # what is looked up, with its count: bigrams, words
     orders = [
         model.pairs.select("h", "w", "c", F.log10(discounted(F.col("c"), model.d2)).alias("x"), none.alias("b")),
-        model.histories.select(F.lit(signed(HISTORY)).alias("h"), F.col("h").alias("w"), "c", F.col("s").alias("x"), none.alias("b")),
-        model.uni.select(F.lit(signed(WORD)).alias("h"), "w", "c", F.lit(0.0).alias("x"), base(F.col("c")).alias("b")),
+        words_.select(F.lit(signed(WORD)).alias("h"), "w", "c", "x", "b"),
     ]
-    cuts = [hot_from(order, room) for order, room in zip(orders, (hot, 2 * near, 2 * near), strict=True)]
+    cuts = [hot_from(order, room) for order, room in zip(orders, (hot, 4 * near), strict=True)]
     shared = docs.sparkSession.sparkContext.broadcast([_lookup(o.where(F.col("c") >= cut)) for o, cut in zip(orders, cuts, strict=True)])
-    n_terms = sum(table.count() for table in (model.pairs, model.histories, model.uni))
+    n_terms = sum(table.count() for table in (model.pairs, words_))
     n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_terms // (blocks * PART)))
     sums, once = [], math.log10(model.d2[0])
     for b in range(blocks):
         mine = lambda h, b=b: F.pmod(h, F.lit(blocks)) == b
-        parts = [orders[0].where(mine(F.col("h"))), orders[1].where(mine(F.col("w"))), *orders[2 : 3 if b == 0 else 2]]
-        terms = reduce(DataFrame.unionByName, [o.where(F.col("c") < cut).select("h", "w", "x", F.col("b").alias("base")) for o, cut in zip(parts, cuts, strict=False)])
-        cold = rows.select("row", "row2", "text", "held").mapInArrow(frugal(_looked_up(shared, b, blocks)), "row long, row2 int, h long, w long, n int, extra array<double>")
-        bigram = F.col("extra").isNull() & ~F.col("h").isin(signed(WORD), signed(HISTORY))
+        parts = [o.where(mine(F.col(c)) & (F.col("c") < cut)) for o, c, cut in zip(orders, "hw", cuts, strict=True)]
+        terms = parts[0].unionByName(parts[1]).select("h", "w", "x", F.col("b").alias("base"))
+        slots = kept_slots(parts[0])
+        cold = rows.select("row", "row2", "text", "held").mapInArrow(frugal(_looked_up(shared, slots, once, b, blocks)), "row long, row2 int, h long, w long, n int, extra array<double>")
+        bigram = F.col("extra").isNull() & (F.col("h") != signed(WORD))
         # terms have distinct keys and PART of them or fewer per task, whatever their number: a bound for the hashed side
         to = lambda df: df.repartition(n_parts, "h", "w")
         found = to(cold).join(to(terms.withColumnRenamed("x", "x_")).hint("shuffle_hash"), ["h", "w"], "left")
@@ -287,6 +294,7 @@ def score(docs: DataFrame, model: Model, scratch: Scratch, hot: int = HOT, near:
             F.sum(F.coalesce(F.when(F.col("base").isNotNull(), F.col("n").cast("double")), F.get("extra", F.lit(1)))).alias("known"), F.sum(F.get("extra", F.lit(0))).alias("tokens"), F.count("extra").alias("times"), F.sum("n").alias("n"),
         )
         sums.append(scratch.save(found, f"scores-{b}"))
+        slots.destroy()
     every = reduce(DataFrame.unionByName, sums)
     unseen = every.where("uh is not null").select("row", "row2", F.col("uh").alias("h"), F.col("uw").alias("w"), "n")
     every = every.where("uh is null")
@@ -311,10 +319,28 @@ def _lookup(rows: DataFrame) -> Lookup:
     return Lookup.of(np.array(found.column("key"), np.int64).view(np.uint64), np.column_stack([np.array(found.column(c), float) for c in ("x", "b")]))
 
 
-def _looked_up(shared, block: int, blocks: int):
-    """The bigrams, histories and words of each text that are not broadcast, with their counts, and one row with what
-    the broadcast ones give: tokens and tokens known (in the first block, which looks up the words), log-probability, base.
-    The counts of held-out texts are negative."""
+def kept_slots(pairs: DataFrame) -> Broadcast:
+    """A bit for every slot, set where one of the bigrams (h, w) falls, in a table of a bounded size."""
+    n, size = pairs.count(), FEWEST
+    while size < ROOM * n and size < MOST:
+        size *= 2
+    slots = pairs.select(F.pmod(F.xxhash64("h", "w"), F.lit(size)).alias("s"))
+    table = np.zeros(size // 8, np.uint8)
+    for r in slots.groupBy(F.expr("s div 32768").alias("i")).agg(F.bitmap_construct_agg(F.col("s") % 32768).alias("bits")).collect():  # 2,048 at most
+        table[r.i << 12 : (r.i + 1) << 12] = np.frombuffer(r.bits, np.uint8)
+    return pairs.sparkSession.sparkContext.broadcast(table)
+
+
+def in_slots(table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which keys have their slot's bit; of others the table holds none."""
+    at = (key & np.uint64(8 * len(table) - 1)).astype(np.int64)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _looked_up(shared, slots, once: float, block: int, blocks: int):
+    """The bigrams and words of each text that are not broadcast, with their counts, and one row with what is known
+    already: tokens (in the first block) and tokens known, log-probability, base. Bigrams of training texts without
+    a slot were seen once, at a log-probability of ``once``. The counts of held-out texts are negative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,22 +349,29 @@ def _looked_up(shared, block: int, blocks: int):
                 n = len(texts) - 1
                 here = in_part(before, block, blocks)
                 of, before_, token_ = owner[here], before[here], token[here]
-                asked = [(before_, token_, of), (np.full_like(before_, HISTORY), before_, of)]
-                if not block:
-                    asked.append((np.full_like(token, WORD), token, owner))
-                sums, cold = np.zeros((4, n)), []
-                for table, (h, w, of) in zip(shared.value, asked, strict=False):
+                looked = np.concatenate([token, np.full(n, START)])
+                here = in_part(looked, block, blocks)
+                looked, by = looked[here], np.concatenate([owner, np.arange(n)])[here]
+                sums, cold, held = np.zeros((4, n)), [], flags(batch, part)
+                for table, (h, w, of) in zip(shared.value, [(before_, token_, of), (np.full_like(looked, WORD), looked, by)], strict=True):
                     key = pair_key(h, w)
                     at, hit = table.find(key)
                     sums[2] += np.bincount(of[hit], table.values[at[hit], 0], n)
                     sums[3] += np.bincount(of[hit], table.values[at[hit], 1], n)
-                    cold.append((key[~hit], h[~hit], w[~hit], of[~hit]))
+                    left = ~hit
+                    if cold:
+                        sums[1] = np.bincount(of[hit & (w != START)], minlength=n)
+                    else:
+                        single = np.flatnonzero(left & ~held[of])
+                        single = single[~in_slots(slots.value, key[single])]
+                        sums[2] += once * np.bincount(of[single], minlength=n)
+                        left[single] = False
+                    cold.append((key[left], h[left], w[left], of[left]))
                 if not block:
                     sums[0] = np.bincount(owner, minlength=n)
-                    sums[1] = sums[0] - np.bincount(cold[2][3], minlength=n)
                 key, h, w, of = (np.concatenate(c) for c in zip(*cold, strict=True))
                 _, (h, w, of), times = summed(key ^ mix(of.astype(np.uint64)), [h, w, of], np.ones(len(of), np.int64))
-                times = np.where(flags(batch, part)[of], -times, times)
+                times = np.where(held[of], -times, times)
                 # rows of a text together: they compress; short numbers are sorted by their digits
                 order = np.argsort(of.astype(np.uint16) if n < 1 << 16 else of, kind="stable")
                 ids, seconds = (np.array(batch.column(c)[part.start : part.stop]) for c in ("row", "row2"))

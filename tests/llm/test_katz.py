@@ -4,10 +4,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from harborline.llm.katz import discounts, fit, lm_scores
+from harborline.llm import katz
+from harborline.llm.katz import discounts, fit, in_slots, kept_slots, lm_scores, pair_key
 from harborline.llm.scratch import Scratch
+from harborline.llm.text import Lookup
 
 
 def tokens(text):
@@ -80,3 +84,21 @@ def test_bigrams_seen_once_stay_where_held_out_texts_have_them(spark):
     model = fit(docs, Scratch(spark, "katz-test"))
     assert sorted(r.c for r in model.pairs.collect()) == [1, 1, 2, 2] and (model.n, model.v) == (8, 5)
     assert sorted(r.c for r in model.histories.collect()) == [1, 1, 2, 2, 2]
+
+
+def test_slots_are_found_alike_in_both_engines(spark):
+    x = np.random.default_rng(4).integers(-(1 << 63), (1 << 63) - 1, (600, 2))
+    table = kept_slots(spark.createDataFrame(x[:300].tolist(), "h long, w long")).value
+    found = in_slots(table, pair_key(*x.T.astype(np.int64).view(np.uint64).copy()))
+    assert found[:300].all() and found[300:].sum() < 10 and not in_slots(np.zeros(8192, np.uint8), pair_key(*x.T.copy().view(np.uint64))).any()
+
+
+def test_few_rows_leave_a_text():
+    """Bigrams of a training text that were seen once stay, and a word and its history are one row."""
+    none = Lookup.of(np.zeros(0, np.uint64), np.zeros((0, 2)))
+    shared, slots = (type("", (), {"value": v}) for v in ([none, none], np.zeros(8192, np.uint8)))
+    batch = pa.record_batch([[1, 2], [1, 2], ["a b c d", "a b c d"], [False, True]], ["row", "row2", "text", "held"])
+    (got,) = katz._looked_up(shared, slots, -0.5, 0, 1)(iter([batch]))
+    # four words, an end and a start; the held-out text's five bigrams; a row of sums
+    assert [sum(r["row"] == i for r in got.to_pylist()) for i in (1, 2)] == [7, 12]
+    assert [r["extra"] for r in got.to_pylist() if r["extra"]] == [[5.0, 0.0, -2.5, 0.0], [5.0, 0.0, 0.0, 0.0]]
